@@ -56,3 +56,10 @@ def partitions(spark: SparkSession) -> int:
 def text_of(column: str | Column) -> Column:
     """Null counts as the empty text."""
     return F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit(""))
+
+
+def tokenizer_path(name: str) -> str:
+    """Where the installed public tokenizer file is; the same on each executor."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)

@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing
-from .common import table
+from . import exact_dedup, langid, mixing, piece_bpe
+from .common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -16,12 +16,20 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
 
 
+def op8_piece_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return piece_bpe.round_trip_digest(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(table(spark, sf_dir, "documents"))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op7_mix_sources, op10_exact_dedup)}
+    return {f.__name__: f for f in (op7_mix_sources, op8_piece_bpe, op9_language_id, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
