@@ -179,6 +179,9 @@ def training_sample(docs: DataFrame, train: Column | None, text_col: str, label_
     key = F.xxhash64(F.lit(config.seed), F.col(text_col))
     room = F.greatest(F.length(text_col) - config.fit_chars, F.lit(0)) + 1
     piece = F.substring(F.col(text_col), F.pmod(F.xxhash64(key), room).cast("int") + 1, F.lit(config.fit_chars))
+    # Few more rows than the sample needs pass a filter on the hash, so that what reaches the driver is bounded.
+    part = min(1.0, 4 * config.fit_rows / max(1, docs.count()))
+    rows = rows.filter(F.pmod(key, F.lit(1 << 30)) <= int(part * (1 << 30)))
     rows = rows.select(key.alias("key"), piece.alias("piece"), F.col(label_col).cast("string").alias("label"))
     got = rows.orderBy("key", "piece", "label").limit(config.fit_rows).collect()
     return [r["piece"] for r in got], [r["label"] for r in got]

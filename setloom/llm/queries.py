@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprint, langid, line_dedup, mixing, piece_bpe
+from . import chat, exact_dedup, fingerprint, langid, line_dedup, mixing, near_dedup, piece_bpe
 from .common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +22,10 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op5_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_duplicate_groups(table(spark, sf_dir, "documents"), shingle=2, percent=80).drop("key")
+
+
 def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     real = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     # A conversation that quotes control strings.
@@ -47,7 +51,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_line_dedup, op6_chat_formatting, op7_mix_sources, op8_piece_bpe, op9_language_id, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_fingerprints, op3_line_dedup, op5_near_dedup, op6_chat_formatting, op7_mix_sources, op8_piece_bpe, op9_language_id, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
