@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprint, langid, line_dedup, mixing, near_dedup, piece_bpe
+from . import chat, exact_dedup, fingerprint, langid, line_dedup, mixing, near_dedup, piece_bpe, substring_dedup
 from .common import table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,11 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.edit_likeness(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = substring_dedup.drop_repeated_passages(table(spark, sf_dir, "documents").select("doc_id", "text"), window=50)
+    return got.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     got = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return got.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
@@ -51,7 +56,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_line_dedup, op5_near_dedup, op6_chat_formatting, op7_mix_sources, op8_piece_bpe, op9_language_id, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_substring_dedup, op3_line_dedup, op5_near_dedup, op6_chat_formatting, op7_mix_sources, op8_piece_bpe, op9_language_id, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
