@@ -7,12 +7,15 @@ threshold must share one of, so frequent runs are no list of most texts. Then
 
 1. in every list, each node is paired with the two ends of the list, pairs whose union sketch
    may reach the threshold are confirmed on the full sets, and links make components;
-2. lists that still hold several components are cut into blocks, and all pairs of nodes of
-   different components meet in one pair of blocks; what may reach the threshold is confirmed.
+2. lists with the same first node are one bucket. The nodes of a bucket outside its first
+   node's component meet all others of the bucket, in pairs of blocks: first their sketches,
+   which leaves the nodes that may still have a link, then the full sets of those. A task
+   returns only links that join components it has not joined yet.
 
-Step 1 leaves one component of a large group of copies, so step 2 has no group left whose
-pairs would grow with the square of its size, and it compares all that step 1 left open: no
-partner is capped. A sketch misses a pair at the threshold with a probability below `MISS`.
+No partner is capped: a pair that shares a list is linked in step 1, in one component then, or
+compared in step 2. Step 1 leaves one component of a large group of copies, whose pairs step 2
+need not compare, and no step returns more rows than nodes met. A sketch misses a pair at the
+threshold with a probability below `MISS`.
 
 Words are lower-cased in A-Z. Runs are told apart by 64-bit hashes, equal sets by the sum of
 their mixed hashes. Defined results: a text without words has an empty set, is linked with
@@ -37,9 +40,9 @@ from .wordhash import Words, mix, runs, slices
 
 SKETCH = 40
 MISS = 1e-10
-#: Nodes of a list that are compared in one block.
+#: Nodes of a bucket in one block.
 BLOCK = 256
-_PAIRS = 20_000  # compared at once
+_PAIRS = 20_000  # sketches compared at once
 
 
 def least_shared(k: int, percent: int) -> int:
@@ -157,79 +160,157 @@ def _size_fits(a: Column, b: Column, percent: int) -> Column:
     return 100 * F.least(a, b) >= percent * F.greatest(a, b)
 
 
-def _end_pairs(postings: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
+def _met(postings: DataFrame) -> DataFrame:
+    """Rows (node, n, lo, hi): each list member with the two ends of the list."""
+    end = F.struct("node", "n")
+    ends = postings.groupBy("value").agg(F.min(end).alias("lo"), F.max(end).alias("hi"))
+    return postings.join(ends, "value").select("node", "n", "lo", "hi").distinct()
+
+
+def _end_pairs(met: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Pairs (a, b) of list members and the ends of their lists that may reach the threshold."""
-    ends = postings.groupBy("value").agg(F.min(F.struct("node", "n")).alias("lo"), F.max(F.struct("node", "n")).alias("hi"))
-    met = postings.join(ends, "value").select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.explode(F.array("lo", "hi")).alias("p"))
-    pairs = met.filter((F.col("a") != F.col("p.node")) & _size_fits(F.col("n_a"), F.col("p.n"), percent)).select("a", F.col("p.node").alias("b")).distinct()
+    each = met.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.explode(F.array("lo", "hi")).alias("p"))
+    pairs = each.filter((F.col("a") != F.col("p.node")) & _size_fits(F.col("n_a"), F.col("p.n"), percent)).select("a", F.col("p.node").alias("b")).distinct()
     side = reps.select("node", "n", "sketch")
     pairs = pairs.join(side.toDF("a", "n_a", "s_a"), "a").join(side.toDF("b", "n_b", "s_b"), "b")
     return pairs.filter(_may_link(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b"), k, percent)).select("a", "b")
 
 
-def _block_pairs(postings: DataFrame, labels: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) of nodes of different components that share a list and may reach the threshold."""
-    held = postings.join(labels.withColumnRenamed("node", "l_node"), F.col("node") == F.col("l_node"), "left").select("value", "node", "n", F.coalesce("label", "node").alias("label"))
-    held = stored(held, "lists")
-    open_lists = held.groupBy("value").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("size")).filter("x < y").select("value", F.ceil(F.col("size") / BLOCK).alias("blocks"))
-    members = held.join(open_lists, "value").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("value", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label")
-    dealt = dealt.join(reps.select("node", "sketch"), "node").select("value", "i", "j", "own", "node", "n", "label", "sketch")
-    dealt = dealt.repartition("value", "i", "j").sortWithinPartitions("value", "i", "j")
-    need = least_shared(k, percent)
-
-    def compared(x: pa.Table) -> pa.RecordBatch:
-        value, i, j, own, node, n, label = (x.column(c).to_numpy() for c in range(7))
-        sketch = np.full((len(node), k), np.iinfo(np.int64).max)
-        lists = x.column(7).combine_chunks()
-        count = np.diff(lists.offsets.to_numpy())
-        flat = lists.values.to_numpy()[lists.offsets[0].as_py() :]
+def _dealt(members: DataFrame, payload: DataFrame, column: str) -> DataFrame:
+    """`members` (bucket, node, n, label, inside) with their `payload`, once for each pair of blocks they meet in.
+
+    Nodes outside the first node's component are blocks of their own; they meet each other and
+    the blocks inside, which don't meet among themselves.
+    """
+    sizes = members.groupBy("bucket").agg(F.ceil(F.count_if(~F.col("inside")) / BLOCK).alias("outer"), F.ceil(F.count_if(F.col("inside")) / BLOCK).alias("inner")).filter("outer > 0")
+    own = F.when(F.col("inside"), F.col("outer") + F.pmod(F.xxhash64("node"), F.greatest("inner", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("outer")))
+    last = F.when(F.col("inside"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    met = members.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    met = met.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label")
+    with_payload = met.join(payload.select("node", column), "node").select("bucket", "i", "j", "own", "node", "n", "label", column)
+    return with_payload.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+
+
+def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Tables of whole groups of rows that share the first three columns."""
+    rest: list[pa.RecordBatch] = []
+    for batch in batches:
+        key = [batch.column(c).to_numpy() for c in range(3)]
+        last = np.flatnonzero(np.any([c != c[-1] for c in key], axis=0))
+        if len(last) or (rest and any(rest[-1].column(c)[0] != batch.column(c)[0] for c in range(3))):
+            cut = int(last[-1]) + 1 if len(last) else 0
+            if held := [x for x in (*rest, batch.slice(0, cut)) if len(x)]:
+                yield pa.Table.from_batches(held)
+            rest = [batch.slice(cut)]
+        else:
+            rest.append(batch)
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def _columns(x: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """The seven number columns, the flat payload, how much of it each row has, and where groups begin."""
+    numbers = [x.column(c).to_numpy() for c in range(7)]
+    lists = x.column(7).combine_chunks()
+    count = np.diff(lists.offsets.to_numpy())
+    flat = lists.values.to_numpy()[lists.offsets[0].as_py() : lists.offsets[len(x)].as_py()]
+    value, i, j = numbers[:3]
+    first = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
+    return numbers, flat, count, first
+
+
+def _open_nodes(dealt: DataFrame, k: int, percent: int) -> DataFrame:
+    """Rows (bucket, node): nodes whose sketch allows a link to one of another component."""
+    need, none = least_shared(k, percent), np.iinfo(np.int64).max
+
+    def marked(x: pa.Table) -> pa.RecordBatch:
+        (bucket, i, j, own, node, n, label), flat, count, first = _columns(x)
+        sketch = np.full((len(node), k), none)
         sketch[np.repeat(np.arange(len(node)), count), np.arange(len(flat)) - np.repeat(np.cumsum(count) - count, count)] = flat
-        first = np.flatnonzero(np.r_[True, (value[1:] != value[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])])
         size = np.diff(np.r_[first, len(node)])
-        place = np.arange(len(node)) - np.repeat(first, size)
-        left = np.repeat(first + size, size) - np.arange(len(node)) - 1  # members behind each in its group
-        found, at = [], 0
-        ahead = np.cumsum(left)
+        left = np.repeat(first + size, size) - np.arange(len(node)) - 1  # rows behind each in its group
+        ahead, at, alive = np.cumsum(left), 0, np.zeros(len(node), bool)
         while at < len(node):
             to = max(at + 1, int(np.searchsorted(ahead, (ahead[at - 1] if at else 0) + _PAIRS, "right")))
-            part = np.arange(at, to)
-            a = np.repeat(part, left[at:to])
+            a = np.repeat(np.arange(at, to), left[at:to])
             ends = np.cumsum(left[at:to])
             b = a + 1 + np.arange(len(a)) - np.repeat(ends - left[at:to], left[at:to])
             at = to
             ok = (label[a] != label[b]) & ((i[a] == j[a]) | (own[a] != own[b])) & (100 * np.minimum(n[a], n[b]) >= percent * np.maximum(n[a], n[b]))
             a, b = a[ok], b[ok]
-            if not len(a):
-                continue
             both = np.sort(np.concatenate([sketch[a], sketch[b]], 1), 1)
-            again = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != np.iinfo(np.int64).max)
+            again = (both[:, 1:] == both[:, :-1]) & (both[:, 1:] != none)
             rank = np.arange(2 * k - 1) - np.cumsum(again, 1) + again  # of the distinct value, from 0
-            shared = (again & (rank < k)).sum(1)
             inner = again.sum(1)
-            ok = np.where((n[a] <= k) & (n[b] <= k), 100 * inner >= percent * (n[a] + n[b] - inner), shared >= need)
-            found.append(np.stack([node[a[ok]], node[b[ok]]]))
-        got = np.unique(np.sort(np.concatenate(found, 1), 0), axis=1) if found else np.zeros((2, 0), np.int64)
-        return pa.RecordBatch.from_arrays([pa.array(got[0], pa.int64()), pa.array(got[1], pa.int64())], names=["a", "b"])
+            whole = 100 * inner >= percent * (n[a] + n[b] - inner)
+            ok = np.where((n[a] <= k) & (n[b] <= k), whole, (again & (rank < k)).sum(1) >= need)
+            alive[a[ok]] = alive[b[ok]] = True
+        return pa.RecordBatch.from_arrays([pa.array(bucket[alive]), pa.array(node[alive])], names=["bucket", "node"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for x in _groups(batches):
+            yield marked(x)
+
+    return dealt.mapInArrow(run, "bucket long, node long").distinct()
+
+
+def _joining_links(dealt: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) between components, confirmed on the full sets; of one pair of blocks only those that join anew."""
+
+    def joined(node: np.ndarray, own: np.ndarray, label: np.ndarray, flat: np.ndarray, count: np.ndarray) -> list[tuple[int, int]]:
+        row = np.repeat(np.arange(len(node)), count)
+        _, value, times = np.unique(flat, return_inverse=True, return_counts=True)
+        some = times > 1  # a run of one node is in no intersection
+        column = np.cumsum(some) - 1
+        shared = some[value]
+        row, column, width = row[shared], column[value[shared]], int(some.sum())
+        inner = np.zeros((len(node), len(node)), np.float32)
+        for at in range(0, width, 8192):  # exact: counts stay below 2^24
+            part = (column >= at) & (column < at + 8192)
+            matrix = np.zeros((len(node), min(8192, width - at)), np.float32)
+            matrix[row[part], column[part] - at] = 1
+            inner += matrix @ matrix.T
+        ok = 100 * inner.astype(np.int64) >= percent * (count[:, None] + count[None] - inner.astype(np.int64))
+        ok &= (label[:, None] != label[None]) & np.triu(np.ones(ok.shape, bool), 1)
+        top: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (up := top.get(x, x)) != x:
+                top[x] = top.get(up, up)
+                x = up
+            return x
+
+        out = []
+        for a, b in zip(*(x.tolist() for x in np.nonzero(ok))):
+            x, y = root(int(label[a])), root(int(label[b]))
+            if x != y:
+                top[x] = y
+                out.append((int(node[a]), int(node[b])))
+        return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: pa.Table | None = None
-        for batch in batches:
-            x = pa.Table.from_batches([batch])
-            x = x if rest is None else pa.concat_tables([rest, x])
-            key = [x.column(c).to_numpy() for c in range(3)]
-            last = np.flatnonzero(np.any([c != c[-1] for c in key], axis=0))
-            cut = int(last[-1]) + 1 if len(last) else 0  # the last group may go on
-            if cut:
-                yield compared(x.slice(0, cut))
-            rest = x.slice(cut)
-        if rest is not None and len(rest):
-            yield compared(rest)
+        for x in _groups(batches):
+            (_, _, _, own, node, _, label), flat, count, first = _columns(x)
+            ends, begin = np.r_[first[1:], len(node)], np.r_[0, np.cumsum(count)]
+            found = [p for a, b in zip(first, ends) if b - a > 1 for p in joined(node[a:b], own[a:b], label[a:b], flat[begin[a] : begin[b]], count[a:b])]
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
+def _rest_links(docs: DataFrame, met: DataFrame, labels: DataFrame, reps: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, k: int) -> DataFrame:
+    """Links between the components that the ends of the lists have left apart."""
+    own, first = labels.toDF("l_node", "label"), labels.toDF("f_node", "f_label")
+    members = met.select(F.col("lo.node").alias("bucket"), "node", "n").distinct()
+    members = members.join(own, F.col("node") == F.col("l_node"), "left").join(first, F.col("bucket") == F.col("f_node"), "left")
+    label = F.coalesce("label", "node")
+    members = stored(members.select("bucket", "node", "n", label.alias("label"), (label == F.coalesce("f_label", "bucket")).alias("inside")), "buckets")
+    alive = stored(_open_nodes(_dealt(members, reps, "sketch"), k, percent), "open")
+    nodes = alive.select("node").distinct()
+    sets = stored(_full_sets(docs, reps.select("id", "node").join(nodes, "node"), id_col, text_col, shingle), "sets")
+    return _joining_links(_dealt(members.join(alive, ["bucket", "node"]), sets, "runs"), percent)
+
+
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
     """One row per row of `docs`: id, key (hash of the text), n_shingles, component_id, kept."""
     if not 50 < percent <= 100:
@@ -237,13 +318,12 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     signed = stored(signatures(docs, id_col, text_col, shingle, k), "signatures")
     reps = stored(signed.filter("n > 0").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.any_value("sketch").alias("sketch")), "sets-once")
     postings = stored(_postings(reps, k, percent), "postings")
-    ends = stored(_end_pairs(postings, reps, k, percent), "pairs")
-    links = stored(_confirmed(docs, ends, reps, id_col, text_col, shingle, percent), "links")
-    labels = components(links)
-    more = stored(_block_pairs(postings, labels, reps, k, percent), "pairs")
+    met = stored(_met(postings), "lists")
+    ends = stored(_end_pairs(met, reps, k, percent), "pairs")
+    labels = components(_confirmed(docs, ends, reps, id_col, text_col, shingle, percent))
+    more = stored(_rest_links(docs, met, labels, reps, id_col, text_col, shingle, percent, k), "links")
     if not more.isEmpty():
-        stars = labels.select(F.col("node").alias("a"), F.col("label").alias("b"))
-        labels = components(stars.unionByName(_confirmed(docs, more, reps, id_col, text_col, shingle, percent)))
+        labels = components(labels.toDF("a", "b").unionByName(more))
     named = reps.select("node", "id").join(labels, "node", "left").select("node", "id", F.coalesce("label", "node").alias("label"))
     smallest = named.groupBy("label").agg(F.min("id").alias("component_id"))
     of_node = stored(named.join(smallest, "label").select("node", "component_id"), "components")
