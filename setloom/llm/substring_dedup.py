@@ -139,12 +139,13 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     firsts = scanned.join(once.select("sha", F.col("first").alias("id")), ["sha", "id"])
     firsts = stored(firsts.groupBy("sha", "id").agg(F.min("key").alias("key"), F.collect_set("key").alias("keys"), F.any_value("marks").alias("marks")).drop("sha"), "firsts")
     each = firsts.select("id", "key", F.explode("marks").alias("mark"))
-    shared = each.groupBy("mark").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("mark")
+    shared = stored(each.groupBy("mark").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("mark"), "shared-marks")
     opened = each.join(shared, "mark").groupBy("id", "key").agg(F.collect_set("mark").alias("marks"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("id"), F.xxhash64(text_of(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
     texts = rows.join(opened, ["id", "key"]).select("id", "key", "text", "marks")
     windows = stored(_open_windows(texts, window, prefix), "windows")
-    nodes = windows.groupBy("w1", "w2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("w1", "w2", "lo")
+    # Written, so that the join back is one of two plain shuffles, whose hot keys Spark can split.
+    nodes = stored(windows.groupBy("w1", "w2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("w1", "w2", "lo"), "nodes")
     repeats = windows.join(nodes, ["w1", "w2"]).filter("id > lo").groupBy("id", "key").agg(F.collect_set("at").alias("starts"))
     # Rows of one identifier whose texts differ only in white space have the same repeats.
     same = firsts.filter(F.size("keys") > 1)
