@@ -54,10 +54,11 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     windows = stored(_windows(docs, id_col, text_col, min_lines, group), "windows")
     place = F.struct("id", "key", "mark_at")
     marks = windows.groupBy("mark").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last")).select("mark")
+    marks = stored(marks, "marks")  # so that the join back is one of two plain shuffles, whose hot keys Spark can split
     matched = windows.join(marks, "mark")
     start = F.struct("id", "key", "at")
     firsts = matched.groupBy("w1", "w2").agg(F.min(start).alias("first"), F.max(start).alias("last")).filter(F.col("first") != F.col("last")).select("w1", "w2", "first")
-    return matched.join(firsts, ["w1", "w2"]).filter(start > F.col("first")).select("id", "key", "at")
+    return matched.join(stored(firsts, "firsts"), ["w1", "w2"]).filter(start > F.col("first")).select("id", "key", "at")
 
 
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, group: int = 2) -> DataFrame:
