@@ -22,10 +22,11 @@ def components(links: DataFrame) -> DataFrame:
     before, now = None, _state(edges)
     while now[0] and now != before:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # Minima are written, so that the join is one of two plain shuffles, whose hot nodes Spark can split.
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "minima")
         edges = both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         edges = stored(edges, "large-star")
-        least = edges.groupBy("a").agg(F.min("b").alias("m"))
+        least = stored(edges.groupBy("a").agg(F.min("b").alias("m")), "minima")
         inner = edges.join(least, "a").filter("b != m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         edges = stored(inner.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), "small-star")
         before, now = now, _state(edges)

@@ -145,7 +145,8 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, reps: DataFrame, id_col: str,
 def _postings(reps: DataFrame, k: int, percent: int) -> DataFrame:
     """Rows (value, node, n): of each sketch the rarest values that others share."""
     each = reps.select("node", "n", F.explode("sketch").alias("value"))
-    shared = each.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
+    # Written, as all sides here that are aggregates: the join is then of two plain shuffles, whose hot keys Spark can split.
+    shared = stored(each.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
     t = percent / 100
     width = F.least(F.col("n"), F.lit(k))
     # Sets smaller than the sketch are known whole; their partners may be larger than it.
@@ -164,7 +165,7 @@ def _met(postings: DataFrame) -> DataFrame:
     """Rows (node, n, lo, hi): each list member with the two ends of the list."""
     end = F.struct("node", "n")
     ends = postings.groupBy("value").agg(F.min(end).alias("lo"), F.max(end).alias("hi"))
-    return postings.join(ends, "value").select("node", "n", "lo", "hi").distinct()
+    return postings.join(stored(ends, "ends"), "value").select("node", "n", "lo", "hi").distinct()
 
 
 def _end_pairs(met: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
@@ -185,7 +186,7 @@ def _dealt(members: DataFrame, payload: DataFrame, column: str) -> DataFrame:
     sizes = members.groupBy("bucket").agg(F.ceil(F.count_if(~F.col("inside")) / BLOCK).alias("outer"), F.ceil(F.count_if(F.col("inside")) / BLOCK).alias("inner")).filter("outer > 0")
     own = F.when(F.col("inside"), F.col("outer") + F.pmod(F.xxhash64("node"), F.greatest("inner", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("outer")))
     last = F.when(F.col("inside"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
-    met = members.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    met = members.join(stored(sizes, "sizes"), "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     met = met.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label")
     with_payload = met.join(payload.select("node", column), "node").select("bucket", "i", "j", "own", "node", "n", "label", column)
     return with_payload.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
