@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..operators import descriptive as d
 from ..operators.frames import positioned
 from ..sources import draws as source
-from . import twins
+from . import twins, twins_more
+from .more import MORE
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -68,8 +69,8 @@ DESCRIPTIVE: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
-    return dict(DESCRIPTIVE)
+    return DESCRIPTIVE | MORE
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(twins.DESCRIPTIVE)
+    return twins.DESCRIPTIVE | twins_more.MORE
