@@ -6,8 +6,8 @@ smallest (or largest) identifier of a run of equals stays. A text with so many c
 they would fill a partition is pre-aggregated first and its rows are spread over salted
 ranges, so no task holds a group that grows with the input.
 
-Defined results: null text is the empty text; a null identifier ranks below all others, and
-a group of null identifiers only keeps one of its rows; of rows that repeat an identifier
+Defined results: null text is the empty text; a null identifier stays only where its group
+has no other, and a group of null identifiers only keeps one of its rows; of rows that repeat an identifier
 and a text, one stays; an empty table gives an empty table; other columns pass through.
 """
 
@@ -42,7 +42,7 @@ def _sorted(docs: DataFrame, id_col: str, text_col: str, keep: str, normalise: C
     )
     salted = rows.join(F.broadcast(hot), [_HASH, _SHA], "left").withColumn(_SALT, F.coalesce(F.pmod(F.xxhash64(F.col(id_col)), F.col(_PARTS)), F.lit(0)))
     ranged = salted.withColumn(_HEAD, F.substring(_TEXT, 1, head)).repartitionByRange(_HEAD, _HASH, _SALT)
-    order = F.col(id_col).asc_nulls_first() if keep == "min" else F.col(id_col).desc_nulls_last()
+    order = F.col(id_col).asc_nulls_last() if keep == "min" else F.col(id_col).desc_nulls_last()
     equals = Window.partitionBy(_HEAD, _HASH, _SALT, _TEXT)
     whole = equals.orderBy(order).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     return (
