@@ -162,13 +162,12 @@ def edit_likeness(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         return F.coalesce(F.col("lanes")[n], _zero())
 
     made = lanes.select(*keys, add(lane(0), lane(1)).alias("own"), lane(1).alias("deleted"), lane(2).alias("inserted"))
-    made = stored(made, "fingerprints")
+    made = stored(made.select(*keys, "own", add(subtract(F.col("own"), F.col("deleted")), F.col("inserted")).alias("edited")), "fingerprints")
     following = made.select("prev", F.col("own").alias("next"))
     if repeats:  # the least text stands for its identifier
         least_text = heads_sha(rows)
         following = made.join(least_text, (made["id"] == least_text["h_id"]) & (made["text_sha256"] == least_text["h_sha"])).select("prev", F.col("own").alias("next"))
     both = made.join(following.withColumnRenamed("prev", "p_id"), F.col("id") == F.col("p_id"))
-    both = both.withColumn("edited", add(subtract(F.col("own"), F.col("deleted")), F.col("inserted")))
     if repeats:
         both = both.withColumn("copies", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies"))))
     return both.select(
