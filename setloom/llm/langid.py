@@ -209,7 +209,7 @@ def predict_language(docs: DataFrame, model: Model, text_col: str = "text", pred
             for n, i in enumerate(todo.tolist()):
                 held.append((i, column[i].as_py().encode()))
                 size += len(held[-1][1])
-                if size > 4_000_000 or n == len(todo) - 1:  # a few MB of text at once
+                if size > 1_000_000 or n == len(todo) - 1:  # about a MB of text at once
                     p = predictor.texts([raw for _, raw in held])
                     rows_ = [i for i, _ in held]
                     best = p.argmax(1)

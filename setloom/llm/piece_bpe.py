@@ -19,18 +19,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_of
+from .wordhash import slices
 
 _SPACE = "▁"
 #: Words that a task keeps encoded; the store is emptied when it is full. Only speed depends on it.
-STORE_WORDS = 1_000_000
+STORE_WORDS = 300_000
 #: The same for their ids.
-STORE_IDS = 20_000_000
+STORE_IDS = 5_000_000
 _NONE = np.int64(1 << 40)
 
 
@@ -230,16 +230,6 @@ def _store(path: str) -> _Store:
     return _Store(pieces(path))
 
 
-def _batches(batch: pa.RecordBatch, at: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices of about `most` bytes of text, so that what a step holds doesn't grow with the batch."""
-    column = batch.column(at)
-    sizes = pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
-    cut = np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1
-    for a, b in zip([0, *cut], [*cut, len(batch)]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "piece_ids") -> DataFrame:
     """`docs` with the ids of each text as array<int>; no begin or end ids, no sampling."""
     rows = docs.drop(out_col)
@@ -249,7 +239,7 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", out_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = _store(model_path)
         for whole in batches:
-            for batch in _batches(whole, at):
+            for batch in slices(whole, at):
                 flat, counts = store.encode([x or "" for x in batch.column(at).to_pylist()])
                 ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out_col])

@@ -249,7 +249,7 @@ def unpack(payloads: list[bytes]) -> list[np.ndarray]:
 class _Tokens:
     """A tokenizer whose words of white space and anything else are encoded once for each worker, in a bounded store."""
 
-    MOST = 1_000_000
+    MOST = 300_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

@@ -26,8 +26,11 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
-def slices(batch: pa.RecordBatch, column: int, most: int = 4_000_000) -> Iterator[pa.RecordBatch]:
-    """Parts of a batch of about `most` bytes of text, so that what a step holds doesn't grow with the batch."""
+def slices(batch: pa.RecordBatch, column: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Parts of a batch of about `most` bytes of text, so that what a step holds doesn't grow with the batch.
+
+    A step holds some fifty bytes for each of them in its worker.
+    """
     sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     cut = np.flatnonzero(np.diff(np.cumsum(sizes, dtype=np.int64) // most)) + 1
     for a, b in zip([0, *cut], [*cut, len(batch)]):
