@@ -230,11 +230,27 @@ def _store(path: str) -> _Store:
     return _Store(pieces(path))
 
 
-def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "piece_ids") -> DataFrame:
-    """`docs` with the ids of each text as array<int>; no begin or end ids, no sampling."""
-    rows = docs.drop(out_col)
+def _spelt(ids: pa.ListArray, raw: list[bytes]) -> pa.Array:
+    """The text that each list of ids spells."""
+    texts = []
+    for own in ids:
+        spelt = b"".join(map(raw.__getitem__, own.values.to_numpy(zero_copy_only=False).tolist())) if own.is_valid else b""
+        texts.append(spelt.decode("utf-8", "replace").removeprefix(" "))
+    return pa.array(texts, pa.string())
+
+
+def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", out_col: str = "piece_ids", decoded_col: str | None = None) -> DataFrame:
+    """`docs` with the ids of each text as array<int>; no begin or end ids, no sampling.
+
+    With `decoded_col` the ids are decoded again in the same pass, as `decode_pieces` does.
+    """
+    more = [T.StructField(out_col, T.ArrayType(T.IntegerType()))]
+    if decoded_col is not None:
+        more.append(T.StructField(decoded_col, T.StringType()))
+    names = [f.name for f in more]
+    rows = docs.drop(*names)
     at = rows.columns.index(text_col)
-    schema = T.StructType([*rows.schema.fields, T.StructField(out_col, T.ArrayType(T.IntegerType()))])
+    schema = T.StructType([*rows.schema.fields, *more])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store = _store(model_path)
@@ -242,7 +258,8 @@ def encode_pieces(docs: DataFrame, model_path: str, text_col: str = "text", out_
             for batch in slices(whole, at):
                 flat, counts = store.encode([x or "" for x in batch.column(at).to_pylist()])
                 ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(flat, pa.int32()))
-                yield pa.RecordBatch.from_arrays([*batch.columns, ids], names=[*batch.schema.names, out_col])
+                made = [ids] if decoded_col is None else [ids, _spelt(ids, store.model.raw)]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *made], names=[*batch.schema.names, *names])
 
     return rows.mapInArrow(run, schema)
 
@@ -256,20 +273,15 @@ def decode_pieces(encoded: DataFrame, model_path: str, ids_col: str = "piece_ids
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw = pieces(model_path).raw
         for batch in batches:
-            texts = []
-            for ids in batch.column(at):
-                spelt = b"".join(map(raw.__getitem__, ids.values.to_numpy(zero_copy_only=False).tolist())) if ids.is_valid else b""
-                texts.append(spelt.decode("utf-8", "replace").removeprefix(" "))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())], names=[*batch.schema.names, out_col])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _spelt(batch.column(at), raw)], names=[*batch.schema.names, out_col])
 
     return rows.mapInArrow(run, schema)
 
 
 def round_trip_digest(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: n_tokens, ids_sha256 (decimal ids joined by commas), decoded_sha256."""
-    coded = encode_pieces(docs.select(id_col, text_of(text_col).alias(text_col)), model_path, text_col)
-    back = decode_pieces(coded.select(id_col, "piece_ids"), model_path)
-    return back.select(
+    coded = encode_pieces(docs.select(id_col, text_of(text_col).alias(text_col)), model_path, text_col, decoded_col="decoded")
+    return coded.select(
         id_col,
         F.size("piece_ids").cast("long").alias("n_tokens"),
         F.sha2(F.concat_ws(",", F.col("piece_ids").cast("array<string>")), 256).alias("ids_sha256"),

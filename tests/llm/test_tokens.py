@@ -87,3 +87,9 @@ def test_pieces_keep_columns(spark):
     assert set(coded.columns) == set(docs.columns) and dict(coded.dtypes)["piece_ids"] == "array<int>"
     assert piece_bpe.decode_pieces(piece_bpe.encode_pieces(frame(spark, empty=True), PIECE), PIECE).count() == 0
     assert listed(coded, "doc_id") == listed(docs, "doc_id")
+
+
+def test_decoding_in_one_pass_or_two(spark):
+    one = piece_bpe.encode_pieces(frame(spark), PIECE, decoded_col="decoded")
+    two = piece_bpe.decode_pieces(piece_bpe.encode_pieces(frame(spark), PIECE), PIECE)
+    assert listed(one, "doc_id", "piece_ids", "decoded") == listed(two, "doc_id", "piece_ids", "decoded")
