@@ -37,9 +37,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The ids of each text, and whether they spell it."""
     path = tokenizer_path("piece_bpe_32k.model")
-    coded = piece_bpe.encode_pieces(docs.select("doc_id", "source", text_of("text").alias("text")), path)
-    back = piece_bpe.decode_pieces(coded, path)
-    return back.select("doc_id", "source", "piece_ids", F.size("piece_ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.replace("text", F.lit("▁"), F.lit(" "))).alias("spells_text"))
+    coded = piece_bpe.encode_pieces(docs.select("doc_id", "source", text_of("text").alias("text")), path, decoded_col="decoded")
+    return coded.select("doc_id", "source", "piece_ids", F.size("piece_ids").cast("long").alias("n_tokens"), (F.col("decoded") == F.replace("text", F.lit("▁"), F.lit(" "))).alias("spells_text"))
 
 
 STAGES = [("language ID", language), ("exact dedup", exact), ("near-dedup", near), ("mixing", mix), ("encoding", encode)]
