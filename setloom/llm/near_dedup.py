@@ -3,7 +3,8 @@
 A document's set holds its runs of `shingle` words. One hash orders all runs; the k smallest
 of a set are its sketch. Documents with equal sets are one node from then on. Retained values
 become inverted lists: of each sketch only its rarest values, as many as a pair at the
-threshold must share one of, so frequent runs are no list of most texts. Then
+threshold must share one of, so frequent runs are no list of most texts; a list is split by
+sizes of sets, as sets too different in size have no link. Then
 
 1. in every list, each node is paired with the two ends of the list, pairs whose union sketch
    may reach the threshold are confirmed on the full sets, and links make components;
@@ -143,7 +144,11 @@ def _confirmed(docs: DataFrame, pairs: DataFrame, reps: DataFrame, id_col: str,
 
 
 def _postings(reps: DataFrame, k: int, percent: int) -> DataFrame:
-    """Rows (value, node, n): of each sketch the rarest values that others share."""
+    """Rows (value, node, n): of each sketch the rarest values that others share, in lists of alike sizes.
+
+    A list holds sets of one class of sizes and of the class below it. Classes are wide enough for
+    linked sets to be of one or of two neighbours, so both are in the list of the larger one.
+    """
     each = reps.select("node", "n", F.explode("sketch").alias("value"))
     # Written, as all sides here that are aggregates: the join is then of two plain shuffles, whose hot keys Spark can split.
     shared = stored(each.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1"), "shared")
@@ -154,7 +159,9 @@ def _postings(reps: DataFrame, k: int, percent: int) -> DataFrame:
     overlap = F.when(F.col("n") < k, small).otherwise(F.lit(least_shared(k, percent)))
     own = each.join(shared, "value").groupBy("node", "n").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("values"))
     take = width - overlap + 1 - (width - F.size("values"))  # values of one node only come first
-    return own.filter(take > 0).select("node", "n", F.explode(F.slice("values", F.lit(1), take.cast("int"))).alias("v")).select("v.value", "node", "n")
+    rare = own.filter(take > 0).select("node", "n", F.explode(F.slice("values", F.lit(1), take.cast("int"))).alias("v"))
+    alike = F.floor(F.log(F.col("n").cast("double")) / F.lit(math.log(1 / t) + 1e-9))
+    return rare.select("v.value", "node", "n", F.explode(F.array(alike, alike + 1)).alias("alike")).select(F.xxhash64("value", "alike").alias("value"), "node", "n")
 
 
 def _size_fits(a: Column, b: Column, percent: int) -> Column:
@@ -164,7 +171,7 @@ def _size_fits(a: Column, b: Column, percent: int) -> Column:
 def _met(postings: DataFrame) -> DataFrame:
     """Rows (node, n, lo, hi): each list member with the two ends of the list."""
     end = F.struct("node", "n")
-    ends = postings.groupBy("value").agg(F.min(end).alias("lo"), F.max(end).alias("hi"))
+    ends = postings.groupBy("value").agg(F.min(end).alias("lo"), F.max(end).alias("hi")).filter("lo != hi")
     return postings.join(stored(ends, "ends"), "value").select("node", "n", "lo", "hi").distinct()
 
 
