@@ -184,18 +184,25 @@ def _end_pairs(met: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFra
     return pairs.filter(_may_link(F.col("s_a"), F.col("s_b"), F.col("n_a"), F.col("n_b"), k, percent)).select("a", "b")
 
 
-def _dealt(members: DataFrame, payload: DataFrame, column: str) -> DataFrame:
-    """`members` (bucket, node, n, label, inside) with their `payload`, once for each pair of blocks they meet in.
+def _dealt(members: DataFrame) -> DataFrame:
+    """`members` (bucket, node, n, label, inside), once for each pair of blocks (i, j) they meet in.
 
     Nodes outside the first node's component are blocks of their own; they meet each other and
-    the blocks inside, which don't meet among themselves.
+    the blocks inside, which don't meet among themselves. A bucket that fits into one block is one.
     """
-    sizes = members.groupBy("bucket").agg(F.ceil(F.count_if(~F.col("inside")) / BLOCK).alias("outer"), F.ceil(F.count_if(F.col("inside")) / BLOCK).alias("inner")).filter("outer > 0")
-    own = F.when(F.col("inside"), F.col("outer") + F.pmod(F.xxhash64("node"), F.greatest("inner", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("outer")))
-    last = F.when(F.col("inside"), F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
-    met = members.join(stored(sizes, "sizes"), "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
-    met = met.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label")
-    with_payload = met.join(payload.select("node", column), "node").select("bucket", "i", "j", "own", "node", "n", "label", column)
+    sizes = members.groupBy("bucket").agg(F.count_if(~F.col("inside")).alias("out"), F.count("*").alias("all")).filter("out > 0")
+    inner = F.when(F.col("all") <= BLOCK, 0).otherwise(F.ceil((F.col("all") - F.col("out")) / BLOCK))
+    sizes = stored(sizes.select("bucket", F.ceil(F.col("out") / BLOCK).alias("outer"), inner.cast("long").alias("inner")), "sizes")
+    apart = F.col("inside") & (F.col("inner") > 0)
+    own = F.when(apart, F.col("outer") + F.pmod(F.xxhash64("node"), F.greatest("inner", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node"), F.col("outer")))
+    last = F.when(apart, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    met = members.join(sizes, "bucket").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return met.select("bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "n", "label")
+
+
+def _meeting(dealt: DataFrame, payload: DataFrame, column: str) -> DataFrame:
+    """What is dealt out with its `payload`, the rows of each pair of blocks together."""
+    with_payload = dealt.join(payload.select("node", column), "node").select(*dealt.columns, column)
     return with_payload.repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
 
 
@@ -227,10 +234,12 @@ def _columns(x: pa.Table) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.
     return numbers, flat, count, first
 
 
-def _open_nodes(dealt: DataFrame, k: int, percent: int) -> DataFrame:
-    """Rows (bucket, node): nodes whose sketch allows a link to one of another component."""
+def _open_nodes(met: DataFrame, k: int, percent: int) -> DataFrame:
+    """Of what meets with sketches: the nodes whose sketch allows a link to one of another component."""
     need, none = least_shared(k, percent), np.iinfo(np.int64).max
 
+    names = met.columns[:7]
+
     def marked(x: pa.Table) -> pa.RecordBatch:
         (bucket, i, j, own, node, n, label), flat, count, first = _columns(x)
         sketch = np.full((len(node), k), none)
@@ -253,16 +262,16 @@ def _open_nodes(dealt: DataFrame, k: int, percent: int) -> DataFrame:
             whole = 100 * inner >= percent * (n[a] + n[b] - inner)
             ok = np.where((n[a] <= k) & (n[b] <= k), whole, (again & (rank < k)).sum(1) >= need)
             alive[a[ok]] = alive[b[ok]] = True
-        return pa.RecordBatch.from_arrays([pa.array(bucket[alive]), pa.array(node[alive])], names=["bucket", "node"])
+        return pa.RecordBatch.from_arrays([pa.array(c[alive]) for c in (bucket, i, j, own, node, n, label)], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in _groups(batches):
             yield marked(x)
 
-    return dealt.mapInArrow(run, "bucket long, node long").distinct()
+    return met.mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
 
-def _joining_links(dealt: DataFrame, percent: int) -> DataFrame:
+def _joining_links(met: DataFrame, percent: int) -> DataFrame:
     """Links (a, b) between components, confirmed on the full sets; of one pair of blocks only those that join anew."""
 
     def joined(node: np.ndarray, own: np.ndarray, label: np.ndarray, flat: np.ndarray, count: np.ndarray) -> list[tuple[int, int]]:
@@ -303,7 +312,7 @@ def _joining_links(dealt: DataFrame, percent: int) -> DataFrame:
             found = [p for a, b in zip(first, ends) if b - a > 1 for p in joined(node[a:b], own[a:b], label[a:b], flat[begin[a] : begin[b]], count[a:b])]
             yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in found], pa.int64()), pa.array([p[1] for p in found], pa.int64())], names=["a", "b"])
 
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return met.mapInArrow(run, "a long, b long").distinct()
 
 
 def _rest_links(docs: DataFrame, met: DataFrame, labels: DataFrame, reps: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, k: int) -> DataFrame:
@@ -313,10 +322,10 @@ def _rest_links(docs: DataFrame, met: DataFrame, labels: DataFrame, reps: DataFr
     members = members.join(own, F.col("node") == F.col("l_node"), "left").join(first, F.col("bucket") == F.col("f_node"), "left")
     label = F.coalesce("label", "node")
     members = stored(members.select("bucket", "node", "n", label.alias("label"), (label == F.coalesce("f_label", "bucket")).alias("inside")), "buckets")
-    alive = stored(_open_nodes(_dealt(members, reps, "sketch"), k, percent), "open")
+    alive = stored(_open_nodes(_meeting(_dealt(members), reps, "sketch"), k, percent), "open")
     nodes = alive.select("node").distinct()
     sets = stored(_full_sets(docs, reps.select("id", "node").join(nodes, "node"), id_col, text_col, shingle), "sets")
-    return _joining_links(_dealt(members.join(alive, ["bucket", "node"]), sets, "runs"), percent)
+    return _joining_links(_meeting(alive, sets, "runs"), percent)
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, k: int = SKETCH) -> DataFrame:
