@@ -8,7 +8,7 @@ sizes of sets, as sets too different in size have no link. Then
 
 1. in every list, each node is paired with the two ends of the list, pairs whose union sketch
    may reach the threshold are confirmed on the full sets, and links make components;
-2. lists with the same first node are one bucket. The nodes of a bucket outside its first
+2. lists of more than three with the same first node are one bucket. The nodes of a bucket outside its first
    node's component meet all others of the bucket, in pairs of blocks: first their sketches,
    which leaves the nodes that may still have a link, then the full sets of those. A task
    returns only links that join components it has not joined yet.
@@ -169,10 +169,10 @@ def _size_fits(a: Column, b: Column, percent: int) -> Column:
 
 
 def _met(postings: DataFrame) -> DataFrame:
-    """Rows (node, n, lo, hi): each list member with the two ends of the list."""
+    """Rows (node, n, lo, hi, more): each list member with the two ends of the list, and whether the list has pairs without an end."""
     end = F.struct("node", "n")
-    ends = postings.groupBy("value").agg(F.min(end).alias("lo"), F.max(end).alias("hi")).filter("lo != hi")
-    return postings.join(stored(ends, "ends"), "value").select("node", "n", "lo", "hi").distinct()
+    ends = postings.groupBy("value").agg(F.min(end).alias("lo"), F.max(end).alias("hi"), (F.count("*") > 3).alias("more")).filter("lo != hi")
+    return postings.join(stored(ends, "ends"), "value").select("node", "n", "lo", "hi", "more").distinct()
 
 
 def _end_pairs(met: DataFrame, reps: DataFrame, k: int, percent: int) -> DataFrame:
@@ -318,7 +318,7 @@ def _joining_links(met: DataFrame, percent: int) -> DataFrame:
 def _rest_links(docs: DataFrame, met: DataFrame, labels: DataFrame, reps: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, k: int) -> DataFrame:
     """Links between the components that the ends of the lists have left apart."""
     own, first = labels.toDF("l_node", "label"), labels.toDF("f_node", "f_label")
-    members = met.select(F.col("lo.node").alias("bucket"), "node", "n").distinct()
+    members = met.filter("more").select(F.col("lo.node").alias("bucket"), "node", "n").distinct()
     members = members.join(own, F.col("node") == F.col("l_node"), "left").join(first, F.col("bucket") == F.col("f_node"), "left")
     label = F.coalesce("label", "node")
     members = stored(members.select("bucket", "node", "n", label.alias("label"), (label == F.coalesce("f_label", "bucket")).alias("inside")), "buckets")
