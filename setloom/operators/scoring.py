@@ -34,7 +34,11 @@ def number_statistics(draws: DataFrame, ts: DataFrame) -> DataFrame:
     got = runs.groupBy("t", "kind", "num").agg(
         F.count("*").alias("a"), F.count_if(at >= -30).alias("b"), F.count_if(at >= -100).alias("c"), F.max("pos").alias("last"), F.max("run").alias("longest"), F.count_if(F.col("run") > 0).alias("runs")
     )
-    got = F.broadcast(ts).crossJoin(universe(draws.sparkSession)).join(got, ["t", "kind", "num"], "left").fillna(0, ["a", "b", "c", "longest", "runs"])
+    return status_of(F.broadcast(ts).crossJoin(universe(draws.sparkSession)).join(got, ["t", "kind", "num"], "left").fillna(0, ["a", "b", "c", "longest", "runs"]))
+
+
+def status_of(got: DataFrame) -> DataFrame:
+    """The statistics of number_statistics from counts (t, kind, num, a, b, c, last, longest, runs) of closed runs."""
     got = got.withColumn("current", F.col("t") - 1 - F.coalesce("last", F.lit(-1)))
     got = got.withColumn("longest", F.greatest("longest", "current")).withColumn("runs", F.col("runs") + (F.col("current") > 0).cast("long"))
     avg = F.when(F.col("runs") > 0, half_up((F.col("t") - F.col("a")).cast("double") / F.col("runs"), 2)).otherwise(0.0)
@@ -56,22 +60,27 @@ def history_statistics(draws: DataFrame, ts: DataFrame, sum_span: bool = True) -
 
     in_zone = [F.sum(F.size(F.filter("front", _zone_is(z)))).alias(f"zone{z}") for z in range(FRONT.zones)]
     agg = seen.groupBy("t").agg(*counts("kf", FRONT.picks), *counts("kb", BACK.picks), *counts("odd", FRONT.picks), *counts("big", FRONT.picks), *in_zone, F.max_by(F.struct("front", "back"), "pos").alias("before"))
+    got = shares_of(agg.withColumn("prev_front", F.col("before.front")).withColumn("prev_back", F.col("before.back")))
+    if not sum_span:
+        return got.withColumn("p25", F.lit(None).cast("long")).withColumn("p75", F.lit(None).cast("long"))
+    each = seen.groupBy("t", "sum").agg(F.count("*").alias("c"))
+    each = each.withColumn("upto", F.sum("c").over(Window.partitionBy("t").orderBy("sum").rowsBetween(Window.unboundedPreceding, 0)))
+    picks = [F.min(F.when(F.col("upto") > F.floor(F.col("t") * p / 100), F.col("sum"))).alias(f"p{p}") for p in (25, 75)]
+    return got.join(each.groupBy("t").agg(*picks), "t")
+
+
+def shares_of(agg: DataFrame) -> DataFrame:
+    """Shares as arrays from one row of counts for each t, with the draw before."""
     pairs = F.greatest(F.col("t") - 1, F.lit(1))
 
     def shares(name: str, upto: int, over: Column, places: int | None) -> Column:
         parts = [F.col(f"{name}{k}").cast("double") / over for k in range(upto + 1)]
         return F.array(*[half_up(p, places) if places else p for p in parts]).alias(name)
 
-    got = agg.select(
+    return agg.select(
         "t", shares("kf", FRONT.picks, pairs, 6), shares("kb", BACK.picks, pairs, 6), shares("odd", FRONT.picks, F.col("t"), None), shares("big", FRONT.picks, F.col("t"), None),
-        shares("zone", FRONT.zones - 1, F.col("t") * FRONT.picks, 4), F.col("before.front").alias("prev_front"), F.col("before.back").alias("prev_back"),
+        shares("zone", FRONT.zones - 1, F.col("t") * FRONT.picks, 4), "prev_front", "prev_back",
     )
-    if not sum_span:
-        return got.withColumn("p25", F.lit(None).cast("long")).withColumn("p75", F.lit(None).cast("long"))
-    each = seen.groupBy("t", "sum").agg(F.count("*").alias("c"))
-    each = each.withColumn("upto", F.sum("c").over(Window.partitionBy("t").orderBy("sum").rowsBetween(Window.unboundedPreceding, 0)))
-    picks = [F.min(F.when(F.col("upto") > F.floor(F.col("t") * p / 100), F.col("sum"))).alias(f"p{p}") for p in (25, 75)]
-    return got.join(each.groupBy("t").agg(*picks), "t")
 
 
 def _zone_is(z: int):
@@ -80,7 +89,11 @@ def _zone_is(z: int):
 
 def number_factors(draws: DataFrame, ts: DataFrame) -> DataFrame:
     """Four factors of each number. The inherit factor uses the front overlaps for both sets."""
-    stats = number_statistics(draws, ts).join(F.broadcast(history_statistics(draws, ts, False).select("t", F.get("kf", F.lit(1)).alias("p1"), F.get("kf", F.lit(2)).alias("p2"))), "t")
+    return factors_of(number_statistics(draws, ts), F.broadcast(history_statistics(draws, ts, False)))
+
+
+def factors_of(stats: DataFrame, history: DataFrame) -> DataFrame:
+    stats = stats.join(history.select("t", F.get("kf", F.lit(1)).alias("p1"), F.get("kf", F.lit(2)).alias("p2")), "t")
     missing = reduce(lambda c, kv: c.when(F.col("status") == kv[0], kv[1]), MISSING_SCORES.items(), F.when(F.lit(False), 0.0))
     factors = {
         "heat": normalised(F.col("recent_100").cast("double")),

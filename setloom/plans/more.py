@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import next_issue, strategy_group, two_digits
 from ..model import GRID, NUMBER_WEIGHTS, RULES, SearchConfig
-from ..operators import descriptive, evaluate, lenses, picks, scoring, store
+from ..operators import descriptive, evaluate, lenses, picks, scoring, store, walkforward
 from ..operators.frames import gaps, positioned, universe
 from ..sources import draws as source
 
@@ -118,6 +118,19 @@ def _train_valid(draws: DataFrame) -> DataFrame:
     return scoring.train_valid(hits, F.col("t") >= F.col("total_draws") - 2)
 
 
+def _walk_full(draws: DataFrame) -> DataFrame:
+    return walkforward.walk_range(draws, [_config("G0")]).select("config", "t", "issue_num", "front_hit", "back_hit", "total")
+
+
+def _grid_full(draws: DataFrame) -> DataFrame:
+    return scoring.walk_summary(walkforward.walk_range(draws, [_config(g) for g in GRID]))
+
+
+def _train_valid_full(draws: DataFrame) -> DataFrame:
+    hits = walkforward.walk_range(draws, [_config("G0"), _config("G5")], walkforward.TRAIN[0], walkforward.VALID[1])
+    return scoring.train_valid(hits, F.col("t") >= walkforward.VALID[0])
+
+
 def _periods(recs: DataFrame) -> DataFrame:
     """Recommendations dealt to periods of up to five, by order."""
     key = F.floor(F.col("target_issue") / 11)
@@ -223,6 +236,10 @@ MORE: dict[str, Query] = {
     "walkforward_hits": _on_draws(_walk),
     "walkforward_grid": _on_draws(lambda d: scoring.walk_summary(scoring.walk_forward(d, 2, [_config(g) for g in ("G0", "G4", "G6", "G7")]))),
     "train_valid_delta": _on_draws(_train_valid),
+    # The three above cover a few draws, as their SQL twins do; these cover the whole ranges and have no twin.
+    "walkforward_hits_full": _on_draws(_walk_full),
+    "walkforward_grid_full": _on_draws(_grid_full),
+    "train_valid_full": _on_draws(_train_valid_full),
     "rec_hits": _hits(lambda h: h.select("target_issue", "strategy", "front_hit", "back_hit", "total_hit", "level", "distance", "distance2", "distance3")),
     "rec_pending_anti": _on_both(lambda r, d: evaluate.pending(r, d).select("target_issue", "strategy")),
     "rec_validated_semi": _on_both(lambda r, d: evaluate.validated(r, d).select("target_issue", "strategy")),
