@@ -4,10 +4,12 @@ Each window of `min_lines` lines selects the smallest hash of the line groups in
 so equal windows select equal fingerprints at equal places. Fingerprints selected at more than
 one place are joined back to their positions; each such match is extended to both sides over
 all windows that it stands for, compared by 128 bits over all their lines. A window that also
-starts earlier, in document order, is a repeat, and the lines it covers go.
+starts earlier, in document order, is a repeat, and the lines it covers go. With `min_words`
+runs of fewer than `min_lines` lines count too if they have that many words; these are few, and are grouped
+by 128 bits without winnowing.
 
-Defined results: null text is the empty text (one empty line); a text of fewer than
-`min_lines` lines stays whole; a window may repeat an earlier one of its own document, so of a
+Defined results: null text is the empty text (one empty line); without `min_words` a text of fewer
+than `min_lines` lines stays whole; a window may repeat an earlier one of its own document, so of a
 periodic run the first period stays; a null identifier comes before all others; rows that
 share an identifier are ordered by a hash of their text, and rows that repeat identifier and
 text don't remove each other; other columns pass through, those named like an output go.
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, text_of
+from .common import WORD, stored, text_of
 
 
 def _windows(docs: DataFrame, id_col: str, text_col: str, min_lines: int, group: int) -> DataFrame:
@@ -61,18 +63,45 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     return matched.join(stored(firsts, "firsts"), ["w1", "w2"]).filter(start > F.col("first")).select("id", "key", "at")
 
 
-def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, group: int = 2) -> DataFrame:
+def repeated_short_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, min_words: int = 50) -> DataFrame:
+    """Rows (id, key, at, n): runs of n < min_lines lines with at least min_words words that also start earlier."""
+    text = text_of(text_col)
+    lines = F.split(text, "\n", -1)
+    hashed = docs.select(
+        F.col(id_col).alias("id"),
+        F.xxhash64(text).alias("key"),
+        F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"), F.regexp_count(x, F.lit(WORD)).alias("words"))).alias("lines"),
+    )
+
+    def runs(n: int) -> Column:
+        def run(at: Column) -> Column:
+            parts = [F.get(F.col("lines"), at + j) for j in range(n)]
+            total = sum((p["words"] for p in parts[1:]), parts[0]["words"])
+            return F.struct(at.alias("at"), F.lit(n).alias("n"), total.alias("words"), F.xxhash64(*[p["a"] for p in parts]).alias("w1"), F.xxhash64(*[p["b"] for p in parts]).alias("w2"))
+
+        return F.transform(F.slice(F.sequence(F.lit(0), F.size("lines") - 1), 1, F.greatest(F.size("lines") - n + 1, F.lit(0))), run)
+
+    each = hashed.select("id", "key", F.explode(F.filter(F.concat(*[runs(n) for n in range(1, min_lines)]), lambda r: r["words"] >= min_words)).alias("r"))
+    each = stored(each.select("id", "key", "r.at", "r.n", "r.w1", "r.w2"), "runs")
+    start = F.struct("id", "key", "at")
+    firsts = each.groupBy("n", "w1", "w2").agg(F.min(start).alias("first"), F.max(start).alias("last")).filter(F.col("first") != F.col("last")).drop("last")
+    return each.join(stored(firsts, "run-firsts"), ["n", "w1", "w2"]).filter(start > F.col("first")).select("id", "key", "at", "n")
+
+
+def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, group: int = 2, min_words: int | None = None) -> DataFrame:
     """`docs` with n_lines, n_removed and kept_text (the remaining lines)."""
-    repeats = repeated_windows(docs, id_col, text_col, min_lines, group)
-    starts = repeats.groupBy(F.col("id").alias("__ld_id"), F.col("key").alias("__ld_key")).agg(F.sort_array(F.collect_set("at")).alias("__ld_starts"))
+    repeats = repeated_windows(docs, id_col, text_col, min_lines, group).withColumn("n", F.lit(min_lines))
+    if min_words is not None and min_lines > 1:
+        repeats = repeats.unionByName(repeated_short_runs(docs, id_col, text_col, min_lines, min_words))
+    starts = repeats.groupBy(F.col("id").alias("__ld_id"), F.col("key").alias("__ld_key")).agg(F.sort_array(F.collect_set(F.struct("at", "n"))).alias("__ld_starts"))
     rows = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed", "kept_text")])
     got = rows.join(starts, F.col(id_col).eqNullSafe(F.col("__ld_id")) & (F.xxhash64(text_of(text_col)) == F.col("__ld_key")), "left")
     lines = F.split(text_of(text_col), "\n", -1)
     nothing = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<at:int,n:int>>").alias("gaps"))
 
     def step(a: Column, s: Column) -> Column:
-        gap = F.array(F.struct(a["next"].alias("at"), (s - a["next"]).alias("n")))
-        return F.struct((s + min_lines).alias("next"), F.when(s > a["next"], F.concat(a["gaps"], gap)).otherwise(a["gaps"]).alias("gaps"))
+        gap = F.array(F.struct(a["next"].alias("at"), (s["at"] - a["next"]).alias("n")))
+        return F.struct(F.greatest(a["next"], s["at"] + s["n"]).alias("next"), F.when(s["at"] > a["next"], F.concat(a["gaps"], gap)).otherwise(a["gaps"]).alias("gaps"))
 
     def finish(a: Column) -> Column:
         return F.concat(a["gaps"], F.array(F.struct(a["next"].alias("at"), (F.size("__ld_lines") - a["next"]).alias("n"))))

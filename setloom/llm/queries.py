@@ -27,6 +27,12 @@ def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+def op3_line_dedup_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of three lines, as the SQL twin of op3_line_dedup has them, and shorter runs of 50 words or more."""
+    got = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_words=50)
+    return got.select("doc_id", "n_lines", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = new_path(spark, "tokens")
     token_store.write_tokens(table(spark, sf_dir, "documents"), path, tokenizer_path("word_bpe_49k.json"), end_id=1)
@@ -63,7 +69,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_substring_dedup, op3_line_dedup, op4_token_store, op5_near_dedup, op6_chat_formatting, op7_mix_sources, op8_piece_bpe, op9_language_id, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_substring_dedup, op3_line_dedup, op3_line_dedup_full, op4_token_store, op5_near_dedup, op6_chat_formatting, op7_mix_sources, op8_piece_bpe, op9_language_id, op10_exact_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
