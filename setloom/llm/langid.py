@@ -3,7 +3,8 @@
 Texts are cut into windows of fixed length over their UTF-8 bytes. Byte embeddings go
 through filters of several widths, each filter keeps its largest response in the window,
 and a softmax layer turns these into languages; a text's windows are averaged. Training
-takes a bounded sample of labelled rows (`fit_rows`, by a hash of the row's text), prediction
+takes a bounded sample of different labelled texts (`fit_rows`, by a hash of the text, in equal
+shares for the labels as far as they reach), prediction
 every window of every whole text. Filters over embeddings of single bytes are sums of table
 rows, so prediction looks up rows for byte pairs instead of multiplying.
 
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -171,19 +172,37 @@ class Predictor:
         return total / np.maximum(sizes, 1)[:, None]
 
 
+def _shares(counts: dict[str, int], total: int) -> dict[str, int]:
+    """Rows of each label: equal shares of `total`, what a label lacks goes to the others; one row at least."""
+    out, left = {}, total
+    for n, label in enumerate(sorted(counts, key=lambda k: (counts[k], k))):
+        out[label] = max(1, min(counts[label], left // (len(counts) - n)))
+        left = max(0, left - out[label])
+    return out
+
+
 def training_sample(docs: DataFrame, train: Column | None, text_col: str, label_col: str, config: Config) -> tuple[list[str], list[str]]:
-    """At most `fit_rows` labelled rows, spread by a hash; of each a piece of at most `fit_chars` from a hashed place."""
+    """At most `fit_rows` different labelled texts, shared out to the labels and spread by a hash; of each a piece of at most `fit_chars` from a hashed place."""
     rows = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     if train is not None:
         rows = rows.filter(train)
     key = F.xxhash64(F.lit(config.seed), F.col(text_col))
+    label = F.col(label_col).cast("string")
+    # Copies of a text count once, with their least label.
+    counts = rows.select(key.alias("key"), label.alias("label")).groupBy("key").agg(F.min("label").alias("label")).groupBy("label").count()
+    counts = {r["label"]: r["count"] for r in counts.collect()}
+    if not counts:
+        return [], []
+    quota = _shares(counts, config.fit_rows)
     room = F.greatest(F.length(text_col) - config.fit_chars, F.lit(0)) + 1
     piece = F.substring(F.col(text_col), F.pmod(F.xxhash64(key), room).cast("int") + 1, F.lit(config.fit_chars))
-    # Few more rows than the sample needs pass a filter on the hash, so that what reaches the driver is bounded.
-    part = min(1.0, 4 * config.fit_rows / max(1, docs.count()))
-    rows = rows.filter(F.pmod(key, F.lit(1 << 30)) <= int(part * (1 << 30)))
-    rows = rows.select(key.alias("key"), piece.alias("piece"), F.col(label_col).cast("string").alias("label"))
-    got = rows.orderBy("key", "piece", "label").limit(config.fit_rows).collect()
+    # Few more texts than a label's share pass a filter on the hash, so that little is grouped and sorted.
+    settings = [(k, int(min(1.0, (4 * n + 64) / counts[k]) * (1 << 30)), n) for k, n in quota.items()]
+    settings = F.broadcast(docs.sparkSession.createDataFrame(settings, "label string, __upto long, __quota long"))
+    rows = rows.select(key.alias("key"), piece.alias("piece"), label.alias("label")).join(settings, "label").filter(F.pmod("key", F.lit(1 << 30)) <= F.col("__upto"))
+    texts = rows.groupBy("key").agg(F.min(F.struct("label", "piece", "__quota")).alias("r")).select("key", "r.*")
+    place = F.row_number().over(Window.partitionBy("label").orderBy("key"))
+    got = texts.withColumn("__place", place).filter(F.col("__place") <= F.col("__quota")).orderBy("key").collect()
     return [r["piece"] for r in got], [r["label"] for r in got]
 
 
