@@ -124,6 +124,42 @@ def structure_violations(recs: DataFrame, strategies: Sequence[str] = ("A", "B",
     return got.select("targets", "found", (F.col("targets") == 1).alias("one_target"), (F.col("found") == ",".join(sorted(strategies))).alias("all_strategies"))
 
 
+def export_violations(recs: DataFrame, strategies: Sequence[str] = ("A", "B", "C", "D")) -> DataFrame:
+    """All checks of an export, one row for each target: rows that break keys, types, lengths or patterns, and the set of strategies.
+
+    A column that is missing or of another type breaks its rule in every row; other columns are no violation here.
+    `one_target` is about the whole export.
+    """
+    from ..functions.scalars import strategy_group
+
+    kinds = dict(recs.dtypes)
+
+    def whole(name: str) -> bool:
+        return kinds.get(name) in ("int", "bigint")
+
+    def bad_set(rule: GroupRule) -> Column:
+        if kinds.get(rule.kind) not in ("array<int>", "array<bigint>"):
+            return F.lit(True)
+        return ~F.coalesce((F.size(rule.kind) == rule.picks) & ~F.exists(rule.kind, lambda x: x.isNull()), F.lit(False))
+
+    target = F.col("target_issue").cast("string") if "target_issue" in kinds else F.lit(None).cast("string")
+    group = strategy_group(F.col("strategy")) if kinds.get("strategy") == "string" else F.lit("other")
+    bad = {
+        "bad_keys": F.lit(any(c not in kinds for c in ("target_issue", "strategy", "idx", "front", "back"))),
+        "bad_idx": F.col("idx").isNull() if whole("idx") else F.lit(True),
+        "bad_front": bad_set(FRONT),
+        "bad_back": bad_set(BACK),
+        "bad_target": ~F.coalesce(target.rlike(r"\A[0-9]{5}\z"), F.lit(False)),
+        "bad_strategy": ~F.coalesce(group.isin(*strategies), F.lit(False)),
+    }
+    rows = recs.select(target.alias("target_issue"), group.alias("__group"), *[c.alias(n) for n, c in bad.items()])
+    found = F.array_join(F.array_sort(F.collect_set("__group")), ",")
+    got = rows.groupBy("target_issue").agg(F.count("*").alias("n"), found.alias("found"), *[F.count_if(F.col(n)).alias(n) for n in bad])
+    targets = rows.agg(F.count_distinct(F.coalesce("target_issue", F.lit(""))).alias("__targets"))
+    got = got.crossJoin(F.broadcast(targets)).withColumn("one_target", F.col("__targets") == 1).drop("__targets")
+    return got.withColumn("all_strategies", F.coalesce(F.col("found") == ",".join(sorted(strategies)), F.lit(False)))
+
+
 def check_parameters(period: str | int = 0, kind: str = "front", model: str = "standard", weight_version: str = "default") -> int:
     """The window of a lookup; ValueError where a parameter isn't one of the known."""
     n = 0 if str(period).lower() in ("all", "0", "none") else int(period) if str(period).isdigit() else -1

@@ -227,6 +227,7 @@ MORE: dict[str, Query] = {
     "upsert_recs": _on_recs(_upsert_recs),
     "sql_batches": _on_draws(lambda d: store.sql_values(d.select("pos", "issue_num", "draw_date"), "pos")),
     "export_check": _on_recs(lambda r: store.structure_violations(r.filter("target_issue < 200"))),
+    "export_check_full": _on_recs(store.export_violations),  # each target of the whole table; the one above has a few rows, as its twin
     "favourites_once": _on_recs(lambda r: _texts(store.favourites(r.select("front", "back", F.col("target_issue").alias("pos"))), "pos")),
     "next_issues": _on_draws(lambda d: d.select("issue_num", next_issue((20 + F.col("issue_num") % 7) * 1000 + F.col("issue_num") % 353 + 1).alias("next"))),
     "number_score_front": _number_scores("front"),
