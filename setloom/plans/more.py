@@ -56,13 +56,18 @@ def _stored_and_new(draws: DataFrame) -> tuple[DataFrame, DataFrame]:
     return draws.filter("pos % 2 = 0").withColumn("source", F.lit("stored")), draws.filter("pos % 3 = 0").withColumn("source", F.lit("new"))
 
 
-def _upsert_cap(draws: DataFrame) -> DataFrame:
-    old, new = _stored_and_new(draws)
+def _all_stored_and_new(draws: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two sides that overlap and together hold every draw."""
+    return draws.filter("pos % 3 <> 0").withColumn("source", F.lit("stored")), draws.filter("pos % 2 = 0 OR pos % 3 = 0").withColumn("source", F.lit("new"))
+
+
+def _upsert_cap(draws: DataFrame, sides: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = _stored_and_new) -> DataFrame:
+    old, new = sides(draws)
     return store.keep_last(store.upsert(old, new, ["issue_num"]), 1000).select("issue_num", "source", two_digits(F.col("front")).alias("front"))
 
 
-def _insert_ignore(draws: DataFrame) -> DataFrame:
-    old, new = _stored_and_new(draws)
+def _insert_ignore(draws: DataFrame, sides: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = _stored_and_new) -> DataFrame:
+    old, new = sides(draws)
     return store.insert_or_ignore(old, new, ["issue_num"]).select("issue_num", "source")
 
 
@@ -224,6 +229,8 @@ MORE: dict[str, Query] = {
     "validate_recs": _on_recs(lambda r: store.recommendation_error(_faulty_recs(r))),
     "upsert_draws_cap": _on_draws(_upsert_cap),
     "insert_ignore_draws": _on_draws(_insert_ignore),
+    "upsert_draws_cap_full": _on_draws(lambda d: _upsert_cap(d, _all_stored_and_new)),
+    "insert_ignore_draws_full": _on_draws(lambda d: _insert_ignore(d, _all_stored_and_new)),
     "upsert_recs": _on_recs(_upsert_recs),
     "sql_batches": _on_draws(lambda d: store.sql_values(d.select("pos", "issue_num", "draw_date"), "pos")),
     "export_check": _on_recs(lambda r: store.structure_violations(r.filter("target_issue < 200"))),
