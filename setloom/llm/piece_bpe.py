@@ -4,8 +4,8 @@ A text gets one leading space, spaces become U+2581, and it falls into words tha
 can cross: a run of U+2581 and what follows, with line ends alone. All distinct words of a
 batch are one flat numpy array of symbols; each round finds the best pair of every word by a
 segmented minimum, merges its leftmost occurrences in all words at once and compacts the
-array, until no pair remains. Words are told apart by a 64-bit hash of their characters, and
-those that a worker has seen come from a bounded store.
+array, until no pair remains. Words that a worker has seen come from a bounded store, which compares
+them whole.
 
 Defined results: null text is the empty text, which has no ids and decodes to itself; texts
 of any length are encoded whole; other columns pass through; a column already named like an
@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import text_of
-from .wordhash import slices
+from .wordhash import Memo, Spans, ranges, slices
 
 _SPACE = "▁"
 #: Words that a task keeps encoded; the store is emptied when it is full. Only speed depends on it.
@@ -156,23 +156,15 @@ def pieces(path: str) -> Pieces:
 
 
 class _Store:
-    """Ids of words already seen, as slices of one array, in the order of the words' hashes."""
+    """The ids of texts, with the words that the worker has seen kept encoded."""
 
     def __init__(self, model: Pieces):
         self.model = model
-        self.clear()
 
-    def clear(self) -> None:
-        self.hash, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.int32)
-        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        def coded(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return model.encode(raw.view(np.uint32)[ranges(start >> 2, length >> 2)], length >> 2)
 
-    def add(self, hashes: np.ndarray, points: np.ndarray, lengths: np.ndarray) -> None:
-        ids, counts = self.model.encode(points, lengths)
-        at = np.searchsorted(self.hash, hashes)
-        self.hash = np.insert(self.hash, at, hashes)
-        self.start = np.insert(self.start, at, len(self.flat) + np.cumsum(counts) - counts)
-        self.count = np.insert(self.count, at, counts)
-        self.flat = np.r_[self.flat, ids.astype(np.int32)]
+        self.memo = Memo(coded, STORE_WORDS, STORE_IDS)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The flat ids of all texts and each text's number of ids."""
@@ -190,40 +182,12 @@ class _Store:
         head[begins[sizes > 0]] = True
         first = np.flatnonzero(head)
         length = np.diff(np.r_[first, len(points)])
-        hashes = _hashed(points, first, length)
-        known, index, at = np.unique(hashes, return_index=True, return_inverse=True)
-        if len(self.hash) > STORE_WORDS or len(self.flat) > STORE_IDS:
-            self.clear()
-        place = np.searchsorted(self.hash, known)
-        new = place == len(self.hash)
-        new[~new] = self.hash[place[~new]] != known[~new]
-        if new.any():
-            take = index[new]
-            self.add(known[new], points[_ranges(first[take], length[take])], length[take])
-            place = np.searchsorted(self.hash, known)
-        word = place[at]
-        count = self.count[word]
-        ends = np.cumsum(count)
-        flat = self.flat[_ranges(self.start[word], count)]
-        per_text = np.r_[0, ends][np.searchsorted(first, np.r_[begins, len(points)])]
+        raw = points.view(np.uint8)
+        flat, count = self.memo.numbers(raw, 4 * first, Spans(raw, 4 * first, 4 * length))
+        per_text = np.r_[0, np.cumsum(count)][np.searchsorted(first, np.r_[begins, len(points)])]
         return flat, np.diff(per_text)
 
 
-def _ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """start, start + 1, ... for each count, one after the other."""
-    ends = np.cumsum(counts)
-    return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
-
-
-def _hashed(points: np.ndarray, first: np.ndarray, length: np.ndarray) -> np.ndarray:
-    """A polynomial hash of each word's characters, mixed with its length."""
-    powers = np.cumprod(np.full(int(length.max()), 0x9E3779B97F4A7C15, np.uint64))
-    inner = np.arange(len(points)) - np.repeat(first, length)
-    h = np.add.reduceat((points.astype(np.uint64) + np.uint64(1)) * powers[inner], first) + length.astype(np.uint64)
-    h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
-    return h ^ (h >> np.uint64(29))
-
-
 @lru_cache(maxsize=2)
 def _store(path: str) -> _Store:
     """One store for each worker process."""

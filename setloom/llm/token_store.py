@@ -6,17 +6,19 @@ one row of a Parquet table (so that Spark's committer makes retried tasks safe o
 
     part, segment, start        place in the order; ids in the part before the segment
     doc_ids, lengths            its documents
-    payload                     magic, number of blocks, (ids, crc32, bytes) of each, the blocks
+    payload                     magic, number of blocks, crc32 of what follows, (ids, crc32, bytes)
+                                of each block, the blocks
 
 Each block is coded on its own. Its model starts empty and predicts the next id three times:
 by the last two ids, by the last one and by the block's commonest. Adaptive estimates that a
 prediction holds, one by its own confidence and one by those of both contexts, are mixed;
-the range coder codes which prediction holds, and the id itself where none does. All blocks of a
-batch are coded in step, one id of each at a time, as numpy lanes.
+the range coder codes which prediction holds, and the id itself where none does: its lower 16
+bits, before which a block with ids from 65,536 on (marked in its count of ids) has the upper
+ones. All blocks of a batch are coded in step, one id of each at a time, as numpy lanes.
 
 Defined results: null text is the empty text, which has the end id only; null identifiers
 come first, rows that repeat one by their text; an empty table makes an empty folder of
-segments; a damaged block raises ValueError.
+segments; ids from 2^30 on are refused by ValueError, as is a damaged header or block.
 """
 
 from __future__ import annotations
@@ -33,12 +35,15 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .wordhash import Words, slices
+from .wordhash import Memo, Words, slices
 
 BLOCK = 4096  # ids of a block at most
 SEGMENT = 65_536  # ids of a segment, but for one more document
 LANES = 2048  # blocks coded in step
-_MAGIC = b"CMR1"
+HEAD = 16  # characters of a text that its range depends on
+MOST_ID = (1 << 30) - 1
+_MAGIC = b"CMR2"
+_WIDE = 1 << 31  # in a block's count of ids: it has ids from 65,536 on
 _TABLE = 12  # bits of each context table
 _TOTAL = 24  # bits of the sum of class frequencies
 
@@ -106,10 +111,15 @@ def _settled(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return same | small, np.where(small, (np.uint64(0) - low) & (_32 - np.uint64(1)), span)
 
 
+def _is_wide(block: np.ndarray) -> bool:
+    return bool(len(block)) and int(block.max()) > 0xFFFF
+
+
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
-    """Code blocks of at most BLOCK ids below 65,536."""
+    """Code blocks of at most BLOCK ids each."""
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     lengths = np.array([len(blocks[i]) for i in order])
+    wide = np.array([_is_wide(blocks[i]) for i in order], bool)
     steps = int(lengths[0]) if len(order) else 0
     ids = np.zeros((steps, len(order)), np.uint32)
     for lane, i in enumerate(order):
@@ -117,7 +127,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     active = np.searchsorted(-lengths, -np.arange(steps), "left")  # lanes longer than the step
     model = _Models(len(order))
     low, span = np.zeros(len(order), np.uint64), np.full(len(order), 2**64 - 1, np.uint64)
-    out, pos = np.zeros((len(order), 3 * steps + 8), np.uint16), np.zeros(len(order), np.int64)
+    out, pos = np.zeros((len(order), (4 if wide.any() else 3) * steps + 8), np.uint16), np.zeros(len(order), np.int64)
 
     def shift(m: int) -> None:
         while True:
@@ -142,11 +152,12 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         span[:m] = unit * (end - begin)
         shift(m)
         miss = np.flatnonzero(cls == 3)
-        if len(miss):
-            unit = span[miss] >> _16
-            low[miss] += unit * x[miss]
-            span[miss] = unit
-            shift(m)
+        for lanes, part in ((miss[wide[miss]], x >> np.uint32(16)), (miss, x & np.uint32(0xFFFF))):
+            if len(lanes):
+                unit = span[lanes] >> _16
+                low[lanes] += unit * part[lanes]
+                span[lanes] = unit
+                shift(m)
         model.update(m, x, cls)
     coded: list[bytes] = [b""] * len(blocks)
     for k in range(4):
@@ -156,9 +167,11 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     return coded
 
 
-def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
+def decode_blocks(coded: list[bytes], sizes: list[int], wide: list[bool] | None = None) -> list[np.ndarray]:
+    """The ids of coded blocks; `wide` tells which have ids from 65,536 on."""
     order = sorted(range(len(coded)), key=lambda i: -sizes[i])
     lengths = np.array([sizes[i] for i in order])
+    is_wide = np.array([wide is not None and wide[i] for i in order], bool)
     steps = int(lengths[0]) if len(order) else 0
     words = [np.frombuffer(coded[i], "<u2") for i in order]
     source = np.zeros((len(order), max(map(len, words), default=0) + 4), np.uint64)
@@ -195,14 +208,16 @@ def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
         low[:m] += unit * begin
         span[:m] = unit * (end - begin)
         shift(m)
-        x = np.choose(cls, (p2, p1, p0, np.uint32(0)))
+        x = np.choose(cls, (p2, p1, p0, np.uint32(0))).astype(np.uint32)
         miss = np.flatnonzero(cls == 3)
-        if len(miss):
-            unit = np.maximum(span[miss] >> _16, np.uint64(1))
-            x[miss] = np.minimum((code[miss] - low[miss]) // unit, np.uint64(65_535)).astype(np.uint32)
-            low[miss] += unit * x[miss]
-            span[miss] = unit
-            shift(m)
+        for lanes in (miss[is_wide[miss]], miss):
+            if len(lanes):
+                unit = np.maximum(span[lanes] >> _16, np.uint64(1))
+                part = np.minimum((code[lanes] - low[lanes]) // unit, np.uint64(0xFFFF))
+                x[lanes] = (x[lanes] << np.uint32(16)) | part.astype(np.uint32)
+                low[lanes] += unit * part
+                span[lanes] = unit
+                shift(m)
         ids[t, :m] = x
         model.update(m, x, cls)
     found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(coded)
@@ -213,53 +228,72 @@ def decode_blocks(coded: list[bytes], sizes: list[int]) -> list[np.ndarray]:
 
 def pack(segments: list[np.ndarray]) -> list[bytes]:
     """Payloads of segments of ids."""
-    cuts = [np.array_split(s, max(1, -(-len(s) // BLOCK))) for s in segments]
+    cuts = [np.array_split(x, max(1, -(-len(x) // BLOCK))) for x in map(_checked, segments)]
     flat = [b for c in cuts for b in c]
     coded = [x for at in range(0, len(flat), LANES) for x in encode_blocks(flat[at : at + LANES])]
     out, at = [], 0
     for c in cuts:
         own = coded[at : at + len(c)]
         at += len(c)
-        head = b"".join(struct.pack("<III", len(b), zlib.crc32(b.astype("<u4").tobytes()), len(x)) for b, x in zip(c, own))
-        out.append(_MAGIC + struct.pack("<I", len(c)) + head + b"".join(own))
+        head = b"".join(struct.pack("<III", len(b) | _WIDE * _is_wide(b), zlib.crc32(b.astype("<u4").tobytes()), len(x)) for b, x in zip(c, own))
+        out.append(_MAGIC + struct.pack("<II", len(c), zlib.crc32(head)) + head + b"".join(own))
     return out
 
 
+def _checked(ids: np.ndarray) -> np.ndarray:
+    ids = np.asarray(ids)
+    if len(ids) and not 0 <= int(ids.min()) <= int(ids.max()) <= MOST_ID:
+        raise ValueError(f"ids are 0 to {MOST_ID}")
+    return ids.astype(np.uint32)
+
+
+def _header(payload: bytes) -> np.ndarray:
+    """Rows (ids with mark, crc32, bytes) of the blocks, checked against the payload's length."""
+    if len(payload) < 12 or payload[:4] != _MAGIC:
+        raise ValueError("not a token segment")
+    n, crc = struct.unpack_from("<II", payload, 4)
+    head = payload[12 : 12 + 12 * n]
+    if len(head) != 12 * n or zlib.crc32(head) != crc:
+        raise ValueError("the header of a token segment is damaged")
+    rows = np.frombuffer(head, "<u4").reshape(n, 3).astype(np.int64)
+    if 12 + 12 * n + int(rows[:, 2].sum()) != len(payload):
+        raise ValueError("a token segment is cut off")
+    return rows
+
+
 def unpack(payloads: list[bytes]) -> list[np.ndarray]:
-    """The ids of segments; ValueError where a block is damaged."""
-    coded, sizes, crcs, counts = [], [], [], []
-    for p in payloads:
-        if p[:4] != _MAGIC:
-            raise ValueError("not a token segment")
-        (n,) = struct.unpack_from("<I", p, 4)
-        at = 8 + 12 * n
-        counts.append(n)
-        for k in range(n):
-            size, crc, length = struct.unpack_from("<III", p, 8 + 12 * k)
-            sizes.append(size), crcs.append(crc), coded.append(p[at : at + length])
-            at += length
-    blocks = [b for at in range(0, len(coded), LANES) for b in decode_blocks(coded[at : at + LANES], sizes[at : at + LANES])]
-    for b, crc in zip(blocks, crcs):
+    """The ids of segments; ValueError where a header or a block is damaged."""
+    heads = [_header(p) for p in payloads]
+    coded = []
+    for p, rows in zip(payloads, heads):
+        ends = 12 + 12 * len(rows) + np.cumsum(rows[:, 2])
+        coded += [p[a:b] for a, b in zip((ends - rows[:, 2]).tolist(), ends.tolist())]
+    rows = np.concatenate([np.zeros((0, 3), np.int64), *heads])
+    sizes, wide = (rows[:, 0] & (_WIDE - 1)).tolist(), (rows[:, 0] >= _WIDE).tolist()
+    blocks = [b for at in range(0, len(coded), LANES) for b in decode_blocks(coded[at : at + LANES], sizes[at : at + LANES], wide[at : at + LANES])]
+    for b, crc in zip(blocks, rows[:, 1].tolist()):
         if zlib.crc32(b.astype("<u4").tobytes()) != crc:
             raise ValueError("a token block is damaged")
-    ends = np.cumsum([0, *counts])
+    ends = np.cumsum([0, *map(len, heads)])
     return [np.concatenate(blocks[a:b]) if b > a else np.zeros(0, np.uint32) for a, b in zip(ends[:-1], ends[1:])]
 
 
 class _Tokens:
     """A tokenizer whose words of white space and anything else are encoded once for each worker, in a bounded store."""
 
-    MOST = 300_000
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.clear()
+        tokenizer = Tokenizer.from_file(path)
 
-    def clear(self) -> None:
-        self.hash, self.flat = np.zeros(0, np.uint64), np.zeros(0, np.uint32)
-        self.start, self.count = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        def coded(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            whole = raw.tobytes()
+            words = [whole[a : a + n].decode() for a, n in zip(start.tolist(), length.tolist())]
+            ids = [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            counts = np.fromiter(map(len, ids), np.int64, len(ids))
+            return np.fromiter((i for x in ids for i in x), np.int64, int(counts.sum())), counts
+
+        self.memo = Memo(coded)
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The flat ids of all texts, each with the end id, and each text's number of ids.
@@ -267,31 +301,9 @@ class _Tokens:
         The tokenizer drops white space and no token crosses it, so words are encoded alone.
         """
         words = Words(column)
-        known, index, at = np.unique(words.hashes(), return_index=True, return_inverse=True)
-        if len(self.hash) > self.MOST:
-            self.clear()
-        place = np.searchsorted(self.hash, known)
-        new = place == len(self.hash)
-        new[~new] = self.hash[place[~new]] != known[~new]
-        if new.any():
-            spans = zip(words.start[index[new]].tolist(), words.end[index[new]].tolist())
-            raw = words.raw.tobytes()
-            coded = self.tokenizer.encode_batch_fast([raw[a:b].decode() for a, b in spans], add_special_tokens=False)
-            ids = [x.ids for x in coded]
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            flat = np.fromiter((i for x in ids for i in x), np.uint32, int(counts.sum()))
-            put = np.searchsorted(self.hash, known[new])
-            self.hash = np.insert(self.hash, put, known[new])
-            self.start = np.insert(self.start, put, len(self.flat) + np.cumsum(counts) - counts)
-            self.count = np.insert(self.count, put, counts)
-            self.flat = np.r_[self.flat, flat]
-            place = np.searchsorted(self.hash, known)
-        word = place[at]
-        count = self.count[word]
-        ends = np.cumsum(count)
-        flat = self.flat[np.repeat(self.start[word] - (ends - count), count) + np.arange(ends[-1] if len(ends) else 0)]
-        close = np.r_[0, ends][words.offset]
-        return np.insert(flat, close[1:], end_id), np.diff(close) + 1
+        flat, count = self.memo.numbers(words.raw, words.start, words.spans)
+        close = np.r_[0, np.cumsum(count)][words.offset]
+        return np.insert(flat, close[1:], end_id).astype(np.uint32), np.diff(close) + 1
 
 
 @lru_cache(maxsize=2)
@@ -302,7 +314,8 @@ def _tokens(path: str) -> _Tokens:
 def write_tokens(docs: DataFrame, path: str, tokenizer_path: str, end_id: int, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Write the ids of all texts, in ascending order of their identifiers, as segments under `path`."""
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    # Ranges see the beginning of the text too, so many rows of one identifier fall into several.
+    ranged = rows.repartitionByRange(F.col("doc_id").asc_nulls_first(), F.substring("text", 1, HEAD)).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
     schema = "part int, segment int, start long, doc_ids array<long>, lengths array<int>, payload binary"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

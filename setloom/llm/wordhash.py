@@ -1,12 +1,14 @@
 """Hashes of the words and word runs of many texts at once, in numpy.
 
 A word is a run of anything but the six ASCII white-space characters. Texts are flat UTF-8
-bytes; every word gets a 64-bit polynomial hash of its bytes, and runs of words hash those.
+bytes. A word is cut into pieces of eight bytes; each piece is mixed with its place before the
+pieces are summed, so no exchange of pieces cancels. Runs of words are hashed in pairs of pairs,
+mixed at every level.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,13 +18,17 @@ _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
+#: Odd factors and mixers of the two independent hashes.
 _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
+_MIXER = ((np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)), (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)))
+_MASK = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
-def mix(h: np.ndarray) -> np.ndarray:
-    """A bijection of 64-bit numbers that spreads their bits."""
-    h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+def mix(h: np.ndarray, which: int = 0) -> np.ndarray:
+    """A bijection of 64-bit numbers that spreads their bits; `which` picks one of two."""
+    a, b = _MIXER[which]
+    h = (h ^ (h >> np.uint64(30))) * a
+    h = (h ^ (h >> np.uint64(27))) * b
     return h ^ (h >> np.uint64(31))
 
 
@@ -38,6 +44,33 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 1_000_000) -> Iterato
             yield batch.slice(a, b - a)
 
 
+def ranges(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... for each count, one after the other."""
+    ends = np.cumsum(counts)
+    return np.repeat(starts - (ends - counts), counts) + np.arange(ends[-1] if len(ends) else 0)
+
+
+class Spans:
+    """Spans of bytes (none empty) as pieces of eight: `pieces` one after the other, `count` of each span, `first` places."""
+
+    def __init__(self, raw: np.ndarray, start: np.ndarray, length: np.ndarray):
+        self.length = length
+        self.count = (length + 7) >> 3
+        self.first = np.cumsum(self.count) - self.count
+        padded = np.zeros(len(raw) + 8, np.uint8)
+        padded[: len(raw)] = raw
+        eights = np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+        self.place = np.arange(int(self.count.sum())) - np.repeat(self.first, self.count)
+        left = np.repeat(length, self.count) - 8 * self.place
+        self.pieces = eights[np.repeat(start, self.count) + 8 * self.place] & _MASK[np.minimum(left, 8)]
+
+    def hashes(self, which: int = 0) -> np.ndarray:
+        if not len(self.length):
+            return np.zeros(0, np.uint64)
+        placed = mix(self.pieces ^ ((self.place.astype(np.uint64) + np.uint64(1)) * _BASE[which]), which)
+        return mix(np.add.reduceat(placed, self.first) + self.length.astype(np.uint64) * _BASE[1 - which], which)
+
+
 class Words:
     """The words of a column of texts: their byte spans in `raw`, and `offset`, where each text's words begin."""
 
@@ -54,37 +87,90 @@ class Words:
         self.end = np.flatnonzero(edge == -1)
         ends = np.cumsum(sizes + 1)
         self.offset = np.searchsorted(self.start, np.r_[0, ends])
+        self._spans: Spans | None = None
+
+    @property
+    def spans(self) -> Spans:
+        if self._spans is None:
+            self._spans = Spans(self.raw, self.start, self.end - self.start)
+        return self._spans
 
     def hashes(self, which: int = 0) -> np.ndarray:
         """A 64-bit hash of each word; `which` (0 or 1) picks one of two independent ones."""
-        if not len(self.start):
-            return np.zeros(0, np.uint64)
-        length = self.end - self.start
-        ends = np.cumsum(length)
-        inner = np.arange(ends[-1]) - np.repeat(ends - length, length)
-        powers = np.cumprod(np.full(int(length.max()), _BASE[which], np.uint64))
-        values = (self.raw[inner + np.repeat(self.start, length)].astype(np.uint64) + np.uint64(1)) * powers[inner]
-        return mix(np.add.reduceat(values, ends - length) + length.astype(np.uint64) * _BASE[1 - which])
+        return self.spans.hashes(which)
 
 
 def runs(h: np.ndarray, n: int, which: int = 0) -> np.ndarray:
     """The hash of each n consecutive words; len(h) - n + 1 of them, also across texts."""
     if len(h) < n:
         return np.zeros(0, np.uint64)
-    total, done, power = np.zeros(len(h) - n + 1, np.uint64), 0, _BASE[which]
+    total, done, base = np.zeros(len(h) - n + 1, np.uint64), 0, _BASE[which]
     # Doubling: the hash of 2^k words from two of 2^(k-1), assembled by the binary digits of n.
     piece, width = h, 1
     while done < n:
         if n & width:
-            total = total * power_of(power, width) + piece[done : done + len(total)]
+            total = mix(total * base + piece[done : done + len(total)], which)
             done += width
-        if n >= 2 * width:
-            piece = piece[:-width] * power_of(power, width) + piece[width:]
         width *= 2
         if width > n:
             break
-    return mix(total)
+        piece = mix(piece[: -(width // 2)] * base + piece[width // 2 :], which)
+    return total
 
 
-def power_of(base: np.uint64, n: int) -> np.uint64:
-    return np.uint64(pow(int(base), n, 1 << 64))
+class Memo:
+    """What `coded` gives for words, kept for those seen; hashes find a word, its bytes decide.
+
+    `coded(raw, start, length)` returns the flat numbers of the words at these spans and how
+    many each has. The store is emptied when it is full: only speed depends on it.
+    """
+
+    def __init__(self, coded: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], most_words: int = 300_000, most_numbers: int = 5_000_000):
+        self.coded, self.most = coded, (most_words, most_numbers)
+        self.clear()
+
+    def clear(self) -> None:
+        self.hash, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.first, self.pieces = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        self.start, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+
+    def numbers(self, raw: np.ndarray, start: np.ndarray, spans: Spans) -> tuple[np.ndarray, np.ndarray]:
+        """The flat numbers of all words and how many each has."""
+        if not len(start):
+            return self.flat[:0], np.zeros(0, np.int64)
+        if len(self.hash) > self.most[0] or len(self.flat) > self.most[1]:
+            self.clear()
+        known, index, at = np.unique(spans.hashes(), return_index=True, return_inverse=True)
+        place = np.searchsorted(self.hash, known)
+        new = place == len(self.hash)
+        new[~new] = self.hash[place[~new]] != known[~new]
+        if new.any():
+            take = index[new]
+            flat, counts = self.coded(raw, start[take], spans.length[take])
+            put = np.searchsorted(self.hash, known[new])
+            self.hash = np.insert(self.hash, put, known[new])
+            self.length = np.insert(self.length, put, spans.length[take])
+            self.first = np.insert(self.first, put, len(self.pieces) + np.cumsum(spans.count[take]) - spans.count[take])
+            self.pieces = np.r_[self.pieces, spans.pieces[ranges(spans.first[take], spans.count[take])]]
+            self.start = np.insert(self.start, put, len(self.flat) + np.cumsum(counts) - counts)
+            self.count = np.insert(self.count, put, counts)
+            self.flat = np.r_[self.flat, flat.astype(np.int32)]
+            place = np.searchsorted(self.hash, known)
+        word = place[at]
+        begin, count, flat = self.start[word], self.count[word], self.flat
+        other = self._others(word, spans)
+        if len(other):  # words that another one's hash has led here
+            more, counts = self.coded(raw, start[other], spans.length[other])
+            begin[other], count[other] = len(flat) + np.cumsum(counts) - counts, counts
+            flat = np.r_[flat, more.astype(np.int32)]
+        return flat[ranges(begin, count)], count
+
+    def _others(self, word: np.ndarray, spans: Spans) -> np.ndarray:
+        """Which words aren't the stored ones."""
+        wrong = self.length[word] != spans.length
+        of = np.where(wrong, 0, self.first[word] - spans.first)  # where it is wrong, any stored piece does
+        at = np.arange(len(spans.pieces)) + np.repeat(of, spans.count)
+        differ = self.pieces[np.minimum(at, len(self.pieces) - 1)] != spans.pieces
+        if differ.any():
+            wrong |= np.logical_or.reduceat(differ, spans.first)
+        return np.flatnonzero(wrong)

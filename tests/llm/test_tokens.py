@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import sentencepiece
 from edges import frame, listed, sha, texts
@@ -10,7 +11,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from setloom.llm import piece_bpe, token_store
+from setloom.llm import piece_bpe, token_store, wordhash
 from setloom.llm.common import tokenizer_path
 
 WORD, PIECE = tokenizer_path("word_bpe_49k.json"), tokenizer_path("piece_bpe_32k.model")
@@ -41,6 +42,44 @@ def test_coder_round_trip(blocks):
     assert all((a == b).all() and len(a) == len(b) for a, b in zip(blocks, back))
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.lists(st.one_of(st.integers(0, token_store.MOST_ID), st.sampled_from([0, 70_000, 65_535, 65_536])), max_size=1200), max_size=5))
+def test_pack_round_trip(segments):
+    back = token_store.unpack(token_store.pack([np.array(s, np.int64) for s in segments]))
+    assert [b.tolist() for b in back] == segments
+
+
+def test_large_ids():
+    assert token_store.unpack(token_store.pack([np.array([5, 70_000, 5])]))[0].tolist() == [5, 70_000, 5]
+    for bad in (1 << 30, -1):
+        with pytest.raises(ValueError):
+            token_store.pack([np.array([5, bad])])
+
+
+#: Two words whose polynomial hashes modulo 2^64 agree for every odd base.
+EXCHANGED = ["a", "b"]
+for _ in range(11):
+    EXCHANGED = [EXCHANGED[0] + EXCHANGED[1], EXCHANGED[1] + EXCHANGED[0]]
+
+
+def test_words_that_polynomials_confuse(spark):
+    a, b = EXCHANGED
+    rows = [(1, a), (2, b), (3, f"{b} {a}")]
+    tok, model = Tokenizer.from_file(WORD), sentencepiece.SentencePieceProcessor(model_file=PIECE)
+    coder, store = token_store._Tokens(WORD), piece_bpe._Store(piece_bpe.Pieces(PIECE))
+    for _, t in rows:
+        assert coder.encode(pa.array([t]), 1)[0].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1]
+        assert store.encode([t])[0].tolist() == model.encode(t)
+
+
+def test_words_of_one_hash(monkeypatch):
+    """A hash only finds a stored word; its bytes decide."""
+    monkeypatch.setattr(wordhash.Spans, "hashes", lambda self, which=0: np.full(len(self.length), 7, np.uint64))
+    tok, coder = Tokenizer.from_file(WORD), token_store._Tokens(WORD)
+    for t in ("one two one", "three one", "two two", "one"):
+        assert coder.encode(pa.array([t]), 1)[0].tolist() == [*tok.encode(t, add_special_tokens=False).ids, 1]
+
+
 def test_coder_on_long_blocks_and_their_size():
     rng = np.random.default_rng(1)
     even, zipf = np.full(token_store.BLOCK, 9, np.uint32), np.minimum(rng.zipf(1.3, token_store.BLOCK), 65_535).astype(np.uint32)
@@ -54,11 +93,14 @@ def test_coder_on_long_blocks_and_their_size():
 def test_damage_is_seen():
     (packed,) = token_store.pack([np.arange(10_000, dtype=np.uint32) % 977])
     assert (token_store.unpack([packed])[0] == np.arange(10_000) % 977).all()
-    for at in (0, 200, len(packed) // 2, len(packed) - 40):
+    for at in (*range(24), 200, len(packed) // 2, len(packed) - 40):
         bad = bytearray(packed)
         bad[at] ^= 0x55
         with pytest.raises(ValueError):
             token_store.unpack([bytes(bad)])
+    for cut in (0, 3, 11, 30, len(packed) - 1):
+        with pytest.raises(ValueError):
+            token_store.unpack([packed[:cut]])
 
 
 def test_blocks_stand_alone():
