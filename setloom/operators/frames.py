@@ -8,35 +8,42 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import PERIODS, RULES, GroupRule
+from ..tables import stored
 
-_BUCKETS = 1024  # of keys, when rows are numbered
 _SPAN = 65_536  # positions that one window task sees of a number
 
 
-def positioned(rows: DataFrame, order: str = "issue_num", buckets: int = _BUCKETS) -> DataFrame:
-    """`rows` with `pos` (0-based place by a unique key) and `total`.
+def positioned(rows: DataFrame, order: str = "issue_num") -> DataFrame:
+    """`rows` with `pos` (0-based place by a unique key) and `total`, as a table of their own.
 
-    Keys fall into ranges that are numbered on their own; only one row for each range
-    (at most `buckets`) meets in one task.
+    Sampled splitters deal the keys to ranges, which are sorted and numbered on their own. The rows
+    are written once, so what follows doesn't number them again; only a count of each range
+    comes to the driver.
     """
-    ends = rows.agg(F.min(order).alias("__lo"), F.max(order).alias("__hi"))
-    width = F.floor((F.col("__hi") - F.col("__lo")) / buckets) + 1
-    dealt = rows.crossJoin(F.broadcast(ends)).withColumn("__b", F.floor((F.col(order) - F.col("__lo")) / width)).drop("__lo", "__hi")
-    sizes = dealt.groupBy("__b").agg(F.count("*").alias("__n"))
-    upto = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.orderBy("__b").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    sizes = sizes.select("__b", F.coalesce(F.sum("__n").over(upto), F.lit(0)).alias("__before"), F.sum("__n").over(whole).alias("total"))
-    place = F.row_number().over(Window.partitionBy("__b").orderBy(order))
-    numbered = dealt.withColumn("__r", place).join(F.broadcast(sizes), "__b")
-    return numbered.withColumn("pos", F.col("__before") + F.col("__r") - 1).drop("__b", "__r", "__before")
-
-
-def appearances(draws: DataFrame) -> DataFrame:
-    """Rows (pos, total, issue_num, kind, num) of positioned draws."""
+    placed = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__id", F.monotonically_increasing_id())
+    placed = stored(placed, "positioned")
+    part, inner = F.shiftright("__id", 33).cast("int"), F.col("__id").bitwiseAND((1 << 33) - 1)
+    sizes = {r["part"]: r["count"] for r in placed.groupBy(part.alias("part")).count().collect()}
+    before, total = [], 0
+    for p in range(max(sizes, default=0) + 1):
+        before.append(total)
+        total += sizes.get(p, 0)
+    offset = F.get(F.array(*[F.lit(n).cast("long") for n in before]), part)
+    return placed.select(*rows.columns, F.lit(total).cast("long").alias("total"), (offset + inner).alias("pos"))
+
+
+def appearances(draws: DataFrame, near: bool = False) -> DataFrame:
+    """Rows (pos, total, issue_num, kind, num) of positioned draws; with `near` also whether the draw holds a neighbour."""
+
     def of(rule: GroupRule) -> Column:
-        return F.transform(rule.kind, lambda x: F.struct(F.lit(rule.kind).alias("kind"), x.alias("num")))
+        def cell(x: Column) -> Column:
+            more = [(F.array_contains(rule.kind, x - 1) | F.array_contains(rule.kind, x + 1)).alias("near")] if near else []
+            return F.struct(F.lit(rule.kind).alias("kind"), x.alias("num"), *more)
+
+        return F.transform(rule.kind, cell)
 
-    return draws.select("pos", "total", "issue_num", F.explode(F.concat(*[of(r) for r in RULES])).alias("a")).select("pos", "total", "issue_num", "a.kind", "a.num")
+    names = ["a.kind", "a.num", *(["a.near"] if near else [])]
+    return draws.select("pos", "total", "issue_num", F.explode(F.concat(*[of(r) for r in RULES])).alias("a")).select("pos", "total", "issue_num", *names)
 
 
 def universe(spark: SparkSession, rules: Sequence[GroupRule] = RULES) -> DataFrame:
@@ -95,17 +102,25 @@ def previous_positions(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     return inner.join(ends, [*keys, "__span"]).withColumn("prev", F.coalesce("prev", "__before")).drop("__span", "__before")
 
 
-def gaps(draws: DataFrame, values: Sequence[int] = PERIODS) -> DataFrame:
-    """Rows (period, n, kind, num, count, last, current, longest, runs): absences inside each window.
+def number_profiles(draws: DataFrame, values: Sequence[int] = PERIODS) -> DataFrame:
+    """Rows (period, n, total, kind, num, count, last, near, current, longest, runs) of all numbers in each window, by one aggregate.
 
-    `current` is the open run, `longest` and `runs` (those of length 1 and more) count the
-    leading and the open one too. The runs of a window add up to n - count.
+    `current` is the open run of absence, `longest` and `runs` (those of length 1 and more) count the
+    leading and the open one too; `near` counts appearances beside a neighbour. The runs of a
+    window add up to n - count.
     """
-    app = windowed(appearances(draws), values)
-    run = F.col("pos") - F.coalesce("prev", F.col("start") - 1) - 1
-    closed = previous_positions(app, ["period", "kind", "num"]).withColumn("run", run)
-    closed = closed.groupBy("period", "kind", "num").agg(F.max("run").alias("__longest"), F.count_if(F.col("run") > 0).alias("__runs"))
-    got = dense_counts(draws, values).join(closed, ["period", "kind", "num"], "left")
-    current = F.when(F.col("last").isNull(), F.col("n")).otherwise(F.col("total") - 1 - F.col("last"))
-    got = got.withColumn("current", current)
-    return got.withColumn("longest", F.greatest(F.coalesce("__longest", F.lit(0)), "current")).withColumn("runs", F.coalesce("__runs", F.lit(0)) + (F.col("current") > 0).cast("long")).drop("__longest", "__runs")
+    # The appearance before is found once: a window only cuts it off at its start.
+    app = windowed(previous_positions(appearances(draws, near=True).drop("issue_num"), ["kind", "num"]), values)
+    app = app.withColumn("run", F.col("pos") - F.greatest(F.coalesce("prev", F.lit(-1)), F.col("start") - 1) - 1)
+    seen = app.groupBy("period", "kind", "num").agg(
+        F.count("*").alias("count"), F.max("pos").alias("last"), F.count_if("near").alias("near"), F.max("run").alias("longest"), F.count_if(F.col("run") > 0).alias("runs")
+    )
+    every = window_sizes(draws, values).crossJoin(F.broadcast(universe(draws.sparkSession)))
+    got = every.join(seen, ["period", "kind", "num"], "left").fillna(0, ["count", "near", "longest", "runs"])
+    got = got.withColumn("current", F.when(F.col("last").isNull(), F.col("n")).otherwise(F.col("total") - 1 - F.col("last")))
+    return got.withColumn("longest", F.greatest("longest", "current")).withColumn("runs", F.col("runs") + (F.col("current") > 0).cast("long"))
+
+
+def gaps(draws: DataFrame, values: Sequence[int] = PERIODS) -> DataFrame:
+    """Rows (period, n, kind, num, count, last, current, longest, runs): absences inside each window."""
+    return number_profiles(draws, values).drop("near")
