@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import Tables, new_path, stored
+
+__all__ = ["WORD", "Tables", "new_path", "partitions", "stored", "table", "text_of", "tokenizer_path", "whole_groups"]
+
 #: A word is a run of anything but the six ASCII white-space characters. (fixed value)
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -17,38 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a local one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="setloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        at = jvm.org.apache.hadoop.fs.Path(path)
-        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
-    except Exception:  # noqa: BLE001  the session may have ended: the folder's owner clears it then
-        pass
-
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder for one run's intermediate table; removed when the driver ends."""
-    path = f"{shared_dir(spark)}/setloom-{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """The frame written to the shared folder and read back: cuts lineage, survives lost executors."""
-    path = new_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -63,3 +36,26 @@ def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, text: int, most: int = 1_000_000) -> Iterator[pa.RecordBatch]:
+    """Batches of whole groups of neighbouring rows that share the first `keys` columns, of about `most` bytes in column `text`, or one group."""
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        rows = pa.Table.from_batches([*held, batch]).combine_chunks()
+        if not len(rows):
+            continue
+        columns = [rows.column(c).to_numpy() for c in range(keys)]
+        first = np.flatnonzero(np.r_[True, np.any([c[1:] != c[:-1] for c in columns], axis=0)])
+        size = np.cumsum(pc.fill_null(pc.binary_length(rows.column(text)), 0).to_numpy(), dtype=np.int64)
+        at, last = 0, int(first[-1])  # the last group may go on
+        while at < last:
+            upto = np.searchsorted(size, (size[at - 1] if at else 0) + most, "right")
+            behind = first[first > at]
+            fit = behind[behind <= upto]
+            to = int(fit[-1]) if len(fit) else int(behind[0])
+            yield from rows.slice(at, to - at).combine_chunks().to_batches()
+            at = to
+        held = rows.slice(last).to_batches()
+    if held:
+        yield from pa.Table.from_batches(held).combine_chunks().to_batches()

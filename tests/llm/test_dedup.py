@@ -147,6 +147,36 @@ def test_near_chains_and_thresholds(spark):
     assert listed(got, "doc_id", "n_shingles", "component_id", "kept") == groups(rows, 2, 80)
 
 
+#: Two words whose polynomial hashes modulo 2^64 agree for every odd base.
+EXCHANGED = ["a", "b"]
+for _ in range(11):
+    EXCHANGED = [EXCHANGED[0] + EXCHANGED[1], EXCHANGED[1] + EXCHANGED[0]]
+
+
+def test_words_that_polynomials_confuse(spark):
+    a, b = EXCHANGED
+    common = " ".join(f"c{k}" for k in range(49))
+    rows = [(1, f"{common} {a}"), (2, f"{common} {b}"), (3, f"{a} end"), (4, f"{b} end")]
+    got = near_dedup.near_duplicate_groups(frame(spark, rows[2:]), shingle=2, percent=80)
+    assert listed(got, "doc_id", "component_id") == [(3, 3), (4, 4)]
+    assert listed(substring_dedup.drop_repeated_passages(frame(spark, rows), window=50), "doc_id", "n_removed") == [(1, 0), (2, 0), (3, 0), (4, 0)]
+
+
+def test_near_groups_in_blocks(spark, monkeypatch):
+    """Many unlike texts with one passage, among them near copies that only the blocks of their bucket bring together."""
+    import random
+
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    rng, rows = random.Random(8), []
+    passage = prose(rng, 90)
+    for k in range(80):
+        own = prose(rng, 30)
+        rows += [(10 * k, f"{passage} {own}"), (10 * k + 1, f"{passage} {own} tail{k}")]
+    for shingle in (2, 5):
+        got = near_dedup.near_duplicate_groups(frame(spark, rows), shingle=shingle, percent=80)
+        assert listed(got, "doc_id", "n_shingles", "component_id", "kept") == groups(rows, shingle, 80)
+
+
 def test_near_copies_go(spark):
     docs = frame(spark)
     kept = near_dedup.drop_near_copies(docs)
