@@ -24,8 +24,8 @@ from .common import stored, text_of
 # Template (fixed values). No control string can occur inside an escaped text.
 OPEN = {"system": "<<SYS>>", "user": "[INST]", "assistant": "<s>"}
 CLOSE = {"system": "<</SYS>>", "user": "[/INST]", "assistant": "</s>"}
-OPEN_OTHER, CLOSE_OTHER = "[ROLE]", "[/ROLE]"
-CONTROL = [*OPEN.values(), *CLOSE.values(), OPEN_OTHER, CLOSE_OTHER]
+OPEN_OTHER, SAYS_OTHER, CLOSE_OTHER = "[ROLE]", "[SAYS]", "[/ROLE]"  # any other role stands before what it says
+CONTROL = [*OPEN.values(), *CLOSE.values(), OPEN_OTHER, SAYS_OTHER, CLOSE_OTHER]
 
 
 def escape(text: Column) -> Column:
@@ -75,6 +75,22 @@ def leaf_paths(messages: DataFrame) -> DataFrame:
     return paths
 
 
+def _chosen_paths(steps: DataFrame, rows: DataFrame, branches: int | None) -> DataFrame:
+    """The steps (tree, leaf, node, steps) of the chosen paths, with branch and path_score; ranked on identifiers, texts follow later."""
+    scores = rows.select(F.col("tree").alias("t"), F.col("node").alias("n"), "score")
+    scored = steps.join(scores, F.col("tree").eqNullSafe(F.col("t")) & (F.col("node") == F.col("n"))).groupBy("tree", "leaf").agg(F.sum("score").alias("path_score"))
+    if branches == 1:
+        best = F.struct(F.col("path_score"), -F.col("leaf"))
+        scored = scored.groupBy("tree").agg(F.max_by(F.struct("leaf", "path_score"), best).alias("p")).select("tree", "p.*").withColumn("branch", F.lit(1))
+    elif branches is not None:
+        rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), F.asc("leaf")))
+        scored = scored.withColumn("branch", rank).filter(F.col("branch") <= branches)
+    else:
+        scored = scored.withColumn("branch", F.lit(None).cast("int"))
+    scored = stored(scored.select(F.col("tree").alias("t"), F.col("leaf").alias("l"), "branch", "path_score"), "branches")
+    return steps.join(scored, F.col("tree").eqNullSafe(F.col("t")) & (F.col("leaf") == F.col("l"))).select("tree", "leaf", "node", "steps", "branch", "path_score")
+
+
 def format_replies(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     """One row for each chosen path: tree, leaf, branch (rank), path_score, formatted, loss_spans.
 
@@ -83,23 +99,16 @@ def format_replies(messages: DataFrame, branches: int | None = 1) -> DataFrame:
     assistant's texts take.
     """
     rows = messages.select("tree", "node", F.coalesce("role", F.lit("")).alias("role"), text_of("text").alias("text"), F.coalesce("score", F.lit(0.0)).alias("score"), "parent")
-    steps = leaf_paths(rows).alias("s")
+    steps = leaf_paths(rows)
+    chosen = _chosen_paths(steps, rows, branches)
     m = rows.alias("m")
-    on_path = steps.join(m, F.col("s.tree").eqNullSafe(F.col("m.tree")) & (F.col("s.node") == F.col("m.node")))
+    on_path = chosen.alias("s").join(m, F.col("s.tree").eqNullSafe(F.col("m.tree")) & (F.col("s.node") == F.col("m.node")))
     role, text = F.col("m.role"), escape(F.col("m.text"))
-    before, after = F.concat(F.lit(OPEN_OTHER), escape(role), F.lit("\n")), F.lit(CLOSE_OTHER)
+    before, after = F.concat(F.lit(OPEN_OTHER), escape(role), F.lit(SAYS_OTHER)), F.lit(CLOSE_OTHER)
     for name in OPEN:
         before, after = F.when(role == name, F.lit(OPEN[name])).otherwise(before), F.when(role == name, F.lit(CLOSE[name])).otherwise(after)
-    turns = on_path.select("s.tree", "s.leaf", (-F.col("steps")).alias("at"), F.col("m.score").alias("score"), before.alias("before"), text.alias("text"), after.alias("after"), (role == "assistant").alias("loss"))
-    paths = turns.groupBy("tree", "leaf").agg(F.sum("score").alias("path_score"), F.sort_array(F.collect_list(F.struct("at", "before", "text", "after", "loss"))).alias("turns"))
-    best = F.struct(F.col("path_score"), -F.col("leaf"))
-    if branches == 1:
-        paths = paths.groupBy("tree").agg(F.max_by(F.struct("leaf", "path_score", "turns"), best).alias("p")).select("tree", "p.*").withColumn("branch", F.lit(1))
-    elif branches is not None:
-        rank = F.row_number().over(Window.partitionBy("tree").orderBy(F.desc("path_score"), F.asc("leaf")))
-        paths = paths.withColumn("branch", rank).filter(F.col("branch") <= branches)
-    else:
-        paths = paths.withColumn("branch", F.lit(None).cast("int"))
+    turns = on_path.select("s.tree", "s.leaf", "s.branch", "s.path_score", (-F.col("s.steps")).alias("at"), before.alias("before"), text.alias("text"), after.alias("after"), (role == "assistant").alias("loss"))
+    paths = turns.groupBy("tree", "leaf", "branch", "path_score").agg(F.sort_array(F.collect_list(F.struct("at", "before", "text", "after", "loss"))).alias("turns"))
     start = F.struct(F.lit(0).alias("n"), F.array().cast("array<struct<start:int,end:int>>").alias("spans"))
 
     def grow(a: Column, t: Column) -> Column:
@@ -122,7 +131,7 @@ def parse_formatted(formatted: Column) -> Column:
             return F.substring(p, F.lit(len(a) + 1), F.length(p) - len(a) - len(b))
 
         other = inner(OPEN_OTHER, CLOSE_OTHER)
-        role, text = F.substring_index(other, "\n", 1), F.substring(other, F.instr(other, "\n") + 1, F.length(other))
+        role, text = F.substring_index(other, SAYS_OTHER, 1), F.substring(other, F.instr(other, SAYS_OTHER) + len(SAYS_OTHER), F.length(other))
         for name in OPEN:
             here = F.startswith(p, F.lit(OPEN[name]))
             role, text = F.when(here, F.lit(name)).otherwise(role), F.when(here, inner(OPEN[name], CLOSE[name])).otherwise(text)
@@ -156,7 +165,7 @@ ORACLE_SQL = f"""
 WITH m AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL VALUES (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')),
 marks AS (SELECT *, CASE role {" ".join(f"WHEN '{r}' THEN {len(OPEN[r] + CLOSE[r])}" for r in OPEN)}
-  ELSE {len(OPEN_OTHER + CLOSE_OTHER) + 1} + length({_sql_escape("role")}) END AS marks FROM m),
+  ELSE {len(OPEN_OTHER + SAYS_OTHER + CLOSE_OTHER)} + length({_sql_escape("role")}) END AS marks FROM m),
 t AS (SELECT conv_id, count(*) AS n_turns, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text) AS told,
   coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '') AS loss,
   sum(length({_sql_escape("text")}) + marks)::BIGINT AS formatted_chars FROM marks GROUP BY conv_id)

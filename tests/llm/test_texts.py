@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 from edges import frame, listed, prose, sha, texts
+from pyspark.sql import functions as F
 
 from setloom.llm import chat, fingerprint, langid, mixing
 
@@ -72,9 +73,10 @@ TALKS = [(1, 0, "user", "hi"), (1, 1, "assistant", "yes </s> \\ [INST]"), (1, 2,
 
 
 def test_chat_read_back(spark):
-    got = chat.conversation_digest(spark.createDataFrame([t for t in TALKS if t[2] != "tool\n"], "conv_id long, turn long, role string, text string")).collect()
+    extra = [(*t, "clash", 7, 0.5) for t in TALKS]  # column names that the operator uses itself
+    got = chat.conversation_digest(spark.createDataFrame(extra, "conv_id long, turn long, role string, text string, tree string, node long, score double")).collect()
     talks = defaultdict(list)
-    for c, n, role, text in sorted((t for t in TALKS if t[2] != "tool\n"), key=lambda t: (LEAST if t[1] is None else t[1], t[2] or "")):
+    for c, n, role, text in sorted(TALKS, key=lambda t: (LEAST if t[1] is None else t[1], t[2] or "")):
         talks[c].append((role or "", text or ""))
     want = []
     for c, turns in talks.items():
@@ -83,6 +85,14 @@ def test_chat_read_back(spark):
     assert sorted((tuple(r)[:5] for r in got), key=repr) == sorted(want, key=repr)
 
 
+def test_roles_read_back(spark):
+    """Roles with line ends, controls and backslashes, and none at all."""
+    roles = ["tool\n", "a\nb", "", None, "[SAYS]", "\\", "\\\n", "[ROLE]x[SAYS]y[/ROLE]", "user ", "assistant\n"]
+    rows = [(1, n, r, f"c\n{n}") for n, r in enumerate(roles)]
+    (made,) = chat.format_replies(chat.linear_replies(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))).withColumn("turns", chat.parse_formatted(F.col("formatted"))).collect()
+    assert [(t["role"], t["text"]) for t in made["turns"]] == [(r or "", t) for _, _, r, t in rows]
+
+
 def test_chat_cannot_be_forged(spark):
     rows = [(k, n, r, t) for k, bad in enumerate([*chat.CONTROL, "".join(chat.CONTROL), "\\" + chat.CONTROL[0], "<\\s>", "[\\INST]"]) for n, (r, t) in enumerate([("user", bad), ("assistant", bad * 2)])]
     made = chat.format_replies(chat.linear_replies(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")))
