@@ -1,19 +1,21 @@
-"""Substring dedup by the nodes of a prefix-partitioned suffix tree.
+"""Substring dedup by prefix-partitioned suffix trees.
 
-A suffix begins at each word. All that matters of it is the tree node at depth `window`
-words: suffixes that share it repeat a window. The tree is split by shorter prefixes first and
-grown only where a prefix is shared by documents:
+A suffix begins at each word. What repeats a window is a node of the suffixes' tree at depth
+`window` or deeper that documents share. The tree is never held whole:
 
 1. Documents with the same words are one from then on; of copies all but the first go whole.
-2. Of each window the least hash of its `prefix`-word runs is its mark. Equal windows have
-   equal marks, and a document has about two for every window's length of words. A mark of
-   one document is a leaf, and all windows under it are done.
-3. The windows under shared marks are extended to full depth. Nodes are rows keyed by 128
-   bits over all words of the window; each keeps its smallest document.
-4. Windows whose node has a smaller document are repeats; the words that they cover go.
-
-Nodes are aggregated before they are shuffled and joined back, so a passage that most
-documents share makes no group in memory, as a subtree held in one task would.
+2. Suffixes are split by prefixes of `prefix` words. A window is dealt to the prefix with the least hash
+   among those of its inner suffixes, its mark: equal windows have equal marks, and neighbouring
+   windows mostly share one, so a document has about two marks for every window's length of words.
+   A mark of one document is a leaf, and all windows under it are done.
+3. The fragments of text under a shared mark are its group. A group within `most_words` is one subtree in
+   one task: positions are named by the words behind them, over twice as many words in each
+   round, and branches with one position are cut, until what is left are the inner nodes at the depth
+   of a window. A node whose least document isn't a position's own is a repeat there; neighbouring ones
+   make one maximal repeat.
+4. Longer groups (a passage of very many documents) don't fit: their prefixes grow to the whole window, by 128
+   bits over its words. All that such a node needs is its smallest document, which is aggregated before
+   it is shuffled, so no task holds the group.
 
 Defined results: null text has no words; a null identifier comes before all others, and rows
 that repeat an identifier don't remove words of each other; texts of fewer words than
@@ -32,10 +34,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import stored, text_of
+from .common import Tables, text_of, whole_groups
 from .wordhash import Words, runs, slices
 
 _LEAST = -(2**63)
+#: Words of a group that one task holds as a subtree.
+MOST_WORDS = 250_000
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -74,8 +78,19 @@ def _windows(words: Words, window: int, prefix: int) -> tuple[np.ndarray, np.nda
     return h, at, marks[at], of[at]
 
 
+def _fragments(at: np.ndarray, mark: np.ndarray, of: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of neighbouring windows that share a mark: where the first stands in the list, and how many words they span."""
+    new = np.ones(len(at), bool)
+    new[1:] = (mark[1:] != mark[:-1]) | (of[1:] != of[:-1])
+    first = np.flatnonzero(new)
+    return first, np.diff(np.r_[first, len(at)]) - 1 + window
+
+
+_MARKS = "array<struct<mark:long,words:long>>"
+
+
 def _scanned(docs: DataFrame, id_col: str, text_col: str, window: int, prefix: int) -> DataFrame:
-    """Rows (id, key, n, sha, marks): number of words, digest of the words, the marks of all windows."""
+    """Rows (id, key, n, sha, marks): number of words, digest of the words, the marks of all windows with the words under each."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("id"), F.xxhash64(text_of(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,80 +100,175 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str, window: int, prefix: i
                 raw, begin = _joined(words)
                 view = memoryview(raw)
                 sha = [hashlib.sha256(view[a : max(a, b - 1)]).digest() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
-                _, _, mark, of = _windows(words, window, prefix)
+                _, at, mark, of = _windows(words, window, prefix)
+                first, span = _fragments(at, mark, of, window)
+                mark, of = mark[first], of[first]
                 order = np.lexsort((mark, of))
-                mark, of = mark[order], of[order]
+                mark, of, span = mark[order], of[order], span[order]
                 new = np.ones(len(mark), bool)
                 new[1:] = (mark[1:] != mark[:-1]) | (of[1:] != of[:-1])
-                counts = np.bincount(of[new], minlength=len(batch))
-                lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), pa.array(mark[new], pa.int64()))
+                each = np.flatnonzero(new)
+                total = np.add.reduceat(span, each) if len(each) else span
+                offsets = pa.array(np.r_[0, np.cumsum(np.bincount(of[each], minlength=len(batch)))], pa.int32())
+                marks = pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(mark[each], pa.int64()), pa.array(total, pa.int64())], names=["mark", "words"]))
                 n = pa.array(np.diff(words.offset), pa.int64())
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pa.array(sha, pa.binary()), lists], names=["id", "key", "n", "sha", "marks"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), n, pa.array(sha, pa.binary()), marks], names=["id", "key", "n", "sha", "marks"])
 
-    return rows.mapInArrow(run, "id long, key long, n long, sha binary, marks array<long>")
+    return rows.mapInArrow(run, f"id long, key long, n long, sha binary, marks {_MARKS}")
 
 
-def _open_windows(texts: DataFrame, window: int, prefix: int) -> DataFrame:
-    """Rows (id, key, at, w1, w2): windows of (id, key, text, marks) under one of the given marks."""
+def _suffixes(texts: DataFrame, window: int, prefix: int) -> DataFrame:
+    """Rows (mark, id, key, at, text, w1, w2) of (id, key, text, marks): fragments of text under the given marks, or the single windows of wide ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, 2, 1_000_000):
+            for batch in slices(whole, 2):
                 words = Words(batch.column(2))
                 h, at, mark, of = _windows(words, window, prefix)
+                first, span = _fragments(at, mark, of, window)
                 lists = batch.column(3)
-                given = np.diff(lists.offsets.to_numpy())
-                owner = np.repeat(np.arange(len(batch)), given)
-                wanted = lists.values.to_numpy(zero_copy_only=False)[lists.offsets[0].as_py() : lists.offsets[len(batch)].as_py()]
-                # Sets of marks by document: one sorted array of marks mixed with their document.
-                salt = np.uint64(0x9E3779B97F4A7C15)
-                wanted = np.sort(wanted.view(np.uint64) ^ (owner.astype(np.uint64) * salt))
-                mine = mark.view(np.uint64) ^ (of.astype(np.uint64) * salt)
+                given = lists.flatten()
+                owner = np.repeat(np.arange(len(batch)), np.diff(lists.offsets.to_numpy()))
+                # Marks by document: one sorted array of pairs.
+                wanted = np.zeros(len(given), [("of", np.int64), ("mark", np.int64)])
+                wanted["of"], wanted["mark"] = owner, given.field(0).to_numpy()
+                order = np.argsort(wanted)
+                wanted, wide = wanted[order], np.asarray(given.field(1).to_numpy(zero_copy_only=False), bool)[order]
+                mine = np.zeros(len(first), wanted.dtype)
+                mine["of"], mine["mark"] = of[first], mark[first]
                 place = np.minimum(np.searchsorted(wanted, mine), max(0, len(wanted) - 1))
                 hit = wanted[place] == mine if len(wanted) else np.zeros(len(mine), bool)
-                at, of = at[hit], of[hit]
-                w1, w2 = runs(h, window)[at], runs(words.hashes(1), window, 1)[at]
-                ids = [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[of], pa.int64()) for c in (0, 1)]
-                rest = [pa.array((at - words.offset[of]).astype(np.int32)), *(pa.array(w.view(np.int64)) for w in (w1, w2))]
-                yield pa.RecordBatch.from_arrays([*ids, *rest], names=["id", "key", "at", "w1", "w2"])
+                is_wide = hit & wide[place] if len(wanted) else hit
+                yield _rows(batch, words, mark, at, of, *_texts_of(words, at[first], span, hit & ~is_wide), first[hit & ~is_wide])
+                every = np.repeat(is_wide, span + 1 - window)
+                if every.any():
+                    w1, w2 = runs(h, window)[at[every]], runs(words.hashes(1), window, 1)[at[every]]
+                    yield _rows(batch, words, mark, at, of, None, (w1, w2), np.flatnonzero(every))
+
+    return texts.mapInArrow(run, "mark long, id long, key long, at int, text string, w1 long, w2 long")
+
+
+def _texts_of(words: Words, start: np.ndarray, span: np.ndarray, chosen: np.ndarray) -> tuple[pa.Array, None]:
+    """The text of each chosen fragment, its words as they stand."""
+    a, b = words.start[start[chosen]], words.end[start[chosen] + span[chosen] - 1]
+    raw = words.raw.tobytes()
+    return pa.array([raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist())], pa.string()), None
+
+
+def _rows(batch: pa.RecordBatch, words: Words, mark: np.ndarray, at: np.ndarray, of: np.ndarray, texts: pa.Array | None, hashes: tuple[np.ndarray, np.ndarray] | None, place: np.ndarray) -> pa.RecordBatch:
+    own = of[place]
+    ids = [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[own], pa.int64()) for c in (0, 1)]
+    start = pa.array((at[place] - words.offset[own]).astype(np.int32))
+    text = pa.nulls(len(place), pa.string()) if texts is None else texts
+    pair = [pa.nulls(len(place), pa.int64())] * 2 if hashes is None else [pa.array(x.view(np.int64)) for x in hashes]
+    return pa.RecordBatch.from_arrays([pa.array(mark[place]), *ids, start, text, *pair], names=["mark", "id", "key", "at", "text", "w1", "w2"])
+
+
+def _named(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Names of pairs of names, from 0, and which pairs stand at more than one place."""
+    _, name, times = np.unique(high * (int(low.max(initial=0)) + 1) + low, return_inverse=True, return_counts=True)
+    return name, times[name] > 1
+
+
+def repeated_in_groups(group: np.ndarray, document: np.ndarray, words: Words, window: int) -> np.ndarray:
+    """Places of words whose window, inside their text, also begins in a text of the same group with a smaller document.
+
+    The subtrees of all groups down to the depth of a window: after each round a position is named
+    by group and words behind it, so positions of one name are below one node.
+    """
+    offset, count = words.offset, np.diff(words.offset)
+    of = np.repeat(np.arange(len(count)), count)
+    end = offset[1:][of]
+    _, word = np.unique(words.hashes(), return_inverse=True)
+    _, own = np.unique(group, return_inverse=True)
+    name = np.full(len(of), -1)
+    left = np.arange(len(of))
+    name[left], shared = _named(own[of], word)
+    depth = 1
+    while True:
+        left = left[shared]  # a position alone under its name is a leaf
+        step = min(depth, window - depth)
+        if not step or not len(left):
+            break
+        inside = np.zeros(len(of), bool)
+        inside[left] = True
+        left = left[left + step + depth <= end[left]]
+        left = left[inside[left + step]]
+        pairs = name[left], name[left + step]
+        name[left], shared = _named(*pairs)
+        depth += step
+    if not len(left):
+        return left
+    order = np.argsort(name[left], kind="stable")
+    node, whose = name[left][order], document[of[left]][order]
+    first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+    least = np.repeat(np.minimum.reduceat(whose, first), np.diff(np.r_[first, len(node)]))
+    return np.sort(left[order][whose > least])
+
+
+def _subtrees(fragments: DataFrame, window: int) -> DataFrame:
+    """Rows (id, key, at, n): n neighbouring windows from word `at` on that repeat; of fragments (mark, id, key, at, text)."""
+    groups = fragments.repartition("mark").sortWithinPartitions("mark")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in whole_groups(batches, 1, 4):
+            mark, ids, key, at = (batch.column(c).to_numpy() for c in range(4))
+            words = Words(batch.column(4))
+            found = repeated_in_groups(mark, ids, words, window)
+            of = np.searchsorted(words.offset, found, "right") - 1
+            first = np.flatnonzero(np.r_[True, (found[1:] != found[:-1] + 1) | (of[1:] != of[:-1])]) if len(found) else found
+            n = np.diff(np.r_[first, len(found)])
+            own = of[first]
+            start = at[own] + (found[first] - words.offset[own])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[own]), pa.array(key[own]), pa.array(start.astype(np.int32)), pa.array(n.astype(np.int32))], names=["id", "key", "at", "n"])
 
-    return texts.mapInArrow(run, "id long, key long, at int, w1 long, w2 long")
+    return groups.mapInArrow(run, "id long, key long, at int, n int")
 
 
-def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, prefix: int = 8) -> DataFrame:
-    """Rows (id, key, whole, starts) of documents with repeats: `whole` if it copies an earlier one, else the first words of its repeated windows.
+def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, prefix: int = 8, most_words: int = MOST_WORDS) -> DataFrame:
+    """Rows (id, key, whole, repeats) of documents with repeats: `whole` if it copies an earlier one, else (at, n) of the windows that repeat.
 
     `key` is xxhash64 of the text, a null identifier is -2^63.
     """
     if not 1 <= prefix <= window:
         raise ValueError("1 <= prefix <= window")
-    scanned = stored(_scanned(docs, id_col, text_col, window, prefix).filter(F.col("n") >= window), "marks")
-    once = stored(scanned.groupBy("sha").agg(F.min("id").alias("first")), "texts-once")
-    copies = scanned.select("id", "key", "sha").join(once.select("sha", "first"), "sha").filter("id > first").select("id", "key").distinct()
+    tables = Tables()
+    scanned = tables.stored(_scanned(docs, id_col, text_col, window, prefix).filter(F.col("n") >= window), "marks")
+    once = tables.stored(scanned.groupBy("sha").agg(F.min("id").alias("first")), "texts-once")
+    copies = tables.stored(scanned.select("id", "key", "sha").join(once.select("sha", "first"), "sha").filter("id > first").select("id", "key").distinct(), "copies")
     # One row stands for all rows of the same words: the first identifier, with the text of one of its rows.
     firsts = scanned.join(once.select("sha", F.col("first").alias("id")), ["sha", "id"])
-    firsts = stored(firsts.groupBy("sha", "id").agg(F.min("key").alias("key"), F.collect_set("key").alias("keys"), F.any_value("marks").alias("marks")).drop("sha"), "firsts")
-    each = firsts.select("id", "key", F.explode("marks").alias("mark"))
-    shared = stored(each.groupBy("mark").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("mark"), "shared-marks")
-    opened = each.join(shared, "mark").groupBy("id", "key").agg(F.collect_set("mark").alias("marks"))
+    firsts = tables.stored(firsts.groupBy("sha", "id").agg(F.min("key").alias("key"), F.collect_set("key").alias("keys"), F.any_value("marks").alias("marks")).drop("sha"), "firsts")
+    tables.drop(scanned, once)
+    each = firsts.select("id", "key", F.explode("marks").alias("m")).select("id", "key", "m.mark", "m.words")
+    shared = each.groupBy("mark").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.sum("words").alias("words")).filter("lo < hi")
+    shared = tables.stored(shared.select("mark", (F.col("words") > most_words).alias("wide")), "shared-marks")
+    opened = each.join(shared, "mark").groupBy("id", "key").agg(F.collect_set(F.struct("mark", "wide")).alias("marks"))
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("id"), F.xxhash64(text_of(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
     texts = rows.join(opened, ["id", "key"]).select("id", "key", "text", "marks")
-    windows = stored(_open_windows(texts, window, prefix), "windows")
+    suffixes = tables.stored(_suffixes(texts, window, prefix), "suffixes")
+    tables.drop(shared)
+    fragments = suffixes.filter(F.col("text").isNotNull()).select("mark", "id", "key", "at", "text")
+    windows = suffixes.filter(F.col("text").isNull()).select("id", "key", "at", "w1", "w2")
     # Written, so that the join back is one of two plain shuffles, whose hot keys Spark can split.
-    nodes = stored(windows.groupBy("w1", "w2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("w1", "w2", "lo"), "nodes")
-    repeats = windows.join(nodes, ["w1", "w2"]).filter("id > lo").groupBy("id", "key").agg(F.collect_set("at").alias("starts"))
+    nodes = tables.stored(windows.groupBy("w1", "w2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("w1", "w2", "lo"), "nodes")
+    of_nodes = windows.join(nodes, ["w1", "w2"]).filter("id > lo").select("id", "key", "at", F.lit(1).alias("n"))
+    found = tables.stored(_subtrees(fragments, window).unionByName(of_nodes), "repeats")
+    tables.drop(suffixes, nodes)
+    repeats = tables.stored(found.groupBy("id", "key").agg(F.collect_set(F.struct("at", "n")).alias("repeats")), "repeats-once")
+    tables.drop(found)
     # Rows of one identifier whose texts differ only in white space have the same repeats.
     same = firsts.filter(F.size("keys") > 1)
-    others = same.select("id", "key", F.explode("keys").alias("other")).filter("other != key").join(repeats, ["id", "key"]).select("id", F.col("other").alias("key"), "starts")
-    partial = repeats.unionByName(others).select("id", "key", F.lit(False).alias("whole"), "starts")
-    return partial.unionByName(copies.select("id", "key", F.lit(True).alias("whole"), F.lit(None).cast("array<int>").alias("starts")))
+    others = same.select("id", "key", F.explode("keys").alias("other")).filter("other != key").join(repeats, ["id", "key"]).select("id", F.col("other").alias("key"), "repeats")
+    partial = repeats.unionByName(others).select("id", "key", F.lit(False).alias("whole"), "repeats")
+    return partial.unionByName(copies.select("id", "key", F.lit(True).alias("whole"), F.lit(None).cast("array<struct<at:int,n:int>>").alias("repeats")))
 
 
-def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, prefix: int = 8) -> DataFrame:
+def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50, prefix: int = 8, most_words: int = MOST_WORDS) -> DataFrame:
     """`docs` with n_words, n_removed and kept_text (the remaining words joined by one space)."""
     names = ("n_words", "n_removed", "kept_text")
     rows = docs.select(*[c for c in docs.columns if c not in names])
-    found = repeated_windows(docs, id_col, text_col, window, prefix).toDF("__sd_id", "__sd_key", "__sd_whole", "__sd_starts")
+    found = repeated_windows(docs, id_col, text_col, window, prefix, most_words).toDF("__sd_id", "__sd_key", "__sd_whole", "__sd_repeats")
     own = F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)) == F.col("__sd_id")
     joined = rows.join(found, own & (F.xxhash64(text_of(text_col)) == F.col("__sd_key")), "left").drop("__sd_id", "__sd_key")
     at, n, out = rows.columns.index(text_col), len(rows.columns), [*rows.columns, *names]
@@ -172,11 +282,12 @@ def drop_repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: st
                 whole = np.array([bool(x) for x in batch.column(n).to_pylist()])
                 lists = batch.column(n + 1)
                 counts = np.fromiter((len(x) if x.is_valid else 0 for x in lists), np.int64, len(batch))
-                starts = np.concatenate([lists.flatten().to_numpy(zero_copy_only=False), np.zeros(0, np.int32)]).astype(np.int64)
-                first = starts + np.repeat(offset[:-1], counts)
+                repeats = lists.flatten()
+                first = repeats.field(0).to_numpy(zero_copy_only=False).astype(np.int64) + np.repeat(offset[:-1], counts)
+                last = first + repeats.field(1).to_numpy(zero_copy_only=False) - 1 + window
                 step = np.zeros(int(offset[-1]) + 1, np.int64)
                 np.add.at(step, first, 1)
-                np.add.at(step, np.minimum(first + window, offset[-1]), -1)
+                np.add.at(step, np.minimum(last, offset[-1]), -1)
                 gone = (np.cumsum(step)[:-1] > 0) | np.repeat(whole, np.diff(offset))
                 raw, begin = _joined(words, ~gone)
                 kept = [raw[a : max(a, b - 1)].decode() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
