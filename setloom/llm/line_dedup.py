@@ -1,10 +1,12 @@
 """Line dedup by winnowing.
 
 Each window of `min_lines` lines selects the smallest hash of the line groups in it (winnowing),
-so equal windows select equal fingerprints at equal places. Fingerprints selected at more than
-one place are joined back to their positions; each such match is extended to both sides over
-all windows that it stands for, compared by 128 bits over all their lines. A window that also
-starts earlier, in document order, is a repeat, and the lines it covers go. With `min_words`
+so equal windows select equal fingerprints at equal places. Only selected fingerprints are
+stored, with their positions and the line hashes around them. Those selected at more than
+one position are joined back to all their positions, and each such match is extended to both
+sides, line by line, over the windows that hold the fingerprint, compared by 128 bits over all
+their lines. A window that also starts earlier, in document order, is a repeat, and the lines it covers
+go; longer matches are chains of such windows. With `min_words`
 runs of fewer than `min_lines` lines count too if they have that many words; these are few, and are grouped
 by 128 bits without winnowing.
 
@@ -20,47 +22,55 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, stored, text_of
+from .common import WORD, Tables, stored, text_of
 
 
-def _windows(docs: DataFrame, id_col: str, text_col: str, min_lines: int, group: int) -> DataFrame:
-    """Rows (id, key, at, mark, mark_at, w1, w2): each window of lines, its fingerprint and where that is."""
+def _selected(docs: DataFrame, id_col: str, text_col: str, min_lines: int, group: int) -> DataFrame:
+    """Rows (id, key, at, mark, begin, lines): each selected fingerprint, its place, and the lines around it from line `begin` on."""
     per_mark = min_lines - group + 1
     text = text_of(text_col)
     lines = F.split(text, "\n", -1)
     hashed = docs.select(
         F.col(id_col).alias("id"),
         F.xxhash64(text).alias("key"),
-        F.transform(lines, lambda x: F.xxhash64(x)).alias("a"),
-        F.transform(lines, lambda x: F.xxhash64(F.lit(1), x)).alias("b"),
-    ).filter(F.size("a") >= min_lines)
+        F.transform(lines, lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit(1), x).alias("b"))).alias("lines"),
+    ).filter(F.size("lines") >= min_lines)
+    grams = F.transform(F.sequence(F.lit(0), F.size("lines") - group), lambda i: F.xxhash64(*[F.get(F.col("lines"), i + j)["a"] for j in range(group)]))
 
-    def joined(name: str, at: Column, n: int) -> Column:
-        return F.xxhash64(*[F.get(F.col(name), at + j) for j in range(n)])
+    def least(at: Column) -> Column:
+        marks = [F.struct(F.get(F.col("grams"), at + j).alias("mark"), (-at - j).alias("back")) for j in range(per_mark)]
+        return F.least(*marks) if per_mark > 1 else marks[0]
 
-    grams = F.transform(F.sequence(F.lit(0), F.size("a") - group), lambda i: joined("a", i, group))
+    chosen = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("lines") - min_lines), least))
+    each = hashed.withColumn("grams", grams).select("id", "key", "lines", F.explode(chosen).alias("m")).select("id", "key", "lines", "m.mark", (-F.col("m.back")).alias("at"))
+    each = each.withColumn("begin", F.greatest(F.col("at") - (per_mark - 1), F.lit(0)))
+    return each.select("id", "key", "at", "mark", "begin", F.slice("lines", F.col("begin") + 1, F.col("at") + min_lines - F.col("begin")).alias("lines"))
 
-    def window(at: Column) -> Column:
-        marks = [F.struct(F.get(F.col("grams"), at + j).alias("mark"), (-at - j).alias("back")) for j in range(per_mark)]
-        least = F.least(*marks) if per_mark > 1 else marks[0]
-        return F.struct(at.alias("at"), least.alias("least"), joined("a", at, min_lines).alias("w1"), joined("b", at, min_lines).alias("w2"))
 
-    each = hashed.withColumn("grams", grams).select("id", "key", F.explode(F.transform(F.sequence(F.lit(0), F.size("a") - min_lines), window)).alias("w"))
-    return each.select("id", "key", "w.at", F.col("w.least.mark").alias("mark"), (-F.col("w.least.back")).alias("mark_at"), "w.w1", "w.w2")
+def _extended(matched: DataFrame, min_lines: int) -> DataFrame:
+    """Rows (id, key, at, w1, w2): the windows of lines that hold a matched fingerprint."""
+
+    def window(i: Column) -> Column:
+        own = [F.get(F.col("lines"), i + j) for j in range(min_lines)]
+        return F.struct((F.col("begin") + i).alias("at"), F.xxhash64(*[x["a"] for x in own]).alias("w1"), F.xxhash64(*[x["b"] for x in own]).alias("w2"))
+
+    each = F.transform(F.sequence(F.lit(0), F.size("lines") - min_lines), window)
+    return matched.select("id", "key", F.explode(each).alias("w")).select("id", "key", "w.at", "w.w1", "w.w2")
 
 
 def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, group: int = 2) -> DataFrame:
     """Rows (id, key, at): windows of lines whose content also starts earlier."""
     if not 1 <= group <= min_lines:
         raise ValueError("1 <= group <= min_lines")
-    windows = stored(_windows(docs, id_col, text_col, min_lines, group), "windows")
-    place = F.struct("id", "key", "mark_at")
-    marks = windows.groupBy("mark").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last")).select("mark")
-    marks = stored(marks, "marks")  # so that the join back is one of two plain shuffles, whose hot keys Spark can split
-    matched = windows.join(marks, "mark")
-    start = F.struct("id", "key", "at")
-    firsts = matched.groupBy("w1", "w2").agg(F.min(start).alias("first"), F.max(start).alias("last")).filter(F.col("first") != F.col("last")).select("w1", "w2", "first")
-    return matched.join(stored(firsts, "firsts"), ["w1", "w2"]).filter(start > F.col("first")).select("id", "key", "at")
+    tables = Tables()
+    selected = tables.stored(_selected(docs, id_col, text_col, min_lines, group), "fingerprints")
+    place = F.struct("id", "key", "at")
+    marks = selected.groupBy("mark").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last")).select("mark")
+    marks = tables.stored(marks, "marks")  # so that the join back is one of two plain shuffles, whose hot keys Spark can split
+    windows = tables.stored(_extended(selected.join(marks, "mark"), min_lines), "windows")
+    tables.drop(selected, marks)
+    firsts = windows.groupBy("w1", "w2").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter(F.col("first") != F.col("last")).select("w1", "w2", "first")
+    return windows.join(tables.stored(firsts, "firsts"), ["w1", "w2"]).filter(place > F.col("first")).select("id", "key", "at")
 
 
 def repeated_short_runs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_lines: int = 3, min_words: int = 50) -> DataFrame:

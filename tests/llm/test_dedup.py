@@ -74,6 +74,40 @@ def test_passages(spark, window):
     assert "lang" in got.columns and got.columns.count("n_words") == 1
 
 
+@pytest.mark.parametrize("most_words", [1, 400])
+def test_passages_in_groups_beyond_memory(spark, most_words):
+    """Prefixes that grow to the whole window, for all groups or for the longer ones."""
+    got = substring_dedup.drop_repeated_passages(frame(spark), window=50, most_words=most_words)
+    assert listed(got, "doc_id", "n_words", "n_removed", "kept_text") == passages(texts(), 50)
+
+
+def test_subtrees_by_hand():
+    import numpy as np
+    import pyarrow as pa
+
+    from setloom.llm.wordhash import Words
+
+    texts_ = ["a b c d e", "x a b c d", "a b c q", "b c d e", "a b c d e"]
+    found = substring_dedup.repeated_in_groups(np.array([1, 1, 1, 1, 2]), np.array([5, 7, 6, 9, 8]), Words(pa.array(texts_)), 3)
+    # abc: first in 5, again in 7 and 6; bcd: first in 5, again in 7 and 9; cde: first in 5, again in 9. Group 2 stands alone.
+    assert found.tolist() == [6, 7, 10, 14, 15]
+
+
+def test_repeated_rows_keep_their_lines(spark):
+    text = "a\nb\nc\nd"
+    got = line_dedup.drop_repeated_lines(frame(spark, [(1, text), (1, text), (2, text), (None, "a\nb\nc")]))
+    assert listed(got, "doc_id", "n_removed") == sorted([(1, 3), (1, 3), (2, 4), (None, 0)], key=repr)
+    got = line_dedup.drop_repeated_lines(frame(spark, [(1, text), (1, text), (2, text)]))
+    assert listed(got, "doc_id", "n_removed") == [(1, 0), (1, 0), (2, 4)]
+
+
+@pytest.mark.parametrize("n,group", [(1, 1), (2, 1), (4, 2), (5, 5)])
+def test_lines_of_other_windows(spark, n, group):
+    rows = list(dict.fromkeys(texts()))
+    got = line_dedup.drop_repeated_lines(frame(spark, rows), min_lines=n, group=group)
+    assert listed(got, "doc_id", "n_lines", "n_removed", "kept_text") == lines(rows, n)
+
+
 def lines(rows, n):
     ordered = sorted(rows, key=lambda r: low(r[0]))
     first, out = {}, []
