@@ -18,7 +18,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import partitions, text_of
+from .common import partitions, stored, text_of
 
 _TEXT, _HASH, _SHA, _HEAD, _SALT, _PARTS, _HKEEP, _HSIZE = (f"__xd_{x}" for x in ("text", "hash", "sha", "head", "salt", "parts", "hot_keep", "hot_size"))
 _KEEP, _SIZE, _RANK = "__xd_keep", "__xd_size", "__xd_rank"
@@ -32,8 +32,9 @@ def _sorted(docs: DataFrame, id_col: str, text_col: str, keep: str, normalise: C
     rows = docs.withColumn(_TEXT, normalise(text) if normalise else text).withColumn(_HASH, F.xxhash64(_TEXT)).withColumn(_SHA, F.sha2(_TEXT, 256))
     # At most 4 n hashes can have total / 4 n rows each, so what is broadcast has n rows times a constant.
     n = partitions(docs.sparkSession)
-    limit = max(2, -(-docs.count() // (4 * n)))
-    frequent = docs.select(F.xxhash64(normalise(text) if normalise else text).alias(_HASH)).groupBy(_HASH).count().filter(F.col("count") >= limit).select(_HASH)
+    counts = stored(docs.select(F.xxhash64(normalise(text) if normalise else text).alias(_HASH)).groupBy(_HASH).count(), "hash-counts")
+    limit = max(2, -(-(counts.agg(F.sum("count")).first()[0] or 0) // (4 * n)))
+    frequent = counts.filter(F.col("count") >= limit).select(_HASH)
     hot = (
         rows.join(F.broadcast(frequent), _HASH, "left_semi")
         .groupBy(_HASH, _SHA, _TEXT)

@@ -16,10 +16,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import stored, text_of
 
-#: Rates of at most so many sources are broadcast; beyond that they are joined by a shuffle.
-BROADCAST_SOURCES = 20_000
+#: Distributions of all sources up to this size are broadcast; beyond that they are joined by a shuffle.
+BROADCAST_BYTES = 16_000_000
 #: A uniform number has so many hexadecimal digits of an MD5 (52 bits fit a double exactly).
 _DIGITS = 13
 
@@ -73,8 +73,10 @@ def mix_sources(
 
     `weights` maps sources to target shares (any scale), `epochs` scales the whole output.
     """
-    quantiles = _quantiles(source_rates(docs, weights, epochs, temperature, source_col, text_col))
-    if quantiles.count() <= BROADCAST_SOURCES:
+    # Written, so that sizes are summed in one scan.
+    quantiles = stored(_quantiles(source_rates(docs, weights, epochs, temperature, source_col, text_col)), "rates")
+    size = quantiles.agg(F.sum(8 * F.size("__mx_cdf") + F.coalesce(F.octet_length(F.col("__mx_source").cast("string")), F.lit(0)) + 64)).first()[0] or 0
+    if size <= BROADCAST_BYTES:
         quantiles = F.broadcast(quantiles)
     drawn = docs.join(quantiles, F.col(source_col).eqNullSafe(F.col("__mx_source")))
     u = _uniform(seed, "count", F.col(id_col))
