@@ -95,3 +95,14 @@ def colour_level(count: Column, window: Column, rule_share: Column) -> Column:
     ratio = count / F.nullif(window * rule_share, F.lit(0.0))
     level = F.when(ratio >= 1.5, 5).when(ratio >= 1.2, 4).when(ratio >= 0.9, 3).when(ratio >= 0.7, 2).when(ratio >= 0.5, 1).otherwise(0)
     return level.cast("long")
+
+
+def miss_level(absent: Column) -> Column:
+    """0 (up to 2 draws) to 4 (over 20) by how long a number is absent."""
+    return F.when(absent <= 2, 0).when(absent <= 5, 1).when(absent <= 10, 2).when(absent <= 20, 3).otherwise(4).cast("long")
+
+
+def hot_level(count: Column, most: Column) -> Column:
+    """1 to 4 by the count over the largest one; 0 where nothing is counted."""
+    level = F.least(F.lit(4), F.greatest(F.lit(1), half_up(count.cast("double") / most * 4.0)))
+    return F.when(F.coalesce(most, F.lit(0)) == 0, 0).otherwise(level).cast("long")

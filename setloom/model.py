@@ -73,6 +73,35 @@ class SearchConfig:
         return {k: v / total for k, v in w.items()}
 
 
+def load_settings(path: str) -> dict:
+    """The sections of a YAML file of settings; a missing file or section leaves the defaults."""
+    import os
+
+    if not os.path.exists(path):
+        return {}
+    import yaml
+
+    with open(path, encoding="utf-8") as f:
+        found = yaml.safe_load(f)
+    return found if isinstance(found, dict) else {}
+
+
+def search_config(settings: dict) -> SearchConfig:
+    """The search settings of the section `recommend`."""
+    w = (settings.get("recommend") or {}).get("weights") or {}
+    top = w.get("top") or {}
+    base = SearchConfig()
+    return SearchConfig({**base.number, **(w.get("number") or {})}, float(w.get("single", base.single)), float(w.get("combo", base.combo)), int(top.get("front", base.top_front)), int(top.get("back", base.top_back)))
+
+
+def fusion_config(settings: dict) -> FusionConfig:
+    """The fusion settings of the optional section `final_score`."""
+    own = settings.get("final_score") or {}
+    base = FusionConfig()
+    known = {k: float(v) for k, v in (own.get("weights") or {}).items() if k in FUSION_WEIGHTS}
+    return FusionConfig({**FUSION_WEIGHTS, **known}, int(own.get("min_sample", base.min_sample)), int(own.get("full_sample", base.full_sample)), float(own.get("transition_decay", base.transition_decay)))
+
+
 @dataclass(frozen=True)
 class FusionConfig:
     weights: dict[str, float] = field(default_factory=lambda: dict(FUSION_WEIGHTS))

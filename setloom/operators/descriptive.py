@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import adjacent_pairs, big_count, clamp, half_up, odd_count, percent, shared, span, total, zone
+from ..functions.scalars import adjacent_pairs, big_count, clamp, half_up, hot_level, miss_level, odd_count, percent, shared, span, total, zone
 from ..model import BACK, FRONT, PERIODS, RULES, GroupRule
-from .frames import appearances, dense_counts, gaps, last_n, universe, window_sizes, windowed
+from .frames import appearances, dense_counts, gaps, last_n, number_profiles, universe, window_sizes, windowed
 
 
 def _by_rule(pick) -> Column:
@@ -62,8 +62,7 @@ def longest_omission(draws: DataFrame) -> DataFrame:
 def missing_cycle(draws: DataFrame) -> DataFrame:
     """Current, average and longest run of absence, and how the current one compares."""
     g = gaps(draws, [0])
-    avg = F.when(F.col("runs") > 0, half_up((F.col("n") - F.col("count")).cast("double") / F.col("runs"), 2)).otherwise(0.0)
-    g = g.withColumn("avg", avg)
+    g = g.withColumn("avg", _average_run(2))
     within = (F.col("avg") == 0) | (F.col("current") <= F.col("avg"))
     status = F.when(F.col("current") == 0, "just_hit").when(within, "within_cycle").when(F.col("current") < F.col("longest"), "over_avg").otherwise("at_max")
     return g.select("kind", "num", "current", "avg", F.col("longest").alias("max"), status.alias("status"))
@@ -71,8 +70,7 @@ def missing_cycle(draws: DataFrame) -> DataFrame:
 
 def missing_windows(draws: DataFrame, values=PERIODS) -> DataFrame:
     """Current, longest and average run (one place) in each window."""
-    avg = F.when(F.col("runs") > 0, half_up((F.col("n") - F.col("count")).cast("double") / F.col("runs"), 1)).otherwise(0.0)
-    return gaps(draws, values).select("period", "kind", "num", F.col("current").alias("cur"), F.col("longest").alias("max"), avg.alias("avg"))
+    return gaps(draws, values).select("period", "kind", "num", F.col("current").alias("cur"), F.col("longest").alias("max"), _average_run(1).alias("avg"))
 
 
 def hot_with_omission(draws: DataFrame, values=PERIODS, keep_unseen: bool = True) -> DataFrame:
@@ -84,13 +82,22 @@ def hot_with_omission(draws: DataFrame, values=PERIODS, keep_unseen: bool = True
     return _ranked(rows.withColumn("omit", omit), F.desc("count"), F.asc("num"), by=("period", "kind")).select("period", "kind", "rank", "num", "count", "omit")
 
 
+def _tag(rank: Column, size: Column) -> Column:
+    """hot, balanced or cold by thirds of a ranking."""
+    place = (rank - 1).cast("double") / F.greatest(size - 1, F.lit(1))
+    return F.when(place < 1 / 3, "hot").when(place > 2 / 3, "cold").otherwise("balanced")
+
+
+def _average_run(places: int) -> Column:
+    """Mean run of absence of a number's profile."""
+    return F.when(F.col("runs") > 0, half_up((F.col("n") - F.col("count")).cast("double") / F.col("runs"), places)).otherwise(0.0)
+
+
 def tiers(draws: DataFrame, values=PERIODS) -> DataFrame:
     """hot, balanced or cold by thirds of the frequency ranking."""
     rows = hot_with_omission(draws, values)
     size = F.count("*").over(Window.partitionBy("period", "kind"))
-    place = (F.col("rank") - 1).cast("double") / F.greatest(size - 1, F.lit(1))
-    tag = F.when(place < 1 / 3, "hot").when(place > 2 / 3, "cold").otherwise("balanced")
-    return rows.withColumn("tag", tag).select("period", "kind", "rank", "num", "tag")
+    return rows.withColumn("tag", _tag(F.col("rank"), size)).select("period", "kind", "rank", "num", "tag")
 
 
 def odd_even_histogram(draws: DataFrame) -> DataFrame:
@@ -119,13 +126,7 @@ def consecutive_summary(draws: DataFrame) -> DataFrame:
 
 def consecutive_participation(draws: DataFrame, values=PERIODS) -> DataFrame:
     """In how many draws of a window each number has a neighbour."""
-    parts = []
-    for r in RULES:
-        x = draws.select("pos", "total", "issue_num", F.explode(r.kind).alias("num"), F.col(r.kind).alias("all"))
-        parts.append(x.filter(F.array_contains("all", F.col("num") - 1) | F.array_contains("all", F.col("num") + 1)).select("pos", "total", F.lit(r.kind).alias("kind"), "num"))
-    counts = windowed(parts[0].unionByName(parts[1]), values).groupBy("period", "kind", "num").agg(F.count("*").alias("count"))
-    every = window_sizes(draws, values).select("period", "n").crossJoin(F.broadcast(universe(draws.sparkSession)))
-    return every.join(counts, ["period", "kind", "num"], "left").select("period", "n", "kind", "num", F.coalesce("count", F.lit(0)).cast("long").alias("count"))
+    return number_profiles(draws, values).select("period", "n", "kind", "num", F.col("near").alias("count"))
 
 
 def zones(draws: DataFrame) -> DataFrame:
@@ -229,11 +230,15 @@ def seven_dimensions(draws: DataFrame, values=PERIODS, own_picks: bool = True) -
     """
     from ..functions.scalars import miss_score
 
-    hot_rows = hot_with_omission(draws, values).join(tiers(draws, values).drop("rank"), ["period", "kind", "num"])
-    rows = hot_rows.join(missing_windows(draws, values), ["period", "kind", "num"]).join(consecutive_participation(draws, values).withColumnRenamed("count", "consec"), ["period", "kind", "num"])
-    rows = rows.join(odd_even_percent(draws, values), ["period", "kind"]).join(small_big_percent(draws, values), ["period", "kind"])
-    most = F.max("count").over(Window.partitionBy("period", "kind"))
-    rows = rows.withColumn("most", most)
+    by = Window.partitionBy("period", "kind")
+    rows = number_profiles(draws, values).withColumn("rank", F.row_number().over(by.orderBy(F.desc("count"), F.asc("num"))))
+    small = F.col("num") <= _by_rule(lambda r: F.lit(r.small_to))
+    seen = F.sum("count").over(by)
+    rows = rows.withColumns({"tag": _tag(F.col("rank"), F.count("*").over(by)), "most": F.max("count").over(by), "seen": seen})
+    for part, rest, is_part in (("odd", "even", F.col("num") % 2 == 1), ("small", "big", small)):
+        n = F.sum(F.when(is_part, F.col("count")).otherwise(0)).over(by)
+        rows = rows.withColumns({part: percent(n, seen, 50.0), rest: percent(seen - n, seen, 50.0)})
+    rows = rows.withColumns({"cur": F.col("current"), "avg": _average_run(1), "consec": F.col("near")})
     share = _by_rule(lambda r: F.lit((r.picks if own_picks else FRONT.picks) / r.size))
     heat = F.when(F.col("most") > 0, F.col("count").cast("double") / F.col("most") * 100.0).otherwise(50.0)
     adjust = F.least(F.lit(8.0), F.greatest(F.lit(-8.0), half_up(heat - 50.0).cast("double") / 100.0 * 16.0))
@@ -243,7 +248,7 @@ def seven_dimensions(draws: DataFrame, values=PERIODS, own_picks: bool = True) -
         return clamp(half_up(x), 0, 100).cast("long")
 
     own_parity = F.when(F.col("num") % 2 == 1, F.col("odd")).otherwise(F.col("even"))
-    own_size = F.when(F.col("num") <= _by_rule(lambda r: F.lit(r.small_to)), F.col("small")).otherwise(F.col("big"))
+    own_size = F.when(small, F.col("small")).otherwise(F.col("big"))
     return rows.select(
         "period", "kind", "num", "tag",
         score(F.col("count").cast("double") / (F.col("n") * share) * 50.0).alias("frequency"),
@@ -289,10 +294,17 @@ def omission_profile(draws: DataFrame, period: int = 100) -> DataFrame:
     """Current, longest and average gap, last issue and direction for each number of a window."""
     rows = missing_windows(draws, [period]).drop("period").join(dense_counts(draws, [period]).select("kind", "num", "count", "last"), ["kind", "num"])
     issues = draws.select(F.col("pos").alias("last"), F.col("issue_num").alias("last_issue"))
-    trend = F.when(F.col("cur") > F.col("avg") * 1.15, "high").when(F.col("cur") < F.col("avg") * 0.85, "low").otherwise("flat")
+    trend = F.when(F.col("cur") > F.col("avg") * 1.15, "high").when(F.col("cur") < F.col("avg") * 0.85, "low").otherwise("normal")
     return rows.join(issues, "last", "left").select("kind", "num", "cur", "max", "avg", "count", "last_issue", trend.alias("trend"))
 
 
+def number_levels(draws: DataFrame, period: int = 50) -> DataFrame:
+    """Level of absence and of heat of each number in a window, the heat over the largest count of its set."""
+    rows = hot_with_omission(draws, [period])
+    most = F.max("count").over(Window.partitionBy("kind"))
+    return rows.select("kind", "num", "count", "omit", miss_level(F.col("omit")).alias("miss_level"), hot_level(F.col("count"), most).alias("hot_level"))
+
+
 def omission_summary(draws: DataFrame, period: int = 100) -> DataFrame:
     """Mean of the average gaps, numbers beyond their average, the five longest gaps."""
     rows = missing_windows(draws, [period])

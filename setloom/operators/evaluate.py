@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import half_up, hit_level, shared, strategy_group, total
-from ..model import STRATEGIES
+from ..model import STRATEGIES, FusionConfig
 
 #: Factors of a scored recommendation.
 FACTORS = ("inherit", "heat", "missing", "trend", "structure")
@@ -107,9 +107,11 @@ def factor_review(h: DataFrame) -> DataFrame:
 
 
 def factor_performance(h: DataFrame) -> DataFrame:
-    """Counts of each status, the share of positives, and what that says."""
+    """Counts of each status, the share of positives, and what that says; dense over the factors."""
     got = factor_review(h).groupBy("factor").agg(F.count("*").alias("times"), *[F.count_if(F.col("status") == s).alias(s) for s in ("positive", "neutral", "negative")])
-    got = got.withColumn("score", half_up(F.col("positive").cast("double") / F.col("times"), 3))
+    every = h.sparkSession.createDataFrame([(f,) for f in FACTORS], "factor string")
+    got = every.join(F.broadcast(got), "factor", "left").fillna(0)
+    got = got.withColumn("score", F.when(F.col("times") > 0, half_up(F.col("positive").cast("double") / F.col("times"), 3)).otherwise(0.0))
     verdict = F.when(F.col("times") < 3, "insufficient").when(F.col("score") >= 0.30, "ok").when(F.col("score") >= 0.15, "weak").otherwise("poor")
     return got.withColumn("verdict", verdict)
 
@@ -124,8 +126,8 @@ def strategy_rank(h: DataFrame) -> DataFrame:
 
 
 def latest_review(h: DataFrame) -> DataFrame:
-    """The latest reviewed recommendation, D first, with the difference of the sums."""
-    order = F.struct("target_issue", F.col("grp") == "D", F.col("strategy"))
+    """The latest reviewed recommendation, D first and then the first by index, with the difference of the sums."""
+    order = F.struct(F.col("target_issue"), F.col("grp") == "D", -F.col("idx"))
     one = h.agg(F.max_by(F.struct(*h.columns), order).alias("r")).filter("r is not null").select("r.*")
     return one.withColumn("sum_diff", F.abs(total(F.col("front")) - total(F.col("real_front"))))
 
@@ -155,16 +157,17 @@ def recent_hits(h: DataFrame, window: int = 5) -> DataFrame:
     return rows.groupBy("grp").agg(F.array_join(F.transform(order, lambda x: x["total_hit"].cast("string")), " ").alias("hits"), F.sum("total_hit").alias("hit_sum"), F.count("*").alias("n"))
 
 
-def fuse(recs: DataFrame, h: DataFrame, sample: int | None = None, prev_front: Column | None = None) -> DataFrame:
+def fuse(recs: DataFrame, h: DataFrame, sample: int | None = None, prev_front: Column | None = None, config: FusionConfig = FusionConfig(), sum_range: tuple[int, int] | None = None) -> DataFrame:
     """Cross-strategy score, rank and primary of recommendations (idx, strategy, front, back, input order `pos`).
 
     Base by rank of the strategy, history and recent hits, structure (given or 50) and risk. Weights go by
-    how many periods are validated. Records without sets have no score and no rank.
+    how many periods are validated. Records without sets have no score and no rank. `config` has weights and stages;
+    `sum_range` (its 5th and 95th percentile) adds the risk of an extreme sum.
     """
-    from ..model import RANK_ADJUST, FusionConfig, stage_weight_rows
+    from ..model import RANK_ADJUST, stage_weight_rows
     from .scoring import risk_penalty
 
-    config, spark = FusionConfig(), recs.sparkSession
+    spark = recs.sparkSession
     board = strategy_board(h).select(F.col("strategy").alias("grp"), "rank", "total_count", F.col("recent_score").alias("avg"))
     recent = recent_hits(h).select("grp", (F.col("hit_sum").cast("double") / F.col("n")).alias("recent"))
     count = F.lit(sample) if sample is not None else F.col("periods")
@@ -181,8 +184,8 @@ def fuse(recs: DataFrame, h: DataFrame, sample: int | None = None, prev_front: C
     history = F.when(F.col("total_count") > 0, of_seven(F.col("avg"))).otherwise(50.0)
     last = F.when(F.col("recent").isNull(), 50.0).otherwise(of_seven(F.col("recent")))
     structure = F.col("structure") if "structure" in recs.columns else F.lit(50.0)
-    none = F.lit(None).cast("long")
-    risk = risk_penalty(F.col("front"), prev_front if prev_front is not None else F.lit(None).cast("array<bigint>"), none, none)
+    low, high = (F.lit(x).cast("long") for x in (sum_range or (None, None)))
+    risk = risk_penalty(F.col("front"), prev_front if prev_front is not None else F.lit(None).cast("array<bigint>"), low, high)
     rows = rows.select(*recs.columns, "grp", "stage", "sample", base.alias("base"), history.alias("history"), last.alias("recent"), structure.alias("structure_score"), risk.alias("risk"), "w_base", "w_history", "w_recent", "w_structure")
     score = F.col("w_base") * F.col("base") + F.col("w_history") * F.col("history") + F.col("w_recent") * F.col("recent") + F.col("w_structure") * F.col("structure_score") + F.col("risk")
     has = F.col("front").isNotNull() & F.col("back").isNotNull()

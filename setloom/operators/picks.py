@@ -52,6 +52,35 @@ def rejection_counts(candidates: DataFrame, prev_col: str = "prev_front") -> Dat
     return candidates.agg(F.count("*").alias("n_candidates"), F.count_if(any_rule).alias("n_rejected"), *[F.count_if(c).alias(k) for k, c in rules.items()])
 
 
+def combination_metrics(candidates: DataFrame) -> DataFrame:
+    """Rows (target_issue, metric, value, status): sum, span, odd to even, big to small, the thirds and pairs of neighbours of a front set."""
+    f = F.col("front")
+    odd, big, n, pairs = odd_count(f), big_count(f), F.size(f), adjacent_pairs(f)
+    in_thirds = [F.size(F.filter(f, _between(lo, hi))) for lo, hi in zip((1, *(x + 1 for x in THIRDS[:-1])), THIRDS)]
+
+    def text(x: Column) -> Column:
+        return x.cast("string")
+
+    rows = [
+        ("sum", text(total(f)), F.when(total(f).between(*SUM_RANGE), "normal").otherwise("unusual")),
+        ("span", text(span(f)), F.when(span(f).between(*SPAN_RANGE), "normal").otherwise("unusual")),
+        ("odd_even", F.concat_ws(":", text(odd), text(n - odd)), F.when(odd.isin(2, 3), "balanced").otherwise("skewed")),
+        ("big_small", F.concat_ws(":", text(big), text(n - big)), F.when(big.isin(2, 3), "balanced").otherwise("skewed")),
+        ("thirds", F.concat_ws(":", *map(text, in_thirds)), F.when(thirds(f) == len(THIRDS), "covered").otherwise("gaps")),
+        ("pairs", text(pairs), F.when(pairs <= 2, "usual").otherwise("many")),
+    ]
+    each = F.array(*[F.struct(F.lit(name).alias("metric"), value.alias("value"), status.alias("status")) for name, value, status in rows])
+    return candidates.select("target_issue", F.explode(each).alias("m")).select("target_issue", "m.*")
+
+
+def combination_profile(recs: DataFrame) -> DataFrame:
+    """The combination part of an analysed pick: parity, size, thirds, sum and pairs of neighbours."""
+    f = F.col("front")
+    odd, big = odd_count(f), big_count(f)
+    parts = [F.size(F.filter(f, _between(lo, hi))).cast("long").alias(f"z{k}") for k, (lo, hi) in enumerate(zip((1, *(x + 1 for x in THIRDS[:-1])), THIRDS), 1)]
+    return recs.select("target_issue", odd.alias("odd"), (F.size(f) - odd).cast("long").alias("even"), big.alias("big"), (F.size(f) - big).cast("long").alias("small"), *parts, total(f).alias("sum"), adjacent_pairs(f).alias("pairs"))
+
+
 def quality(candidates: DataFrame) -> DataFrame:
     """Six checks of a front set (100 or less each) and their mean; the weights are this library's own."""
     f = F.col("front")
@@ -84,68 +113,110 @@ def parse_numbers(rows: DataFrame, rule: GroupRule = FRONT, column: str = "input
     return rows.drop("tokens", "numbers").withColumn("error", error)
 
 
+#: Tries of a constrained sampler, and of one that repairs (fixed values).
+RETRIES, REPAIRS = 20, 30
+
+
 def uniform(seed: int, *parts: Column) -> Column:
-    """A number above 0 and up to 1 by a hash: the same for the same seed and parts."""
-    return (F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 40)) + 1).cast("double") / float(1 << 40)
+    """A number above 0 and up to 1 by md5 of the seed and the parts as text: the same in any engine."""
+    text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return (F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long") + 1).cast("double") / float(16**13)
+
+
+def _tries(numbers: DataFrame, n: int, retries: int, seed: int) -> DataFrame:
+    """Numbers once for each pick (`attempt`) and try, with a seeded uniform `u`."""
+    spark = numbers.sparkSession
+    each = numbers.crossJoin(F.broadcast(spark.range(n).toDF("attempt"))).crossJoin(F.broadcast(spark.range(retries).toDF("try")))
+    return each.withColumn("u", uniform(seed, F.col("attempt"), F.col("try"), F.col("kind"), F.col("num")))
 
 
-def _picks(rows: DataFrame, kind_order: Column, keys: tuple[str, ...] = ("attempt", "kind")) -> DataFrame:
-    """The first numbers of each set by an order, as arrays."""
-    r = F.row_number().over(Window.partitionBy(*keys).orderBy(kind_order, "num"))
+def _chosen(rows: DataFrame, order: Column) -> DataFrame:
+    """Rows (attempt, try, front, back): the first numbers of each set by an order."""
+    place = F.row_number().over(Window.partitionBy("attempt", "try", "kind").orderBy(order, "num"))
     need = F.when(F.col("kind") == "front", FRONT.picks).otherwise(BACK.picks)
-    chosen = rows.withColumn("__r", r).filter(F.col("__r") <= need)
-    sets = chosen.groupBy("attempt").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == x.kind, F.col("num")))).alias(x.kind) for x in RULES])
-    return sets
+    kept = rows.withColumn("__r", place).filter(F.col("__r") <= need)
+    return kept.groupBy("attempt", "try").agg(*[F.array_sort(F.collect_list(F.when(F.col("kind") == x.kind, F.col("num")))).alias(x.kind) for x in RULES])
 
 
-def _attempts(numbers: DataFrame, n: int) -> DataFrame:
-    return numbers.crossJoin(F.broadcast(numbers.sparkSession.range(n).toDF("attempt")))
+def _first(tries: DataFrame, kind: str, fits: Column) -> DataFrame:
+    """The set of the first try that fits; of all tries the first where none does."""
+    return tries.groupBy("attempt").agg(F.min_by(kind, F.struct((~fits).alias("not_fit"), "try")).alias(kind))
 
 
 def random_picks(spark: SparkSession, n: int, seed: int) -> DataFrame:
     """Uniform sets: the numbers with the smallest hashes."""
     from .frames import universe
 
-    rows = _attempts(universe(spark), n)
-    return _picks(rows, uniform(seed, F.col("attempt"), F.col("kind"), F.col("num")))
+    return _chosen(_tries(universe(spark), n, 1, seed), F.col("u")).drop("try")
 
 
-def weighted_picks(weights: DataFrame, n: int, seed: int) -> DataFrame:
+def _by_weight() -> Column:
     """Without replacement by weight: the largest u^(1/w), that is the smallest -ln(u)/w."""
-    rows = _attempts(weights, n)
-    u = uniform(seed, F.col("attempt"), F.col("kind"), F.col("num"))
-    return _picks(rows, -F.ln(u) / F.greatest(F.col("weight"), F.lit(1e-9)))
+    return -F.ln("u") / F.greatest(F.col("weight"), F.lit(1e-9))
+
+
+def weighted_picks(weights: DataFrame, n: int, seed: int) -> DataFrame:
+    return _chosen(_tries(weights, n, 1, seed), _by_weight()).drop("try")
 
 
 def balanced_weights(overall: DataFrame, recent: DataFrame) -> DataFrame:
-    """Half the normalised frequency and half the recent one."""
+    """Half the share of all appearances and half that of the recent ones."""
     by = Window.partitionBy("kind")
     rows = overall.join(recent.withColumnRenamed("count", "near"), ["kind", "num"])
-    share = [F.col(c).cast("double") / F.greatest(F.max(c).over(by), F.lit(1)) for c in ("count", "near")]
+    share = [F.col(c).cast("double") / F.greatest(F.sum(c).over(by), F.lit(1)) for c in ("count", "near")]
     return rows.select("kind", "num", (0.5 * share[0] + 0.5 * share[1]).alias("weight"))
 
 
-def first_fitting(candidates: DataFrame, n: int) -> DataFrame:
-    """The first n attempts that meet the constraints; others fill up if there are too few."""
-    return candidates.orderBy(~meets_constraints(F.col("front")), "attempt").limit(n)
-
-
-def tiered_picks(tiers: DataFrame, n: int, seed: int, hot: int, cold: int) -> DataFrame:
-    """Sets of `hot` hot and `cold` cold front numbers, filled up with balanced ones."""
-    rows = _attempts(tiers, n)
-    u = uniform(seed, F.col("attempt"), F.col("kind"), F.col("num"))
-    place = F.row_number().over(Window.partitionBy("attempt", "kind", "tag").orderBy(u, "num"))
-    quota = F.when(F.col("kind") == "back", 1).when(F.col("tag") == "hot", hot).when(F.col("tag") == "cold", cold).otherwise(FRONT.picks - hot - cold)
-    rows = rows.withColumn("__extra", F.when(place <= quota, 0).otherwise(1)).withColumn("__u", u)
-    return _picks(rows, F.struct("__extra", "__u"))
+def temperature_picks(weights: DataFrame, hot: DataFrame, cold: DataFrame, n: int, seed: int, n_hot: int, n_cold: int, balanced: bool) -> DataFrame:
+    """Front sets of `n_hot` of the hot and `n_cold` of the cold numbers, filled up; back sets by weight.
+
+    `balanced` fills by weight and takes the first of 30 tries with two or three odd and two or three big numbers
+    (or the first); else others fill up uniformly. A number that is both hot and cold counts once.
+    """
+    lists = {name: rows.filter("kind = 'front'").select("kind", "num", F.lit(True).alias(name)) for name, rows in (("hot", hot), ("cold", cold))}
+    numbers = weights.join(lists["hot"], ["kind", "num"], "left").join(lists["cold"], ["kind", "num"], "left").fillna(False, ["hot", "cold"])
+    rows = _tries(numbers, n, REPAIRS if balanced else 1, seed)
+    keys = ("attempt", "try", "kind")
+    picked = F.lit(False)
+    for name, most in (("hot", n_hot), ("cold", n_cold)):
+        rows = rows.withColumn(f"__{name}", F.row_number().over(Window.partitionBy(*keys, name).orderBy(uniform(seed, F.lit(name), F.col("attempt"), F.col("try"), F.col("num")), "num")))
+        picked = picked | (F.col(name) & (F.col(f"__{name}") <= most))
+    fill = F.when((F.col("kind") == "back") | F.lit(balanced), _by_weight()).otherwise(F.col("u"))
+    tries = _chosen(rows.withColumn("__fill", fill).withColumn("__open", ~picked), F.struct("__open", "__fill"))
+    fits = odd_count(F.col("front")).isin(2, 3) & big_count(F.col("front")).isin(2, 3)
+    return _first(tries, "front", fits).join(_first(tries, "back", F.lit(True)), "attempt")
+
+
+def tiered_picks(tiers: DataFrame, n: int, seed: int, hot: int = 2, cold: int = 1) -> DataFrame:
+    """Front sets of `hot` hot, `cold` cold and otherwise balanced numbers that meet the constraints, by 20 tries.
+
+    Where none does, the hot ones of one more try and any others. Back sets of one odd and one even number of
+    which one is small, by 20 tries, or any two.
+    """
+    rows = _tries(tiers, n, RETRIES + 1, seed)
+    place = F.row_number().over(Window.partitionBy("attempt", "try", "kind", "tag").orderBy("u", "num"))
+    last = F.col("try") == RETRIES
+    quota = F.when(F.col("tag") == "hot", hot).when(last, 0).when(F.col("tag") == "cold", cold).otherwise(FRONT.picks - hot - cold)
+    front = _chosen(rows.filter("kind = 'front'").withColumn("__open", place > quota), F.struct("__open", "u"))
+    front = _first(front, "front", meets_constraints(F.col("front")) | last)
+    by_parity = F.row_number().over(Window.partitionBy("attempt", "try", F.col("num") % 2).orderBy("u", "num"))
+    back = _chosen(rows.filter("kind = 'back'").withColumn("__open", (by_parity > 1) & ~last), F.struct("__open", "u"))
+    small = F.size("back") - big_count(F.col("back"), BACK)
+    return front.join(_first(back, "back", (small == 1) | last), "attempt")
 
 
 def completed(partial: DataFrame, numbers: DataFrame, seed: int) -> DataFrame:
     """Given numbers (attempt, front, back), filled up with others by a seeded order."""
     rows = numbers.crossJoin(partial.select("attempt", F.col("front").alias("f"), F.col("back").alias("b")))
     given = F.when(F.col("kind") == "front", F.array_contains("f", F.col("num"))).otherwise(F.array_contains("b", F.col("num")))
-    u = uniform(seed, F.col("attempt"), F.col("kind"), F.col("num"))
-    return _picks(rows.withColumn("__g", ~given).withColumn("__u", u), F.struct("__g", "__u"))
+    rows = rows.withColumn("__open", ~given).withColumn("u", uniform(seed, F.col("attempt"), F.col("kind"), F.col("num"))).withColumn("try", F.lit(0))
+    return _chosen(rows, F.struct("__open", "u")).drop("try")
+
+
+def all_strategies(**picks: DataFrame) -> DataFrame:
+    """The picks of several strategies as one table with `strategy`; columns that only some have are null elsewhere."""
+    named = [rows.withColumn("strategy", F.lit(name)) for name, rows in picks.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
 
 
 def analyse(recs: DataFrame, hot: DataFrame, tiers: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import big_count, clamp, half_up, normalised, odd_count, shared, total, zone
 from ..model import BACK, FRONT, MISSING_SCORES, NUMBER_WEIGHTS, RULES, SearchConfig
+from ..tables import stored
 from .descriptive import with_previous
 from .frames import appearances, previous_positions, universe
 
@@ -22,8 +23,8 @@ def targets(draws: DataFrame, last: int | None = None) -> DataFrame:
 
 
 def as_of(rows: DataFrame, ts: DataFrame) -> DataFrame:
-    """Every row once for each t that comes after it. The list of t is what a caller asks for, and small."""
-    return rows.join(F.broadcast(ts), F.col("pos") < F.col("t"))
+    """Every row once for each t that comes after it. Callers store a short list of t, so Spark knows its size; walkforward does whole ranges."""
+    return rows.join(ts, F.col("pos") < F.col("t"))
 
 
 def number_statistics(draws: DataFrame, ts: DataFrame) -> DataFrame:
@@ -34,7 +35,7 @@ def number_statistics(draws: DataFrame, ts: DataFrame) -> DataFrame:
     got = runs.groupBy("t", "kind", "num").agg(
         F.count("*").alias("a"), F.count_if(at >= -30).alias("b"), F.count_if(at >= -100).alias("c"), F.max("pos").alias("last"), F.max("run").alias("longest"), F.count_if(F.col("run") > 0).alias("runs")
     )
-    return status_of(F.broadcast(ts).crossJoin(universe(draws.sparkSession)).join(got, ["t", "kind", "num"], "left").fillna(0, ["a", "b", "c", "longest", "runs"]))
+    return status_of(ts.crossJoin(F.broadcast(universe(draws.sparkSession))).join(got, ["t", "kind", "num"], "left").fillna(0, ["a", "b", "c", "longest", "runs"]))
 
 
 def status_of(got: DataFrame) -> DataFrame:
@@ -89,7 +90,8 @@ def _zone_is(z: int):
 
 def number_factors(draws: DataFrame, ts: DataFrame) -> DataFrame:
     """Four factors of each number. The inherit factor uses the front overlaps for both sets."""
-    return factors_of(number_statistics(draws, ts), F.broadcast(history_statistics(draws, ts, False)))
+    ts = stored(ts, "targets")
+    return factors_of(number_statistics(draws, ts), history_statistics(draws, ts, False))
 
 
 def factors_of(stats: DataFrame, history: DataFrame) -> DataFrame:
@@ -134,7 +136,7 @@ def _combinations(pool: DataFrame, kind: str, k: int) -> DataFrame:
     got = one.select("config", "t", "r", F.array("num").alias("nums"), F.col("score").alias("points"))
     for _ in range(k - 1):
         more = one.select(F.col("config").alias("c2"), F.col("t").alias("t2"), F.col("r").alias("r2"), "num", "score")
-        got = got.join(F.broadcast(more), (F.col("config") == F.col("c2")) & (F.col("t") == F.col("t2")) & (F.col("r") < F.col("r2")))
+        got = got.join(more, (F.col("config") == F.col("c2")) & (F.col("t") == F.col("t2")) & (F.col("r") < F.col("r2")))
         got = got.select("config", "t", F.col("r2").alias("r"), F.concat("nums", F.array("num")).alias("nums"), (F.col("points") + F.col("score")).alias("points"))
     return got.drop("r")
 
@@ -166,7 +168,7 @@ def combination_total() -> Column:
 
 def combination_scores(combos: DataFrame, history: DataFrame, compat_size: bool = False) -> DataFrame:
     """Five factors and the total of given combinations (t, front, back)."""
-    rows = combos.join(F.broadcast(history), "t")
+    rows = combos.join(history, "t")
     rows = rows.select(*combos.columns, inherit_match(shared(F.col("front"), F.col("prev_front")), shared(F.col("back"), F.col("prev_back"))).alias("inherit_match"), *[v.alias(k) for k, v in front_factors(F.col("front"), compat_size).items()])
     return rows.withColumn("score", combination_total())
 
@@ -178,14 +180,16 @@ def search_many(draws: DataFrame, ts: DataFrame, configs: Sequence[tuple[str, Se
     Fronts and backs are scored apart; only what mixes them is computed for their pairs. The
     pools are small: what is broadcast has rows by t and configuration, which callers list.
     """
-    history = history_statistics(draws, ts, sum_span)
+    ts = stored(ts, "targets")
+    history = stored(history_statistics(draws, ts, sum_span), "history")
     settings = configurations(draws.sparkSession, configs)
-    pool = pools(number_factors(draws, ts), settings)
-    fronts = _combinations(pool, "front", FRONT.picks).join(F.broadcast(history), "t")
+    # Written once: each of the joins below reads a few rows by t in place of all statistics.
+    pool = stored(pools(factors_of(number_statistics(draws, ts), history), settings), "pools")
+    fronts = _combinations(pool, "front", FRONT.picks).join(history, "t")
     fronts = fronts.select("config", "t", F.col("nums").alias("front"), F.col("points").alias("f_points"), shared(F.col("nums"), F.col("prev_front")).alias("n_f"), "kf", "kb", *[v.alias(k) for k, v in front_factors(F.col("nums"), compat_size).items()])
-    backs = _combinations(pool, "back", BACK.picks).join(F.broadcast(history.select("t", "prev_back")), "t")
+    backs = _combinations(pool, "back", BACK.picks).join(history.select("t", "prev_back"), "t")
     backs = backs.select("config", "t", F.col("nums").alias("back"), F.col("points").alias("b_points"), shared(F.col("nums"), F.col("prev_back")).alias("n_b"))
-    rows = fronts.join(F.broadcast(backs), ["config", "t"]).join(F.broadcast(settings.select("config", "w_single", "w_combo")), "config")
+    rows = fronts.join(backs, ["config", "t"]).join(F.broadcast(settings.select("config", "w_single", "w_combo")), "config")
     rows = rows.withColumn("inherit_match", inherit_match(F.col("n_f"), F.col("n_b"))).withColumn("structure", combination_total())
     blended = F.col("w_single") * ((F.col("f_points") + F.col("b_points")) / 7.0) + F.col("w_combo") * F.col("structure")
     rows = rows.withColumn("total", normalised(blended))

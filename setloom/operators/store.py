@@ -52,17 +52,26 @@ def write_if_changed(rows: DataFrame, path: str, ignore: Sequence[str] = ("updat
     """Write a Parquet table to a new folder unless `path` holds the same rows; True if written.
 
     Spark can't replace a folder that it reads, so changed rows go to `path` only after they are
-    written beside it.
+    written beside it, and the old ones are moved aside until then: a crash between leaves them at `path`.old,
+    from where the next call takes them.
     """
     spark = rows.sparkSession
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
     at, beside = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".new")
     files = at.getFileSystem(conf)
+    aside = jvm.org.apache.hadoop.fs.Path(path.rstrip("/") + ".old")
+    if not files.exists(at) and files.exists(aside):
+        files.rename(aside, at)
     if files.exists(at) and same_content(spark.read.parquet(path), rows, ignore):
         return False
     rows.write.mode("overwrite").parquet(str(beside.toString()))
-    files.delete(at, True)
-    files.rename(beside, at)
+    files.delete(aside, True)
+    if files.exists(at) and not files.rename(at, aside):
+        raise OSError(f"can't move {path} aside")
+    if not files.rename(beside, at):
+        files.rename(aside, at)
+        raise OSError(f"can't move the new rows to {path}")
+    files.delete(aside, True)
     return True
 
 
@@ -196,3 +205,8 @@ def favourites(rows: DataFrame) -> DataFrame:
     """Combinations, equal sets once (the first kept)."""
     keys = [F.array_sort("front").alias("__f"), F.array_sort("back").alias("__b")]
     return rows.groupBy(*keys).agg(F.min_by(F.struct(*rows.columns), "pos").alias("r")).select("r.*")
+
+
+def write_report(rows: DataFrame, path: str) -> None:
+    """A small result as one JSON file in its folder."""
+    rows.coalesce(1).write.mode("overwrite").json(path)

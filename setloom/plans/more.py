@@ -53,27 +53,25 @@ def _faulty_recs(recs: DataFrame) -> DataFrame:
 
 
 def _stored_and_new(draws: DataFrame) -> tuple[DataFrame, DataFrame]:
-    return draws.filter("pos % 2 = 0").withColumn("source", F.lit("stored")), draws.filter("pos % 3 = 0").withColumn("source", F.lit("new"))
-
-
-def _all_stored_and_new(draws: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Two sides that overlap and together hold every draw."""
     return draws.filter("pos % 3 <> 0").withColumn("source", F.lit("stored")), draws.filter("pos % 2 = 0 OR pos % 3 = 0").withColumn("source", F.lit("new"))
 
 
-def _upsert_cap(draws: DataFrame, sides: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = _stored_and_new) -> DataFrame:
-    old, new = sides(draws)
+def _upsert_cap(draws: DataFrame) -> DataFrame:
+    old, new = _stored_and_new(draws)
     return store.keep_last(store.upsert(old, new, ["issue_num"]), 1000).select("issue_num", "source", two_digits(F.col("front")).alias("front"))
 
 
-def _insert_ignore(draws: DataFrame, sides: Callable[[DataFrame], tuple[DataFrame, DataFrame]] = _stored_and_new) -> DataFrame:
-    old, new = sides(draws)
+def _insert_ignore(draws: DataFrame) -> DataFrame:
+    old, new = _stored_and_new(draws)
     return store.insert_or_ignore(old, new, ["issue_num"]).select("issue_num", "source")
 
 
 def _upsert_recs(recs: DataFrame) -> DataFrame:
     rows = recs.select((F.col("target_issue") % 700).alias("target_issue"), strategy_group(F.col("strategy")).alias("strategy"), "idx", F.col("target_issue").alias("pos"))
-    return store.upsert(rows.limit(0), rows, ["target_issue", "strategy", "idx"])
+    # The stored side and the new one overlap, and each repeats keys.
+    old = rows.filter("pos % 3 <> 0").withColumn("source", F.lit("stored"))
+    return store.upsert(old, rows.filter("pos % 2 = 0 OR pos % 3 = 0").withColumn("source", F.lit("new")), ["target_issue", "strategy", "idx"])
 
 
 def _high_water(draws: DataFrame) -> DataFrame:
@@ -185,37 +183,49 @@ def _analysed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return picks.analyse(source.recommendations(spark, sf_dir), descriptive.hot_with_omission(draws, [100]), descriptive.tiers(draws, [100]))
 
 
-def _random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(picks.random_picks(spark, 10, 20260816), "attempt")
+SEED = 20260816
 
 
-def _balanced(spark: SparkSession, sf_dir: str) -> DataFrame:
-    draws = _draws(spark, sf_dir)
-    weights = picks.balanced_weights(descriptive.frequency(draws), descriptive.frequency(draws, 50))
-    return _texts(picks.first_fitting(picks.weighted_picks(weights, 50, 20260816), 5), "attempt")
+def _random(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts(picks.random_picks(spark, 10, SEED), "attempt")
 
 
-def _tiered(hot: int, cold: int, fit: bool) -> Query:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        tiers = descriptive.tiers(_draws(spark, sf_dir), [100]).select("kind", "num", "tag")
-        got = picks.tiered_picks(tiers, 20, 20260816, hot, cold)
-        return _texts(picks.first_fitting(got, 5) if fit else got.orderBy("attempt").limit(5), "attempt")
+def _by_temperature(n_hot: int, n_cold: int, balanced: bool) -> Callable[[DataFrame], DataFrame]:
+    def run(draws: DataFrame) -> DataFrame:
+        weights = picks.balanced_weights(descriptive.frequency(draws), descriptive.frequency(draws, 50))
+        return picks.temperature_picks(weights, descriptive.hot(draws), descriptive.cold_ties(draws), 5, SEED, n_hot, n_cold, balanced)
 
     return run
 
 
+def _smart(draws: DataFrame) -> DataFrame:
+    return picks.tiered_picks(descriptive.tiers(draws, [100]).select("kind", "num", "tag"), 5, SEED)
+
+
+def _every_strategy(draws: DataFrame) -> DataFrame:
+    """One pick of each of the strategies A to D; D is the best of the combination search and has a score."""
+    ts = scoring.targets(draws)
+    found = scoring.search(draws, ts).select(F.lit(0).cast("long").alias("attempt"), "front", "back", F.col("total").alias("score_total"))
+    one = {k: f(draws).filter("attempt = 0") for k, f in (("A", _by_temperature(2, 2, True)), ("B", _by_temperature(3, 2, False)))}
+    return _texts(picks.all_strategies(**one, C=picks.random_picks(draws.sparkSession, 1, SEED), D=found), "strategy", "attempt", "score_total")
+
+
 def _completed(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs = source.recommendations(spark, sf_dir)
     partial = recs.select(F.col("target_issue").alias("attempt"), F.slice("front", 1, 2).alias("front"), F.slice("back", 1, 1).alias("back"))
-    return _texts(picks.completed(partial, universe(spark), 20260816), "attempt")
+    return _texts(picks.completed(partial, universe(spark), SEED), "attempt")
 
 
 def _html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Draws as the rows of an HTML table, scanned back."""
     draws = _draws(spark, sf_dir)
     cells = F.concat(F.array(F.col("issue_num").cast("string")), *[F.transform(r.kind, lambda x: x.cast("string")) for r in RULES], F.transform(F.sequence(F.lit(1), F.lit(6)), lambda x: F.lit("-")), F.array(F.col("draw_date").cast("string")))
-    html = F.concat(F.lit("<table><tr><th>issue</th></tr><tr class='t'>"), F.array_join(F.transform(cells, lambda c: F.concat(F.lit("<td><b>"), c, F.lit("</b></td>"))), ""), F.lit("</tr></table>"))
-    pages = draws.withColumn("issue_num", F.col("issue_num") % 90000 + 10000).select(html.alias("html"))
+    row = F.concat(F.lit("<tr class='t'>"), F.array_join(F.transform(cells, lambda c: F.concat(F.lit("<td><b>"), c, F.lit("</b></td>"))), ""), F.lit("</tr></table>"))
+    # Every second page names its table, the others are known by their header; each has other tables too.
+    other = F.lit("<table class='menu'><tr><td>1</td><td>期</td></tr></table>")
+    named = F.concat(F.lit("<table border=1 id='tablelist'><tr><th>No.</th></tr>"), row, F.lit("<table><tr><th>期号</th></tr><tr><td>7</td></tr></table>"))
+    html = F.concat(other, F.when(F.col("pos") % 2 == 0, named).otherwise(F.concat(F.lit("<TABLE><tr><th>期号</th></tr>"), F.replace(row, F.lit("</table>"), F.lit("</TABLE>")))))
+    pages = draws.withColumn("issue_num", F.col("issue_num") % 90000 + 10000).select(source.chosen_table(html).alias("html"))
     return _texts(source.draws_from_cells(source.scan_html_rows(pages)), "issue", "date")
 
 
@@ -229,12 +239,10 @@ MORE: dict[str, Query] = {
     "validate_recs": _on_recs(lambda r: store.recommendation_error(_faulty_recs(r))),
     "upsert_draws_cap": _on_draws(_upsert_cap),
     "insert_ignore_draws": _on_draws(_insert_ignore),
-    "upsert_draws_cap_full": _on_draws(lambda d: _upsert_cap(d, _all_stored_and_new)),
-    "insert_ignore_draws_full": _on_draws(lambda d: _insert_ignore(d, _all_stored_and_new)),
     "upsert_recs": _on_recs(_upsert_recs),
     "sql_batches": _on_draws(lambda d: store.sql_values(d.select("pos", "issue_num", "draw_date"), "pos")),
-    "export_check": _on_recs(lambda r: store.structure_violations(r.filter("target_issue < 200"))),
-    "export_check_full": _on_recs(store.export_violations),  # each target of the whole table; the one above has a few rows, as its twin
+    "export_check": _on_recs(store.structure_violations),
+    "export_check_full": _on_recs(store.export_violations),
     "favourites_once": _on_recs(lambda r: _texts(store.favourites(r.select("front", "back", F.col("target_issue").alias("pos"))), "pos")),
     "next_issues": _on_draws(lambda d: d.select("issue_num", next_issue((20 + F.col("issue_num") % 7) * 1000 + F.col("issue_num") % 353 + 1).alias("next"))),
     "number_score_front": _number_scores("front"),
@@ -272,6 +280,8 @@ MORE: dict[str, Query] = {
     "combo_constraint_filter": _on_recs(lambda r: r.filter(picks.meets_constraints(F.col("front"))).select("target_issue", two_digits(F.col("front")).alias("front"))),
     "rejection_rules": _on_both(lambda r, d: picks.rejection_counts(_with_drawn(r, d))),
     "quality_metrics": _on_recs(picks.quality),
+    "combo_metrics": _on_recs(picks.combination_metrics),
+    "combo_profile": _on_recs(picks.combination_profile),
     "analyze_pick": _analysed,
     "parse_numbers": _on_recs(_parsed),
     "basket_freq": lambda spark, sf_dir: lenses.basket_frequency(source.table(spark, sf_dir, "lineitem")),
@@ -279,9 +289,12 @@ MORE: dict[str, Query] = {
     "gap_invariant": _on_draws(lambda d: gaps(d).groupBy("period", "kind").agg(F.sum(F.col("n") - F.col("count")).alias("absent"), F.sum("n").alias("n"))),
     "overlap_pairs": _on_draws(lambda d: descriptive.overlap_distribution(d).groupBy("kind").agg(F.sum("count").alias("pairs"), F.sum(F.col("k") * F.col("count")).alias("shared"))),
     "random_pick": _random,
-    "balanced_pick": _balanced,
-    "hotcold_pick": _tiered(3, 2, False),
-    "smart_pick": _tiered(2, 1, True),
+    "balanced_pick": _on_draws(lambda d: _texts(_by_temperature(2, 2, True)(d), "attempt")),
+    "hotcold_pick": _on_draws(lambda d: _texts(_by_temperature(3, 2, False)(d), "attempt")),
+    "smart_pick": _on_draws(lambda d: _texts(_smart(d), "attempt")),
+    "strategy_picks": _on_draws(_every_strategy),
     "complete_pick": _completed,
     "html_scan": _html,
 }
+# The names under which the whole tables were read first.
+MORE |= {f"{name}_full": MORE[name] for name in ("upsert_draws_cap", "insert_ignore_draws")}

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 from ..operators import descriptive as d
 from ..operators.frames import positioned
 from ..sources import draws as source
-from . import twins, twins_more
+from . import twins, twins_more, twins_picks, twins_published
 from .more import MORE
+from .published import PUBLISHED
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -69,8 +70,9 @@ DESCRIPTIVE: dict[str, Query] = {
 
 
 def queries() -> dict[str, Query]:
-    return DESCRIPTIVE | MORE
+    return DESCRIPTIVE | MORE | PUBLISHED
 
 
 def oracle_sql() -> dict[str, str]:
-    return twins.DESCRIPTIVE | twins_more.MORE
+    out = twins.DESCRIPTIVE | twins_more.MORE | twins_picks.PICKS | twins_published.PUBLISHED
+    return out | {f"{name}_full": out[name] for name in ("upsert_draws_cap", "insert_ignore_draws")}

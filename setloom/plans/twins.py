@@ -101,7 +101,7 @@ DESCRIPTIVE = {
         FROM (SELECT h.*, count / (n * (picks::DOUBLE / x.size)) AS r FROM hot h JOIN rules x USING (kind) WHERE period = 100) h JOIN near n USING (kind, num)""".replace(
         "near AS (SELECT kind, num, count FROM app_near)", "near AS (SELECT u.kind, u.num, count(a.pos) AS count FROM uni u LEFT JOIN app a ON a.kind = u.kind AND a.num = u.num AND a.pos >= a.total - 75 GROUP BY ALL)"
     ),
-    "omission_profile": f"""WITH {HOT} SELECT kind, num, m.cur, m.max, m.avg, c.count, d.issue_num AS last_issue, CASE WHEN m.cur > m.avg * 1.15::DOUBLE THEN 'high' WHEN m.cur < m.avg * 0.85::DOUBLE THEN 'low' ELSE 'flat' END AS trend
+    "omission_profile": f"""WITH {HOT} SELECT kind, num, m.cur, m.max, m.avg, c.count, d.issue_num AS last_issue, CASE WHEN m.cur > m.avg * 1.15::DOUBLE THEN 'high' WHEN m.cur < m.avg * 0.85::DOUBLE THEN 'low' ELSE 'normal' END AS trend
         FROM miss m JOIN cnt c USING (period, kind, num) LEFT JOIN draws d ON d.pos = c.last WHERE period = 100""",
     "omission_summary": f"""WITH {HOT}, m AS (SELECT * FROM miss WHERE period = 100), t AS (SELECT *, row_number() OVER (PARTITION BY kind ORDER BY max DESC, num) AS r FROM m)
         SELECT kind, floor(sum(floor(avg * 10 + 0.5::DOUBLE)) / count(*) / 10 * 10 + 0.5::DOUBLE) / 10 AS mean_avg, coalesce(string_agg(lpad(num::VARCHAR, 2, '0'), ' ' ORDER BY num) FILTER (cur > avg), '') AS over_average,

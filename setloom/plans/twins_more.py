@@ -115,13 +115,14 @@ MORE = {
     "validate_recs": f"""WITH {RECS}, x AS (SELECT key AS pos, CASE WHEN key % 13 = 1 THEN NULL ELSE target_issue END AS target_issue, CASE WHEN key % 17 = 2 THEN ' ' ELSE strategy END AS strategy, CASE WHEN key % 19 = 3 THEN -1 ELSE idx END AS idx,
         CASE WHEN key % 23 = 4 THEN front[1:4] ELSE front END AS front, CASE WHEN key % 29 = 5 THEN [back[1], back[1]] ELSE back END AS back FROM (SELECT *, target_issue // 11 AS key FROM recs))
         SELECT pos, target_issue, CASE WHEN target_issue IS NULL OR target_issue <= 0 THEN 'target' WHEN trim(strategy) = '' THEN 'strategy' WHEN idx < 0 THEN 'index' WHEN len(list_distinct(front)) <> 5 THEN 'front' WHEN len(list_distinct(back)) <> 2 THEN 'back' END AS reason FROM x""",
-    "upsert_draws_cap": f"""WITH {DRAWS}, w AS (SELECT *, 0 AS new, 'stored' AS source FROM draws WHERE pos % 2 = 0 UNION ALL SELECT *, 1, 'new' FROM draws WHERE pos % 3 = 0)
+    "upsert_draws_cap": f"""WITH {DRAWS}, w AS (SELECT *, 0 AS new, 'stored' AS source FROM draws WHERE pos % 3 <> 0 UNION ALL SELECT *, 1, 'new' FROM draws WHERE pos % 2 = 0 OR pos % 3 = 0)
         SELECT issue_num, source, {_TEXT.format('front')} AS front FROM (SELECT *, row_number() OVER (PARTITION BY issue_num ORDER BY new DESC) AS r FROM w) WHERE r = 1 ORDER BY issue_num DESC LIMIT 1000""",
-    "insert_ignore_draws": f"""WITH {DRAWS}, w AS (SELECT *, 0 AS new, 'stored' AS source FROM draws WHERE pos % 2 = 0 UNION ALL SELECT *, 1, 'new' FROM draws WHERE pos % 3 = 0)
+    "insert_ignore_draws": f"""WITH {DRAWS}, w AS (SELECT *, 0 AS new, 'stored' AS source FROM draws WHERE pos % 3 <> 0 UNION ALL SELECT *, 1, 'new' FROM draws WHERE pos % 2 = 0 OR pos % 3 = 0)
         SELECT issue_num, source FROM (SELECT *, row_number() OVER (PARTITION BY issue_num ORDER BY new) AS r FROM w) WHERE r = 1""",
-    "upsert_recs": f"""WITH {RECS}, w AS (SELECT target_issue % 700 AS target_issue, grp AS strategy, idx, target_issue AS pos FROM recs) SELECT target_issue, strategy, idx, max(pos) AS pos FROM w GROUP BY ALL""",
+    "upsert_recs": f"""WITH {RECS}, w AS (SELECT target_issue % 700 AS target_issue, grp AS strategy, idx, target_issue AS pos FROM recs) SELECT target_issue, strategy, idx, max_by(pos, place) AS pos, max_by(source, place) AS source
+        FROM (SELECT *, pos AS place, 'stored' AS source FROM w WHERE pos % 3 <> 0 UNION ALL SELECT *, pos + 1000000000000, 'new' FROM w WHERE pos % 2 = 0 OR pos % 3 = 0) GROUP BY ALL""",
     "sql_batches": f"""WITH {DRAWS} SELECT pos // 500 AS batch, pos, '(' || issue_num || ', ''' || draw_date || ''')' AS row_values FROM draws""",
-    "export_check": f"WITH {RECS} SELECT count(DISTINCT target_issue) AS targets, array_to_string(list_sort(list(DISTINCT grp)), ',') AS found, count(DISTINCT target_issue) = 1 AS one_target, array_to_string(list_sort(list(DISTINCT grp)), ',') = 'A,B,C,D' AS all_strategies FROM recs WHERE target_issue < 200",
+    "export_check": f"WITH {RECS} SELECT count(DISTINCT target_issue) AS targets, array_to_string(list_sort(list(DISTINCT grp)), ',') AS found, count(DISTINCT target_issue) = 1 AS one_target, array_to_string(list_sort(list(DISTINCT grp)), ',') = 'A,B,C,D' AS all_strategies FROM recs",
     "favourites_once": f"WITH {RECS} SELECT {_TEXT.format('front')} AS front, {_TEXT.format('back')} AS back, min(target_issue) AS pos FROM recs GROUP BY 1, 2",
     "next_issues": f"WITH {DRAWS}, i AS (SELECT issue_num, (20 + issue_num % 7) * 1000 + issue_num % 353 + 1 AS issue FROM draws) SELECT issue_num, CASE WHEN issue % 1000 >= 353 THEN (issue // 1000 + 1) * 1000 + 1 ELSE issue + 1 END AS next FROM i",
     "number_score_front": f"WITH {_stats(_NEXT)}, s AS (SELECT *, {_scored(_W)} AS score FROM fac) SELECT num, heat, missing, trend, inherit, score FROM s WHERE kind = 'front'",

@@ -29,11 +29,12 @@ def read_draw_document(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_recommendation_log(spark: SparkSession, path: str) -> DataFrame:
-    """Rows of a JSON array of recommendations; a missing file has none, damaged records are dropped."""
+    """Rows of a JSON array of recommendations; a missing or damaged file has none, records that aren't objects go."""
     if not _exists(spark, path):
         return spark.createDataFrame([], RECOMMENDATIONS)
-    got = spark.read.schema(RECOMMENDATIONS + ", _corrupt_record string").json(path, multiLine=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_corrupt_record")
-    return got.filter(F.col("_corrupt_record").isNull()).drop("_corrupt_record")
+    listed = F.from_json("value", f"array<struct<{RECOMMENDATIONS.replace(' ', ':')}>>".replace(",:", ","))
+    got = spark.read.text(path, wholetext=True).select(F.explode(listed).alias("r"))
+    return got.filter(F.col("r").isNotNull()).select("r.*")
 
 
 def parse_command_output(rows: DataFrame, column: str = "value") -> DataFrame:
@@ -43,6 +44,40 @@ def parse_command_output(rows: DataFrame, column: str = "value") -> DataFrame:
     return rows.select(F.explode(F.flatten(F.transform(F.from_json(text, shape), lambda r: F.coalesce(r["results"], F.array().cast("array<map<string,string>>"))))).alias("record"))
 
 
+def chosen_table(html: Column, table_id: str = "tablelist", header: str = "期号") -> Column:
+    """The table with the id, or else the first one that names the header and has a row that begins with a number; null without either."""
+    tables = F.regexp_extract_all(html, F.lit(r"(?is)(<table\b.*?</table>)"), F.lit(1))
+    named = F.filter(tables, lambda t: t.rlike(rf"(?is)^<table\b[^>]*\bid\s*=\s*[\"']?{table_id}\b"))
+    headed = F.filter(tables, lambda t: F.contains(t, F.lit(header)) & t.rlike(r"(?is)<tr\b[^>]*>\s*<td\b[^>]*>(\s|<[^>]*>)*\d+(\s|<[^>]*>)*</td>"))
+    return F.coalesce(F.get(named, F.lit(0)), F.get(headed, F.lit(0)))
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Draws in saved result pages, each page whole."""
+    pages = spark.read.text(path, wholetext=True).select(chosen_table(F.col("value")).alias("html"))
+    return draws_from_cells(scan_html_rows(pages.filter(F.col("html").isNotNull())))
+
+
+def ranged_draws(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
+    """Draws of saved pages from issue `start` to `end`, newest first; ValueError where there is none."""
+    rows = read_pages(spark, path).filter(F.col("issue").cast("long").between(start, end)).dropDuplicates(["issue"])
+    if rows.isEmpty():
+        raise ValueError(f"no draws from {start} to {end} in {path}")
+    return rows.orderBy(F.desc(F.col("issue").cast("long")))
+
+
+def recent_draws(spark: SparkSession, path: str, year: int, n: int) -> DataFrame:
+    """The newest n draws of saved pages, from seven years before `year` (two digits) on."""
+    return ranged_draws(spark, path, max(0, year - 7) * 1000 + 1, year * 1000 + 365).limit(n)
+
+
+def new_draws(spark: SparkSession, path: str, stored: DataFrame, column: str = "issue_num") -> DataFrame:
+    """Draws of saved pages behind the latest stored one, up to the end of its next year; none is no error."""
+    mark = stored.agg(F.coalesce(F.max(column), F.lit(0)).alias("m")).first()["m"]  # one number
+    rows = read_pages(spark, path).filter(F.col("issue").cast("long").between(mark + 1, (mark // 1000 + 1) * 1000 + 365))
+    return rows.dropDuplicates(["issue"]).orderBy(F.desc(F.col("issue").cast("long")))
+
+
 def scan_html_rows(pages: DataFrame, html_col: str = "html", keys: tuple[str, ...] = ()) -> DataFrame:
     """Table rows of HTML: the keys, `row` (from 0) and `cells`, the texts of its td cells."""
     rows = F.regexp_extract_all(F.col(html_col), F.lit(r"(?is)<tr\b[^>]*>(.*?)</tr>"), F.lit(1))
