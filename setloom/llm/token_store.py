@@ -35,17 +35,19 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .wordhash import Memo, Words, slices
+from .wordhash import Memo, Words, ranges, slices
 
-BLOCK = 4096  # ids of a block at most
+BLOCK = 512  # ids of a block at most
 SEGMENT = 65_536  # ids of a segment, but for one more document
-LANES = 2048  # blocks coded in step
+LANES = 8192  # blocks coded in step
 HEAD = 16  # characters of a text that its range depends on
 MOST_ID = (1 << 30) - 1
+#: Words that a worker keeps encoded, in about 70 bytes each; the store is emptied when it is full. Only speed depends on it.
+STORE_WORDS = 1_500_000
 _MAGIC = b"CMR2"
 _WIDE = 1 << 31  # in a block's count of ids: it has ids from 65,536 on
-_TABLE = 12  # bits of each context table
-_TOTAL = 24  # bits of the sum of class frequencies
+_TABLE = 8  # bits of each context table
+_TOTAL = 16  # bits of the sum of class frequencies
 
 
 class _Models:
@@ -53,50 +55,63 @@ class _Models:
 
     def __init__(self, lanes: int):
         self.t1, self.t2 = np.zeros(lanes << _TABLE, np.uint32), np.zeros(lanes << _TABLE, np.uint32)
-        self.own = [np.full(lanes * 4, 16_384, np.int32), np.full(lanes * 4, 16_384, np.int32)]
-        self.joint = [np.full(lanes * 16, 16_384, np.int32), np.full(lanes * 16, 16_384, np.int32)]
-        self.common = np.full(lanes, 4_096, np.int32)
+        self.own = [np.full(lanes * 4, 16_384, np.uint32), np.full(lanes * 4, 16_384, np.uint32)]
+        self.joint = [np.full(lanes * 16, 16_384, np.uint32), np.full(lanes * 16, 16_384, np.uint32)]
+        self.common = np.full(lanes, 4_096, np.uint32)
         self.counts = np.zeros(lanes << 8, np.int32)
         self.best, self.best_n = np.zeros(lanes, np.uint32), np.zeros(lanes, np.int32)
         self.c1, self.c2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
-        self.lane = np.arange(lanes)
-
-    def predict(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Of the first m lanes: the three predicted ids and where the classes begin (of 2^24)."""
-        lane = self.lane[:m]
-        c1, c2 = self.c1[:m], self.c2[:m]
-        self.q1 = (lane << _TABLE) + ((c1 * np.uint32(0x9E3779B1)) >> np.uint32(32 - _TABLE))
-        self.q2 = (lane << _TABLE) + ((c1 * np.uint32(0x85EBCA6B) + c2 * np.uint32(0xC2B2AE35)) >> np.uint32(32 - _TABLE))
+        lane = self.every = np.arange(lanes)
+        self.by_context, self.by_four, self.by_sixteen, self.by_id = lane << _TABLE, lane * 4, lane * 16, lane << 8
+        self.bounds = np.zeros((5, lanes), np.uint32)
+        self.bounds[4] = 1 << _TOTAL
+
+    def predict(self, m: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of the first m lanes: the three predicted ids and where the classes begin and end (of 2^16)."""
+        h1 = self.c1[:m] * np.uint32(0x9E3779B1)
+        h2 = h1 + self.c2[:m] * np.uint32(0xC2B2AE35)
+        self.q1 = self.by_context[:m] + (h1 >> np.uint32(32 - _TABLE))
+        self.q2 = self.by_context[:m] + (h2 >> np.uint32(32 - _TABLE))
         self.e1, self.e2 = self.t1[self.q1], self.t2[self.q2]
-        self.f1, self.f2 = (self.e1 & 3).astype(np.int64), (self.e2 & 3).astype(np.int64)
-        both = lane * 16 + self.f2 * 4 + self.f1
-        self.at = [(lane * 4 + self.f2, both), (lane * 4 + self.f1, both)]
-        mixed = [np.clip((own[a] + joint[b]) >> 1, 512, 65_024).astype(np.uint64) for own, joint, (a, b) in zip(self.own, self.joint, self.at)]
-        zero = np.clip(self.common[:m], 512, 65_024).astype(np.uint64)
-        s1 = mixed[0] << np.uint64(_TOTAL - 16)
-        s2 = s1 + (((np.uint64(1 << _TOTAL) - s1) * mixed[1]) >> np.uint64(16))
-        s3 = s2 + (((np.uint64(1 << _TOTAL) - s2) * zero) >> np.uint64(16))
-        return self.e2 >> 2, self.e1 >> 2, self.best[:m], s1, s2, s3
+        self.f1, self.f2 = self.e1 & np.uint32(3), self.e2 & np.uint32(3)
+        both = self.by_sixteen[:m] + (self.f2 * np.uint32(4) + self.f1)
+        self.at = [(self.by_four[:m] + self.f2, both), (self.by_four[:m] + self.f1, both)]
+        # Clipped so that no class is empty.
+        self.p = [(own[a], joint[b]) for own, joint, (a, b) in zip(self.own, self.joint, self.at)]
+        first, second = (np.clip((x + y) >> np.uint32(1), 1_024, 63_488) for x, y in self.p)
+        third = np.clip(self.common[:m], 2_048, 63_488)
+        b = self.bounds[:, :m]
+        whole = np.uint32(1 << _TOTAL)
+        b[1] = first
+        b[2] = first + (((whole - first) * second) >> np.uint32(_TOTAL))
+        b[3] = b[2] + (((whole - b[2]) * third) >> np.uint32(_TOTAL))
+        return self.e2 >> np.uint32(2), self.e1 >> np.uint32(2), self.best[:m], b
+
+    def classes(self, m: int, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the class of each lane begins and ends."""
+        lanes = self.bounds.shape[1]
+        at, flat = cls * lanes + self.every[:m], self.bounds.reshape(-1)
+        return flat[at], flat[at + lanes]
 
     def update(self, m: int, ids: np.ndarray, cls: np.ndarray) -> None:
-        for level, (a, b) in enumerate(self.at):
-            seen = cls >= level  # the class was still open
-            goal = np.where(cls == level, 65_535, 0).astype(np.int32)
-            for table, at in ((self.own[level], a), (self.joint[level], b)):
-                p = table[at]
-                table[at] = np.where(seen, p + ((goal - p) >> 5), p)
+        for level, ((a, b), values) in enumerate(zip(self.at, self.p)):
+            goal = np.where(cls == level, np.uint32(2_047), np.uint32(0))
+            late = None if level == 0 else cls < level  # the class was not open any more
+            for table, at, p in ((self.own[level], a, values[0]), (self.joint[level], b, values[1])):
+                moved = p - (p >> np.uint32(5)) + goal
+                table[at] = moved if late is None else np.where(late, p, moved)
         p = self.common[:m]
-        self.common[:m] = np.where(cls >= 2, p + ((np.where(cls == 2, 65_535, 0).astype(np.int32) - p) >> 5), p)
+        self.common[:m] = np.where(cls >= 2, p - (p >> np.uint32(5)) + np.where(cls == 2, np.uint32(2_047), np.uint32(0)), p)
         fresh = ids << np.uint32(2)
         for table, q, e, f in ((self.t1, self.q1, self.e1, self.f1), (self.t2, self.q2, self.e2, self.f2)):
-            right = (e >> np.uint32(2)) == ids
-            table[q] = np.where(right, e + (f < 3), np.where(f > 0, e - np.uint32(1), fresh)).astype(np.uint32)
-        at = (self.lane[:m] << 8) + (ids & np.uint32(255))
+            right = (e ^ fresh) < 4
+            table[q] = np.where(right, e + (f < 3), np.where(f > 0, e - np.uint32(1), fresh))
+        at = self.by_id[:m] + (ids & np.uint32(255))
         n = self.counts[at] + 1
         self.counts[at] = n
         better = n > self.best_n[:m]
-        self.best[:m] = np.where(better, ids, self.best[:m])
-        self.best_n[:m] = np.where(better, n, self.best_n[:m])
+        np.copyto(self.best[:m], ids, where=better)
+        np.copyto(self.best_n[:m], n, where=better)
         self.c2[:m] = self.c1[:m]
         self.c1[:m] = ids
 
@@ -104,11 +119,16 @@ class _Models:
 _48, _32, _16 = np.uint64(1 << 48), np.uint64(1 << 32), np.uint64(16)
 
 
-def _settled(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Which lanes shift a word out, and the spans, cut where they are too small to go on."""
-    same = (low ^ (low + span)) < _48
-    small = ~same & (span < _32)
-    return same | small, np.where(small, (np.uint64(0) - low) & (_32 - np.uint64(1)), span)
+def _moving(low: np.ndarray, span: np.ndarray) -> np.ndarray:
+    """Which lanes have a leading word to shift out: it is settled, or the span is too small to go on."""
+    return np.flatnonzero(((low ^ (low + span)) < _48) | (span < _32))
+
+
+def _shifted(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Both behind the leading word; a small span whose word isn't settled is cut to where it is."""
+    cut = (low ^ (low + span)) >= _48
+    span = np.where(cut, (np.uint64(0) - low) & (_32 - np.uint64(1)), span)
+    return low << _16, span << _16
 
 
 def _is_wide(block: np.ndarray) -> bool:
@@ -129,35 +149,38 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     low, span = np.zeros(len(order), np.uint64), np.full(len(order), 2**64 - 1, np.uint64)
     out, pos = np.zeros((len(order), (4 if wide.any() else 3) * steps + 8), np.uint16), np.zeros(len(order), np.int64)
 
-    def shift(m: int) -> None:
+    def shift(lanes: np.ndarray) -> None:
+        at, lows, spans = lanes, low[lanes], span[lanes]
         while True:
-            move, span[:m] = _settled(low[:m], span[:m])
-            at = np.flatnonzero(move)
-            if not len(at):
+            move = _moving(lows, spans)
+            if not len(move):
                 return
-            out[at, pos[at]] = low[at] >> _48.dtype.type(48)
+            at, lows, spans = at[move], lows[move], spans[move]
+            out[at, pos[at]] = lows >> np.uint64(48)
             pos[at] += 1
-            low[at] <<= _16
-            span[at] <<= _16
+            lows, spans = _shifted(lows, spans)
+            low[at], span[at] = lows, spans
 
+    every = np.arange(len(order))
     for t in range(steps):
         m = int(active[t])
         x = ids[t, :m]
-        p2, p1, p0, s1, s2, s3 = model.predict(m)
+        p2, p1, p0, bounds = model.predict(m)
         cls = np.where(x == p2, 0, np.where(x == p1, 1, np.where(x == p0, 2, 3)))
-        begin = np.choose(cls, (np.uint64(0), s1, s2, s3))
-        end = np.choose(cls, (s1, s2, s3, np.uint64(1 << _TOTAL)))
-        unit = span[:m] >> np.uint64(_TOTAL)
+        begin, end = model.classes(m, cls)
+        unit = span[:m] >> _16
         low[:m] += unit * begin
         span[:m] = unit * (end - begin)
-        shift(m)
         miss = np.flatnonzero(cls == 3)
-        for lanes, part in ((miss[wide[miss]], x >> np.uint32(16)), (miss, x & np.uint32(0xFFFF))):
+        far = miss[wide[miss]]
+        for lanes, part in ((far, x >> np.uint32(16)), (miss, x & np.uint32(0xFFFF))):
             if len(lanes):
                 unit = span[lanes] >> _16
                 low[lanes] += unit * part[lanes]
                 span[lanes] = unit
-                shift(m)
+                if lanes is far:
+                    shift(far)
+        shift(every[:m])
         model.update(m, x, cls)
     coded: list[bytes] = [b""] * len(blocks)
     for k in range(4):
@@ -186,38 +209,41 @@ def decode_blocks(coded: list[bytes], sizes: list[int], wide: list[bool] | None
     last = source.shape[1] - 1
     ids = np.zeros((steps, len(order)), np.uint32)
 
-    def shift(m: int) -> None:
+    def shift(lanes: np.ndarray) -> None:
+        at, lows, spans = lanes, low[lanes], span[lanes]
         while True:
-            move, span[:m] = _settled(low[:m], span[:m])
-            at = np.flatnonzero(move)
-            if not len(at):
+            move = _moving(lows, spans)
+            if not len(move):
                 return
+            at = at[move]
             code[at] = (code[at] << _16) | source[at, np.minimum(pos[at], last)]
             pos[at] += 1
-            low[at] <<= _16
-            span[at] <<= _16
+            lows, spans = _shifted(lows[move], spans[move])
+            low[at], span[at] = lows, spans
 
+    every = np.arange(len(order))
     for t in range(steps):
         m = int(active[t])
-        p2, p1, p0, s1, s2, s3 = model.predict(m)
-        unit = span[:m] >> np.uint64(_TOTAL)
-        v = code[:m] - low[:m]
-        cls = (v >= s1 * unit).astype(np.int64) + (v >= s2 * unit) + (v >= s3 * unit)
-        begin = np.choose(cls, (np.uint64(0), s1, s2, s3))
-        end = np.choose(cls, (s1, s2, s3, np.uint64(1 << _TOTAL)))
+        p2, p1, p0, bounds = model.predict(m)
+        unit = np.maximum(span[:m] >> _16, np.uint64(1))
+        v = np.minimum((code[:m] - low[:m]) // unit, np.uint64((1 << _TOTAL) - 1)).astype(np.uint32)
+        cls = (v >= bounds[1]).astype(np.int64) + (v >= bounds[2]) + (v >= bounds[3])
+        begin, end = model.classes(m, cls)
         low[:m] += unit * begin
         span[:m] = unit * (end - begin)
-        shift(m)
-        x = np.choose(cls, (p2, p1, p0, np.uint32(0))).astype(np.uint32)
+        x = np.where(cls == 0, p2, np.where(cls == 1, p1, np.where(cls == 2, p0, np.uint32(0))))
         miss = np.flatnonzero(cls == 3)
-        for lanes in (miss[is_wide[miss]], miss):
+        far = miss[is_wide[miss]]
+        for lanes in (far, miss):
             if len(lanes):
                 unit = np.maximum(span[lanes] >> _16, np.uint64(1))
                 part = np.minimum((code[lanes] - low[lanes]) // unit, np.uint64(0xFFFF))
                 x[lanes] = (x[lanes] << np.uint32(16)) | part.astype(np.uint32)
                 low[lanes] += unit * part
                 span[lanes] = unit
-                shift(m)
+                if lanes is far:
+                    shift(far)
+        shift(every[:m])
         ids[t, :m] = x
         model.update(m, x, cls)
     found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(coded)
@@ -284,16 +310,31 @@ class _Tokens:
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        tokenizer = Tokenizer.from_file(path)
-
-        def coded(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            whole = raw.tobytes()
-            words = [whole[a : a + n].decode() for a, n in zip(start.tolist(), length.tolist())]
-            ids = [x.ids for x in tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-            counts = np.fromiter(map(len, ids), np.int64, len(ids))
-            return np.fromiter((i for x in ids for i in x), np.int64, int(counts.sum())), counts
-
-        self.memo = Memo(coded)
+        self.tokenizer = Tokenizer.from_file(path)
+        self.between = next((x for x in map(chr, (0, 1, 2, 3, 4, 127)) if len(self._ids(x)) == 1), None)
+        self.memo = Memo(self._coded, STORE_WORDS, 4 * STORE_WORDS)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _coded(self, raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of words, encoded as one text with a control character of one id between them: an encoding each would cost more than its tokens."""
+        if self.between is not None:
+            ends = np.cumsum(length + 3)
+            joined = np.full(int(ends[-1]), 32, np.uint8)
+            joined[np.repeat(ends - length - 3, length) + ranges(np.zeros_like(length), length)] = raw[ranges(start, length)]
+            if not (joined == ord(self.between)).any():
+                joined[ends - 2] = ord(self.between)
+                ids = np.array(self._ids(joined.tobytes().decode()), np.int64)
+                mark = self._ids(self.between)[0]
+                at = np.flatnonzero(ids == mark)
+                if len(at) == len(length):  # else the mark is no word's end alone
+                    return ids[ids != mark], np.diff(np.r_[-1, at]) - 1
+        whole = raw.tobytes()
+        words = [whole[a : a + n].decode() for a, n in zip(start.tolist(), length.tolist())]
+        each = [x.ids for x in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        counts = np.fromiter(map(len, each), np.int64, len(each))
+        return np.fromiter((i for x in each for i in x), np.int64, int(counts.sum())), counts
 
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The flat ids of all texts, each with the end id, and each text's number of ids.
