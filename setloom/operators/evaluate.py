@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import half_up, hit_level, shared, strategy_group, total
 from ..model import STRATEGIES, FusionConfig
+from .frames import positioned
 
 #: Factors of a scored recommendation.
 FACTORS = ("inherit", "heat", "missing", "trend", "structure")
@@ -75,11 +76,10 @@ def best_record(h: DataFrame) -> DataFrame:
 
 
 def _upper_median(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """The value at index n // 2 of the sorted values, by counting equal values."""
-    counts = rows.groupBy(*by, value).agg(F.count("*").alias("__c"))
-    w = Window.partitionBy(*by)
-    counts = counts.withColumn("__u", F.sum("__c").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("__n", F.sum("__c").over(w))
-    return counts.filter(F.col("__u") > F.floor(F.col("__n") / 2)).groupBy(*by).agg(F.min(value).alias("median"))
+    """The value at index n // 2 of the sorted values: their places come from sorted ranges, so no task holds a whole group."""
+    placed = positioned(rows.select(*by, value), *by, value)
+    middle = placed.groupBy(*by).agg((F.min("pos") + F.floor(F.count("*") / 2)).alias("__middle"))
+    return placed.join(F.broadcast(middle), by).filter(F.col("pos") == F.col("__middle")).select(*by, F.col(value).alias("median"))
 
 
 def median_split(h: DataFrame) -> DataFrame:

@@ -13,14 +13,15 @@ from ..tables import stored
 _SPAN = 65_536  # positions that one window task sees of a number
 
 
-def positioned(rows: DataFrame, order: str = "issue_num") -> DataFrame:
-    """`rows` with `pos` (0-based place by a unique key) and `total`, as a table of their own.
+def positioned(rows: DataFrame, *order: str) -> DataFrame:
+    """`rows` with `pos` (0-based place by the issue or another order) and `total`, as a table of their own.
 
     Sampled splitters deal the keys to ranges, which are sorted and numbered on their own. The rows
     are written once, so what follows doesn't number them again; only a count of each range
     comes to the driver.
     """
-    placed = rows.repartitionByRange(order).sortWithinPartitions(order).withColumn("__id", F.monotonically_increasing_id())
+    order = order or ("issue_num",)
+    placed = rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__id", F.monotonically_increasing_id())
     placed = stored(placed, "positioned")
     part, inner = F.shiftright("__id", 33).cast("int"), F.col("__id").bitwiseAND((1 << 33) - 1)
     sizes = {r["part"]: r["count"] for r in placed.groupBy(part.alias("part")).count().collect()}

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .frames import positioned
+
 
 def basket_frequency(lineitem: DataFrame, size: int = 35) -> DataFrame:
     """In how many orders each of `size` part classes appears."""
@@ -14,6 +16,5 @@ def basket_frequency(lineitem: DataFrame, size: int = 35) -> DataFrame:
 
 def event_omission(events: DataFrame) -> DataFrame:
     """Of each event type the count and how many events came after its last one, by (ts, event_id)."""
-    last = events.groupBy("event_type").agg(F.count("*").alias("count"), F.max(F.struct("ts", "event_id")).alias("last"))
-    after = events.join(F.broadcast(last.select(F.col("event_type").alias("of"), "last")), F.struct("ts", "event_id") > F.col("last"), "inner").groupBy("of").agg(F.count("*").alias("omission"))
-    return last.join(after, F.col("event_type") == F.col("of"), "left").select("event_type", "count", F.coalesce("omission", F.lit(0)).cast("long").alias("omission"))
+    placed = positioned(events.select("event_type", "ts", "event_id"), "ts", "event_id")
+    return placed.groupBy("event_type").agg(F.count("*").alias("count"), (F.max("total") - 1 - F.max("pos")).cast("long").alias("omission"))

@@ -74,5 +74,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    out = twins.DESCRIPTIVE | twins_more.MORE | twins_picks.PICKS | twins_published.PUBLISHED
-    return out | {f"{name}_full": out[name] for name in ("upsert_draws_cap", "insert_ignore_draws")}
+    return twins.DESCRIPTIVE | twins_more.MORE | twins_picks.PICKS | twins_published.PUBLISHED

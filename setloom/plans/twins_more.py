@@ -132,11 +132,11 @@ MORE = {
         {_norm("po[len([x for x in front if x % 2 = 1]) + 1] * 100")} AS odd_even_match, {_norm("pg[len([x for x in front if x > 17]) + 1] * 100")} AS big_small_match, {_norm("(pz[least((front[1] - 1) // 7, 4) + 1] + pz[least((front[2] - 1) // 7, 4) + 1] + pz[least((front[3] - 1) // 7, 4) + 1] + pz[least((front[4] - 1) // 7, 4) + 1] + pz[least((front[5] - 1) // 7, 4) + 1]) / 5 * 100")} AS zone_match
         FROM recs, sh JOIN pk USING (t)), h AS (SELECT *, CASE WHEN s BETWEEN p25 AND p75 THEN 100 ELSE {_norm("greatest(0::DOUBLE, 100 - least(abs(s - p25), abs(s - p75))::DOUBLE / greatest(1, p75 - p25) * 100)")} END::DOUBLE AS sum_span_match FROM g)
         SELECT target_issue, inherit_match, odd_even_match, big_small_match, zone_match, sum_span_match, {_norm("0.2::DOUBLE * inherit_match + 0.2::DOUBLE * odd_even_match + 0.2::DOUBLE * big_small_match + 0.2::DOUBLE * zone_match + 0.2::DOUBLE * sum_span_match")} AS score FROM h""",
-    "walkforward_hits": f"WITH {_stats(_last(3))}{_search('G0', _W, 15, 8, 0.7, 0.3, False)} {_walk('G0')}",
-    "walkforward_grid": f"""WITH {_GRID}, w AS ({_walk("G0")} UNION ALL {_walk("G4")} UNION ALL {_walk("G6")} UNION ALL {_walk("G7")})
+    "walkforward_last": f"WITH {_stats(_last(3))}{_search('G0', _W, 15, 8, 0.7, 0.3, False)} {_walk('G0')}",
+    "walkforward_last_grid": f"""WITH {_GRID}, w AS ({_walk("G0")} UNION ALL {_walk("G4")} UNION ALL {_walk("G6")} UNION ALL {_walk("G7")})
         SELECT config, count(*) AS n, {_r("sum(front_hit)::DOUBLE / count(*)", 4)} AS avg_front_hit, {_r("sum(back_hit)::DOUBLE / count(*)", 4)} AS avg_back_hit, {_r("sum(front_hit + back_hit)::DOUBLE / count(*)", 4)} AS avg_total_hit,
         {_r("sum(7 - front_hit - back_hit)::DOUBLE / count(*)", 2)} AS avg_distance, 0.1429::DOUBLE AS random_front_number, 0.7143::DOUBLE AS random_front_hits FROM w GROUP BY config""",
-    "train_valid_delta": f"""WITH {_stats(_last(4))}{_search('G0', _W, 15, 8, 0.7, 0.3, False)}, w AS (SELECT *, t >= (SELECT count(*) FROM draws) - 2 AS valid FROM ({_walk("G0")})),
+    "train_valid_last": f"""WITH {_stats(_last(4))}{_search('G0', _W, 15, 8, 0.7, 0.3, False)}, w AS (SELECT *, t >= (SELECT count(*) FROM draws) - 2 AS valid FROM ({_walk("G0")})),
         m AS (SELECT config, count(*) FILTER (NOT valid) AS n_train, count(*) FILTER (valid) AS n_valid, {_r("sum(front_hit + back_hit) FILTER (NOT valid)::DOUBLE / count(*) FILTER (NOT valid)", 4)} AS train, {_r("sum(front_hit + back_hit) FILTER (valid)::DOUBLE / count(*) FILTER (valid)", 4)} AS validation FROM w GROUP BY config)
         SELECT *, {_r("validation - train", 4)} AS delta, {_r("sqrt(validation / n_valid)", 4)} AS poisson_se FROM m""",
     "rec_hits": f"WITH {HITS} SELECT target_issue, strategy, front_hit, back_hit, total_hit, level, distance, 5 - front_hit + greatest(0, 1 - back_hit) AS distance2, 5 - front_hit AS distance3 FROM hits",

@@ -33,7 +33,7 @@ def test_export_check_sees_all_recommendations(spark):
 
 def test_storing_sees_all_draws(spark):
     draws = sorted(r["issue_num"] for r in source.draws(spark, SF).collect())
-    ignored = {r["issue_num"]: r["source"] for r in registry.queries()["insert_ignore_draws_full"](spark, SF).collect()}
+    ignored = {r["issue_num"]: r["source"] for r in registry.queries()["insert_ignore_draws"](spark, SF).collect()}
     assert ignored == {n: "new" if pos % 3 == 0 else "stored" for pos, n in enumerate(draws)}
-    capped = {r["issue_num"]: r["source"] for r in registry.queries()["upsert_draws_cap_full"](spark, SF).collect()}
+    capped = {r["issue_num"]: r["source"] for r in registry.queries()["upsert_draws_cap"](spark, SF).collect()}
     assert capped == {n: "new" if pos % 3 == 0 or pos % 2 == 0 else "stored" for pos, n in list(enumerate(draws))[-1000:]}
