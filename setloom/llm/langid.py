@@ -9,7 +9,9 @@ every window of every whole text. Filters over embeddings of single bytes are su
 rows, so prediction looks up rows for byte pairs instead of multiplying.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; without any
-labelled row every text is `und`; null labels are never learnt; other columns pass through.
+labelled row every text is `und`; null labels are never learnt; few labelled rows among many others are all
+learnt, as the bound counts different labelled texts only; of labels with equal probability the first by name is
+predicted; other columns pass through, those named like an output go.
 """
 
 from __future__ import annotations
