@@ -27,10 +27,8 @@ from .common import text_of
 from .wordhash import Memo, Spans, ranges, slices
 
 _SPACE = "▁"
-#: Words that a task keeps encoded; the store is emptied when it is full. Only speed depends on it.
-STORE_WORDS = 300_000
-#: The same for their ids.
-STORE_IDS = 5_000_000
+#: A worker keeps encoded words in 2^STORE_BITS places, up to so many ids. Only speed depends on it.
+STORE_BITS, STORE_IDS = 19, 5_000_000
 _NONE = np.int64(1 << 40)
 
 
@@ -164,7 +162,7 @@ class _Store:
         def coded(raw: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return model.encode(raw.view(np.uint32)[ranges(start >> 2, length >> 2)], length >> 2)
 
-        self.memo = Memo(coded, STORE_WORDS, STORE_IDS)
+        self.memo = Memo(coded, STORE_BITS, STORE_IDS)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The flat ids of all texts and each text's number of ids."""

@@ -10,8 +10,8 @@ one row of a Parquet table (so that Spark's committer makes retried tasks safe o
                                 of each block, the blocks
 
 Each block is coded on its own. Its model starts empty and predicts the next id three times:
-by the last two ids, by the last one and by the block's commonest. Adaptive estimates that a
-prediction holds, one by its own confidence and one by those of both contexts, are mixed;
+by the last two ids, by the last one and by the block's commonest. Adaptive estimates of which
+prediction holds, by the confidences of both contexts together, mix the three;
 the range coder codes which prediction holds, and the id itself where none does: its lower 16
 bits, before which a block with ids from 65,536 on (marked in its count of ids) has the upper
 ones. All blocks of a batch are coded in step, one id of each at a time, as numpy lanes.
@@ -23,6 +23,7 @@ segments; ids from 2^30 on are refused by ValueError, as is a damaged header or
 
 from __future__ import annotations
 
+import json
 import struct
 import zlib
 from collections.abc import Iterator
@@ -35,34 +36,38 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .wordhash import Memo, Words, ranges, slices
+from .wordhash import LOWER, Memo, Spans, Words, ranges, slices
 
 BLOCK = 512  # ids of a block at most
 SEGMENT = 65_536  # ids of a segment, but for one more document
 LANES = 8192  # blocks coded in step
 HEAD = 16  # characters of a text that its range depends on
 MOST_ID = (1 << 30) - 1
-#: Words that a worker keeps encoded, in about 70 bytes each; the store is emptied when it is full. Only speed depends on it.
-STORE_WORDS = 1_500_000
+#: A worker keeps encoded words in 2^STORE_BITS places of 24 bytes, up to so many ids. Only speed depends on it.
+STORE_BITS, STORE_IDS = 20, 8_000_000
 _MAGIC = b"CMR2"
 _WIDE = 1 << 31  # in a block's count of ids: it has ids from 65,536 on
 _TABLE = 8  # bits of each context table
 _TOTAL = 16  # bits of the sum of class frequencies
 
 
+#: As its 32nd part goes an estimate gains 32, and more where it was right: it stays between 1,024 and 63,519, so no class is empty.
+_GAIN, _WRONG = np.uint16(1_984 - 32), np.uint16(32)
+_FIVE = np.uint16(5)
+
+
 class _Models:
     """The models of many lanes: predictions, class frequencies and updates."""
 
     def __init__(self, lanes: int):
         self.t1, self.t2 = np.zeros(lanes << _TABLE, np.uint32), np.zeros(lanes << _TABLE, np.uint32)
-        self.own = [np.full(lanes * 4, 16_384, np.uint32), np.full(lanes * 4, 16_384, np.uint32)]
-        self.joint = [np.full(lanes * 16, 16_384, np.uint32), np.full(lanes * 16, 16_384, np.uint32)]
-        self.common = np.full(lanes, 4_096, np.uint32)
-        self.counts = np.zeros(lanes << 8, np.int32)
-        self.best, self.best_n = np.zeros(lanes, np.uint32), np.zeros(lanes, np.int32)
+        self.joint = [np.full(lanes * 16, 16_384, np.uint16), np.full(lanes * 16, 16_384, np.uint16)]
+        self.common = np.full(lanes, 4_096, np.uint16)
+        self.counts = np.zeros(lanes << 8, np.int16)  # at most BLOCK
+        self.best, self.best_n = np.zeros(lanes, np.uint32), np.zeros(lanes, np.int16)
         self.c1, self.c2 = np.zeros(lanes, np.uint32), np.zeros(lanes, np.uint32)
         lane = self.every = np.arange(lanes)
-        self.by_context, self.by_four, self.by_sixteen, self.by_id = lane << _TABLE, lane * 4, lane * 16, lane << 8
+        self.by_context, self.by_sixteen, self.by_id = lane << _TABLE, lane * 16, lane << 8
         self.bounds = np.zeros((5, lanes), np.uint32)
         self.bounds[4] = 1 << _TOTAL
 
@@ -74,12 +79,10 @@ class _Models:
         self.q2 = self.by_context[:m] + (h2 >> np.uint32(32 - _TABLE))
         self.e1, self.e2 = self.t1[self.q1], self.t2[self.q2]
         self.f1, self.f2 = self.e1 & np.uint32(3), self.e2 & np.uint32(3)
-        both = self.by_sixteen[:m] + (self.f2 * np.uint32(4) + self.f1)
-        self.at = [(self.by_four[:m] + self.f2, both), (self.by_four[:m] + self.f1, both)]
-        # Clipped so that no class is empty.
-        self.p = [(own[a], joint[b]) for own, joint, (a, b) in zip(self.own, self.joint, self.at)]
-        first, second = (np.clip((x + y) >> np.uint32(1), 1_024, 63_488) for x, y in self.p)
-        third = np.clip(self.common[:m], 2_048, 63_488)
+        self.both = self.by_sixteen[:m] + (self.f2 * np.uint32(4) + self.f1)
+        self.p = [joint[self.both] for joint in self.joint]
+        first, second = (x.astype(np.uint32) for x in self.p)
+        third = self.common[:m].astype(np.uint32)
         b = self.bounds[:, :m]
         whole = np.uint32(1 << _TOTAL)
         b[1] = first
@@ -94,18 +97,16 @@ class _Models:
         return flat[at], flat[at + lanes]
 
     def update(self, m: int, ids: np.ndarray, cls: np.ndarray) -> None:
-        for level, ((a, b), values) in enumerate(zip(self.at, self.p)):
-            goal = np.where(cls == level, np.uint32(2_047), np.uint32(0))
-            late = None if level == 0 else cls < level  # the class was not open any more
-            for table, at, p in ((self.own[level], a, values[0]), (self.joint[level], b, values[1])):
-                moved = p - (p >> np.uint32(5)) + goal
-                table[at] = moved if late is None else np.where(late, p, moved)
+        for level, (table, p) in enumerate(zip(self.joint, self.p)):
+            step = (cls == level) * _GAIN + _WRONG - (p >> _FIVE)  # modulo 2^16, as the sum
+            table[self.both] = p + (step if level == 0 else step * (cls >= level))  # while the class was open
         p = self.common[:m]
-        self.common[:m] = np.where(cls >= 2, p - (p >> np.uint32(5)) + np.where(cls == 2, np.uint32(2_047), np.uint32(0)), p)
+        p += ((cls == 2) * _GAIN + _WRONG + _WRONG - (p >> _FIVE)) * (cls >= 2)
         fresh = ids << np.uint32(2)
         for table, q, e, f in ((self.t1, self.q1, self.e1, self.f1), (self.t2, self.q2, self.e2, self.f2)):
             right = (e ^ fresh) < 4
-            table[q] = np.where(right, e + (f < 3), np.where(f > 0, e - np.uint32(1), fresh))
+            moved = e + (right & (f < 3)) - ~right
+            table[q] = np.where(right | (f > 0), moved, fresh)
         at = self.by_id[:m] + (ids & np.uint32(255))
         n = self.counts[at] + 1
         self.counts[at] = n
@@ -140,6 +141,7 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     order = sorted(range(len(blocks)), key=lambda i: -len(blocks[i]))
     lengths = np.array([len(blocks[i]) for i in order])
     wide = np.array([_is_wide(blocks[i]) for i in order], bool)
+    any_wide = bool(wide.any())
     steps = int(lengths[0]) if len(order) else 0
     ids = np.zeros((steps, len(order)), np.uint32)
     for lane, i in enumerate(order):
@@ -147,10 +149,10 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     active = np.searchsorted(-lengths, -np.arange(steps), "left")  # lanes longer than the step
     model = _Models(len(order))
     low, span = np.zeros(len(order), np.uint64), np.full(len(order), 2**64 - 1, np.uint64)
-    out, pos = np.zeros((len(order), (4 if wide.any() else 3) * steps + 8), np.uint16), np.zeros(len(order), np.int64)
+    out, pos = np.zeros((len(order), (4 if any_wide else 3) * steps + 8), np.uint16), np.zeros(len(order), np.int64)
 
-    def shift(lanes: np.ndarray) -> None:
-        at, lows, spans = lanes, low[lanes], span[lanes]
+    def shift(lanes: np.ndarray | slice) -> None:
+        at, lows, spans = every[lanes], low[lanes], span[lanes]
         while True:
             move = _moving(lows, spans)
             if not len(move):
@@ -172,15 +174,17 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
         low[:m] += unit * begin
         span[:m] = unit * (end - begin)
         miss = np.flatnonzero(cls == 3)
-        far = miss[wide[miss]]
-        for lanes, part in ((far, x >> np.uint32(16)), (miss, x & np.uint32(0xFFFF))):
-            if len(lanes):
-                unit = span[lanes] >> _16
-                low[lanes] += unit * part[lanes]
-                span[lanes] = unit
-                if lanes is far:
-                    shift(far)
-        shift(every[:m])
+        far = miss[wide[miss]] if any_wide else miss[:0]
+        if len(far):
+            unit = span[far] >> _16
+            low[far] += unit * (x[far] >> np.uint32(16))
+            span[far] = unit
+            shift(far)
+        if len(miss):
+            unit = span[miss] >> _16
+            low[miss] += unit * (x[miss] & np.uint32(0xFFFF))
+            span[miss] = unit
+        shift(slice(m))
         model.update(m, x, cls)
     coded: list[bytes] = [b""] * len(blocks)
     for k in range(4):
@@ -195,6 +199,7 @@ def decode_blocks(coded: list[bytes], sizes: list[int], wide: list[bool] | None
     order = sorted(range(len(coded)), key=lambda i: -sizes[i])
     lengths = np.array([sizes[i] for i in order])
     is_wide = np.array([wide is not None and wide[i] for i in order], bool)
+    any_wide = bool(is_wide.any())
     steps = int(lengths[0]) if len(order) else 0
     words = [np.frombuffer(coded[i], "<u2") for i in order]
     source = np.zeros((len(order), max(map(len, words), default=0) + 4), np.uint64)
@@ -209,8 +214,8 @@ def decode_blocks(coded: list[bytes], sizes: list[int], wide: list[bool] | None
     last = source.shape[1] - 1
     ids = np.zeros((steps, len(order)), np.uint32)
 
-    def shift(lanes: np.ndarray) -> None:
-        at, lows, spans = lanes, low[lanes], span[lanes]
+    def shift(lanes: np.ndarray | slice) -> None:
+        at, lows, spans = every[lanes], low[lanes], span[lanes]
         while True:
             move = _moving(lows, spans)
             if not len(move):
@@ -233,7 +238,7 @@ def decode_blocks(coded: list[bytes], sizes: list[int], wide: list[bool] | None
         span[:m] = unit * (end - begin)
         x = np.where(cls == 0, p2, np.where(cls == 1, p1, np.where(cls == 2, p0, np.uint32(0))))
         miss = np.flatnonzero(cls == 3)
-        far = miss[is_wide[miss]]
+        far = miss[is_wide[miss]] if any_wide else miss[:0]
         for lanes in (far, miss):
             if len(lanes):
                 unit = np.maximum(span[lanes] >> _16, np.uint64(1))
@@ -243,7 +248,7 @@ def decode_blocks(coded: list[bytes], sizes: list[int], wide: list[bool] | None
                 span[lanes] = unit
                 if lanes is far:
                     shift(far)
-        shift(every[:m])
+        shift(slice(m))
         ids[t, :m] = x
         model.update(m, x, cls)
     found: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(coded)
@@ -304,6 +309,30 @@ def unpack(payloads: list[bytes]) -> list[np.ndarray]:
     return [np.concatenate(blocks[a:b]) if b > a else np.zeros(0, np.uint32) for a, b in zip(ends[:-1], ends[1:])]
 
 
+#: The pattern of tokenizers that part ASCII text without apostrophes into runs of letters, single digits and runs of others. (fixed value)
+_PARTING = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Classes of bytes: letters, digits, other printable ones, white space; the rest, and apostrophes, 0.
+_BLANK = 9
+_CLASS = np.zeros(256, np.uint8)
+_CLASS[[32, 9, 10, 11, 12, 13]] = _BLANK
+_CLASS[0x21:0x7F] = 3
+_CLASS[[*range(65, 91), *range(97, 123)]] = 1
+_CLASS[48:58] = 2
+_CLASS[39] = 0
+
+
+def _parts_ascii(config: dict) -> bool:
+    """Whether a tokenizer lowers ASCII words and parts them between letters, digits and others, so that those runs can be encoded alone."""
+    normal, before = config.get("normalizer") or {}, config.get("pre_tokenizer") or {}
+    normal, before = normal.get("normalizers", [normal]), before.get("pretokenizers", [before])
+    lowers = any(n.get("type") == "Lowercase" for n in normal) and all(n.get("type") in ("Lowercase", "NFC", "NFKC") or (n.get("type") == "Replace" and n.get("pattern") == {"Regex": r"\s+"}) for n in normal)
+    split = before[0]
+    parts = split.get("type") == "Split" and split.get("pattern") == {"Regex": _PARTING} and split.get("behavior") == "Removed" and split.get("invert") is True
+    plain = all(p.get("type") == "ByteLevel" and not p.get("add_prefix_space") and not p.get("use_regex") for p in before[1:])
+    added = all(not (t.get("normalized") or t.get("lstrip") or t.get("rstrip") or t.get("single_word")) for t in config.get("added_tokens") or [])
+    return lowers and parts and plain and added
+
+
 class _Tokens:
     """A tokenizer whose words of white space and anything else are encoded once for each worker, in a bounded store."""
 
@@ -312,7 +341,9 @@ class _Tokens:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.between = next((x for x in map(chr, (0, 1, 2, 3, 4, 127)) if len(self._ids(x)) == 1), None)
-        self.memo = Memo(self._coded, STORE_WORDS, 4 * STORE_WORDS)
+        config = json.loads(self.tokenizer.to_str())
+        self.parts, self.added = _parts_ascii(config), [t["content"].encode() for t in config.get("added_tokens") or []]
+        self.memo = Memo(self._coded, STORE_BITS, STORE_IDS)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
@@ -336,14 +367,33 @@ class _Tokens:
         counts = np.fromiter(map(len, each), np.int64, len(each))
         return np.fromiter((i for x in each for i in x), np.int64, int(counts.sum())), counts
 
+    def _units(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Bytes, and where in them what is encoded alone begins and ends: words, or the runs of letters, digits and others of plain ones, lowered."""
+        raw, start, end = words.raw, words.start, words.end
+        if not self.parts or not len(start):
+            return raw, start, end
+        text = raw.tobytes()
+        if any(t in text for t in self.added):  # a token added to the vocabulary may span runs
+            return raw, start, end
+        of, lowered = (np.frombuffer(bytearray(text.translate(t)), np.uint8) for t in (_CLASS.tobytes(), LOWER.tobytes()))
+        is_odd = np.zeros(len(start), bool)
+        is_odd[np.searchsorted(start, np.flatnonzero(of == 0), "right") - 1] = True
+        odd = np.flatnonzero(is_odd)  # words that aren't plain stay whole
+        whole = ranges(start[odd], end[odd] - start[odd])
+        of[whole], lowered[whole] = 0, raw[whole]
+        bound = np.r_[0, np.flatnonzero(of[1:] != of[:-1]) + 1, len(raw)]
+        solid = of[bound[:-1]] != _BLANK
+        return lowered, bound[:-1][solid], bound[1:][solid]
+
     def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """The flat ids of all texts, each with the end id, and each text's number of ids.
 
         The tokenizer drops white space and no token crosses it, so words are encoded alone.
         """
         words = Words(column)
-        flat, count = self.memo.numbers(words.raw, words.start, words.spans)
-        close = np.r_[0, np.cumsum(count)][words.offset]
+        raw, start, end = self._units(words)
+        flat, count = self.memo.numbers(raw, start, Spans(raw, start, end - start))
+        close = np.r_[0, np.cumsum(count)][np.searchsorted(start, words.bounds)]
         return np.insert(flat, close[1:], end_id).astype(np.uint32), np.diff(close) + 1
 
 

@@ -16,8 +16,8 @@ import pyarrow.compute as pc
 
 _BLANK = np.zeros(256, bool)
 _BLANK[[32, 9, 10, 11, 12, 13]] = True
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[65:91] += 32
 #: Odd factors and mixers of the two independent hashes.
 _BASE = (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F))
 _MIXER = ((np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)), (np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)))
@@ -72,7 +72,7 @@ class Spans:
 
 
 class Words:
-    """The words of a column of texts: their byte spans in `raw`, and `offset`, where each text's words begin."""
+    """The words of a column of texts: their byte spans in `raw`, `bounds` of the texts there, and `offset`, where each text's words begin."""
 
     def __init__(self, column: pa.Array, lower: bool = False):
         texts = [x.encode() if x else b"" for x in column.to_pylist()]
@@ -80,13 +80,14 @@ class Words:
         # A blank behind each text keeps words of two texts apart.
         self.raw = np.frombuffer(b"".join([t + b" " for t in texts]), np.uint8)
         if lower:
-            self.raw = _LOWER[self.raw]
+            self.raw = LOWER[self.raw]
         word = ~_BLANK[self.raw]
         edge = np.diff(np.r_[False, word].astype(np.int8))
         self.start = np.flatnonzero(edge == 1)
         self.end = np.flatnonzero(edge == -1)
         ends = np.cumsum(sizes + 1)
-        self.offset = np.searchsorted(self.start, np.r_[0, ends])
+        self.bounds = np.r_[0, ends]  # of the texts
+        self.offset = np.searchsorted(self.start, self.bounds)
         self._spans: Spans | None = None
 
     @property
@@ -118,59 +119,83 @@ def runs(h: np.ndarray, n: int, which: int = 0) -> np.ndarray:
     return total
 
 
+class _Grown:
+    """Numbers one after the other in an array with room behind them."""
+
+    def __init__(self, kind: type):
+        self.held, self.size = np.zeros(1 << 16, kind), 0
+
+    def add(self, more: np.ndarray) -> None:
+        if self.size + len(more) > len(self.held):
+            grown = np.zeros(2 * (self.size + len(more)), self.held.dtype)
+            grown[: self.size] = self.held[: self.size]
+            self.held = grown
+        self.held[self.size : self.size + len(more)] = more
+        self.size += len(more)
+
+
 class Memo:
-    """What `coded` gives for words, kept for those seen; hashes find a word, its bytes decide.
+    """What `coded` gives for words, kept for those seen in a table of 2^bits places, of which two by its hash may hold a word.
 
     `coded(raw, start, length)` returns the flat numbers of the words at these spans and how
-    many each has. The store is emptied when it is full: only speed depends on it.
+    many each has. A hash only finds a word, its bytes decide; a new word takes a free place or that of
+    another one, and all go when they have more than `most` numbers: only speed depends on the table.
     """
 
-    def __init__(self, coded: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], most_words: int = 300_000, most_numbers: int = 5_000_000):
-        self.coded, self.most = coded, (most_words, most_numbers)
+    def __init__(self, coded: Callable[[np.ndarray, np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]], bits: int = 19, most: int = 5_000_000):
+        self.coded, self.bits, self.most = coded, bits, most
         self.clear()
 
     def clear(self) -> None:
-        self.hash, self.length = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.first, self.pieces = np.zeros(0, np.int64), np.zeros(0, np.uint64)
-        self.start, self.count, self.flat = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int32)
+        places = 1 << self.bits
+        self.hash = np.zeros(places, np.uint64)
+        # Of each word: its length in bytes, where its pieces and where its numbers begin, how many these are.
+        self.known = np.zeros((places, 4), np.int32)
+        self.pieces, self.flat = _Grown(np.uint64), _Grown(np.int32)
 
     def numbers(self, raw: np.ndarray, start: np.ndarray, spans: Spans) -> tuple[np.ndarray, np.ndarray]:
         """The flat numbers of all words and how many each has."""
         if not len(start):
-            return self.flat[:0], np.zeros(0, np.int64)
-        if len(self.hash) > self.most[0] or len(self.flat) > self.most[1]:
+            return np.zeros(0, np.int32), np.zeros(0, np.int64)
+        if max(self.flat.size, self.pieces.size) > self.most:
             self.clear()
-        known, index, at = np.unique(spans.hashes(), return_index=True, return_inverse=True)
-        place = np.searchsorted(self.hash, known)
-        new = place == len(self.hash)
-        new[~new] = self.hash[place[~new]] != known[~new]
-        if new.any():
-            take = index[new]
-            flat, counts = self.coded(raw, start[take], spans.length[take])
-            put = np.searchsorted(self.hash, known[new])
-            self.hash = np.insert(self.hash, put, known[new])
-            self.length = np.insert(self.length, put, spans.length[take])
-            self.first = np.insert(self.first, put, len(self.pieces) + np.cumsum(spans.count[take]) - spans.count[take])
-            self.pieces = np.r_[self.pieces, spans.pieces[ranges(spans.first[take], spans.count[take])]]
-            self.start = np.insert(self.start, put, len(self.flat) + np.cumsum(counts) - counts)
-            self.count = np.insert(self.count, put, counts)
-            self.flat = np.r_[self.flat, flat.astype(np.int32)]
-            place = np.searchsorted(self.hash, known)
-        word = place[at]
-        begin, count, flat = self.start[word], self.count[word], self.flat
-        other = self._others(word, spans)
+        h = spans.hashes()
+        one, two = self._places(h)
+        place = np.where(self.hash[two] == h, two, one)
+        found = self.known[place]
+        new = np.flatnonzero(self.hash[place] != h)
+        if len(new):
+            _, index, at = np.unique(h[new], return_index=True, return_inverse=True)
+            found[new] = self._learn(raw, start, spans, h, new[index])[at]
+        length, first, begin, count = (found[:, c].astype(np.int64) for c in range(4))
+        other = self._others(length, first, spans)
         if len(other):  # words that another one's hash has led here
             more, counts = self.coded(raw, start[other], spans.length[other])
-            begin[other], count[other] = len(flat) + np.cumsum(counts) - counts, counts
-            flat = np.r_[flat, more.astype(np.int32)]
-        return flat[ranges(begin, count)], count
-
-    def _others(self, word: np.ndarray, spans: Spans) -> np.ndarray:
+            begin[other], count[other] = self.flat.size + np.cumsum(counts) - counts, counts
+            self.flat.add(more)
+        return self.flat.held[ranges(begin, count)], count
+
+    def _places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The two places where a word may be."""
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64), (h & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+
+    def _learn(self, raw: np.ndarray, start: np.ndarray, spans: Spans, h: np.ndarray, take: np.ndarray) -> np.ndarray:
+        """Encode and keep the words `take`; what is known of each."""
+        flat, counts = self.coded(raw, start[take], spans.length[take])
+        pieces = spans.count[take]
+        known = np.stack([spans.length[take], self.pieces.size + np.cumsum(pieces) - pieces, self.flat.size + np.cumsum(counts) - counts, counts], 1).astype(np.int32)
+        self.pieces.add(spans.pieces[ranges(spans.first[take], pieces)])
+        self.flat.add(flat)
+        one, two = self._places(h[take])
+        place = np.where((self.hash[one] == 0) | ((self.hash[two] != 0) & (h[take] >> np.uint64(32) & np.uint64(1) == 0)), one, two)
+        self.hash[place], self.known[place] = h[take], known
+        return known
+
+    def _others(self, length: np.ndarray, first: np.ndarray, spans: Spans) -> np.ndarray:
         """Which words aren't the stored ones."""
-        wrong = self.length[word] != spans.length
-        of = np.where(wrong, 0, self.first[word] - spans.first)  # where it is wrong, any stored piece does
-        at = np.arange(len(spans.pieces)) + np.repeat(of, spans.count)
-        differ = self.pieces[np.minimum(at, len(self.pieces) - 1)] != spans.pieces
+        wrong = length != spans.length
+        at = spans.place + np.repeat(np.where(wrong, 0, first), spans.count)  # where it is wrong, any stored piece does
+        differ = self.pieces.held[np.minimum(at, len(self.pieces.held) - 1)] != spans.pieces
         if differ.any():
             wrong |= np.logical_or.reduceat(differ, spans.first)
         return np.flatnonzero(wrong)

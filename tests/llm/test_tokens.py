@@ -72,6 +72,16 @@ def test_words_that_polynomials_confuse(spark):
         assert store.encode([t])[0].tolist() == model.encode(t)
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.one_of(st.characters(codec="utf-8"), st.sampled_from("aBc 'sT9.,-!<|>İJ\u030cé\x00\x1c\n")), max_size=40), max_size=5))
+def test_words_in_runs_equal_the_library(some):
+    some = [*some, "Don't STOP '90s <|endoftext|>x <|EndOfText|> J\u030c a1B2 3.14!!"]
+    tok = Tokenizer.from_file(WORD)
+    flat, counts = token_store._tokens(WORD).encode(pa.array(some), 1)
+    ends = np.cumsum(counts)
+    assert [flat[b - n : b].tolist() for b, n in zip(ends, counts)] == [[*tok.encode(t, add_special_tokens=False).ids, 1] for t in some]
+
+
 def test_words_of_one_hash(monkeypatch):
     """A hash only finds a stored word; its bytes decide."""
     monkeypatch.setattr(wordhash.Spans, "hashes", lambda self, which=0: np.full(len(self.length), 7, np.uint64))
