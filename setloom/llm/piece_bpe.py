@@ -28,7 +28,7 @@ from .wordhash import Memo, Spans, ranges, slices
 
 _SPACE = "▁"
 #: A worker keeps encoded words in 2^STORE_BITS places, up to so many ids. Only speed depends on it.
-STORE_BITS, STORE_IDS = 19, 5_000_000
+STORE_BITS, STORE_IDS = 18, 2_000_000
 _NONE = np.int64(1 << 40)
 
 

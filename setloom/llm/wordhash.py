@@ -127,7 +127,7 @@ class _Grown:
 
     def add(self, more: np.ndarray) -> None:
         if self.size + len(more) > len(self.held):
-            grown = np.zeros(2 * (self.size + len(more)), self.held.dtype)
+            grown = np.zeros((self.size + len(more)) * 5 // 4, self.held.dtype)
             grown[: self.size] = self.held[: self.size]
             self.held = grown
         self.held[self.size : self.size + len(more)] = more
