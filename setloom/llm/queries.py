@@ -1,4 +1,4 @@
-"""The ten operators as queries over the test tables, with SQL twins where SQL can express them."""
+"""The operators as queries over the test tables, with SQL twins where SQL can express them."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprint, langid, line_dedup, mixing, near_dedup, piece_bpe, substring_dedup, token_store
+from . import alignment, centroids, chat, exact_dedup, fingerprint, langid, line_dedup, mixing, near_dedup, personal_data, piece_bpe, substring_dedup, token_store
 from .common import new_path, table, tokenizer_path
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -68,8 +68,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), keep="max")
 
 
+def op11_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return personal_data.personal_data_digest(table(spark, sf_dir, "documents"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.cluster_vectors(table(spark, sf_dir, "embeddings"), k=40, rounds=5, seed=2)
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, _ = alignment.align(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"), tokenizer_path("piece_bpe_32k.model"))
+    return docs
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_substring_dedup, op3_line_dedup, op3_line_dedup_full, op4_token_store, op5_near_dedup, op6_chat_formatting, op7_mix_sources, op8_piece_bpe, op9_language_id, op10_exact_dedup)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_substring_dedup, op3_line_dedup, op3_line_dedup_full, op4_token_store, op5_near_dedup, op6_chat_formatting, op7_mix_sources, op8_piece_bpe, op9_language_id, op10_exact_dedup, op11_personal_data, op12_centroid_clusters, op13_token_alignment)}
 
 
 def oracle_sql() -> dict[str, str]:
