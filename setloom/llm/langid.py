@@ -25,7 +25,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_of
+from .common import Tables, text_of
 
 UNKNOWN = "und"
 
@@ -175,23 +175,30 @@ class Predictor:
 
 
 def _shares(counts: dict[str, int], total: int) -> dict[str, int]:
-    """Rows of each label: equal shares of `total`, what a label lacks goes to the others; one row at least."""
+    """Rows of each label: equal shares of `total`, what a label lacks goes to the others. At most `total` labels, so each has one row at least."""
+    if len(counts) > total:
+        raise ValueError("more labels than rows")
     out, left = {}, total
     for n, label in enumerate(sorted(counts, key=lambda k: (counts[k], k))):
-        out[label] = max(1, min(counts[label], left // (len(counts) - n)))
-        left = max(0, left - out[label])
+        out[label] = min(counts[label], left // (len(counts) - n))
+        left -= out[label]
     return out
 
 
 def training_sample(docs: DataFrame, train: Column | None, text_col: str, label_col: str, config: Config) -> tuple[list[str], list[str]]:
-    """At most `fit_rows` different labelled texts, shared out to the labels and spread by a hash; of each a piece of at most `fit_chars` from a hashed place."""
+    """At most `fit_rows` different labelled texts, shared out to the labels and spread by a hash; of each a piece of at most `fit_chars` from a hashed place.
+
+    Where there are more labels than that, the rarest are left out (of equally frequent ones those last by name): they aren't learnt.
+    """
     rows = docs.filter(F.col(label_col).isNotNull() & F.col(text_col).rlike(r"\p{L}"))
     if train is not None:
         rows = rows.filter(train)
     key = F.xxhash64(F.lit(config.seed), F.col(text_col))
     label = F.col(label_col).cast("string")
     # Copies of a text count once, with their least label.
-    counts = rows.select(key.alias("key"), label.alias("label")).groupBy("key").agg(F.min("label").alias("label")).groupBy("label").count()
+    tables = Tables()
+    labels = tables.stored(rows.select(key.alias("key"), label.alias("label")).groupBy("key").agg(F.min("label").alias("label")), "labels")
+    counts = labels.groupBy("label").count().orderBy(F.desc("count"), "label").limit(config.fit_rows)
     counts = {r["label"]: r["count"] for r in counts.collect()}
     if not counts:
         return [], []
@@ -200,11 +207,14 @@ def training_sample(docs: DataFrame, train: Column | None, text_col: str, label_
     piece = F.substring(F.col(text_col), F.pmod(F.xxhash64(key), room).cast("int") + 1, F.lit(config.fit_chars))
     # Few more texts than a label's share pass a filter on the hash, so that little is grouped and sorted.
     settings = [(k, int(min(1.0, (4 * n + 64) / counts[k]) * (1 << 30)), n) for k, n in quota.items()]
-    settings = F.broadcast(docs.sparkSession.createDataFrame(settings, "label string, __upto long, __quota long"))
-    rows = rows.select(key.alias("key"), piece.alias("piece"), label.alias("label")).join(settings, "label").filter(F.pmod("key", F.lit(1 << 30)) <= F.col("__upto"))
-    texts = rows.groupBy("key").agg(F.min(F.struct("label", "piece", "__quota")).alias("r")).select("key", "r.*")
+    settings = F.broadcast(docs.sparkSession.createDataFrame(settings, "label string, __upto long, __quota long"))  # a row for each of fit_rows labels at most
+    chosen = labels.join(settings, "label").filter(F.pmod("key", F.lit(1 << 30)) <= F.col("__upto"))
     place = F.row_number().over(Window.partitionBy("label").orderBy("key"))
-    got = texts.withColumn("__place", place).filter(F.col("__place") <= F.col("__quota")).orderBy("key").collect()
+    chosen = chosen.withColumn("__place", place).filter(F.col("__place") <= F.col("__quota")).select("key", "label")
+    # At most fit_rows texts are chosen before any text is moved.
+    pieces = rows.select(key.alias("key"), piece.alias("piece")).join(F.broadcast(chosen), "key").groupBy("key").agg(F.min(F.struct("label", "piece")).alias("r"))
+    got = pieces.select("key", "r.*").orderBy("key").collect()
+    tables.drop(labels)
     return [r["piece"] for r in got], [r["label"] for r in got]
 
 

@@ -41,10 +41,16 @@ def _selected(docs: DataFrame, id_col: str, text_col: str, min_lines: int, group
         marks = [F.struct(F.get(F.col("grams"), at + j).alias("mark"), (-at - j).alias("back")) for j in range(per_mark)]
         return F.least(*marks) if per_mark > 1 else marks[0]
 
-    chosen = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("lines") - min_lines), least))
-    each = hashed.withColumn("grams", grams).select("id", "key", "lines", F.explode(chosen).alias("m")).select("id", "key", "lines", "m.mark", (-F.col("m.back")).alias("at"))
-    each = each.withColumn("begin", F.greatest(F.col("at") - (per_mark - 1), F.lit(0)))
-    return each.select("id", "key", "at", "mark", "begin", F.slice("lines", F.col("begin") + 1, F.col("at") + min_lines - F.col("begin")).alias("lines"))
+    chosen = F.transform(F.sequence(F.lit(0), F.size("lines") - min_lines), least)
+    each = hashed.withColumn("grams", grams).withColumn("chosen", chosen)
+
+    def around(m: Column) -> Column:
+        begin = F.greatest(-m["back"] - (per_mark - 1), F.lit(0))
+        return F.struct(m["mark"].alias("mark"), (-m["back"]).alias("at"), begin.alias("begin"), F.slice("lines", begin + 1, -m["back"] + min_lines - begin).alias("lines"))
+
+    # Places ascend, so equal choices are neighbours; what is exploded holds only the lines around.
+    marks = F.filter("chosen", lambda m, k: (k == 0) | (m["back"] != F.get("chosen", k - 1)["back"]))
+    return each.select("id", "key", F.explode(F.transform(marks, around)).alias("m")).select("id", "key", "m.at", "m.mark", "m.begin", "m.lines")
 
 
 def _extended(matched: DataFrame, min_lines: int) -> DataFrame:
@@ -107,19 +113,20 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     rows = docs.select(*[c for c in docs.columns if c not in ("n_lines", "n_removed", "kept_text")])
     got = rows.join(starts, F.col(id_col).eqNullSafe(F.col("__ld_id")) & (F.xxhash64(text_of(text_col)) == F.col("__ld_key")), "left")
     lines = F.split(text_of(text_col), "\n", -1)
-    nothing = F.struct(F.lit(0).alias("next"), F.array().cast("array<struct<at:int,n:int>>").alias("gaps"))
+    back = min_lines * (1 if min_words is None else min_lines)  # runs that can reach beyond the start of one: begins times lengths
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.array(F.struct(a["next"].alias("at"), (s["at"] - a["next"]).alias("n")))
-        return F.struct(F.greatest(a["next"], s["at"] + s["n"]).alias("next"), F.when(s["at"] > a["next"], F.concat(a["gaps"], gap)).otherwise(a["gaps"]).alias("gaps"))
+    def ended(k: Column) -> Column:
+        """Where the runs before the k-th end."""
+        runs = [F.get("__ld_starts", k - j) for j in range(1, back + 1)]
+        return F.greatest(F.lit(0), *[F.coalesce(r["at"] + r["n"], F.lit(0)) for r in runs])
 
-    def finish(a: Column) -> Column:
-        return F.concat(a["gaps"], F.array(F.struct(a["next"].alias("at"), (F.size("__ld_lines") - a["next"]).alias("n"))))
+    def gap(k: Column) -> Column:
+        upto = F.coalesce(F.get("__ld_starts", k)["at"], F.size("__ld_lines"))
+        return F.slice("__ld_lines", ended(k) + 1, F.greatest(upto - ended(k), F.lit(0)))
 
-    gaps = F.aggregate("__ld_starts", nothing, step, finish)
-    got = got.withColumn("__ld_lines", lines).withColumn("__ld_gaps", gaps)
-    kept = F.flatten(F.transform("__ld_gaps", lambda g: F.slice("__ld_lines", g["at"] + 1, g["n"])))
-    got = got.withColumn("__ld_kept", F.when(F.col("__ld_gaps").isNull(), F.col("__ld_lines")).otherwise(kept))
+    kept = F.flatten(F.transform(F.sequence(F.lit(0), F.size("__ld_starts")), gap))
+    got = got.withColumn("__ld_lines", lines)
+    got = got.withColumn("__ld_kept", F.when(F.col("__ld_starts").isNull(), F.col("__ld_lines")).otherwise(kept))
     return got.select(
         *rows.columns,
         F.size("__ld_lines").cast("long").alias("n_lines"),
