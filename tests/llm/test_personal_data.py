@@ -2,6 +2,7 @@
 
 import random
 import re
+import time
 
 from edges import frame, listed, sha, texts
 
@@ -59,8 +60,11 @@ def test_other_kinds():
 
 
 def test_long_runs_take_linear_time():
-    for text in ("a@" * 100_000, "1." * 150_000, "://" * 100_000, "+1" * 150_000, "12 " * 100_000, "x" * 300_000 + "@h.de", "iban " * 60_000):
-        assert base(personal_data.spans_of(text)) == plain(text)
+    for text in ("a@", "1.", "://", "+1", "12 ", "iban ", "a@b.", "x"):
+        assert base(personal_data.spans_of(text * 200 + "@h.de")) == plain(text * 200 + "@h.de")
+        began = time.process_time()
+        personal_data.spans_of(text * 100_000 + "@h.de")
+        assert time.process_time() - began < 20
 
 
 def test_edges(spark):
