@@ -1,28 +1,32 @@
-"""The cache of metrics and scores: one plan for all windows, stored by key and looked up by it."""
+"""The cache of metrics and scores: one plan for all windows, stored in a folder for each window and set and looked up there."""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import percent
 from ..model import PERIODS, SEVEN_MODELS
+from ..tables import Tables
 from .descriptive import _average_run, _by_rule, seven_scores
-from .frames import number_profiles
+from .spans import number_profiles
 from .store import check_parameters, upsert
 
 ANALYSIS_KEY = ("period", "kind", "metric", "version")
 SCORE_KEY = ("period", "kind", "num", "model_type", "weight_version")
 #: Windows that are kept; others are computed when asked for. (fixed values)
 CACHED = (50, 100, 300, 1000)
+#: Folders of a stored cache: one for each window and set.
+PARTITIONS = ("period", "kind")
+ANALYSIS_ROWS = "metric string, version string, payload string, period long, kind string"
+SCORE_ROWS = "num long, total long, parts string, tag string, model_type string, weight_version string, period long, kind string"
 
 
 def metric_matrix(draws: DataFrame, values: Sequence[int] = PERIODS, version: str = "v1") -> DataFrame:
     """Rows (period, kind, metric, version, payload): six metrics as JSON for each window and set, from one profile of all numbers."""
-    omit = F.when(F.col("last").isNull(), F.col("n")).otherwise(F.col("total") - 1 - F.col("last"))
-    rows = number_profiles(draws, values).withColumns({"omit": omit, "avg": _average_run(1)})
+    rows = number_profiles(draws, values).withColumns({"omit": F.col("current"), "avg": _average_run(1)})
     odd, small = F.col("num") % 2 == 1, F.col("num") <= _by_rule(lambda r: F.lit(r.small_to))
 
     def share(part: Column) -> Column:
@@ -61,6 +65,58 @@ def replace_rows(stored: DataFrame, new: DataFrame, keys: Sequence[str]) -> Data
     return upsert(stored.withColumn("__at", F.lit(0)), numbered, keys, "__at").select(*columns)
 
 
+def write_cache(rows: DataFrame, path: str) -> None:
+    """Write rows of a cache into the folders of their windows and sets; folders of others stay as they are.
+
+    A folder is replaced as a whole when the job commits, so a second run changes nothing and a failed one leaves the old rows.
+    Each folder is written by one task: it has some rows for each number.
+    """
+    rows.repartition(*PARTITIONS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*PARTITIONS).parquet(path)
+
+
+def read_cache(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A stored cache; filters on window and set choose folders, nothing else is read. Without a folder it has no rows."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
+
+
+class Cache:
+    """Metrics and scores of windows of draws under one folder: refreshed window by window, looked up by key."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path.rstrip("/")
+
+    @property
+    def analysis(self) -> DataFrame:
+        return read_cache(self.spark, f"{self.path}/analysis", ANALYSIS_ROWS)
+
+    @property
+    def scores(self) -> DataFrame:
+        return read_cache(self.spark, f"{self.path}/scores", SCORE_ROWS)
+
+    def refresh(self, draws: DataFrame, values: Sequence[int] = CACHED, models: Sequence[str] = tuple(SEVEN_MODELS), version: str = "v1", weight_version: str = "default") -> None:
+        """Metrics and scores of these windows in place of what is stored for them; rows of other versions in the same folders stay."""
+        for name, schema, made, own in (
+            ("analysis", ANALYSIS_ROWS, metric_matrix(draws, values, version), F.col("version") == version),
+            ("scores", SCORE_ROWS, score_matrix(draws, values, models, weight_version), (F.col("weight_version") == weight_version) & F.col("model_type").isin(*models)),
+        ):
+            others = read_cache(self.spark, f"{self.path}/{name}", schema).filter(F.col("period").isin(*values) & ~own)
+            # Stored first: a folder can't be replaced while it is read.
+            tables = Tables()
+            rows = tables.stored(made.unionByName(others), f"cache-{name}")
+            write_cache(rows, f"{self.path}/{name}")
+            tables.drop(rows)
+
+    def lookup(self, period: str | int, kind: str, metric: str | None = None) -> DataFrame:
+        return analysis_lookup(self.analysis, period, kind, metric)
+
+    def score_lookup(self, draws: Callable[[], DataFrame], period: int, kind: str, model: str = "standard") -> DataFrame:
+        """Stored scores with origin `cache`, or computed ones with origin `computed`."""
+        return cached_scores(self.scores, draws, period, kind, model)
+
+
 def parsed(rows: DataFrame, column: str = "payload") -> DataFrame:
     """`rows` with `is_json` and `value`: the parsed JSON written again, or the raw text of what isn't JSON."""
     found = F.try_parse_json(column)
@@ -84,12 +140,12 @@ def scores_lookup(cache: DataFrame, period: str | int, kind: str, model: str = "
 
 
 def cached_scores(cache: DataFrame | None, draws: Callable[[], DataFrame], period: int, kind: str, model: str = "standard") -> DataFrame:
-    """Scores from the cache where the window is kept and there are rows, else computed."""
+    """Scores from the cache where the window is kept and there are rows, else computed; `origin` says which."""
     if cache is not None and period in CACHED:
         found = scores_lookup(cache, period, kind, model)
         if not found.isEmpty():
-            return found
-    return scores_lookup(score_matrix(draws(), [period], [model]), period, kind, model)
+            return found.withColumn("origin", F.lit("cache"))
+    return scores_lookup(score_matrix(draws(), [period], [model]), period, kind, model).withColumn("origin", F.lit("computed"))
 
 
 def ranked_scores(scores: DataFrame) -> DataFrame:

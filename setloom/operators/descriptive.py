@@ -1,4 +1,4 @@
-"""Descriptive statistics of a draw history. All take positioned draws."""
+"""Descriptive statistics of a draw history. Those of neighbouring draws take positioned draws, the others any."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import adjacent_pairs, big_count, clamp, half_up, hot_level, miss_level, odd_count, percent, shared, span, total, zone
 from ..model import BACK, FRONT, PERIODS, RULES, GroupRule
-from .frames import appearances, dense_counts, gaps, last_n, number_profiles, universe, window_sizes, windowed
+from .frames import _SPAN, universe
+from .spans import absences, counts, gaps, number_profiles
 
 
 def _by_rule(pick) -> Column:
@@ -19,11 +20,11 @@ def _by_rule(pick) -> Column:
 
 
 def frequency(draws: DataFrame, period: int = 0) -> DataFrame:
-    return dense_counts(draws, [period]).select("kind", "num", "count")
+    return counts(draws, [period]).select("kind", "num", "count")
 
 
 def frequency_windows(draws: DataFrame) -> DataFrame:
-    return dense_counts(draws).select("period", "kind", "num", "count")
+    return counts(draws).select("period", "kind", "num", "count")
 
 
 def _ranked(rows: DataFrame, *order: Column, by: tuple[str, ...] = ("kind",)) -> DataFrame:
@@ -51,8 +52,7 @@ def cold_by_omission(draws: DataFrame, top_front: int = 8, top_back: int = 4) ->
 
 def omission(draws: DataFrame) -> DataFrame:
     """Draws since each number's last appearance."""
-    got = dense_counts(draws, [0])
-    return got.select("kind", "num", F.when(F.col("last").isNull(), F.col("n")).otherwise(F.col("total") - 1 - F.col("last")).alias("omission"))
+    return absences(draws).select("kind", "num", F.col("after").alias("omission"))
 
 
 def longest_omission(draws: DataFrame) -> DataFrame:
@@ -75,10 +75,10 @@ def missing_windows(draws: DataFrame, values=PERIODS) -> DataFrame:
 
 def hot_with_omission(draws: DataFrame, values=PERIODS, keep_unseen: bool = True) -> DataFrame:
     """Numbers by frequency in each window, with draws since the last appearance (the window's length if unseen)."""
-    rows = dense_counts(draws, values)
+    rows = counts(draws, values).join(F.broadcast(absences(draws)), ["kind", "num"])  # a row for each number
     if not keep_unseen:
         rows = rows.filter(F.col("count") > 0)
-    omit = F.when(F.col("last").isNull(), F.col("n")).otherwise(F.col("total") - 1 - F.col("last"))
+    omit = F.when(F.col("count") == 0, F.col("n")).otherwise(F.col("after"))
     return _ranked(rows.withColumn("omit", omit), F.desc("count"), F.asc("num"), by=("period", "kind")).select("period", "kind", "rank", "num", "count", "omit")
 
 
@@ -112,8 +112,8 @@ def big_small_histogram(draws: DataFrame) -> DataFrame:
 
 def _histogram(draws: DataFrame, label: Column) -> DataFrame:
     """Counts and percent of draws for each label, the most frequent first by `rank`."""
-    rows = draws.groupBy(label.alias("label"), "total").agg(F.count("*").alias("count"))
-    rows = rows.withColumn("pct", half_up(F.col("count") / F.col("total") * 100.0, 1))
+    rows = draws.groupBy(label.alias("label")).agg(F.count("*").alias("count"))
+    rows = rows.withColumn("pct", half_up(F.col("count") / F.sum("count").over(Window.partitionBy()) * 100.0, 1))
     return rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("count"), "label")).cast("long")).select("label", "count", "pct", "rank")
 
 
@@ -131,19 +131,17 @@ def consecutive_participation(draws: DataFrame, values=PERIODS) -> DataFrame:
 
 def zones(draws: DataFrame) -> DataFrame:
     """Numbers in each zone, dense, with their share (4 places)."""
-    app = appearances(draws).withColumn("zone", _by_rule(lambda r: zone(F.col("num"), r)))
-    counts = app.groupBy("kind", "zone").agg(F.count("*").alias("count"))
+    seen = frequency(draws).withColumn("zone", _by_rule(lambda r: zone(F.col("num"), r))).groupBy("kind", "zone").agg(F.sum("count").alias("count"))
     rows = [(r.kind, z, f"{r.low + z * (r.size // r.zones)}-{r.low + (z + 1) * (r.size // r.zones) - 1}") for r in RULES for z in range(r.zones)]
     every = draws.sparkSession.createDataFrame(rows, "kind string, zone long, label string")
-    got = every.join(F.broadcast(counts), ["kind", "zone"], "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("long"))
+    got = every.join(F.broadcast(seen), ["kind", "zone"], "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("long"))
     whole = F.sum("count").over(Window.partitionBy("kind"))
     return got.select("kind", "zone", "label", "count", F.when(whole > 0, half_up(F.col("count").cast("double") / whole, 4)).otherwise(0.0).alias("pct"))
 
 
 def _percents(draws: DataFrame, first: str, second: str, part: Column, values) -> DataFrame:
-    app = windowed(appearances(draws), values)
-    counts = app.groupBy("period", "kind").agg(F.count_if(part).alias("a"), F.count("*").alias("n"))
-    return counts.select("period", "kind", percent(F.col("a"), F.col("n"), 50.0).alias(first), percent(F.col("n") - F.col("a"), F.col("n"), 50.0).alias(second))
+    seen = counts(draws, values).groupBy("period", "kind").agg(F.sum(F.when(part, F.col("count")).otherwise(0)).alias("a"), F.sum("count").alias("n"))
+    return seen.select("period", "kind", percent(F.col("a"), F.col("n"), 50.0).alias(first), percent(F.col("n") - F.col("a"), F.col("n"), 50.0).alias(second))
 
 
 def odd_even_percent(draws: DataFrame, values=PERIODS) -> DataFrame:
@@ -155,18 +153,22 @@ def small_big_percent(draws: DataFrame, values=PERIODS) -> DataFrame:
 
 
 def with_previous(draws: DataFrame) -> DataFrame:
-    """Draws with the sets of the draw before (null for the first)."""
-    before = draws.select((F.col("pos") + 1).alias("pos"), F.col("front").alias("prev_front"), F.col("back").alias("prev_back"))
-    return draws.join(before, "pos", "left")
+    """Positioned draws with the sets of the draw before (null for the first): inside spans by a window, across them from one row for each."""
+    sets = F.struct(*[r.kind for r in RULES])
+    rows = draws.withColumn("__span", F.floor(F.col("pos") / _SPAN))
+    inner = rows.withColumn("__prev", F.lag(sets).over(Window.partitionBy("__span").orderBy("pos")))
+    ends = rows.groupBy("__span").agg(F.max_by(sets, "pos").alias("__end")).withColumn("__span", F.col("__span") + 1)
+    got = inner.join(ends, "__span", "left").withColumn("__prev", F.coalesce("__prev", "__end"))
+    return got.select(*draws.columns, *[F.col(f"__prev.{r.kind}").alias(f"prev_{r.kind}") for r in RULES])
 
 
 def overlap_distribution(draws: DataFrame) -> DataFrame:
     """P(k numbers in common with the draw before), dense in k."""
     rows = with_previous(draws).filter(F.col("prev_front").isNotNull())
     each = rows.select(F.explode(F.array(*[F.struct(F.lit(r.kind).alias("kind"), shared(F.col(r.kind), F.col(f"prev_{r.kind}")).alias("k")) for r in RULES])).alias("o")).select("o.*")
-    counts = each.groupBy("kind", "k").agg(F.count("*").alias("count"))
+    seen = each.groupBy("kind", "k").agg(F.count("*").alias("count"))
     every = draws.sparkSession.createDataFrame([(r.kind, k) for r in RULES for k in range(r.picks + 1)], "kind string, k long")
-    got = every.join(F.broadcast(counts), ["kind", "k"], "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("long"))
+    got = every.join(F.broadcast(seen), ["kind", "k"], "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("long"))
     pairs = F.greatest(F.sum("count").over(Window.partitionBy("kind")), F.lit(1))
     return got.select("kind", "k", "count", half_up(F.col("count").cast("double") / pairs, 6).alias("p"))
 
@@ -178,13 +180,12 @@ def overlap_expectation(draws: DataFrame) -> DataFrame:
 
 def temperature(draws: DataFrame) -> DataFrame:
     """Total, last-30 and last-100 counts, and the difference of the rates of both."""
-    at = F.col("pos") - F.col("total")
-    counts = appearances(draws).groupBy("kind", "num").agg(F.count("*").alias("a"), F.count_if(at >= -30).alias("b"), F.count_if(at >= -100).alias("c"))
-    every = window_sizes(draws, [0]).select("n").crossJoin(F.broadcast(universe(draws.sparkSession)))
-    got = every.join(counts, ["kind", "num"], "left")
-    a, b, c = (F.coalesce(x, F.lit(0)).cast("long") for x in ("a", "b", "c"))
+    rows = counts(draws, [0, 100, 30])
+    a, b, c = (F.max(F.when(F.col("period") == p, F.col("count"))) for p in (0, 30, 100))
+    got = rows.groupBy("kind", "num").agg(F.max("n").alias("n"), a.alias("total_count"), b.alias("recent_30"), c.alias("recent_100"))
+    b, c = F.col("recent_30"), F.col("recent_100")
     trend = half_up(b.cast("double") / F.least("n", F.lit(30)) - c.cast("double") / F.least("n", F.lit(100)), 4)
-    return got.select("kind", "num", a.alias("total_count"), b.alias("recent_30"), c.alias("recent_100"), trend.alias("trend"))
+    return got.select("kind", "num", "total_count", "recent_30", "recent_100", trend.alias("trend"))
 
 
 def sum_span_percentiles(draws: DataFrame, percents: tuple[int, ...] = (25, 75)) -> DataFrame:
@@ -194,13 +195,12 @@ def sum_span_percentiles(draws: DataFrame, percents: tuple[int, ...] = (25, 75))
     """
     f, b = F.col("front"), F.col("back")
     each = draws.select(F.explode(F.array(*[F.struct(F.lit(n).alias("measure"), v.alias("v")) for n, v in (("front_sum", total(f)), ("front_span", span(f)), ("back_span", span(b)))])).alias("m")).select("m.*")
-    counts = each.groupBy("measure", "v").agg(F.count("*").alias("c"))
     by = Window.partitionBy("measure")
     upto = F.sum("c").over(by.orderBy("v").rowsBetween(Window.unboundedPreceding, 0))
-    counts = counts.withColumn("upto", upto).withColumn("n", F.sum("c").over(by))
+    seen = each.groupBy("measure", "v").agg(F.count("*").alias("c")).withColumn("upto", upto).withColumn("n", F.sum("c").over(by))
     picks = [F.min(F.when(F.col("upto") > F.least(F.floor(F.col("n") * p / 100), F.col("n") - 1), F.col("v"))).alias(f"p{p}") for p in percents]
     mean = half_up(F.sum(F.col("v") * F.col("c")).cast("double") / F.max("n"), 2).alias("mean")
-    return counts.groupBy("measure").agg(*picks, mean)
+    return seen.groupBy("measure").agg(*picks, mean)
 
 
 def draw_features(draws: DataFrame) -> DataFrame:
@@ -213,7 +213,7 @@ def draw_features(draws: DataFrame) -> DataFrame:
 
 def latest_digest(draws: DataFrame) -> DataFrame:
     """Odd share, neighbours, sum and span of the latest draw."""
-    return draw_features(last_n(draws, 1))
+    return draw_features(draws.orderBy(F.desc("issue_num")).limit(1))
 
 
 def ratio_windows(draws: DataFrame) -> DataFrame:
@@ -282,8 +282,9 @@ def heat_map(draws: DataFrame, period: int = 100) -> DataFrame:
 
     near = max(50, period * 3 // 4)
     rows = hot_with_omission(draws, [period])
-    recent = dense_counts(draws, [near]).select("kind", "num", F.col("count").alias("near"))
-    got = rows.join(recent, ["kind", "num"]).join(window_sizes(draws, [period]).select("period", "n"), "period")
+    both = counts(draws, [period, near])
+    recent = both.groupBy("kind", "num").agg(*[F.max(F.when(F.col("period") == p, F.col(c))).alias(a) for p, c, a in ((near, "count", "near"), (period, "n", "n"))])
+    got = rows.join(recent, ["kind", "num"])
     trend = F.when(F.col("count") > F.col("near") * 1.1, "up").when(F.col("count") < F.col("near") * 0.9, "down").otherwise("flat")
     share = _by_rule(lambda r: F.lit(r.picks / r.size))
     rank = F.when(F.col("count") == 0, 99).otherwise(F.col("rank")).cast("long")
@@ -292,10 +293,9 @@ def heat_map(draws: DataFrame, period: int = 100) -> DataFrame:
 
 def omission_profile(draws: DataFrame, period: int = 100) -> DataFrame:
     """Current, longest and average gap, last issue and direction for each number of a window."""
-    rows = missing_windows(draws, [period]).drop("period").join(dense_counts(draws, [period]).select("kind", "num", "count", "last"), ["kind", "num"])
-    issues = draws.select(F.col("pos").alias("last"), F.col("issue_num").alias("last_issue"))
+    rows = gaps(draws, [period]).withColumns({"cur": F.col("current"), "max": F.col("longest"), "avg": _average_run(1)})
     trend = F.when(F.col("cur") > F.col("avg") * 1.15, "high").when(F.col("cur") < F.col("avg") * 0.85, "low").otherwise("normal")
-    return rows.join(issues, "last", "left").select("kind", "num", "cur", "max", "avg", "count", "last_issue", trend.alias("trend"))
+    return rows.select("kind", "num", "cur", "max", "avg", "count", "last_issue", trend.alias("trend"))
 
 
 def number_levels(draws: DataFrame, period: int = 50) -> DataFrame:
@@ -328,12 +328,12 @@ def omission_rankings(draws: DataFrame, period: int = 100) -> DataFrame:
 
 def occurrence_cells(draws: DataFrame, period: int = 50) -> DataFrame:
     """The matrix of numbers by the draws of a window as rows: appeared or not, and draws since."""
-    app = last_n(appearances(draws), period)
-    cells = last_n(draws.select("pos", "total", "issue_num"), period).crossJoin(F.broadcast(universe(draws.sparkSession)))
-    got = cells.join(app.select("pos", "kind", "num", F.lit(True).alias("hit")), ["pos", "kind", "num"], "left").withColumn("appeared", F.coalesce("hit", F.lit(False)))
+    newest = draws.select("issue_num", *[r.kind for r in RULES]).orderBy(F.desc("issue_num")).limit(period) if period else draws
+    at = F.row_number().over(Window.orderBy("issue_num")).cast("long")  # of the draws of a window
+    cells = newest.withColumn("pos", at).crossJoin(F.broadcast(universe(draws.sparkSession)))
+    got = cells.withColumn("appeared", F.coalesce(_by_rule(lambda r: F.array_contains(r.kind, F.col("num"))), F.lit(False)))
     seen = F.last(F.when(F.col("appeared"), F.col("pos")), ignorenulls=True).over(Window.partitionBy("kind", "num").orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    start = F.greatest(F.lit(0), F.col("total") - period)
-    return got.select("issue_num", "kind", "num", "appeared", (F.col("pos") - F.coalesce(seen, start - 1)).alias("absent"))
+    return got.select("issue_num", "kind", "num", "appeared", (F.col("pos") - F.coalesce(seen, F.lit(0))).alias("absent"))
 
 
 def temperature_groups(draws: DataFrame, rule: GroupRule = BACK) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import half_up, hit_level, shared, strategy_group, total
 from ..model import STRATEGIES, FusionConfig
-from .frames import positioned
+from .quantiles import upper_median
 
 #: Factors of a scored recommendation.
 FACTORS = ("inherit", "heat", "missing", "trend", "structure")
@@ -75,17 +75,10 @@ def best_record(h: DataFrame) -> DataFrame:
     return h.agg(F.max_by(F.struct("target_issue", "strategy", "total_hit", "distance"), order).alias("b")).filter("b is not null").select("b.*")
 
 
-def _upper_median(rows: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """The value at index n // 2 of the sorted values: their places come from sorted ranges, so no task holds a whole group."""
-    placed = positioned(rows.select(*by, value), *by, value)
-    middle = placed.groupBy(*by).agg((F.min("pos") + F.floor(F.count("*") / 2)).alias("__middle"))
-    return placed.join(F.broadcast(middle), by).filter(F.col("pos") == F.col("__middle")).select(*by, F.col(value).alias("median"))
-
-
 def median_split(h: DataFrame) -> DataFrame:
     """Scored recommendations of strategy D at or above the upper median score, and below it."""
     scored = h.filter((F.col("grp") == "D") & F.col("score_total").isNotNull()).withColumn("one", F.lit(1))
-    rows = scored.join(F.broadcast(_upper_median(scored, "score_total", ["one"])), "one")
+    rows = scored.join(F.broadcast(upper_median(scored, "score_total", ["one"])), "one")
     n = F.count("*")
     half = F.when(F.col("score_total") >= F.col("median"), "high").otherwise("low")
     return rows.groupBy(half.alias("half"), "median").agg(n.alias("count"), *[_mean(f"{k}_hit", n, 3).alias(f"avg_{k}_hit") for k in ("front", "back", "total")])
@@ -101,7 +94,7 @@ def factor_values(h: DataFrame) -> DataFrame:
 def factor_review(h: DataFrame) -> DataFrame:
     """Each factor value at or above its median counts as positive with a hit, neutral without; others are negative."""
     rows = factor_values(h)
-    rows = rows.join(F.broadcast(_upper_median(rows, "value", ["factor"])), "factor")
+    rows = rows.join(F.broadcast(upper_median(rows, "value", ["factor"])), "factor")
     status = F.when(F.col("value") < F.col("median"), "negative").when(F.col("total_hit") > 0, "positive").otherwise("neutral")
     return rows.select("target_issue", "factor", "value", "median", status.alias("status"))
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..model import PERIODS, RULES, GroupRule
+from ..model import RULES, GroupRule
 from ..tables import stored
 
 _SPAN = 65_536  # positions that one window task sees of a number
@@ -53,44 +53,12 @@ def universe(spark: SparkSession, rules: Sequence[GroupRule] = RULES) -> DataFra
     return spark.createDataFrame(rows, "kind string, num long")
 
 
-def periods(spark: SparkSession, values: Sequence[int] = PERIODS) -> DataFrame:
-    if any(v < 0 for v in values):
-        raise ValueError("a window is 0 (all) or positive")
-    return spark.createDataFrame([(v,) for v in values], "period long")
-
-
-def begin(period: Column, total: Column) -> Column:
-    """The first position of the last `period` draws; 0 means all."""
-    return F.when(period == 0, F.lit(0)).otherwise(F.greatest(F.lit(0), total - period)).cast("long")
-
-
 def last_n(rows: DataFrame, n: int) -> DataFrame:
     if n < 0:
         raise ValueError("a window is 0 (all) or positive")
     return rows if n == 0 else rows.filter(F.col("pos") >= F.col("total") - n)
 
 
-def windowed(rows: DataFrame, values: Sequence[int] = PERIODS) -> DataFrame:
-    """Each row once for every window that holds it, with `period`, `start` and `n` (draws in the window)."""
-    each = rows.crossJoin(F.broadcast(periods(rows.sparkSession, values)))
-    each = each.withColumn("start", begin(F.col("period"), F.col("total")))
-    return each.filter("pos >= start").withColumn("n", F.col("total") - F.col("start"))
-
-
-def window_sizes(draws: DataFrame, values: Sequence[int] = PERIODS) -> DataFrame:
-    """One row for each window: period, start, total, n. Empty without draws."""
-    one = draws.agg(F.max("total").alias("total")).filter("total is not null")
-    got = one.crossJoin(F.broadcast(periods(draws.sparkSession, values))).withColumn("start", begin(F.col("period"), F.col("total")))
-    return got.withColumn("n", F.col("total") - F.col("start"))
-
-
-def dense_counts(draws: DataFrame, values: Sequence[int] = PERIODS) -> DataFrame:
-    """Rows (period, n, kind, num, count, last): all numbers, also those that never appear."""
-    counts = windowed(appearances(draws), values).groupBy("period", "kind", "num").agg(F.count("*").alias("count"), F.max("pos").alias("last"))
-    all_numbers = window_sizes(draws, values).crossJoin(F.broadcast(universe(draws.sparkSession)))
-    return all_numbers.join(counts, ["period", "kind", "num"], "left").withColumn("count", F.coalesce("count", F.lit(0)).cast("long"))
-
-
 def previous_positions(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     """`rows` with `prev`, the position before among rows of the same keys (null for the first).
 
@@ -101,27 +69,3 @@ def previous_positions(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
     ends = spans.groupBy(*keys, "__span").agg(F.max("pos").alias("__last"))
     ends = ends.withColumn("__before", F.lag("__last").over(Window.partitionBy(*keys).orderBy("__span"))).drop("__last")
     return inner.join(ends, [*keys, "__span"]).withColumn("prev", F.coalesce("prev", "__before")).drop("__span", "__before")
-
-
-def number_profiles(draws: DataFrame, values: Sequence[int] = PERIODS) -> DataFrame:
-    """Rows (period, n, total, kind, num, count, last, near, current, longest, runs) of all numbers in each window, by one aggregate.
-
-    `current` is the open run of absence, `longest` and `runs` (those of length 1 and more) count the
-    leading and the open one too; `near` counts appearances beside a neighbour. The runs of a
-    window add up to n - count.
-    """
-    # The appearance before is found once: a window only cuts it off at its start.
-    app = windowed(previous_positions(appearances(draws, near=True).drop("issue_num"), ["kind", "num"]), values)
-    app = app.withColumn("run", F.col("pos") - F.greatest(F.coalesce("prev", F.lit(-1)), F.col("start") - 1) - 1)
-    seen = app.groupBy("period", "kind", "num").agg(
-        F.count("*").alias("count"), F.max("pos").alias("last"), F.count_if("near").alias("near"), F.max("run").alias("longest"), F.count_if(F.col("run") > 0).alias("runs")
-    )
-    every = window_sizes(draws, values).crossJoin(F.broadcast(universe(draws.sparkSession)))
-    got = every.join(seen, ["period", "kind", "num"], "left").fillna(0, ["count", "near", "longest", "runs"])
-    got = got.withColumn("current", F.when(F.col("last").isNull(), F.col("n")).otherwise(F.col("total") - 1 - F.col("last")))
-    return got.withColumn("longest", F.greatest("longest", "current")).withColumn("runs", F.col("runs") + (F.col("current") > 0).cast("long"))
-
-
-def gaps(draws: DataFrame, values: Sequence[int] = PERIODS) -> DataFrame:
-    """Rows (period, n, kind, num, count, last, current, longest, runs): absences inside each window."""
-    return number_profiles(draws, values).drop("near")

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import half_up, strategy_group, two_digits
 from ..model import FusionConfig
 from . import descriptive, evaluate, picks, store
-from .frames import number_profiles
+from .spans import number_profiles
 
 #: Rules that a response names. (fixed values)
 RULES_APPLIED = ("five_consecutive", "all_odd", "all_even", "all_big", "all_small", "extreme_sum", "extreme_span", "duplicate_previous")

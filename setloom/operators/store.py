@@ -94,22 +94,32 @@ def sql_values(rows: DataFrame, order: str, size: int = 500) -> DataFrame:
     return rows.select(F.floor(F.col(order) / size).alias("batch"), F.col(order).alias("pos"), values.alias("row_values"))
 
 
+def iso_date(text: Column) -> Column:
+    """The day of a text YYYY-MM-DD; null for other forms, which a cast would take, and for days that don't exist."""
+    strict = text.rlike(r"\A[0-9]{4}-[0-9]{2}-[0-9]{2}\z") & ~text.startswith("0000")
+    return F.when(strict, text.try_cast("date"))
+
+
 def draw_errors(draws: DataFrame) -> DataFrame:
-    """Every row's codes of broken rules: issue, date, front, back, repeats in a set, repeated issue (all but the first by pos)."""
+    """Every row's codes of broken rules, in this order.
+
+    issue: not five digits; date: not YYYY-MM-DD or no day of the calendar; front, back: not as many numbers as the set has, or one out of
+    its range; repeat: not as many different numbers; duplicate: an issue again (all but the first by pos).
+    """
     def set_ok(rule: GroupRule) -> Column:
         return F.coalesce((F.size(rule.kind) == rule.picks) & F.forall(rule.kind, lambda x: x.between(rule.low, rule.high)), F.lit(False))
 
-    def distinct(name: str) -> Column:
-        return F.coalesce(F.size(F.array_distinct(name)) == F.size(name), F.lit(True))
+    def distinct(rule: GroupRule) -> Column:
+        return F.coalesce(F.size(F.array_distinct(rule.kind)) == rule.picks, F.lit(False))
 
     first = draws.groupBy("issue").agg(F.min("pos").alias("__first"))
     rows = draws.join(first, "issue", "left")
     codes = F.array_compact(F.array(
-        F.when(~F.coalesce(F.col("issue").rlike(r"^\d{5}$"), F.lit(False)), "issue"),
-        F.when(F.col("date").try_cast("date").isNull(), "date"),
+        F.when(~F.coalesce(F.col("issue").rlike(r"\A[0-9]{5}\z"), F.lit(False)), "issue"),
+        F.when(iso_date(F.col("date")).isNull(), "date"),
         F.when(~set_ok(FRONT), "front"),
         F.when(~set_ok(BACK), "back"),
-        F.when(~(distinct("front") & distinct("back")), "repeat"),
+        F.when(~(distinct(FRONT) & distinct(BACK)), "repeat"),
         F.when(F.col("pos") > F.col("__first"), "duplicate"),
     ))
     return rows.select("pos", "issue", F.array_join(codes, ",").alias("errors"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import next_issue, strategy_group, two_digits
 from ..model import GRID, NUMBER_WEIGHTS, RULES, SearchConfig
 from ..operators import descriptive, evaluate, lenses, picks, scoring, store, walkforward
-from ..operators.frames import gaps, positioned, universe
+from ..operators.frames import positioned, universe
+from ..operators.spans import gaps
 from ..sources import draws as source
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -40,8 +42,12 @@ def _raw(draws: DataFrame) -> DataFrame:
     """Draws with planted faults, as documents would bring them."""
     p, head, extra = F.col("pos"), F.slice("front", 1, 4), F.lit(36).cast("long")
     issue = F.when(p % 17 == 3, F.concat(F.lit("x"), F.col("issue_num").cast("string"))).when(p % 19 == 5, "10001").otherwise((F.col("issue_num") % 90000 + 10000).cast("string"))
-    front = F.when(p % 29 == 11, F.concat(head, F.array(extra))).when(p % 31 == 2, F.concat(head, F.slice("front", 1, 1))).otherwise(F.col("front"))
-    return draws.select("pos", issue.alias("issue"), F.when(p % 23 == 7, "no date").otherwise(F.col("draw_date").cast("string")).alias("date"), front.alias("front"), F.when(p % 37 == 4, F.slice("back", 1, 1)).otherwise(F.col("back")).alias("back"))
+    front = F.when(p % 29 == 11, F.concat(head, F.array(extra))).when(p % 31 == 2, F.concat(head, F.slice("front", 1, 1))).when(p % 59 == 10, head).otherwise(F.col("front"))
+    day, year = F.col("draw_date").cast("string"), F.year("draw_date").cast("string")
+    # Forms that a cast takes for dates, and a day that no calendar has.
+    loose = ((41, 5, year), (43, 6, F.concat(year, F.lit("-1-2"))), (47, 8, F.concat(day, F.lit("T10"))), (53, 9, F.concat(year, F.lit("-02-30"))))
+    date = reduce(lambda c, x: c.when(p % x[0] == x[1], x[2]), loose, F.when(p % 23 == 7, "no date")).otherwise(day)
+    return draws.select("pos", issue.alias("issue"), date.alias("date"), front.alias("front"), F.when(p % 37 == 4, F.slice("back", 1, 1)).otherwise(F.col("back")).alias("back"))
 
 
 def _faulty_recs(recs: DataFrame) -> DataFrame:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import strategy_group, two_digits
 from ..operators import cache, descriptive, evaluate, publish
-from ..operators.frames import positioned
 from ..sources import draws as source
 from ..streaming import ingest
 from ..tables import new_path
@@ -17,12 +17,8 @@ from ..tables import new_path
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return positioned(source.draws(spark, sf_dir))
-
-
 def _on_draws(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: f(_draws(spark, sf_dir))
+    return lambda spark, sf_dir: f(source.draws(spark, sf_dir))
 
 
 def _on_both(f: Callable[[DataFrame, DataFrame], DataFrame]) -> Query:
@@ -40,13 +36,45 @@ def _analysis_lookup(draws: DataFrame) -> DataFrame:
 
 def _replaced(draws: DataFrame) -> DataFrame:
     """Scores of two weight versions, of which one is replaced by a run over the draws without the last hundred."""
-    shorter = draws.filter(F.col("pos") < F.col("total") - 100).withColumn("total", F.col("total") - 100)
+    shorter = _shorter(draws)
     old = cache.score_matrix(draws, [50], ["standard"]).unionByName(cache.score_matrix(draws, [50], ["standard"], "other"))
     new = cache.score_matrix(shorter, [50], ["standard"])
     once = cache.replace_rows(old, new, cache.SCORE_KEY)
     return cache.replace_rows(once, new, cache.SCORE_KEY).select("kind", "num", "total", "weight_version")
 
 
+def _cache(draws: DataFrame, values: Sequence[int]) -> cache.Cache:
+    held = cache.Cache(draws.sparkSession, new_path(draws.sparkSession, "cache"))
+    held.refresh(draws, values)
+    return held
+
+
+def _cached_scores(draws: DataFrame) -> DataFrame:
+    """One window from a stored cache, one that is kept but not stored yet, and one that is never kept."""
+    held = _cache(draws, [100, 300])
+    asked = ((100, "back", "expert"), (300, "front", "standard"), (1000, "back", "standard"), (0, "front", "cold-hot"))
+    told = [held.score_lookup(lambda: draws, *a).withColumns({n: F.lit(v) for n, v in zip(("period", "kind", "model"), a)}) for a in asked]
+    return reduce(DataFrame.unionByName, told).withColumn("period", F.col("period").cast("long"))
+
+
+def _refreshed_cache(draws: DataFrame) -> DataFrame:
+    """A cache over the draws without the last hundred, of which one window is refreshed with all draws."""
+    held = _cache(_shorter(draws), [50, 100])
+    held.refresh(draws, [50], ["standard"])
+    return held.scores.select("period", "kind", "num", "total", "model_type")
+
+
+def _refreshed_metrics(draws: DataFrame) -> DataFrame:
+    held = _cache(_shorter(draws), [50, 100])
+    held.refresh(draws, [50], ["standard"])
+    return held.lookup(50, "front").unionByName(held.lookup(100, "back", "frequency"))
+
+
+def _shorter(draws: DataFrame) -> DataFrame:
+    newest = draws.orderBy(F.desc("issue_num")).limit(100).select("issue_num")
+    return draws.join(newest, "issue_num", "left_anti")
+
+
 def _stored_scalars(draws: DataFrame) -> DataFrame:
     flat = draws.select("issue_num", *[F.get("front", F.lit(k)).alias(f"f{k + 1}") for k in range(5)], *[F.get("back", F.lit(k)).alias(f"b{k + 1}") for k in range(2)])
     got = publish.renested(flat)
@@ -79,7 +107,7 @@ def _recommended(recs: DataFrame) -> DataFrame:
 
 
 def _daily_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    recs, draws = source.recommendations(spark, sf_dir), _draws(spark, sf_dir)
+    recs, draws = source.recommendations(spark, sf_dir), source.draws(spark, sf_dir)
     return publish.daily_report(draws, _recommended(recs), evaluate.validation_summary(recs, draws))
 
 
@@ -105,7 +133,9 @@ PUBLISHED: dict[str, Query] = {
     "score_matrix": _on_draws(cache.score_matrix),
     "analysis_lookup": _on_draws(_analysis_lookup),
     "scores_lookup": _on_draws(lambda d: cache.scores_lookup(cache.score_matrix(d), 300, "back", "expert")),
-    "cached_scores": lambda spark, sf_dir: cache.cached_scores(None, lambda: _draws(spark, sf_dir), 0, "front", "cold-hot"),
+    "cached_scores": _on_draws(_cached_scores),
+    "refreshed_cache": _on_draws(_refreshed_cache),
+    "refreshed_metrics": _on_draws(_refreshed_metrics),
     "replaced_scores": _on_draws(_replaced),
     "renested_draws": _on_draws(_stored_scalars),
     "built_records": lambda spark, sf_dir: _records(source.recommendations(spark, sf_dir)),

@@ -17,12 +17,13 @@ from .published import PUBLISHED
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return positioned(source.draws(spark, sf_dir))
+def _on_draws(f: Callable[[DataFrame], DataFrame]) -> Query:
+    return lambda spark, sf_dir: f(source.draws(spark, sf_dir))
 
 
-def _on_draws(f: Callable[[DataFrame], DataFrame]) -> Query:
-    return lambda spark, sf_dir: f(history(spark, sf_dir))
+def _on_placed(f: Callable[[DataFrame], DataFrame]) -> Query:
+    """For statistics of neighbouring draws."""
+    return lambda spark, sf_dir: f(positioned(source.draws(spark, sf_dir)))
 
 
 def _score_top(draws: DataFrame) -> DataFrame:
@@ -51,8 +52,8 @@ DESCRIPTIVE: dict[str, Query] = {
     "odd_even_pct": _on_draws(d.odd_even_percent),
     "big_small_pct": _on_draws(d.small_big_percent),
     "ratio_multi_window": _on_draws(d.ratio_windows),
-    "overlap_dist": _on_draws(d.overlap_distribution),
-    "overlap_expectation": _on_draws(d.overlap_expectation),
+    "overlap_dist": _on_placed(d.overlap_distribution),
+    "overlap_expectation": _on_placed(d.overlap_expectation),
     "temperature_trend": _on_draws(d.temperature),
     "sum_span_percentiles": _on_draws(d.sum_span_percentiles),
     "per_draw_features": _on_draws(d.draw_features),

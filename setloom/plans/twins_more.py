@@ -26,7 +26,8 @@ perf2 AS (SELECT *, floor(positive::DOUBLE / times * 1000 + 0.5::DOUBLE) / 1000
 #: Draws with planted faults, as documents would bring them: (pos, issue, date, front, back).
 RAW = DRAWS + """,
 raw AS (SELECT pos, CASE WHEN pos % 17 = 3 THEN 'x' || issue_num WHEN pos % 19 = 5 THEN '10001' ELSE lpad((issue_num % 90000 + 10000)::VARCHAR, 5, '0') END AS issue,
-  CASE WHEN pos % 23 = 7 THEN 'no date' ELSE draw_date::VARCHAR END AS date, CASE WHEN pos % 29 = 11 THEN list_append(front[1:4], 36) WHEN pos % 31 = 2 THEN list_append(front[1:4], front[1]) ELSE front END AS front,
+  CASE WHEN pos % 23 = 7 THEN 'no date' WHEN pos % 41 = 5 THEN year(draw_date)::VARCHAR WHEN pos % 43 = 6 THEN year(draw_date) || '-1-2' WHEN pos % 47 = 8 THEN draw_date || 'T10' WHEN pos % 53 = 9 THEN year(draw_date) || '-02-30' ELSE draw_date::VARCHAR END AS date,
+  CASE WHEN pos % 29 = 11 THEN list_append(front[1:4], 36) WHEN pos % 31 = 2 THEN list_append(front[1:4], front[1]) WHEN pos % 59 = 10 THEN front[1:4] ELSE front END AS front,
   CASE WHEN pos % 37 = 4 THEN back[1:1] ELSE back END AS back FROM draws)"""
 
 
@@ -110,8 +111,8 @@ MORE = {
     "high_water_filter": f"WITH {DRAWS} SELECT issue_num FROM draws WHERE issue_num > (SELECT max(issue_num) FROM draws WHERE pos < total // 2)",
     "dup_key_check": f"WITH {RAW} SELECT issue, count(*) AS count FROM raw GROUP BY issue HAVING count(*) > 1",
     "validate_draws": f"""WITH {RAW}, f AS (SELECT *, min(pos) OVER (PARTITION BY issue) AS first FROM raw)
-        SELECT pos, issue, concat_ws(',', CASE WHEN NOT regexp_full_match(issue, '\\d{{5}}') THEN 'issue' END, CASE WHEN try_cast(date AS DATE) IS NULL THEN 'date' END, CASE WHEN len(front) <> 5 OR list_min(front) < 1 OR list_max(front) > 35 THEN 'front' END,
-        CASE WHEN len(back) <> 2 OR list_min(back) < 1 OR list_max(back) > 12 THEN 'back' END, CASE WHEN len(list_distinct(front)) < len(front) OR len(list_distinct(back)) < len(back) THEN 'repeat' END, CASE WHEN pos > first THEN 'duplicate' END) AS errors FROM f""",
+        SELECT pos, issue, concat_ws(',', CASE WHEN NOT regexp_full_match(issue, '\\d{{5}}') THEN 'issue' END, CASE WHEN NOT regexp_full_match(date, '\\d{{4}}-\\d{{2}}-\\d{{2}}') OR try_cast(date AS DATE) IS NULL THEN 'date' END, CASE WHEN len(front) <> 5 OR list_min(front) < 1 OR list_max(front) > 35 THEN 'front' END,
+        CASE WHEN len(back) <> 2 OR list_min(back) < 1 OR list_max(back) > 12 THEN 'back' END, CASE WHEN len(list_distinct(front)) <> 5 OR len(list_distinct(back)) <> 2 THEN 'repeat' END, CASE WHEN pos > first THEN 'duplicate' END) AS errors FROM f""",
     "validate_recs": f"""WITH {RECS}, x AS (SELECT key AS pos, CASE WHEN key % 13 = 1 THEN NULL ELSE target_issue END AS target_issue, CASE WHEN key % 17 = 2 THEN ' ' ELSE strategy END AS strategy, CASE WHEN key % 19 = 3 THEN -1 ELSE idx END AS idx,
         CASE WHEN key % 23 = 4 THEN front[1:4] ELSE front END AS front, CASE WHEN key % 29 = 5 THEN [back[1], back[1]] ELSE back END AS back FROM (SELECT *, target_issue // 11 AS key FROM recs))
         SELECT pos, target_issue, CASE WHEN target_issue IS NULL OR target_issue <= 0 THEN 'target' WHEN trim(strategy) = '' THEN 'strategy' WHEN idx < 0 THEN 'index' WHEN len(list_distinct(front)) <> 5 THEN 'front' WHEN len(list_distinct(back)) <> 2 THEN 'back' END AS reason FROM x""",

@@ -23,7 +23,13 @@ matrix AS (SELECT period, kind, unnest(['frequency', 'hot', 'missing', 'oddEven'
 _SCORES = SEVEN + """,
 kept AS (SELECT period, kind, num, total, '{"frequency":' || frequency || ',"recent_hot":' || recent_hot || ',"missing":' || missing || ',"balance":' || balance || ',"odd_even":' || odd_even || ',"big_small":' || big_small || ',"structure":' || structure || '}' AS parts,
   tag, model AS model_type, 'default' AS weight_version FROM scores)"""
-_SHORTER = SEVEN.replace("FROM orders)", "FROM orders ORDER BY o_orderkey LIMIT greatest((SELECT count(*) FROM orders) - 100, 0))")
+
+
+def _without_newest(sql: str) -> str:
+    return sql.replace("FROM orders)", "FROM orders ORDER BY o_orderkey LIMIT greatest((SELECT count(*) FROM orders) - 100, 0))")
+
+
+_SHORTER, _SHORTER_MATRIX = _without_newest(SEVEN), _without_newest(_MATRIX)
 _BOARD = "board AS (SELECT *, row_number() OVER (ORDER BY avg_total_hit DESC, grp) AS rank FROM st)"
 _REASON = "nullif(concat_ws('; ', CASE WHEN missing >= 70 THEN 'gap' END, CASE WHEN sum_span_match >= 80 THEN 'sum and span' END, CASE WHEN zone_match >= 60 THEN 'zones' END), '')"
 _ESCAPED = "replace(replace(replace(replace(replace({}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#39;')"
@@ -42,7 +48,12 @@ PUBLISHED = {
     "score_matrix": f"WITH {_SCORES} SELECT * FROM kept",
     "analysis_lookup": f"WITH {_MATRIX} SELECT metric, version, true AS is_json, payload FROM matrix WHERE period = 100 AND kind = 'front' UNION ALL SELECT 'other', 'v1', json_valid('{{not JSON'), '{{not JSON'",
     "scores_lookup": f"WITH {_SCORES} SELECT num, total, parts, tag FROM kept WHERE period = 300 AND kind = 'back' AND model_type = 'expert'",
-    "cached_scores": f"WITH {_SCORES} SELECT num, total, parts, tag FROM kept WHERE period = 0 AND kind = 'front' AND model_type = 'cold-hot'",
+    "cached_scores": f"""WITH {_SCORES}, asked(period, kind, model, origin) AS (VALUES (100, 'back', 'expert', 'cache'), (300, 'front', 'standard', 'cache'), (1000, 'back', 'standard', 'computed'), (0, 'front', 'cold-hot', 'computed'))
+        SELECT num, total, parts, tag, origin, a.period::BIGINT AS period, a.kind, model FROM kept k JOIN asked a ON k.period = a.period AND k.kind = a.kind AND k.model_type = a.model""",
+    "refreshed_cache": f"""WITH a AS (WITH {_SHORTER} SELECT * FROM scores), b AS (WITH {SEVEN} SELECT * FROM scores)
+        SELECT period, kind, num, total, model AS model_type FROM a WHERE period = 100 OR (period = 50 AND model <> 'standard') UNION ALL SELECT period, kind, num, total, model FROM b WHERE period = 50 AND model = 'standard'""",
+    "refreshed_metrics": f"""WITH a AS (WITH {_SHORTER_MATRIX} SELECT * FROM matrix), b AS (WITH {_MATRIX} SELECT * FROM matrix)
+        SELECT metric, version, payload FROM b WHERE period = 50 AND kind = 'front' UNION ALL SELECT metric, version, payload FROM a WHERE period = 100 AND kind = 'back' AND metric = 'frequency'""",
     "replaced_scores": f"""WITH a AS (WITH {_SHORTER} SELECT kind, num, total FROM scores WHERE period = 50 AND model = 'standard'), b AS (WITH {SEVEN} SELECT kind, num, total FROM scores WHERE period = 50 AND model = 'standard')
         SELECT kind, num, total, 'default' AS weight_version FROM a UNION ALL SELECT kind, num, total, 'other' FROM b""",
     "renested_draws": f"WITH {DRAWS} SELECT issue_num, {_TEXT.format('front')} AS front, {_TEXT.format('back')} AS back FROM draws",

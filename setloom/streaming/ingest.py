@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..model import RULES
-from ..operators.frames import universe
+from .state import keep_profiles, running_profiles
 
 
 def distinct_draws(stream: DataFrame, delay: str = "30 days") -> DataFrame:
@@ -22,11 +21,8 @@ def ingest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
         spark = batch.sparkSession
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            low, high = batch.agg(F.min("issue_num"), F.max("issue_num")).first()
-            if low is None:
-                return
-            # Only stored draws among the batch's issues are read: the bounds reach the scan.
-            stored = spark.read.parquet(path).filter(F.col("issue_num").between(low, high)).select("issue_num")
+            # Which stored issues are read is found out while it runs, from the batch's own (dynamic filters), so the batch is evaluated once.
+            stored = spark.read.parquet(path).select("issue_num")
             batch = batch.join(stored, "issue_num", "left_anti")
         batch.dropDuplicates(["issue_num"]).write.mode("append").parquet(path)
 
@@ -44,28 +40,10 @@ def read_stream(spark: SparkSession, folder: str, schema: str) -> DataFrame:
 
 
 def omissions(spark: SparkSession, table: str, work: str) -> DataFrame:
-    """Rows (kind, num, count, omission) by a stream over a table of draws, which keeps count and last issue of each number.
+    """Rows (kind, num, count, omission) by a stream over a table of draws, which keeps profiles of spans of issues by keyed state.
 
-    The state has a row for each number; a run goes on where the one before ended (`work` has its checkpoint).
+    A run goes on where the one before ended (`work` has checkpoint and profiles) and reads new draws only.
     """
     draws = spark.readStream.schema(spark.read.parquet(table).schema).parquet(table)
-    each = F.explode(F.concat(*[F.transform(r.kind, _kinded(r.kind)) for r in RULES]))
-    seen = draws.select("issue_num", each.alias("a")).groupBy("a.kind", "a.num").agg(F.count("*").alias("count"), F.max("issue_num").alias("last"))
-
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{work}/counts-{batch_id % 2}")
-        batch.sparkSession.range(1).select(F.lit(batch_id % 2).alias("now")).write.mode("overwrite").parquet(f"{work}/now")
-
-    seen.writeStream.outputMode("complete").foreachBatch(write).option("checkpointLocation", f"{work}/checkpoint").trigger(availableNow=True).start().awaitTermination()
-    counts = spark.read.parquet(f"{work}/counts-{spark.read.parquet(f'{work}/now').first()['now']}")
-    issues = spark.read.parquet(table).select("issue_num")
-    # Universe times draws at most; the side of numbers has one row for each.
-    after = issues.join(F.broadcast(counts.select("kind", "num", "last")), F.col("issue_num") > F.col("last")).groupBy("kind", "num").agg(F.count("*").alias("after"))
-    total = issues.agg(F.count("*").alias("total"))
-    got = universe(spark).join(counts, ["kind", "num"], "left").join(after, ["kind", "num"], "left").crossJoin(F.broadcast(total))
-    omission = F.when(F.col("last").isNull(), F.col("total")).otherwise(F.coalesce("after", F.lit(0)))
-    return got.select("kind", "num", F.coalesce("count", F.lit(0)).cast("long").alias("count"), omission.cast("long").alias("omission"))
-
-
-def _kinded(kind: str):
-    return lambda x: F.struct(F.lit(kind).alias("kind"), x.alias("num"))
+    keep_profiles(draws, f"{work}/profiles", f"{work}/checkpoint").awaitTermination()
+    return running_profiles(spark, f"{work}/profiles").select("kind", "num", "count", F.col("current").alias("omission"))

@@ -23,7 +23,8 @@ def test_cache_is_written_once_and_found_again(spark, tmp_path):
     assert store.write_if_changed(scores, path) and not store.write_if_changed(scores, path)
     held = spark.read.parquet(path)
     found = cache.cached_scores(held, lambda: pytest.fail("computed"), 100, "front")
-    assert store.same_content(found, cache.scores_lookup(scores, "100", "front"))
+    assert {r["origin"] for r in found.collect()} == {"cache"}
+    assert store.same_content(found.drop("origin"), cache.scores_lookup(scores, "100", "front"))
     with pytest.raises(ValueError):
         cache.analysis_lookup(matrix, "101", "front")
 

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 from setloom.functions import scalars
 from setloom.model import FusionConfig, SearchConfig
 from setloom.operators import descriptive, evaluate, picks, scoring, store
-from setloom.operators.frames import appearances, gaps, last_n, positioned
+from setloom.operators.frames import appearances, last_n, positioned
+from setloom.operators.spans import gaps
 from setloom.sources import draws as source
 
 # Recommendations and draws of three real periods, with published results (fixed values).
