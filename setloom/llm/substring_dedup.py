@@ -38,8 +38,8 @@ from .common import Tables, text_of, whole_groups
 from .wordhash import Words, runs, slices
 
 _LEAST = -(2**63)
-#: Words of a group that one task holds as a subtree.
-MOST_WORDS = 250_000
+#: Words of a group that one task holds as a subtree; longer words count once for each so many bytes, so a group is bounded in bytes too.
+MOST_WORDS, WORD_BYTES = 250_000, 16
 
 
 def _sliding_min(x: np.ndarray, n: int) -> np.ndarray:
@@ -90,7 +90,7 @@ _MARKS = "array<struct<mark:long,words:long>>"
 
 
 def _scanned(docs: DataFrame, id_col: str, text_col: str, window: int, prefix: int) -> DataFrame:
-    """Rows (id, key, n, sha, marks): number of words, digest of the words, the marks of all windows with the words under each."""
+    """Rows (id, key, n, sha, marks): number of words, digest of the words, the marks of all windows with the words under each (or sixteenths of its bytes, if more)."""
     rows = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_LEAST)).alias("id"), F.xxhash64(text_of(text_col)).alias("key"), F.col(text_col).cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +102,8 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str, window: int, prefix: i
                 sha = [hashlib.sha256(view[a : max(a, b - 1)]).digest() for a, b in zip(begin[:-1].tolist(), begin[1:].tolist())]
                 _, at, mark, of = _windows(words, window, prefix)
                 first, span = _fragments(at, mark, of, window)
-                mark, of = mark[first], of[first]
+                size = words.end[at[first] + span - 1] - words.start[at[first]]
+                mark, of, span = mark[first], of[first], np.maximum(span, size // WORD_BYTES)
                 order = np.lexsort((mark, of))
                 mark, of, span = mark[order], of[order], span[order]
                 new = np.ones(len(mark), bool)
