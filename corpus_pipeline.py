@@ -1,4 +1,9 @@
-"""A corpus pipeline of five of the operators over `documents`."""
+"""A corpus pipeline of five of the operators over `documents`.
+
+Null, empty and letterless texts go in the first stage. Rows with a null identifier are kept like others: of equal texts one with a known
+identifier stays if there is one. A null source is a source of its own. Extra columns of `documents` pass through all but the
+last stage; a table without documents gives none.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from setloom.llm import exact_dedup, langid, mixing, near_dedup, piece_bpe
-from setloom.llm.common import stored, table, text_of, tokenizer_path
+from setloom.llm.common import Tables, table, text_of, tokenizer_path
 
 #: A prediction with less probability is no language of the corpus.
 LEAST_SCORE = 0.4
@@ -48,10 +53,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over `documents`, each written and read again as the next one's input."""
+    """All stages over `documents`, each written and read again as the next one's input; a stage's table goes when the next one is written."""
+    tables = Tables()
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
+        made = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
-            docs = stored(docs, f"stage-{k}")
+            made = tables.stored(made, f"stage-{k}")
+            tables.drop(docs)
+        docs = made
     return docs
