@@ -150,6 +150,19 @@ def random_picks(spark: SparkSession, n: int, seed: int) -> DataFrame:
     return _chosen(_tries(universe(spark), n, 1, seed), F.col("u")).drop("try")
 
 
+def random_for(attempts: DataFrame, seed: int) -> DataFrame:
+    """A random combination for each row's `attempt`: the numbers with the least seeded uniforms, chosen inside the row."""
+
+    def chosen(rule: GroupRule) -> Column:
+        def cell(x: Column) -> Column:
+            return F.struct(uniform(seed, F.col("attempt"), F.lit(0), F.lit(rule.kind), x).alias("u"), x.alias("num"))
+
+        ordered = F.array_sort(F.transform(F.sequence(F.lit(rule.low).cast("long"), F.lit(rule.high).cast("long")), cell))
+        return F.array_sort(F.transform(F.slice(ordered, 1, rule.picks), lambda x: x["num"])).alias(rule.kind)
+
+    return attempts.select("attempt", *[chosen(r) for r in RULES])
+
+
 def _by_weight() -> Column:
     """Without replacement by weight: the largest u^(1/w), that is the smallest -ln(u)/w."""
     return -F.ln("u") / F.greatest(F.col("weight"), F.lit(1e-9))

@@ -5,14 +5,17 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import big_count, clamp, half_up, normalised, odd_count, shared, total, zone
 from ..model import BACK, FRONT, MISSING_SCORES, NUMBER_WEIGHTS, RULES, SearchConfig
 from ..tables import stored
+from .carry import as_of, before
+from .combinations import FACTORS, best_combinations
 from .descriptive import with_previous
 from .frames import appearances, previous_positions, universe
+from .spans import number_profiles
 
 
 def targets(draws: DataFrame, last: int | None = None) -> DataFrame:
@@ -22,26 +25,42 @@ def targets(draws: DataFrame, last: int | None = None) -> DataFrame:
     return draws.filter(F.col("pos") >= F.col("total") - last).select(F.col("pos").alias("t"))
 
 
-def as_of(rows: DataFrame, ts: DataFrame) -> DataFrame:
-    """Every row once for each t that comes after it. Callers store a short list of t, so Spark knows its size; walkforward does whole ranges."""
-    return rows.join(ts, F.col("pos") < F.col("t"))
+def number_statistics(draws: DataFrame, ts: DataFrame | None = None) -> DataFrame:
+    """Rows (t, kind, num, total_count, recent_30, recent_100, trend, status, is_previous) over draws before t; without ts for the next draw.
 
-
-def number_statistics(draws: DataFrame, ts: DataFrame) -> DataFrame:
-    """Rows (t, kind, num, total_count, recent_30, recent_100, trend, status, is_previous) over draws before t."""
-    app = as_of(appearances(draws).drop("total"), ts)
-    runs = previous_positions(app, ["t", "kind", "num"]).withColumn("run", F.col("pos") - F.coalesce("prev", F.lit(-1)) - 1)
-    at = F.col("pos") - F.col("t")
-    got = runs.groupBy("t", "kind", "num").agg(
-        F.count("*").alias("a"), F.count_if(at >= -30).alias("b"), F.count_if(at >= -100).alias("c"), F.max("pos").alias("last"), F.max("run").alias("longest"), F.count_if(F.col("run") > 0).alias("runs")
-    )
-    return status_of(ts.crossJoin(F.broadcast(universe(draws.sparkSession))).join(got, ["t", "kind", "num"], "left").fillna(0, ["a", "b", "c", "longest", "runs"]))
+    The next draw needs the profiles of the whole history and of two windows. For listed t each appearance has its running counts, and
+    what holds before t, t - 30 and t - 100 is asked for by an as-of join.
+    """
+    if ts is None:
+        rows = number_profiles(draws, [0, 100, 30])
+        a, b, c = (F.max(F.when(F.col("period") == p, F.col("count"))) for p in (0, 30, 100))
+        whole = [F.max(F.when(F.col("period") == 0, F.col(x))) for x in ("n", "current", "longest", "runs")]
+        got = rows.groupBy("kind", "num").agg(*[x.alias(n) for x, n in zip((a, b, c, *whole), ("a", "b", "c", "t", "current", "longest", "runs"))])
+        return told(got)
+    rows = previous_positions(appearances(draws).select("pos", "kind", "num"), ["kind", "num"])
+    run = F.col("pos") - F.coalesce("prev", F.lit(-1)) - 1
+    rows = rows.select("pos", "kind", "num", run.alias("run"), F.lit(1).alias("a"), run.alias("longest"), (run > 0).cast("long").alias("runs"))
+    rows = before(rows, ["kind", "num"], ["a", "runs"], ["longest"])
+    events = rows.select("pos", "kind", "num", F.col("pos").alias("last"), (F.col("a") + 1).alias("a"), F.greatest("longest", "run").alias("longest"), (F.col("runs") + (F.col("run") > 0).cast("long")).alias("runs"))
+    back = F.explode(F.array(*[F.lit(k).cast("long") for k in (0, 30, 100)]))
+    asks = ts.select(F.col("t").alias("of"), back.alias("back")).withColumn("t", F.col("of") - F.col("back")).crossJoin(F.broadcast(universe(draws.sparkSession)))
+    found = as_of(events, asks, ["kind", "num"]).drop("t").withColumnRenamed("of", "t")
+
+    def at(k: int, name: str) -> Column:
+        return F.max(F.when(F.col("back") == k, F.col(name)))
+
+    got = found.groupBy("t", "kind", "num").agg(*[F.coalesce(at(k, "a"), F.lit(0)).alias(n) for n, k in (("a", 0), ("b", 30), ("c", 100))], at(0, "last").alias("last"), *[F.coalesce(at(0, n), F.lit(0)).alias(n) for n in ("longest", "runs")])
+    return status_of(got.withColumns({"b": F.col("a") - F.col("b"), "c": F.col("a") - F.col("c")}))
 
 
 def status_of(got: DataFrame) -> DataFrame:
     """The statistics of number_statistics from counts (t, kind, num, a, b, c, last, longest, runs) of closed runs."""
     got = got.withColumn("current", F.col("t") - 1 - F.coalesce("last", F.lit(-1)))
-    got = got.withColumn("longest", F.greatest("longest", "current")).withColumn("runs", F.col("runs") + (F.col("current") > 0).cast("long"))
+    return told(got.withColumn("longest", F.greatest("longest", "current")).withColumn("runs", F.col("runs") + (F.col("current") > 0).cast("long")))
+
+
+def told(got: DataFrame) -> DataFrame:
+    """Trend and status from counts (t, kind, num, a, b, c, current, longest, runs), of which the runs include the open one."""
     avg = F.when(F.col("runs") > 0, half_up((F.col("t") - F.col("a")).cast("double") / F.col("runs"), 2)).otherwise(0.0)
     within = (F.col("avg") == 0) | (F.col("current") <= F.col("avg"))
     status = F.when(F.col("current") == 0, "just_hit").when(within, "within_cycle").when(F.col("current") < F.col("longest"), "over_avg").otherwise("at_max")
@@ -50,21 +69,38 @@ def status_of(got: DataFrame) -> DataFrame:
     return got.select("t", "kind", "num", F.col("a").alias("total_count"), F.col("b").alias("recent_30"), F.col("c").alias("recent_100"), trend.alias("trend"), status.alias("status"), (F.col("current") == 0).alias("is_previous"))
 
 
-def history_statistics(draws: DataFrame, ts: DataFrame, sum_span: bool = True) -> DataFrame:
-    """One row for each t: overlap, parity, size and zone shares as arrays, percentiles of the sum, the draw before t."""
+def cells_of(draws: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Draws with what is counted of them: overlaps with the draw before, parity, size and numbers in zones; and its names."""
     f = F.col("front")
-    rows = with_previous(draws).select("pos", "front", "back", shared(f, F.col("prev_front")).alias("kf"), shared(F.col("back"), F.col("prev_back")).alias("kb"), odd_count(f).alias("odd"), big_count(f).alias("big"), total(f).alias("sum"))
-    seen = as_of(rows, ts)
-
-    def counts(name: str, upto: int) -> list[Column]:
-        return [F.count_if(F.col(name) == k).alias(f"{name}{k}") for k in range(upto + 1)]
-
-    in_zone = [F.sum(F.size(F.filter("front", _zone_is(z)))).alias(f"zone{z}") for z in range(FRONT.zones)]
-    agg = seen.groupBy("t").agg(*counts("kf", FRONT.picks), *counts("kb", BACK.picks), *counts("odd", FRONT.picks), *counts("big", FRONT.picks), *in_zone, F.max_by(F.struct("front", "back"), "pos").alias("before"))
-    got = shares_of(agg.withColumn("prev_front", F.col("before.front")).withColumn("prev_back", F.col("before.back")))
+    rows = with_previous(draws)
+    values = {"kf": (shared(f, F.col("prev_front")), FRONT.picks), "kb": (shared(F.col("back"), F.col("prev_back")), BACK.picks), "odd": (odd_count(f), FRONT.picks), "big": (big_count(f), FRONT.picks)}
+    cells = {f"{n}{k}": F.coalesce((v == k).cast("long"), F.lit(0)) for n, (v, upto) in values.items() for k in range(upto + 1)}
+    none = F.col("prev_front").isNull()
+    cells = {n: F.when(none, 0).otherwise(c) if n[:2] in ("kf", "kb") else c for n, c in cells.items()}
+    cells |= {f"zone{z}": F.size(F.filter(f, _zone_is(z))).cast("long") for z in range(FRONT.zones)}
+    return rows.select("pos", "front", "back", "prev_front", "prev_back", *[c.alias(n) for n, c in cells.items()]), list(cells)
+
+
+def history_statistics(draws: DataFrame, ts: DataFrame | None = None, sum_span: bool = True) -> DataFrame:
+    """One row for each t (without ts the next draw): overlap, parity, size and zone shares as arrays, percentiles of the sum, the draw before t."""
+    rows, cells = cells_of(draws)
+    sums = draws.select("pos", total(F.col("front")).alias("sum"))
+    if ts is None:
+        agg = rows.agg(F.count("*").alias("t"), *[F.sum(c).alias(c) for c in cells], F.max_by(F.struct("front", "back"), "pos").alias("b")).filter("t > 0")
+        agg = agg.select("t", *cells, F.col("b.front").alias("prev_front"), F.col("b.back").alias("prev_back"))
+        each = sums.groupBy("sum").agg(F.count("*").alias("c")).withColumn("t", F.sum("c").over(Window.partitionBy()))
+    else:
+        # Positions are dense: what holds before t is what the draw at t - 1 closes.
+        closed = before(rows.withColumns({f"__{c}": F.col(c) for c in cells}), [], cells)
+        closed = closed.select((F.col("pos") + 1).alias("t"), *[(F.col(c) + F.col(f"__{c}")).alias(c) for c in cells], F.col("front").alias("prev_front"), F.col("back").alias("prev_back"))
+        agg = closed.join(ts, "t")
+        counted = before(sums.withColumn("c", F.lit(1)), ["sum"], ["c"]).select("pos", "sum", (F.col("c") + 1).alias("c"))
+        most = sum(range(FRONT.high - FRONT.picks + 1, FRONT.high + 1))
+        asks = ts.select("t", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(most).cast("long"))).alias("sum"))
+        each = as_of(counted, asks, ["sum"]).filter(F.col("c").isNotNull()) if sum_span else None
+    got = shares_of(agg)
     if not sum_span:
         return got.withColumn("p25", F.lit(None).cast("long")).withColumn("p75", F.lit(None).cast("long"))
-    each = seen.groupBy("t", "sum").agg(F.count("*").alias("c"))
     each = each.withColumn("upto", F.sum("c").over(Window.partitionBy("t").orderBy("sum").rowsBetween(Window.unboundedPreceding, 0)))
     picks = [F.min(F.when(F.col("upto") > F.floor(F.col("t") * p / 100), F.col("sum"))).alias(f"p{p}") for p in (25, 75)]
     return got.join(each.groupBy("t").agg(*picks), "t")
@@ -88,9 +124,8 @@ def _zone_is(z: int):
     return lambda x: zone(x, FRONT) == z
 
 
-def number_factors(draws: DataFrame, ts: DataFrame) -> DataFrame:
+def number_factors(draws: DataFrame, ts: DataFrame | None = None) -> DataFrame:
     """Four factors of each number. The inherit factor uses the front overlaps for both sets."""
-    ts = stored(ts, "targets")
     return factors_of(number_statistics(draws, ts), history_statistics(draws, ts, False))
 
 
@@ -106,41 +141,12 @@ def factors_of(stats: DataFrame, history: DataFrame) -> DataFrame:
     return stats.select("t", "kind", "num", *[v.alias(k) for k, v in factors.items()])
 
 
-def configurations(spark: SparkSession, configs: Sequence[tuple[str, SearchConfig]]) -> DataFrame:
-    """Search settings as rows, so that one plan serves them all."""
-    rows = []
-    for name, c in configs:
-        w = c.number_weights()
-        rows.append((name, *(w[k] for k in NUMBER_WEIGHTS), c.single, c.combo, c.top_front, c.top_back))
-    return spark.createDataFrame(rows, "config string, " + ", ".join(f"w_{k} double" for k in NUMBER_WEIGHTS) + ", w_single double, w_combo double, top_front int, top_back int")
-
-
-def number_scores(draws: DataFrame, ts: DataFrame, weights: dict[str, float]) -> DataFrame:
+def number_scores(draws: DataFrame, weights: dict[str, float], ts: DataFrame | None = None) -> DataFrame:
     """Factors of each number and their weighted total."""
     rows = number_factors(draws, ts)
     return rows.withColumn("score", normalised(reduce(lambda a, b: a + b, [F.lit(weights[k]) * F.col(k) for k in NUMBER_WEIGHTS])))
 
 
-def pools(factors: DataFrame, settings: DataFrame) -> DataFrame:
-    """The best numbers of each set by score, `r` from 1, for each configuration and t."""
-    rows = factors.crossJoin(F.broadcast(settings))
-    rows = rows.withColumn("score", normalised(reduce(lambda a, b: a + b, [F.col(f"w_{k}") * F.col(k) for k in NUMBER_WEIGHTS])))
-    r = F.row_number().over(Window.partitionBy("config", "t", "kind").orderBy(F.desc("score"), "num"))
-    top = F.when(F.col("kind") == "front", F.col("top_front")).otherwise(F.col("top_back"))
-    return rows.withColumn("r", r).filter(F.col("r") <= top).select("config", "t", "kind", "num", "score", "r")
-
-
-def _combinations(pool: DataFrame, kind: str, k: int) -> DataFrame:
-    """All k-subsets of a pool in rank order: nums (array) and their summed score, by self-joins on ranks."""
-    one = pool.filter(F.col("kind") == kind).select("config", "t", "r", "num", "score")
-    got = one.select("config", "t", "r", F.array("num").alias("nums"), F.col("score").alias("points"))
-    for _ in range(k - 1):
-        more = one.select(F.col("config").alias("c2"), F.col("t").alias("t2"), F.col("r").alias("r2"), "num", "score")
-        got = got.join(more, (F.col("config") == F.col("c2")) & (F.col("t") == F.col("t2")) & (F.col("r") < F.col("r2")))
-        got = got.select("config", "t", F.col("r2").alias("r"), F.concat("nums", F.array("num")).alias("nums"), (F.col("points") + F.col("score")).alias("points"))
-    return got.drop("r")
-
-
 def front_factors(nums: Column, compat_size: bool = False) -> dict[str, Column]:
     """Factors of a front set that don't depend on the back set; needs the columns of history_statistics."""
     in_zones = F.aggregate(F.transform(nums, lambda x: F.get("zone", zone(x, FRONT).cast("int"))), F.lit(0.0), lambda a, x: a + x)
@@ -159,11 +165,8 @@ def inherit_match(kf: Column, kb: Column) -> Column:
     return normalised((F.get("kf", kf.cast("int")) + F.get("kb", kb.cast("int"))) / 2.0 * 100.0)
 
 
-_FACTORS = ("inherit_match", "odd_even_match", "big_small_match", "zone_match", "sum_span_match")
-
-
 def combination_total() -> Column:
-    return normalised(reduce(lambda a, b: a + b, [F.lit(0.2) * F.col(k) for k in _FACTORS]))
+    return normalised(reduce(lambda a, b: a + b, [F.lit(0.2) * F.col(k) for k in FACTORS]))
 
 
 def combination_scores(combos: DataFrame, history: DataFrame, compat_size: bool = False) -> DataFrame:
@@ -173,31 +176,16 @@ def combination_scores(combos: DataFrame, history: DataFrame, compat_size: bool
     return rows.withColumn("score", combination_total())
 
 
-def search_many(draws: DataFrame, ts: DataFrame, configs: Sequence[tuple[str, SearchConfig]], sum_span: bool = True, compat_size: bool = False) -> DataFrame:
-    """For each configuration and t the combination of pool numbers with the best blended score.
+def search_many(draws: DataFrame, ts: DataFrame | None, configs: Sequence[tuple[str, SearchConfig]], sum_span: bool = True, compat_size: bool = False) -> DataFrame:
+    """For each configuration and t the combination of pool numbers with the best blended score, its total and factors.
 
-    Ties go to the least numbers in rank order. Statistics are made once for all configurations.
-    Fronts and backs are scored apart; only what mixes them is computed for their pairs. The
-    pools are small: what is broadcast has rows by t and configuration, which callers list.
+    Ties go to the least numbers in rank order. Statistics are made once for all configurations; history is written, as both sides need it.
     """
-    ts = stored(ts, "targets")
     history = stored(history_statistics(draws, ts, sum_span), "history")
-    settings = configurations(draws.sparkSession, configs)
-    # Written once: each of the joins below reads a few rows by t in place of all statistics.
-    pool = stored(pools(factors_of(number_statistics(draws, ts), history), settings), "pools")
-    fronts = _combinations(pool, "front", FRONT.picks).join(history, "t")
-    fronts = fronts.select("config", "t", F.col("nums").alias("front"), F.col("points").alias("f_points"), shared(F.col("nums"), F.col("prev_front")).alias("n_f"), "kf", "kb", *[v.alias(k) for k, v in front_factors(F.col("nums"), compat_size).items()])
-    backs = _combinations(pool, "back", BACK.picks).join(history.select("t", "prev_back"), "t")
-    backs = backs.select("config", "t", F.col("nums").alias("back"), F.col("points").alias("b_points"), shared(F.col("nums"), F.col("prev_back")).alias("n_b"))
-    rows = fronts.join(backs, ["config", "t"]).join(F.broadcast(settings.select("config", "w_single", "w_combo")), "config")
-    rows = rows.withColumn("inherit_match", inherit_match(F.col("n_f"), F.col("n_b"))).withColumn("structure", combination_total())
-    blended = F.col("w_single") * ((F.col("f_points") + F.col("b_points")) / 7.0) + F.col("w_combo") * F.col("structure")
-    rows = rows.withColumn("total", normalised(blended))
-    best = F.struct((-F.col("total")).alias("m"), "front", "back", *_FACTORS)
-    return rows.groupBy("config", "t").agg(F.min(best).alias("b")).select("config", "t", (-F.col("b.m")).alias("total"), *[f"b.{c}" for c in ("front", "back", *_FACTORS)])
-
-
-def search(draws: DataFrame, ts: DataFrame, config: SearchConfig = SearchConfig(), sum_span: bool = True, compat_size: bool = False) -> DataFrame:
+    return best_combinations(factors_of(number_statistics(draws, ts), history), history, configs, compat_size)
+
+
+def search(draws: DataFrame, ts: DataFrame | None = None, config: SearchConfig = SearchConfig(), sum_span: bool = True, compat_size: bool = False) -> DataFrame:
     return search_many(draws, ts, [("one", config)], sum_span, compat_size).drop("config")
 
 
@@ -230,7 +218,7 @@ def walk_forward(draws: DataFrame, last: int, configs: Sequence[tuple[str, Searc
 
     Statistics of t see only draws before t. Sum and span stay neutral here.
     """
-    ts = targets(draws, last)
+    ts = stored(targets(draws, last), "targets")
     rows = search_many(draws, ts, configs, sum_span=False, compat_size=compat_size)
     drawn = draws.select(F.col("pos").alias("t"), "issue_num", F.col("front").alias("real_front"), F.col("back").alias("real_back"))
     fh, bh = shared(F.col("front"), F.col("real_front")), shared(F.col("back"), F.col("real_back"))

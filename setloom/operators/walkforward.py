@@ -1,26 +1,22 @@
 """Walk-forward over a whole history: statistics of every t by running windows, one search for each t and setting.
 
-The results are those of scoring.walk_forward. There each t reads all draws before it; here
-running counts are carried from draw to draw, inside spans of positions with one row for each
-span between them. The search of one t is numpy work in Arrow batches: fronts and backs are scored apart,
-and only fronts that reach the best total with some back are paired with all backs.
+The results are those of scoring.walk_forward, which asks for a list of t; here running counts are carried from draw to draw for
+all t, inside spans of positions with one row for each span between them.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
-from itertools import combinations
+from collections.abc import Sequence
 
-import numpy as np
-import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.scalars import big_count, odd_count, shared
-from ..model import BACK, FRONT, NUMBER_WEIGHTS, SearchConfig
-from .descriptive import with_previous
+from ..functions.scalars import shared
+from ..model import SearchConfig
+from .carry import before
+from .combinations import best_combinations
 from .frames import _SPAN, appearances, previous_positions, universe
-from .scoring import _zone_is, factors_of, shares_of, status_of
+from .scoring import cells_of, factors_of, shares_of, status_of
 
 #: Draws before the first t. (fixed value)
 PREHEAT = 200
@@ -29,29 +25,13 @@ TRAIN, VALID = (200, 799), (800, 999)
 _LONG, _SHORT = 100, 30  # windows of the recent counts
 
 
-def _before(rows: DataFrame, keys: Sequence[str], sums: Sequence[str], maxima: Sequence[str] = (), span: int = _SPAN) -> DataFrame:
-    """`rows` with each of the columns as its sum or maximum over the rows of the same keys at smaller positions."""
-    rows = rows.withColumn("__span", F.floor(F.col("pos") / span))
-    ends = rows.groupBy(*keys, "__span").agg(*[F.sum(c).alias(f"__s_{c}") for c in sums], *[F.max(c).alias(f"__s_{c}") for c in maxima])
-    earlier = Window.partitionBy(*keys).orderBy("__span").rowsBetween(Window.unboundedPreceding, -1)
-    carry = ends.select(*keys, "__span", *[F.sum(f"__s_{c}").over(earlier).alias(f"__c_{c}") for c in sums], *[F.max(f"__s_{c}").over(earlier).alias(f"__c_{c}") for c in maxima])
-    inner = Window.partitionBy(*keys, "__span").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
-    got = rows.withColumns({f"__i_{c}": F.sum(c).over(inner) for c in sums} | {f"__i_{c}": F.max(c).over(inner) for c in maxima}).join(F.broadcast(carry), [*keys, "__span"])
-
-    def zero(name: str) -> Column:
-        return F.coalesce(F.col(name), F.lit(0)).cast("long")
-
-    both = {c: zero(f"__i_{c}") + zero(f"__c_{c}") for c in sums} | {c: F.greatest(zero(f"__i_{c}"), zero(f"__c_{c}")) for c in maxima}
-    return got.withColumns(both).select(rows.columns[:-1])
-
-
 def running_numbers(draws: DataFrame, start: int, end: int | None = None, span: int = _SPAN) -> DataFrame:
     """What scoring.number_statistics gives, for every t from `start` to `end` (or the last draw)."""
     ends = draws.agg(F.max("total").cast("long").alias("pos")).filter("pos is not null").crossJoin(F.broadcast(universe(draws.sparkSession)))
     rows = appearances(draws).select("pos", "kind", "num").unionByName(ends)  # one row behind the last draw for each number
     rows = previous_positions(rows, ["kind", "num"]).withColumn("last", F.col("prev"))
     run = F.col("pos") - F.coalesce("prev", F.lit(-1)) - 1
-    rows = _before(rows.select("pos", "kind", "num", "last", F.lit(1).alias("a"), run.alias("longest"), (run > 0).cast("long").alias("runs")), ["kind", "num"], ["a", "runs"], ["longest"], span)
+    rows = before(rows.select("pos", "kind", "num", "last", F.lit(1).alias("a"), run.alias("longest"), (run > 0).cast("long").alias("runs")), ["kind", "num"], ["a", "runs"], ["longest"], span)
     # From an appearance on, the counts stay as they are up to the next one.
     low, high = F.greatest(F.coalesce(F.col("last") + 1, F.lit(0)), F.lit(max(0, start - _LONG))), F.col("pos") if end is None else F.least("pos", F.lit(end))
     each = rows.filter(low <= high).withColumn("t", F.explode(F.sequence(low.cast("long"), high.cast("long"))))
@@ -63,101 +43,17 @@ def running_numbers(draws: DataFrame, start: int, end: int | None = None, span:
 
 def running_history(draws: DataFrame, start: int, end: int | None = None, span: int = _SPAN) -> DataFrame:
     """What scoring.history_statistics gives without sum and span, for every t that is drawn."""
-    f = F.col("front")
-    rows = with_previous(draws)
-    values = {"kf": (shared(f, F.col("prev_front")), FRONT.picks), "kb": (shared(F.col("back"), F.col("prev_back")), BACK.picks), "odd": (odd_count(f), FRONT.picks), "big": (big_count(f), FRONT.picks)}
-    cells = {f"{n}{k}": F.when(F.col("prev_front").isNull() & F.lit(n in ("kf", "kb")), 0).otherwise((v == k).cast("long")) for n, (v, upto) in values.items() for k in range(upto + 1)}
-    cells |= {f"zone{z}": F.size(F.filter(f, _zone_is(z))) for z in range(FRONT.zones)}
-    rows = rows.select("pos", "prev_front", "prev_back", *[c.alias(n) for n, c in cells.items()])
-    rows = _before(rows, [], list(cells), span=span).withColumnRenamed("pos", "t")
+    rows, cells = cells_of(draws)
+    rows = before(rows.drop("front", "back"), [], cells, span=span).withColumnRenamed("pos", "t")
     return shares_of(rows.filter((F.col("t") >= start) & (F.lit(True) if end is None else F.col("t") <= end)))
 
 
-def _normal(x: np.ndarray) -> np.ndarray:
-    """scalars.normalised."""
-    return np.floor(np.clip(x / 100.0 * 100.0, 0.0, 100.0) * 100.0 + 0.5) / 100.0
-
-
-_COMBOS: dict[tuple[int, int], np.ndarray] = {}
-
-
-def _ranks(n: int, k: int) -> np.ndarray:
-    if (n, k) not in _COMBOS:
-        _COMBOS[n, k] = np.array(list(combinations(range(n), k)), np.intp).reshape(-1, k)
-    return _COMBOS[n, k]
-
-
-def _sums(values: np.ndarray) -> np.ndarray:
-    """Row sums from left to right, as the engine adds."""
-    got = values[:, 0].copy()
-    for k in range(1, values.shape[1]):
-        got += values[:, k]
-    return got
-
-
-_SMALL_TO = FRONT.small_to
-_ZONE = np.minimum((np.arange(FRONT.high + 1) - FRONT.low) // (FRONT.size // FRONT.zones), FRONT.zones - 1)
-
-
-def best_combination(factors: dict[str, np.ndarray], history: dict[str, np.ndarray], config: SearchConfig, compat_size: bool = False) -> tuple[list[int], list[int], float]:
-    """Front, back and total of one t. `factors`: for each set its rows of heat, missing, trend and inherit by number."""
-    w = config.number_weights()
-    nums, points, same = {}, {}, {}
-    for rule, top, k in ((FRONT, config.top_front, FRONT.picks), (BACK, config.top_back, BACK.picks)):
-        rows = factors[rule.kind]
-        score = w["heat"] * rows[0] + w["missing"] * rows[1]
-        score = _normal(score + w["trend"] * rows[2] + w["inherit"] * rows[3])
-        pool = np.argsort(-score, kind="stable")[:top]
-        at = pool[_ranks(len(pool), k)]
-        nums[rule.kind] = at + rule.low
-        points[rule.kind] = _sums(score[at])
-        was = np.zeros(rule.size, np.intp)
-        was[history[f"prev_{rule.kind}"] - rule.low] = 1
-        same[rule.kind] = was[at].sum(1)
-    front, back = nums["front"], nums["back"]
-    inherit = _normal((history["kf"][:, None] + history["kb"]) / 2.0 * 100.0)[same["front"]]  # fronts x overlaps of the back
-    odd = _normal(history["odd"] * 100.0)[(front % 2).sum(1)]
-    big = 0.0 if compat_size else _normal(history["big"] * 100.0)[(front > _SMALL_TO).sum(1)]
-    zones = _normal(_sums(history["zone"][_ZONE[front]]) / 5 * 100.0)
-    apart = [np.broadcast_to(x, len(front))[:, None] for x in (odd, big, zones)]
-    structure = config.combo * _normal(0.2 * inherit + 0.2 * apart[0] + 0.2 * apart[1] + 0.2 * apart[2] + 0.2 * 50.0)
-    # The total grows with the points of the back: its best one for each overlap bounds what a front can reach.
-    most = np.full(inherit.shape[1], -np.inf)
-    np.maximum.at(most, same["back"], points["back"])
-    reach = (config.single * ((points["front"][:, None] + most) / 7.0) + structure).max(1)
-    few = np.flatnonzero(reach >= reach.max() - 0.02)  # totals have two places
-    totals = _normal(config.single * ((points["front"][few, None] + points["back"]) / 7.0) + structure[few][:, same["back"]])
-    top = totals.max()
-    i, j = np.nonzero(totals == top)
-    f, b = min((front[few[x]].tolist(), back[y].tolist()) for x, y in zip(i, j))
-    return f, b, float(top)
-
-
 def walk_range(draws: DataFrame, configs: Sequence[tuple[str, SearchConfig]], start: int = PREHEAT, end: int | None = None, compat_size: bool = False, span: int = _SPAN) -> DataFrame:
     """What scoring.walk_forward gives, for every t from `start` (at least 1) to `end` or the last draw."""
     start = max(1, start)
     history = running_history(draws, start, end, span)
     factors = factors_of(running_numbers(draws, start, end, span), history)
-    names = list(NUMBER_WEIGHTS)
-    cells = F.sort_array(F.collect_list(F.struct("num", *names)))
-    rows = factors.groupBy("t").pivot("kind", ["front", "back"]).agg(cells)
-    rows = rows.select("t", *[F.col(f"{kind}.{n}").alias(f"{kind}_{n}") for kind in ("front", "back") for n in names]).join(history, "t")
-    arrays = [f"{kind}_{n}" for kind in ("front", "back") for n in names], ["kf", "kb", "odd", "big", "zone", "prev_front", "prev_back"]
-    settings = list(configs)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = batch.to_pydict()
-            out = []
-            for i, t in enumerate(got["t"]):
-                cells = {n: np.array(got[n][i]) for a in arrays for n in a}
-                of = {kind: np.stack([cells[f"{kind}_{n}"] for n in names]) for kind in ("front", "back")}
-                out += [(name, t, *best_combination(of, cells, config, compat_size)) for name, config in settings]
-            columns = list(zip(*out)) or [[]] * 5
-            kinds = pa.string(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.float64()
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["config", "t", "front", "back", "total"])
-
-    found = rows.select("t", *arrays[0], *arrays[1]).mapInArrow(run, "config string, t long, front array<long>, back array<long>, total double")
+    found = best_combinations(factors, history, configs, compat_size)
     drawn = draws.select(F.col("pos").alias("t"), "issue_num", F.col("front").alias("real_front"), F.col("back").alias("real_back"))
     fh, bh = shared(F.col("front"), F.col("real_front")), shared(F.col("back"), F.col("real_back"))
     got = found.join(drawn, "t").select("config", "t", "issue_num", "front", "back", "total", fh.alias("front_hit"), bh.alias("back_hit"))

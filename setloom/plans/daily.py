@@ -38,7 +38,7 @@ def _recommend(run: Run) -> DataFrame:
     n, seed = int(own.get("combos_per_strategy", 1)), int(own.get("seed") or 20260816)
     weights = picks.balanced_weights(descriptive.frequency(draws), descriptive.frequency(draws, 50))
     hot, cold = descriptive.hot(draws), descriptive.cold_ties(draws)
-    found = scoring.search(draws, scoring.targets(draws), search_config(run.settings))
+    found = scoring.search(draws, None, search_config(run.settings))
     rows = picks.all_strategies(
         A=picks.temperature_picks(weights, hot, cold, n, seed, 2, 2, True),
         B=picks.temperature_picks(weights, hot, cold, n, seed, 3, 2, False),

@@ -94,7 +94,7 @@ def _dates_as_text(rows: DataFrame) -> DataFrame:
 
 def _number_scores(kind: str) -> Query:
     def run(draws: DataFrame) -> DataFrame:
-        got = scoring.number_scores(draws, scoring.targets(draws), SearchConfig(dict(NUMBER_WEIGHTS)).number_weights())
+        got = scoring.number_scores(draws, SearchConfig(dict(NUMBER_WEIGHTS)).number_weights())
         return got.filter(F.col("kind") == kind).drop("t", "kind")
 
     return _on_draws(run)
@@ -104,14 +104,13 @@ _FACTORS = ("inherit_match", "odd_even_match", "big_small_match", "zone_match",
 
 
 def _search(draws: DataFrame) -> DataFrame:
-    return _texts(scoring.search(draws, scoring.targets(draws)), "t", "total", *_FACTORS)
+    return _texts(scoring.search(draws), "t", "total", *_FACTORS)
 
 
 def _combo_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     draws = _draws(spark, sf_dir)
-    ts = scoring.targets(draws)
-    combos = source.recommendations(spark, sf_dir).select("target_issue", "front", "back").crossJoin(F.broadcast(ts))
-    return scoring.combination_scores(combos, scoring.history_statistics(draws, ts)).select("target_issue", *_FACTORS, "score")
+    combos = source.recommendations(spark, sf_dir).select("target_issue", "front", "back").crossJoin(F.broadcast(scoring.targets(draws)))
+    return scoring.combination_scores(combos, scoring.history_statistics(draws)).select("target_issue", *_FACTORS, "score")
 
 
 def _config(name: str) -> tuple[str, SearchConfig]:
@@ -169,7 +168,7 @@ def _risk(recs: DataFrame, draws: DataFrame) -> DataFrame:
 def _enriched(recs: DataFrame) -> DataFrame:
     group = strategy_group(F.col("strategy"))
     named = F.when(F.floor(F.col("target_issue") / 11) % 3 == 0, F.concat(group, F.lit("-renamed"))).otherwise(F.col("strategy"))
-    current = recs.filter(group != "other").select("target_issue", named.alias("strategy"), "idx")
+    current = recs.select("target_issue", named.alias("strategy"), "idx")
     return evaluate.enrich(current, recs)
 
 
@@ -193,7 +192,8 @@ SEED = 20260816
 
 
 def _random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _texts(picks.random_picks(spark, 10, SEED), "attempt")
+    """A random combination for each customer."""
+    return _texts(picks.random_for(source.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("attempt")), SEED), "attempt")
 
 
 def _by_temperature(n_hot: int, n_cold: int, balanced: bool) -> Callable[[DataFrame], DataFrame]:
@@ -210,8 +210,7 @@ def _smart(draws: DataFrame) -> DataFrame:
 
 def _every_strategy(draws: DataFrame) -> DataFrame:
     """One pick of each of the strategies A to D; D is the best of the combination search and has a score."""
-    ts = scoring.targets(draws)
-    found = scoring.search(draws, ts).select(F.lit(0).cast("long").alias("attempt"), "front", "back", F.col("total").alias("score_total"))
+    found = scoring.search(draws).select(F.lit(0).cast("long").alias("attempt"), "front", "back", F.col("total").alias("score_total"))
     one = {k: f(draws).filter("attempt = 0") for k, f in (("A", _by_temperature(2, 2, True)), ("B", _by_temperature(3, 2, False)))}
     return _texts(picks.all_strategies(**one, C=picks.random_picks(draws.sparkSession, 1, SEED), D=found), "strategy", "attempt", "score_total")
 

@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.scalars import strategy_group, two_digits
+from ..functions.scalars import two_digits
 from ..operators import cache, descriptive, evaluate, publish
 from ..sources import draws as source
 from ..streaming import ingest
@@ -101,20 +101,14 @@ def _response(recs: DataFrame, draws: DataFrame) -> DataFrame:
     return publish.response(recs.join(last, "target_issue", "left"))
 
 
-def _recommended(recs: DataFrame) -> DataFrame:
-    """The recommendations of the last five customers."""
-    return recs.orderBy(F.desc("target_issue")).limit(5)
-
-
 def _daily_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs, draws = source.recommendations(spark, sf_dir), source.draws(spark, sf_dir)
-    return publish.daily_report(draws, _recommended(recs), evaluate.validation_summary(recs, draws))
+    return publish.daily_report(draws, latest_group(recs), evaluate.validation_summary(recs, draws))
 
 
 def _published(recs: DataFrame, draws: DataFrame) -> DataFrame:
-    """Every recommendation with a strategy as current ones, each a period of its own."""
-    current = recs.filter(strategy_group(F.col("strategy")) != "other")
-    got = publish.published(current, recs, evaluate.hits(recs, draws))
+    """Every recommendation as a current one, each a period of its own."""
+    got = publish.published(recs, recs, evaluate.hits(recs, draws))
     return got.select("target_issue", "strategy", "idx", "final_score", "final_rank", "is_primary", "score", "reason")
 
 

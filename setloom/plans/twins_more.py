@@ -123,6 +123,8 @@ MORE = {
     "upsert_recs": f"""WITH {RECS}, w AS (SELECT target_issue % 700 AS target_issue, grp AS strategy, idx, target_issue AS pos FROM recs) SELECT target_issue, strategy, idx, max_by(pos, place) AS pos, max_by(source, place) AS source
         FROM (SELECT *, pos AS place, 'stored' AS source FROM w WHERE pos % 3 <> 0 UNION ALL SELECT *, pos + 1000000000000, 'new' FROM w WHERE pos % 2 = 0 OR pos % 3 = 0) GROUP BY ALL""",
     "sql_batches": f"""WITH {DRAWS} SELECT pos // 500 AS batch, pos, '(' || issue_num || ', ''' || draw_date || ''')' AS row_values FROM draws""",
+    "export_check_full": f"""WITH {RECS} SELECT target_issue::VARCHAR AS target_issue, count(*) AS n, array_to_string(list_sort(list(DISTINCT grp)), ',') AS found, 0::BIGINT AS bad_keys, count(*) FILTER (idx IS NULL) AS bad_idx, count(*) FILTER (len(front) <> 5) AS bad_front, count(*) FILTER (len(back) <> 2) AS bad_back,
+        count(*) FILTER (NOT regexp_full_match(target_issue::VARCHAR, '[0-9]{{5}}')) AS bad_target, count(*) FILTER (grp = 'other') AS bad_strategy, (SELECT count(DISTINCT target_issue) FROM recs) = 1 AS one_target, array_to_string(list_sort(list(DISTINCT grp)), ',') = 'A,B,C,D' AS all_strategies FROM recs GROUP BY target_issue""",
     "export_check": f"WITH {RECS} SELECT count(DISTINCT target_issue) AS targets, array_to_string(list_sort(list(DISTINCT grp)), ',') AS found, count(DISTINCT target_issue) = 1 AS one_target, array_to_string(list_sort(list(DISTINCT grp)), ',') = 'A,B,C,D' AS all_strategies FROM recs",
     "favourites_once": f"WITH {RECS} SELECT {_TEXT.format('front')} AS front, {_TEXT.format('back')} AS back, min(target_issue) AS pos FROM recs GROUP BY 1, 2",
     "next_issues": f"WITH {DRAWS}, i AS (SELECT issue_num, (20 + issue_num % 7) * 1000 + issue_num % 353 + 1 AS issue FROM draws) SELECT issue_num, CASE WHEN issue % 1000 >= 353 THEN (issue // 1000 + 1) * 1000 + 1 ELSE issue + 1 END AS next FROM i",
@@ -167,7 +169,7 @@ MORE = {
         SELECT target_issue, greatest(-40, CASE WHEN len(list_intersect(front, prev)) >= 4 THEN -30 ELSE 0 END + CASE WHEN len([x for x in front if x % 2 = 1]) IN (0, 5) THEN -15 ELSE 0 END + CASE WHEN len([x for x in front if x > 17]) IN (0, 5) THEN -15 ELSE 0 END + CASE WHEN s < 60 OR s > 120 THEN -10 ELSE 0 END)::DOUBLE AS risk FROM p""",
     "reason_rules": f"WITH {RECS} SELECT target_issue, strategy, nullif(concat_ws('; ', CASE WHEN missing >= 70 THEN 'gap' END, CASE WHEN sum_span_match >= 80 THEN 'sum and span' END, CASE WHEN zone_match >= 60 THEN 'zones' END), '') AS reason FROM recs",
     "enriched_recs": f"""WITH {RECS}, n AS (SELECT *, nullif(concat_ws('; ', CASE WHEN missing >= 70 THEN 'gap' END, CASE WHEN sum_span_match >= 80 THEN 'sum and span' END, CASE WHEN zone_match >= 60 THEN 'zones' END), '') AS reason FROM recs)
-        SELECT target_issue, CASE WHEN target_issue // 11 % 3 = 0 THEN grp || '-renamed' ELSE strategy END AS strategy, idx, {_r("score_total")} AS score, reason, grp = 'D' AS is_primary FROM n WHERE grp <> 'other'""",
+        SELECT target_issue, CASE WHEN target_issue // 11 % 3 = 0 THEN grp || '-renamed' ELSE strategy END AS strategy, idx, {_r("score_total")} AS score, reason, grp = 'D' AS is_primary FROM n""",
     "combo_constraint_filter": f"""WITH {RECS} SELECT target_issue, {_TEXT.format('front')} AS front FROM recs WHERE len([x for x in front if x % 2 = 1]) IN (2, 3) AND len([x for x in front if x <= 17]) IN (2, 3) AND front[1] <= 12 AND len([x for x in front if x BETWEEN 13 AND 24]) > 0 AND front[5] >= 25
         AND len([i for i in [1, 2, 3, 4] if front[i + 1] - front[i] = 1]) <= 1""",
     "rejection_rules": f"""WITH {HITS}, x AS (SELECT r.front, d.front AS prev, list_sum(r.front)::BIGINT AS s, r.front[5] - r.front[1] AS w, len([x for x in r.front if x % 2 = 1]) AS o, len([x for x in r.front if x > 17]) AS g, len([i for i in [1, 2, 3, 4] if r.front[i + 1] - r.front[i] = 1]) AS p FROM recs r LEFT JOIN draws d ON d.issue_num = r.target_issue),

@@ -31,9 +31,9 @@ def _temperature(name: str, n_hot: int, n_cold: int, balanced: bool) -> str:
 {name} AS (SELECT attempt, min_by(front, try + CASE WHEN len([x for x in front if x % 2 = 1]) IN (2, 3) AND len([x for x in front if x > 17]) IN (2, 3) THEN 0 ELSE 100 END) AS front, min_by(back, try) AS back FROM {name}3 GROUP BY attempt)"""
 
 
-def _random(name: str, n: int) -> str:
+def _random(name: str, attempts: str) -> str:
     return f""",
-{name}0 AS (SELECT attempt, kind, num, row_number() OVER (PARTITION BY attempt, kind ORDER BY {_u("attempt", "0", "kind", "num")}, num) AS r FROM uni, (SELECT unnest(range({n})) AS attempt)),
+{name}0 AS (SELECT attempt, kind, num, row_number() OVER (PARTITION BY attempt, kind ORDER BY {_u("attempt", "0", "kind", "num")}, num) AS r FROM uni, ({attempts})),
 {name} AS (SELECT attempt, list_sort(list(num) FILTER (kind = 'front' AND r <= 5)) AS front, list_sort(list(num) FILTER (kind = 'back' AND r <= 2)) AS back FROM {name}0 GROUP BY attempt)"""
 
 
@@ -55,11 +55,11 @@ fs AS (SELECT target_issue, front, list_sum(front)::BIGINT AS s, front[5] - fron
   len([x for x in front if x <= 12]) AS z1, len([x for x in front if x BETWEEN 13 AND 24]) AS z2, len([x for x in front if x > 24]) AS z3 FROM recs)"""
 
 PICKS = {
-    "random_pick": f"WITH {HOT}{_random('c', 10)} SELECT {_SETS} FROM c",
+    "random_pick": f"WITH {HOT}{_random('c', 'SELECT c_custkey AS attempt FROM customer')} SELECT {_SETS} FROM c",
     "balanced_pick": f"WITH {_LISTS}{_temperature('a', 2, 2, True)} SELECT {_SETS} FROM a",
     "hotcold_pick": f"WITH {_LISTS}{_temperature('b', 3, 2, False)} SELECT {_SETS} FROM b",
     "smart_pick": f"WITH {_SMART} SELECT {_SETS} FROM f3 JOIN b3 USING (attempt)",
-    "strategy_picks": f"""WITH a AS (WITH {_LISTS}{_temperature('a', 2, 2, True)} FROM a), b AS (WITH {_LISTS}{_temperature('b', 3, 2, False)} FROM b), c AS (WITH {HOT}{_random('c', 1)} FROM c),
+    "strategy_picks": f"""WITH a AS (WITH {_LISTS}{_temperature('a', 2, 2, True)} FROM a), b AS (WITH {_LISTS}{_temperature('b', 3, 2, False)} FROM b), c AS (WITH {HOT}{_random('c', 'SELECT 0 AS attempt')} FROM c),
         d AS (WITH {_stats(_NEXT)}{_search('G0', _W, 15, 8, 0.7, 0.3, True)} SELECT front, back, total FROM bestG0)
         SELECT strategy, score_total, {_SETS} FROM (SELECT 'A' AS strategy, attempt, front, back, NULL::DOUBLE AS score_total FROM a WHERE attempt = 0 UNION ALL SELECT 'B', attempt, front, back, NULL FROM b WHERE attempt = 0
         UNION ALL SELECT 'C', attempt, front, back, NULL FROM c UNION ALL SELECT 'D', 0, front, back, total FROM d)""",

@@ -86,14 +86,14 @@ PUBLISHED = {
         UNION ALL SELECT 5, row_number() OVER (ORDER BY c DESC, label), format('| {{}} | {{:d}} | {{:.1f}}% |', label, c, {_r('c::DOUBLE / n * 100', 1)}) FROM bs, n
         UNION ALL SELECT 6, 1, format('share {{:.4f}}, pairs {{:.4f}}', {_r('count(*) FILTER (pairs > 0)::DOUBLE / count(*)', 4)}, {_r('sum(pairs)::DOUBLE / count(*)', 4)}) FROM f
         UNION ALL SELECT 7, row_number() OVER (ORDER BY kind DESC, z), format('{{}} {{:d}}-{{:d}}: {{:d}} ({{:.4f}})', kind, z * w + 1, (z + 1) * w, c::BIGINT, {_r('c::DOUBLE / sum(c) OVER (PARTITION BY kind)', 4)}) FROM z
-        UNION ALL SELECT 8, row_number() OVER (ORDER BY strategy, front), strategy || ': ' || {_TEXT.format('front')} || ' + ' || {_TEXT.format('back')} FROM (SELECT * FROM recs ORDER BY target_issue DESC LIMIT 5)
+        UNION ALL SELECT 8, row_number() OVER (ORDER BY strategy, front), strategy || ': ' || {_TEXT.format('front')} || ' + ' || {_TEXT.format('back')} FROM recs WHERE target_issue = (SELECT max(target_issue) FROM recs)
         UNION ALL SELECT 9, 1, {_SUMMARY_LINE} FROM {_SUMMARY}""",
     "validation_report": f"""WITH {HITS} SELECT 0::BIGINT AS section, 1::BIGINT AS line, {_SUMMARY_LINE} AS text FROM {_SUMMARY}
         UNION ALL SELECT 1, row_number() OVER (ORDER BY grp), format('| {{}} | {{:d}} | {{:.3f}} | {{:d}} |', grp, count, avg_total_hit, max_total_hit) FROM st""",
     "published_recs": f"""WITH {HITS}, {_BOARD},
         rec5 AS (SELECT grp, sum(total_hit)::DOUBLE / count(*) AS recent FROM (SELECT grp, total_hit, row_number() OVER (PARTITION BY grp ORDER BY target_issue DESC, strategy DESC) AS p FROM hits WHERE grp <> 'other') WHERE p <= 5 GROUP BY grp),
         part AS (SELECT c.*, 60 + CASE rank WHEN 1 THEN 8 WHEN 2 THEN 4 WHEN 4 THEN -4 ELSE 0 END::DOUBLE AS base, CASE WHEN b.count > 0 THEN {_r("least(100, avg_total_hit / 7 * 100)")} ELSE 50 END::DOUBLE AS history, CASE WHEN recent IS NULL THEN 50 ELSE {_r("least(100, recent / 7 * 100)")} END::DOUBLE AS recent,
-          greatest(-40, CASE WHEN len([x for x in front if x % 2 = 1]) IN (0, 5) THEN -15 ELSE 0 END + CASE WHEN len([x for x in front if x > 17]) IN (0, 5) THEN -15 ELSE 0 END)::DOUBLE AS risk FROM recs c LEFT JOIN board b USING (grp) LEFT JOIN rec5 USING (grp) WHERE grp <> 'other')
+          greatest(-40, CASE WHEN len([x for x in front if x % 2 = 1]) IN (0, 5) THEN -15 ELSE 0 END + CASE WHEN len([x for x in front if x > 17]) IN (0, 5) THEN -15 ELSE 0 END)::DOUBLE AS risk FROM recs c LEFT JOIN board b USING (grp) LEFT JOIN rec5 USING (grp))
         SELECT target_issue, strategy, idx, {_r("least(100, greatest(0, 0.4::DOUBLE * base + 0.2::DOUBLE * history + 0.15::DOUBLE * recent + 0.2::DOUBLE * 50 + risk))")} AS final_score, 1::BIGINT AS final_rank, true AS is_primary, {_r('score_total')} AS score, {_REASON} AS reason FROM part""",
     "stream_ingest": f"WITH {HOT} SELECT kind, num, count, omit AS omission FROM hot WHERE period = 0",
 }
