@@ -73,6 +73,19 @@ def combination_metrics(candidates: DataFrame) -> DataFrame:
     return candidates.select("target_issue", F.explode(each).alias("m")).select("target_issue", "m.*")
 
 
+def profile_texts(front: Column) -> list[tuple[str, Column, Column]]:
+    """Name, value as text and whether it is usual, of six properties of a front set."""
+    odd, big, n, pairs = odd_count(front), big_count(front), F.size(front), adjacent_pairs(front)
+    return [
+        ("sum", total(front).cast("string"), total(front).between(*SUM_RANGE)),
+        ("span", span(front).cast("string"), span(front).between(*SPAN_RANGE)),
+        ("odd to even", F.concat_ws(":", odd.cast("string"), (n - odd).cast("string")), odd.isin(2, 3)),
+        ("big to small", F.concat_ws(":", big.cast("string"), (n - big).cast("string")), big.isin(2, 3)),
+        ("thirds", thirds(front).cast("string"), thirds(front) == len(THIRDS)),
+        ("pairs", pairs.cast("string"), pairs <= 2),
+    ]
+
+
 def combination_profile(recs: DataFrame) -> DataFrame:
     """The combination part of an analysed pick: parity, size, thirds, sum and pairs of neighbours."""
     f = F.col("front")

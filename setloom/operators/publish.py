@@ -95,6 +95,46 @@ def response(candidates: DataFrame, prev_col: str = "prev_front", backups: int =
     )
 
 
+#: Texts of a published document. (fixed values)
+MODE, VERSION, RESPONSE_VERSION = "assistant", "1.0", "v2"
+
+
+def _reasons(front: Column) -> Column:
+    """What speaks for a front set, as texts."""
+    return F.array_compact(F.array(*[F.when(fine, F.concat(F.lit(name + " "), value)) for name, value, fine in picks.profile_texts(front)]))
+
+
+def documents(candidates: DataFrame, issue: str = "next", prev_col: str = "prev_front", backups: int = 2) -> DataFrame:
+    """Rows (name, document): `recommendation_new.json`, what a static site shows, and `response.json`, what an API answers.
+
+    Both hold the best candidate that no rule rejects with its reasons and scores, the next ones, and figures of all candidates left.
+    """
+    rules = picks.rejections(F.col("front"), F.col(prev_col))
+    kept = candidates.filter(~reduce(lambda a, b: a | b, rules.values()))
+    parts = ("sum_score", "span_score", "odd_even_score", "big_small_score", "zone_score", "pairs_score")
+    scored = kept.select("target_issue", "front", "back").join(picks.quality(kept), "target_issue")
+    figures = scored.agg(F.count("*").alias("filtered_count"), half_up(F.avg("quality"), 2).alias("mean"), half_up(F.max("quality"), 2).alias("most"))
+    entry = F.struct(
+        F.struct((-F.col("quality")).alias("least"), "target_issue").alias("place"),
+        F.struct("front", "back", half_up(F.col("quality"), 2).alias("score"), _reasons(F.col("front")).alias("reasons"), F.struct(*parts).alias("score_details")).alias("combo"),
+    )
+    best = scored.orderBy(F.desc("quality"), "target_issue").limit(backups + 1).agg(F.transform(F.sort_array(F.collect_list(entry)), lambda x: x["combo"]).alias("best"))
+    one = figures.crossJoin(F.broadcast(best))
+    main, rest = F.get("best", F.lit(0)), F.transform(F.slice("best", 2, backups), lambda x: x.dropFields("score_details"))
+    named = F.array(*[F.lit(r) for r in RULES_APPLIED]).alias("rules_applied")
+    static = F.struct(
+        F.lit(issue).alias("issue"), F.lit(VERSION).alias("version"), F.lit(MODE).alias("mode"), main.alias("main"), rest.alias("backup"),
+        F.struct("filtered_count", F.col("mean").alias("avg_quality_score"), F.col("most").alias("max_quality_score"), named).alias("stats"),
+    )
+    data = F.struct(
+        main.alias("main"), rest.alias("backup"), F.struct("filtered_count", F.col("mean").alias("quality_score"), named).alias("stats"),
+        F.struct(F.lit(MODE).alias("mode"), F.lit(RESPONSE_VERSION).alias("version"), F.lit(VERSION).alias("engine_version")).alias("metadata"),
+    )
+    answer = F.struct(F.lit("success").alias("status"), data.alias("data"))
+    both = F.array(*[F.struct(F.lit(n).alias("name"), F.to_json(d).alias("document")) for n, d in (("recommendation_new.json", static), ("response.json", answer))])
+    return one.select(F.explode(both).alias("d")).select("d.*")
+
+
 def _lines(section: int, rows: DataFrame, text: Column, *order: Column) -> DataFrame:
     place = F.row_number().over(Window.orderBy(*order)).cast("long") if order else F.lit(1).cast("long")
     return rows.select(F.lit(section).cast("long").alias("section"), place.alias("line"), text.alias("text"))

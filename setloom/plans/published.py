@@ -10,6 +10,10 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import two_digits
 from ..operators import cache, descriptive, evaluate, publish
+from ..operators.frames import positioned
+from ..operators.ranged import RangedTable
+from ..operators.store import latest_group
+from ..sources import documents, pages
 from ..sources import draws as source
 from ..streaming import ingest
 from ..tables import new_path
@@ -122,7 +126,75 @@ def _stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ingest.omissions(spark, stored, counts)
 
 
+def _page_draws(draws: DataFrame) -> DataFrame:
+    return draws.select((F.col("issue_num") % 90000 + 10000).cast("string").alias("issue"), F.col("draw_date").cast("string").alias("date"), "front", "back")
+
+
+def _saved(draws: DataFrame) -> str:
+    path = new_path(draws.sparkSession, "pages")
+    pages.save_pages(_page_draws(draws), path)
+    return path
+
+
+def _fetched(rows: DataFrame) -> DataFrame:
+    return rows.select("issue", "date", two_digits(F.col("front")).alias("front"), two_digits(F.col("back")).alias("back"))
+
+
+def _ranged(draws: DataFrame) -> DataFrame:
+    """All draws as saved pages, of which a range of issues is read."""
+    return _fetched(pages.fetch_range(draws.sparkSession, _saved(draws), 10_750, 70_125))
+
+
+def _incremental(draws: DataFrame) -> DataFrame:
+    """Saved pages behind the latest of the stored draws, which are those up to issue 11,000."""
+    stored = _page_draws(draws).select(F.col("issue").cast("long").alias("issue_num")).filter("issue_num <= 11000")
+    return _fetched(pages.fetch_new(draws.sparkSession, _saved(draws), stored))
+
+
+def _nested(draws: DataFrame) -> DataFrame:
+    """Rows of all tables of the saved pages: those of draws lie in a cell of a layout table."""
+    spark = draws.sparkSession
+    pages.register(spark)
+    saved = spark.read.text(_saved(draws), wholetext=True).select(F.col("value").alias("html"))
+    rows = spark.sql("SELECT t.name, t.depth, t.row, t.cells FROM {saved}, LATERAL scan_tables(html) t", saved=saved)
+    told = rows.select("name", F.col("depth").cast("long").alias("depth"), F.size("cells").cast("long").alias("n_cells"), F.get("cells", F.lit(0)).alias("first"))
+    return told.filter("first IS NOT NULL")
+
+
+def _ranged_upsert(draws: DataFrame) -> DataFrame:
+    """A table of two thirds of the draws by ranges of issues, into which the newest fifth is merged, then nearly all are offered again."""
+    spark, rows = draws.sparkSession, positioned(draws)
+    text = two_digits(F.col("front")).alias("front")
+    held = RangedTable(spark, new_path(spark, "ranged"), ["issue_num"])
+    held.create(rows.filter("pos % 3 <> 0").select("issue_num", text, F.lit("stored").alias("source")))
+    held.upsert(rows.filter("pos >= total - total div 5").select("issue_num", text, F.lit("new").alias("source"), "pos"), "pos")
+    held.insert_or_ignore(rows.filter("pos < total - total div 10").select("issue_num", text, F.lit("late").alias("source"), "pos"), "pos")
+    return held.read()
+
+
+def _sql_files(draws: DataFrame) -> DataFrame:
+    """All draws as files of SQL batches, read back."""
+    spark, path = draws.sparkSession, new_path(draws.sparkSession, "sql")
+    rows = positioned(draws).select("pos", F.col("issue_num").cast("string").alias("issue"), "issue_num", F.col("draw_date").cast("string").alias("date"), *[F.get("front", F.lit(k)).alias(f"front{k + 1}") for k in range(5)])
+    documents.write_documents(documents.sql_documents(rows, "draws", "pos"), path)
+    return documents.read_documents(spark, path)
+
+
+def _recommendation_files(recs: DataFrame, draws: DataFrame) -> DataFrame:
+    """The documents of a publication, read back."""
+    spark, path = recs.sparkSession, new_path(recs.sparkSession, "documents")
+    last = draws.select(F.col("issue_num").alias("target_issue"), F.col("front").alias("prev_front"))
+    documents.write_documents(publish.documents(recs.join(last, "target_issue", "left")), path)
+    return documents.read_documents(spark, path)
+
+
 PUBLISHED: dict[str, Query] = {
+    "ranged_fetch": _on_draws(_ranged),
+    "incremental_fetch": _on_draws(_incremental),
+    "nested_tables": _on_draws(_nested),
+    "ranged_upsert": _on_draws(_ranged_upsert),
+    "sql_files": _on_draws(_sql_files),
+    "recommendation_files": _on_both(_recommendation_files),
     "metric_matrix": _on_draws(cache.metric_matrix),
     "score_matrix": _on_draws(cache.score_matrix),
     "analysis_lookup": _on_draws(_analysis_lookup),

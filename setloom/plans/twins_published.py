@@ -43,7 +43,28 @@ q1 AS (SELECT q.*, (greatest(0, 100 - 5 * greatest(60 - s, s - 140, 0)) + greate
   WHERE NOT (p = 4 OR o IN (0, 5) OR g IN (0, 5) OR s NOT BETWEEN 60 AND 140 OR w NOT BETWEEN 10 AND 40 OR coalesce(d.front = q.front, false))),
 q2 AS (SELECT *, row_number() OVER (ORDER BY quality DESC, target_issue) AS r FROM q1)"""
 
+_PAGES = f"WITH {DRAWS}, pages AS (SELECT (issue_num % 90000 + 10000)::VARCHAR AS issue, draw_date::VARCHAR AS date, {_TEXT.format('front')} AS front, {_TEXT.format('back')} AS back FROM draws)"
+# Documents of a publication: the lists and objects as JSON texts.
+_LIST = "'[' || array_to_string({}, ',') || ']'"
+_WORDS = """'[' || array_to_string(['"' || x || '"' for x in [CASE WHEN s BETWEEN 60 AND 140 THEN 'sum ' || s END, CASE WHEN w BETWEEN 10 AND 40 THEN 'span ' || w END, CASE WHEN o IN (2, 3) THEN 'odd to even ' || o || ':' || (5 - o) END,
+  CASE WHEN g IN (2, 3) THEN 'big to small ' || g || ':' || (5 - g) END, CASE WHEN z = 3 THEN 'thirds 3' END, CASE WHEN p <= 2 THEN 'pairs ' || p END] if x IS NOT NULL], ',') || ']'"""
+_DETAILS = """'{"sum_score":' || greatest(0, 100 - 5 * greatest(60 - s, s - 140, 0)) || ',"span_score":' || greatest(0, 100 - 5 * greatest(10 - w, w - 40, 0)) || ',"odd_even_score":' || CASE WHEN o IN (2, 3) THEN 100 WHEN o IN (1, 4) THEN 60 ELSE 20 END
+  || ',"big_small_score":' || CASE WHEN g IN (2, 3) THEN 100 WHEN g IN (1, 4) THEN 60 ELSE 20 END || ',"zone_score":' || (z * 100 // 3) || ',"pairs_score":' || CASE WHEN p <= 2 THEN 100 ELSE 40 END || '}'"""
+_DOCUMENTS = f"""{_QUALITY},
+combos AS (SELECT r, '{{"front":' || {_LIST.format('front')} || ',"back":' || {_LIST.format('back')} || ',"score":' || {_r('quality')} || ',"reasons":' || {_WORDS} AS head, {_DETAILS} AS details FROM q2 WHERE r <= 3),
+parts AS (SELECT (SELECT head || ',"score_details":' || details || '}}' FROM combos WHERE r = 1) AS main, (SELECT '[' || string_agg(head || '}}', ',' ORDER BY r) || ']' FROM combos WHERE r > 1) AS backup,
+  (SELECT '"filtered_count":' || count(*) || ',' FROM q1) AS n, (SELECT {_r('avg(quality)')} FROM q1) AS mean, (SELECT {_r('max(quality)')} FROM q1) AS most,
+  ',"rules_applied":["five_consecutive","all_odd","all_even","all_big","all_small","extreme_sum","extreme_span","duplicate_previous"]' AS rules)"""
+
 PUBLISHED = {
+    "ranged_fetch": f"{_PAGES} SELECT * FROM pages WHERE issue::BIGINT BETWEEN 10750 AND 70125",
+    "incremental_fetch": f"{_PAGES}, m AS (SELECT coalesce(max(issue::BIGINT), 0) AS m FROM pages WHERE issue::BIGINT <= 11000) SELECT pages.* FROM pages, m WHERE issue::BIGINT > m AND issue::BIGINT <= (m // 1000 + 1) * 1000 + 365",
+    "nested_tables": f"{_PAGES} SELECT 'tablelist' AS name, 1::BIGINT AS depth, 15::BIGINT AS n_cells, issue AS first FROM pages UNION ALL SELECT '', 0, 1, '' FROM (SELECT DISTINCT issue::BIGINT // 500 FROM pages)",
+    "ranged_upsert": f"WITH {DRAWS} SELECT issue_num, {_TEXT.format('front')} AS front, CASE WHEN pos >= total - total // 5 THEN 'new' WHEN pos % 3 <> 0 THEN 'stored' ELSE 'late' END AS source FROM draws",
+    "sql_files": f"""WITH {DRAWS} SELECT 'batch_' || (pos // 500 + 1) || '.sql' AS name, '-- batch ' || (pos // 500 + 1) || ': ' || count(*) || ' rows' || chr(10) || string_agg('INSERT OR IGNORE INTO draws (issue, issue_num, date, front1, front2, front3, front4, front5) VALUES (''' || issue_num || ''', ' || issue_num || ', ''' || draw_date || ''', '
+        || array_to_string(front, ', ') || ');' || chr(10), '' ORDER BY pos) AS document FROM draws GROUP BY pos // 500""",
+    "recommendation_files": f"""WITH {DRAWS}, {_DOCUMENTS} SELECT 'recommendation_new.json' AS name, '{{"issue":"next","version":"1.0","mode":"assistant","main":' || main || ',"backup":' || backup || ',"stats":{{' || n || '"avg_quality_score":' || mean || ',"max_quality_score":' || most || rules || '}}}}' AS document FROM parts
+        UNION ALL SELECT 'response.json', '{{"status":"success","data":{{"main":' || main || ',"backup":' || backup || ',"stats":{{' || n || '"quality_score":' || mean || rules || '}},"metadata":{{"mode":"assistant","version":"v2","engine_version":"1.0"}}}}}}' FROM parts""",
     "metric_matrix": f"WITH {_MATRIX} SELECT * FROM matrix",
     "score_matrix": f"WITH {_SCORES} SELECT * FROM kept",
     "analysis_lookup": f"WITH {_MATRIX} SELECT metric, version, true AS is_json, payload FROM matrix WHERE period = 100 AND kind = 'front' UNION ALL SELECT 'other', 'v1', json_valid('{{not JSON'), '{{not JSON'",

@@ -91,7 +91,7 @@ def write_documents(rows: DataFrame, path: str) -> None:
 
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """Rows (name, document) of the files in a folder."""
+    """Rows (name, document) of the files in a folder; empty files have no row."""
     rows = spark.read.text(path, wholetext=True)
     return rows.select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("name"), F.col("value").alias("document"))
 

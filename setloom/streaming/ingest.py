@@ -20,11 +20,19 @@ def ingest(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-        if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
-            # Which stored issues are read is found out while it runs, from the batch's own (dynamic filters), so the batch is evaluated once.
-            stored = spark.read.parquet(path).select("issue_num")
-            batch = batch.join(stored, "issue_num", "left_anti")
-        batch.dropDuplicates(["issue_num"]).write.mode("append").parquet(path)
+        rows = batch.persist()  # for its bounds and for what is written
+        try:
+            fresh = rows
+            if at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+                low, high = rows.agg(F.min("issue_num"), F.max("issue_num")).first()
+                if low is None:
+                    return
+                # Only stored draws among the batch's issues are read: the bounds reach the scan.
+                stored = spark.read.parquet(path).filter(F.col("issue_num").between(low, high)).select("issue_num")
+                fresh = rows.join(stored, "issue_num", "left_anti")
+            fresh.dropDuplicates(["issue_num"]).write.mode("append").parquet(path)
+        finally:
+            rows.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
