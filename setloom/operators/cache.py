@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import percent
 from ..model import PERIODS, SEVEN_MODELS
+from ..registries import METRICS, metric
 from ..tables import Tables
 from .descriptive import _average_run, _by_rule, seven_scores
 from .spans import number_profiles
@@ -24,30 +25,56 @@ ANALYSIS_ROWS = "metric string, version string, payload string, period long, kin
 SCORE_ROWS = "num long, total long, parts string, tag string, model_type string, weight_version string, period long, kind string"
 
 
-def metric_matrix(draws: DataFrame, values: Sequence[int] = PERIODS, version: str = "v1") -> DataFrame:
-    """Rows (period, kind, metric, version, payload): six metrics as JSON for each window and set, from one profile of all numbers."""
-    rows = number_profiles(draws, values).withColumns({"omit": F.col("current"), "avg": _average_run(1)})
-    odd, small = F.col("num") % 2 == 1, F.col("num") <= _by_rule(lambda r: F.lit(r.small_to))
+def _share(part: Column) -> Column:
+    return percent(F.sum(F.when(part, F.col("count")).otherwise(0)), F.sum("count"), 50.0)
+
+
+def _listed(*fields: str, first: tuple[Column, ...] = ()) -> Column:
+    ordered = F.sort_array(F.collect_list(F.struct(*first, *fields)))
+    return F.to_json(F.transform(ordered, lambda x: F.struct(*[x[f].alias(f) for f in fields])))
+
+
+@metric("frequency")
+def _frequency() -> Column:
+    return _listed("num", "count")
+
+
+@metric("hot")
+def _hot() -> Column:
+    return _listed("num", "count", "omit", first=((-F.col("count")).alias("least"),))
+
+
+@metric("missing")
+def _missing() -> Column:
+    return _listed("num", "cur", "max", "avg")
 
-    def share(part: Column) -> Column:
-        return percent(F.sum(F.when(part, F.col("count")).otherwise(0)), F.sum("count"), 50.0)
 
-    def listed(*fields: str, first: tuple[Column, ...] = ()) -> Column:
-        ordered = F.sort_array(F.collect_list(F.struct(*first, *fields)))
-        return F.to_json(F.transform(ordered, lambda x: F.struct(*[x[f].alias(f) for f in fields])))
+@metric("oddEven")
+def _odd_even() -> Column:
+    odd = F.col("num") % 2 == 1
+    return F.to_json(F.struct(_share(odd).alias("odd"), _share(~odd).alias("even")))
 
+
+@metric("bigSmall")
+def _big_small() -> Column:
+    small = F.col("num") <= _by_rule(lambda r: F.lit(r.small_to))
+    return F.to_json(F.struct(_share(small).alias("small"), _share(~small).alias("big")))
+
+
+@metric("consec")
+def _consec() -> Column:
     entries = F.sort_array(F.collect_list(F.struct("num", "near")))
-    metrics = {
-        "frequency": listed("num", "count"),
-        "hot": listed("num", "count", "omit", first=((-F.col("count")).alias("least"),)),
-        "missing": listed("num", "cur", "max", "avg"),
-        "oddEven": F.to_json(F.struct(share(odd).alias("odd"), share(~odd).alias("even"))),
-        "bigSmall": F.to_json(F.struct(share(small).alias("small"), share(~small).alias("big"))),
-        "consec": F.to_json(F.map_from_entries(F.transform(entries, lambda x: F.struct(x["num"].cast("string"), x["near"])))),
-    }
-    rows = rows.withColumns({"cur": F.col("current"), "max": F.col("longest")})
-    wide = rows.groupBy("period", "kind").agg(*[c.alias(m) for m, c in metrics.items()])
-    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).alias("payload")) for m in metrics])).alias("m")
+    return F.to_json(F.map_from_entries(F.transform(entries, lambda x: F.struct(x["num"].cast("string"), x["near"]))))
+
+
+def metric_matrix(draws: DataFrame, values: Sequence[int] = PERIODS, version: str = "v1") -> DataFrame:
+    """Rows (period, kind, metric, version, payload): the registered metrics as JSON for each window and set, from one profile of all numbers.
+
+    A metric is an aggregate over the rows of a window and set: num, n, count, near, omit (and cur), max, avg, runs, last_issue.
+    """
+    rows = number_profiles(draws, values).withColumns({"omit": F.col("current"), "cur": F.col("current"), "max": F.col("longest"), "avg": _average_run(1)})
+    wide = rows.groupBy("period", "kind").agg(*[made().alias(name) for name, made in METRICS.items()])
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"`{m}`").alias("payload")) for m in METRICS])).alias("m")
     return wide.select("period", "kind", each).select("period", "kind", "m.metric", F.lit(version).alias("version"), "m.payload")
 
 

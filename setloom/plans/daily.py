@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..model import fusion_config, load_settings, search_config
 from ..operators import cache, descriptive, evaluate, picks, publish, scoring, store
 from ..operators.frames import positioned
+from ..registries import STRATEGY_PICKS, strategy
 
 
 @dataclass
@@ -33,18 +34,49 @@ def _analyse(run: Run) -> DataFrame:
     return matrix
 
 
+@dataclass
+class Inputs:
+    """What strategies choose from: draws, settings, and the lists that several of them use."""
+
+    draws: DataFrame
+    settings: dict[str, Any]
+    n: int
+    seed: int
+
+    @property
+    def weights(self) -> DataFrame:
+        return picks.balanced_weights(descriptive.frequency(self.draws), descriptive.frequency(self.draws, 50))
+
+    def by_temperature(self, n_hot: int, n_cold: int, balanced: bool) -> DataFrame:
+        return picks.temperature_picks(self.weights, descriptive.hot(self.draws), descriptive.cold_ties(self.draws), self.n, self.seed, n_hot, n_cold, balanced)
+
+
+@strategy("A")
+def _balanced(given: Inputs) -> DataFrame:
+    return given.by_temperature(2, 2, True)
+
+
+@strategy("B")
+def _hot_and_cold(given: Inputs) -> DataFrame:
+    return given.by_temperature(3, 2, False)
+
+
+@strategy("C")
+def _random(given: Inputs) -> DataFrame:
+    return picks.random_picks(given.draws.sparkSession, given.n, given.seed)
+
+
+@strategy("D")
+def _searched(given: Inputs) -> DataFrame:
+    found = scoring.search(given.draws, None, search_config(given.settings))
+    return found.select(F.lit(0).cast("long").alias("attempt"), "front", "back", F.col("total").alias("score_total"))
+
+
 def _recommend(run: Run) -> DataFrame:
-    draws, own = run.made["draws"], run.settings.get("recommend") or {}
-    n, seed = int(own.get("combos_per_strategy", 1)), int(own.get("seed") or 20260816)
-    weights = picks.balanced_weights(descriptive.frequency(draws), descriptive.frequency(draws, 50))
-    hot, cold = descriptive.hot(draws), descriptive.cold_ties(draws)
-    found = scoring.search(draws, None, search_config(run.settings))
-    rows = picks.all_strategies(
-        A=picks.temperature_picks(weights, hot, cold, n, seed, 2, 2, True),
-        B=picks.temperature_picks(weights, hot, cold, n, seed, 3, 2, False),
-        C=picks.random_picks(run.spark, n, seed),
-        D=found.select(F.lit(0).cast("long").alias("attempt"), "front", "back", F.col("total").alias("score_total")),
-    )
+    """The picks of all registered strategies."""
+    own = run.settings.get("recommend") or {}
+    given = Inputs(run.made["draws"], run.settings, int(own.get("combos_per_strategy", 1)), int(own.get("seed") or 20260816))
+    rows = picks.all_strategies(**{name: made(given) for name, made in STRATEGY_PICKS.items()})
     store.write_if_changed(rows, f"{run.out_dir}/picks")
     return rows
 

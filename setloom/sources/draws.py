@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import BACK, FRONT, GroupRule
+from .pages import fetch_new, fetch_range
 
 DRAW_DOCUMENT = "updated_at string, source string, count int, issues array<struct<issue:string,date:string,front:array<int>,back:array<int>>>"
 DRAWS = "issue string, date string, front array<int>, back array<int>"
@@ -53,17 +54,20 @@ def chosen_table(html: Column, table_id: str = "tablelist", header: str = "期
 
 
 def read_pages(spark: SparkSession, path: str) -> DataFrame:
-    """Draws in saved result pages, each page whole."""
-    pages = spark.read.text(path, wholetext=True).select(chosen_table(F.col("value")).alias("html"))
-    return draws_from_cells(scan_html_rows(pages.filter(F.col("html").isNotNull())))
+    """Draws in saved result pages, as they stand in them."""
+    return fetch_range(spark, path, 0, 99_999).drop("issue_num")
+
+
+def _newest_first(rows: DataFrame) -> DataFrame:
+    return rows.dropDuplicates(["issue"]).orderBy(F.desc("issue_num")).drop("issue_num")
 
 
 def ranged_draws(spark: SparkSession, path: str, start: int, end: int) -> DataFrame:
-    """Draws of saved pages from issue `start` to `end`, newest first; ValueError where there is none."""
-    rows = read_pages(spark, path).filter(F.col("issue").cast("long").between(start, end)).dropDuplicates(["issue"])
+    """Draws of saved pages from issue `start` to `end`, newest first; ValueError where there is none. Pages of other ranges aren't read."""
+    rows = fetch_range(spark, path, start, end)
     if rows.isEmpty():
         raise ValueError(f"no draws from {start} to {end} in {path}")
-    return rows.orderBy(F.desc(F.col("issue").cast("long")))
+    return _newest_first(rows)
 
 
 def recent_draws(spark: SparkSession, path: str, year: int, n: int) -> DataFrame:
@@ -73,9 +77,7 @@ def recent_draws(spark: SparkSession, path: str, year: int, n: int) -> DataFrame
 
 def new_draws(spark: SparkSession, path: str, stored: DataFrame, column: str = "issue_num") -> DataFrame:
     """Draws of saved pages behind the latest stored one, up to the end of its next year; none is no error."""
-    mark = stored.agg(F.coalesce(F.max(column), F.lit(0)).alias("m")).first()["m"]  # one number
-    rows = read_pages(spark, path).filter(F.col("issue").cast("long").between(mark + 1, (mark // 1000 + 1) * 1000 + 365))
-    return rows.dropDuplicates(["issue"]).orderBy(F.desc(F.col("issue").cast("long")))
+    return _newest_first(fetch_new(spark, path, stored, column))
 
 
 def scan_html_rows(pages: DataFrame, html_col: str = "html", keys: tuple[str, ...] = ()) -> DataFrame:
