@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import two_digits
-from ..operators import cache, descriptive, evaluate, publish
+from ..operators import cache, descriptive, evaluate, publish, userstore
 from ..operators.frames import positioned
 from ..operators.ranged import RangedTable
 from ..operators.store import latest_group
@@ -188,7 +188,26 @@ def _recommendation_files(recs: DataFrame, draws: DataFrame) -> DataFrame:
     return documents.read_documents(spark, path)
 
 
+def _user_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A store of all customers from documents of several kinds, with all orders as history and as plans."""
+    key = F.col("c_custkey")
+    texts = ["damaged {", '{"favorites":[{"front":[1,2,3,4,5],"back":[1,2]}]}', '{"version":1,"preferences":{"theme":"dark","extra":"x"}}', '{"version":1,"preferences":{"saveHistory":"false"},"plans":[{"id":"p1","name":"old"}]}']
+    documents_of = source.table(spark, sf_dir, "customer").select(key.alias("user"), F.get(F.array(*[F.lit(t) for t in texts]), (key % 5).cast("int")).alias("payload"))
+    orders = source.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("user"), F.col("o_orderkey").alias("id"), F.col("o_orderdate").cast("date").cast("string").alias("at"))
+    plans = orders.select("user", F.concat(F.lit("p"), (F.col("id") % 3).cast("string")).alias("id"), F.concat(F.lit("plan "), F.col("id").cast("string")).alias("name"), F.col("id").alias("pos"))
+    held = userstore.with_plans(userstore.with_history(userstore.opened(documents_of), orders), plans)
+    # Written as documents and opened again.
+    held = userstore.opened(userstore.closed(held))
+    size = {f"n_{c}": F.size(c).cast("long") for c in ("favorites", "history", "plans")}
+    own = {c: userstore.preference(c) for c in ("theme", "saveHistory", "extra")}
+    return held.select(
+        "user", F.col("version").cast("long").alias("version"), *[c.alias(n) for n, c in size.items()], F.get("history", F.lit(0))["id"].alias("newest"), F.try_element_at("history", F.lit(-1))["id"].alias("oldest"),
+        F.array_join(F.transform("plans", lambda p: F.concat_ws("=", p["id"], p["name"])), " ").alias("plan_names"), *[c.alias(n) for n, c in own.items()],
+    )
+
+
 PUBLISHED: dict[str, Query] = {
+    "user_store": _user_store,
     "ranged_fetch": _on_draws(_ranged),
     "incremental_fetch": _on_draws(_incremental),
     "nested_tables": _on_draws(_nested),

@@ -57,6 +57,14 @@ parts AS (SELECT (SELECT head || ',"score_details":' || details || '}}' FROM com
   ',"rules_applied":["five_consecutive","all_odd","all_even","all_big","all_small","extreme_sum","extreme_span","duplicate_previous"]' AS rules)"""
 
 PUBLISHED = {
+    "user_store": """WITH c AS (SELECT c_custkey AS u, c_custkey % 5 AS m FROM customer),
+        h AS (SELECT o_custkey AS u, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate::DATE DESC, o_orderkey DESC) AS p FROM orders),
+        hist AS (SELECT u, count(*) AS n, min_by(id, p) AS newest, max_by(id, p) AS oldest FROM h WHERE p <= 100 GROUP BY u),
+        pl AS (SELECT o_custkey AS u, 'p' || o_orderkey % 3 AS id, 'plan ' || max(o_orderkey) AS name FROM orders GROUP BY ALL),
+        every AS (SELECT * FROM pl UNION ALL SELECT u, 'p1', 'old' FROM c WHERE m = 3 AND u NOT IN (SELECT u FROM pl WHERE id = 'p1')),
+        plans AS (SELECT u, count(*) AS n, string_agg(id || '=' || name, ' ' ORDER BY id) AS names FROM every GROUP BY u)
+        SELECT c.u AS user, 1::BIGINT AS version, (m = 1)::BIGINT AS n_favorites, CASE WHEN m = 3 THEN 0 ELSE coalesce(hist.n, 0) END AS n_history, coalesce(plans.n, 0) AS n_plans, CASE WHEN m <> 3 THEN newest END AS newest, CASE WHEN m <> 3 THEN oldest END AS oldest,
+        coalesce(names, '') AS plan_names, CASE WHEN m = 2 THEN 'dark' ELSE 'light' END AS theme, CASE WHEN m = 3 THEN 'false' ELSE 'true' END AS "saveHistory", CASE WHEN m = 2 THEN 'x' END AS extra FROM c LEFT JOIN hist USING (u) LEFT JOIN plans USING (u)""",
     "ranged_fetch": f"{_PAGES} SELECT * FROM pages WHERE issue::BIGINT BETWEEN 10750 AND 70125",
     "incremental_fetch": f"{_PAGES}, m AS (SELECT coalesce(max(issue::BIGINT), 0) AS m FROM pages WHERE issue::BIGINT <= 11000) SELECT pages.* FROM pages, m WHERE issue::BIGINT > m AND issue::BIGINT <= (m // 1000 + 1) * 1000 + 365",
     "nested_tables": f"{_PAGES} SELECT 'tablelist' AS name, 1::BIGINT AS depth, 15::BIGINT AS n_cells, issue AS first FROM pages UNION ALL SELECT '', 0, 1, '' FROM (SELECT DISTINCT issue::BIGINT // 500 FROM pages)",
