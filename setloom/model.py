@@ -21,6 +21,7 @@ class GroupRule:
         return self.high - self.low + 1
 
 
+# Sets, windows, weights and scores (fixed values).
 FRONT = GroupRule("front", 1, 35, 5, 5, 17)
 BACK = GroupRule("back", 1, 12, 2, 2, 6)
 RULES = (FRONT, BACK)
@@ -28,7 +29,6 @@ RULES = (FRONT, BACK)
 #: Windows of the last so many draws; 0 is the whole history.
 PERIODS = (50, 100, 300, 1000, 0)
 
-# Weights and scores (fixed values).
 NUMBER_WEIGHTS = {"heat": 0.30, "missing": 0.30, "trend": 0.25, "inherit": 0.15}
 COMBO_WEIGHTS = {"inherit_match": 0.2, "odd_even_match": 0.2, "big_small_match": 0.2, "zone_match": 0.2, "sum_span_match": 0.2}
 INHERIT_CAP = 0.15
@@ -57,7 +57,7 @@ GRID = {
 
 @dataclass(frozen=True)
 class SearchConfig:
-    """Settings of the combination search."""
+    """Settings of the combination search; the defaults are fixed values."""
 
     number: dict[str, float] = field(default_factory=lambda: dict(NUMBER_WEIGHTS))
     single: float = 0.7
@@ -104,6 +104,8 @@ def fusion_config(settings: dict) -> FusionConfig:
 
 @dataclass(frozen=True)
 class FusionConfig:
+    """Settings of the fusion; the defaults are fixed values."""
+
     weights: dict[str, float] = field(default_factory=lambda: dict(FUSION_WEIGHTS))
     min_sample: int = 5
     full_sample: int = 10

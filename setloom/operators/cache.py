@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -13,7 +14,7 @@ from ..registries import METRICS, metric
 from ..tables import Tables
 from .descriptive import _average_run, _by_rule, seven_scores
 from .spans import number_profiles
-from .store import check_parameters, upsert
+from .store import check_parameters, duplicates, upsert
 
 ANALYSIS_KEY = ("period", "kind", "metric", "version")
 SCORE_KEY = ("period", "kind", "num", "model_type", "weight_version")
@@ -136,6 +137,21 @@ class Cache:
             write_cache(rows, f"{self.path}/{name}")
             tables.drop(rows)
 
+    def rerun(self, draws: DataFrame, values: Sequence[int] = CACHED, models: Sequence[str] = tuple(SEVEN_MODELS)) -> DataFrame:
+        """Refresh twice and tell of each table: rows after the first and the second run, keys that stand twice, rows that differ from computed ones."""
+        self.refresh(draws, values, models)
+        first = {"analysis": self.analysis.count(), "scores": self.scores.count()}
+        self.refresh(draws, values, models)
+        told = []
+        for name, held, made, keys in (("analysis", self.analysis, metric_matrix(draws, values), ANALYSIS_KEY), ("scores", self.scores, score_matrix(draws, values, models), SCORE_KEY)):
+            columns = sorted(made.columns)
+            mine, computed = held.select(columns), made.select(columns)
+            differ = mine.exceptAll(computed).unionByName(computed.exceptAll(mine))
+            parts = [held.agg(F.count("*").alias("rows_again")), duplicates(held, keys).agg(F.count("*").alias("repeated_keys")), differ.agg(F.count("*").alias("differing_rows"))]
+            one = reduce(lambda a, b: a.crossJoin(F.broadcast(b)), parts)  # of one row each
+            told.append(one.select(F.lit(name).alias("name"), F.lit(first[name]).cast("long").alias("rows_first"), "*"))
+        return reduce(DataFrame.unionByName, told)
+
     def lookup(self, period: str | int, kind: str, metric: str | None = None) -> DataFrame:
         return analysis_lookup(self.analysis, period, kind, metric)
 

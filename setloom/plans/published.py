@@ -207,6 +207,7 @@ def _user_store(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 PUBLISHED: dict[str, Query] = {
+    "cache_rerun": _on_draws(lambda d: cache.Cache(d.sparkSession, new_path(d.sparkSession, "cache")).rerun(d, [50, 100])),
     "user_store": _user_store,
     "ranged_fetch": _on_draws(_ranged),
     "incremental_fetch": _on_draws(_incremental),

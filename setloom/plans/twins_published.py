@@ -57,6 +57,8 @@ parts AS (SELECT (SELECT head || ',"score_details":' || details || '}}' FROM com
   ',"rules_applied":["five_consecutive","all_odd","all_even","all_big","all_small","extreme_sum","extreme_span","duplicate_previous"]' AS rules)"""
 
 PUBLISHED = {
+    "cache_rerun": f"""WITH a AS (WITH {_MATRIX} SELECT count(*) AS n FROM matrix WHERE period IN (50, 100)), b AS (WITH {_SCORES} SELECT count(*) AS n FROM kept WHERE period IN (50, 100))
+        SELECT 'analysis' AS name, n AS rows_first, n AS rows_again, 0::BIGINT AS repeated_keys, 0::BIGINT AS differing_rows FROM a UNION ALL SELECT 'scores', n, n, 0, 0 FROM b""",
     "user_store": """WITH c AS (SELECT c_custkey AS u, c_custkey % 5 AS m FROM customer),
         h AS (SELECT o_custkey AS u, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate::DATE DESC, o_orderkey DESC) AS p FROM orders),
         hist AS (SELECT u, count(*) AS n, min_by(id, p) AS newest, max_by(id, p) AS oldest FROM h WHERE p <= 100 GROUP BY u),

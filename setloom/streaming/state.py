@@ -20,6 +20,7 @@ from ..model import RULES
 from ..operators import spans
 from ..operators.cache import read_cache
 
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 _COUNTS = ("n", "count", "near", "lead", "tail", "longest", "runs", "last_issue")
 PROFILES = "kind string, num long, " + ", ".join(f"{c} long" for c in _COUNTS) + ", span long"
@@ -71,14 +72,19 @@ def keep_profiles(stream: DataFrame, path: str, checkpoint: str, width: int = 10
     A batch that is run again after a failure writes the same folders again.
     """
     spark = stream.sparkSession
-    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
     rows = stream.select(F.floor(F.col("issue_num") / width).cast("long").alias("span"), "issue_num", "front", "back")
     found = rows.groupBy("span").transformWithStateInPandas(SpanProfiles(), PROFILES, "Update", "None")
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.repartition("span").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("span").parquet(path)
 
-    return found.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    # A query keeps the settings of its start; others of the session keep their own.
+    before = spark.conf.get(_PROVIDER)
+    spark.conf.set(_PROVIDER, ROCKS)
+    try:
+        return found.writeStream.outputMode("update").foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    finally:
+        spark.conf.set(_PROVIDER, before)
 
 
 def running_profiles(spark: SparkSession, path: str) -> DataFrame:
