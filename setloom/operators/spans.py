@@ -53,18 +53,31 @@ def _segmented(draws: DataFrame, values: Sequence[int]) -> DataFrame:
     return rows.withColumn("seg", F.size(F.filter("starts", lambda s: s <= F.col("issue_num")))).filter("seg > 0").drop("starts")
 
 
+#: Numbers of the k-th set are told apart by an offset of k times this; a number beside a neighbour has _NEAR on top. 0 stands for the draw.
+_OFFSET, _NEAR = 1_000, 1_000_000
+
+
 def _cells(near: bool) -> Column:
-    """An entry for each number of a draw, and one for the draw itself."""
+    """A code for each number of a draw, and one for the draw itself: plain numbers are what is cheap to explode, group and sort."""
 
-    def of(rule: GroupRule) -> Column:
+    def of(place: int, rule: GroupRule) -> Column:
         def cell(x: Column) -> Column:
-            beside = (F.array_contains(rule.kind, x - 1) | F.array_contains(rule.kind, x + 1)) if near else F.lit(False)
-            return F.struct(F.lit(rule.kind).alias("kind"), x.cast("long").alias("num"), F.coalesce(beside, F.lit(False)).alias("near"))
+            beside = F.when(F.array_contains(rule.kind, x - 1) | F.array_contains(rule.kind, x + 1), _NEAR).otherwise(0) if near else F.lit(0)
+            return (x + place * _OFFSET + beside).cast("long")
+
+        numbers = F.transform(rule.kind, cell) if near or place else F.col(rule.kind).cast("array<long>")
+        return F.coalesce(numbers, F.array().cast("array<long>"))
+
+    return F.concat(*[of(k, r) for k, r in enumerate(RULES)], F.array(F.lit(0).cast("long")))
 
-        return F.coalesce(F.transform(rule.kind, cell), F.array().cast("array<struct<kind:string,num:bigint,near:boolean>>"))
 
-    whole = F.array(F.struct(F.lit(_ALL).alias("kind"), F.lit(0).cast("long").alias("num"), F.lit(False).alias("near")))
-    return F.concat(*[of(r) for r in RULES], whole)
+def _decoded(code: str | Column = "code") -> tuple[Column, Column]:
+    """Kind and number of a code without _NEAR."""
+    c = F.col(code) if isinstance(code, str) else code
+    kind = F.when(c == 0, _ALL)
+    for place, rule in reversed(list(enumerate(RULES))):
+        kind = kind.when(c > place * _OFFSET, rule.kind)
+    return kind.alias("kind"), (c % _OFFSET).alias("num")
 
 
 def _windows_of(rows: DataFrame, values: Sequence[int]) -> DataFrame:
@@ -90,14 +103,14 @@ def _dense(rows: DataFrame, by: Sequence[str], value: Column) -> DataFrame:
 
 def counts(draws: DataFrame, values: Sequence[int] = PERIODS) -> DataFrame:
     """Rows (period, n, kind, num, count) of all numbers in each window: one scan, one small aggregate; empty without draws."""
-    cells = _segmented(draws, values).select("seg", F.explode(_cells(False)).alias("c")).groupBy("seg", "c.kind", "c.num").agg(F.count("*").alias("count"))
+    cells = _segmented(draws, values).select("seg", F.explode(_cells(False)).alias("code")).groupBy("seg", "code").agg(F.count("*").alias("count")).select("seg", "count", *_decoded())
     seen = _windows_of(cells, values).groupBy("period", "kind", "num").agg(F.sum("count").alias("count"))
     return _dense(seen, ["period"], F.col("count")).select("period", F.col("whole").alias("n"), "kind", "num", F.coalesce("own", F.lit(0)).cast("long").alias("count"))
 
 
 def absences(draws: DataFrame) -> DataFrame:
     """Rows (kind, num, last_issue, after): draws behind each number's last appearance, all draws if it has none; two scans, nothing is sorted."""
-    last = draws.select("issue_num", F.explode(_cells(False)).alias("c")).groupBy("c.kind", "c.num").agg(F.max("issue_num").alias("last"))
+    last = draws.select("issue_num", F.explode(_cells(False)).alias("code")).groupBy("code").agg(F.max("issue_num").alias("last")).select("last", *_decoded())
     # One row: the last issue of each number, and the different ones in ascending order; a draw lies behind the first `place` of them.
     entry = F.struct(_key(F.col("kind"), F.col("num")).alias("k"), F.col("last").alias("v"))
     one = last.agg(F.map_from_entries(F.collect_list(entry)).alias("lasts"), F.array_sort(F.collect_set("last")).alias("order"))
@@ -138,14 +151,16 @@ def profiles(draws: DataFrame, values: Sequence[int] = (0,)) -> DataFrame:
     rows = _segmented(draws.select("issue_num", *[r.kind for r in RULES]), values)
     rows = rows.repartitionByRange("issue_num").sortWithinPartitions("issue_num").withColumn("__id", F.monotonically_increasing_id())
     span, at = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
-    cells = rows.select(span.alias("span"), "seg", at.alias("at"), "issue_num", F.explode(_cells(True)).alias("c")).select("span", "seg", "at", "issue_num", "c.*")
-    keys = ["seg", "span", "kind", "num"]
+    cells = rows.select(span.alias("span"), "seg", at.alias("at"), "issue_num", F.explode(_cells(True)).alias("cell"))
+    cells = cells.withColumns({"code": F.col("cell") % _NEAR, "near": F.col("cell") >= _NEAR})
+    keys = ["seg", "span", "code"]
     run = F.col("at") - F.lag("at").over(Window.partitionBy(*keys).orderBy("at")) - 1
     seen = cells.withColumn("run", run).groupBy(*keys).agg(
         F.count("*").alias("count"), F.count_if("near").alias("near"), F.min("at").alias("first"), F.max("at").alias("last"),
         F.coalesce(F.max("run"), F.lit(0)).alias("longest"), F.count_if(F.col("run") > 0).alias("runs"), F.max("issue_num").alias("last_issue"),
     )
     # From here on there is a row for each range and number.
+    seen, keys = seen.select("*", *_decoded()), ["seg", "span", "kind", "num"]
     every = _dense(seen, ["seg", "span"], F.struct("count", "near", "first", "last", "longest", "runs", "last_issue"))
     n, begin, unseen = F.col("whole.count"), F.col("whole.first"), F.col("own").isNull()
     p = {"n": n, "count": F.coalesce("own.count", F.lit(0)), "near": F.coalesce("own.near", F.lit(0))}

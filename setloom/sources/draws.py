@@ -114,7 +114,7 @@ def normalise_draws(draws: DataFrame) -> DataFrame:
 def _progression(key: Column, factor: int, c: Column, start_div: int, step_div: int, rule: GroupRule) -> Column:
     begin = (key * factor + (F.floor(c / start_div) if start_div > 1 else c)) % rule.size
     step = 1 + (F.floor(c / step_div) + key) % (rule.size - 1)
-    return F.array_sort(F.array(*[(F.lit(1) + (begin + F.lit(k) * step) % rule.size).cast("long") for k in range(rule.picks)]))
+    return F.sort_array(F.array(*[(F.lit(1) + (begin + F.lit(k) * step) % rule.size).cast("long") for k in range(rule.picks)]))
 
 
 def draws(spark: SparkSession, sf_dir: str) -> DataFrame:
