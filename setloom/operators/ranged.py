@@ -6,7 +6,8 @@
 
 A version is complete before CURRENT is switched to it, by one rename, so a crash in between leaves the old one as it was. A range that
 isn't touched keeps its files under their names. Manifests are small: a line for each range. Two writers can't make one
-version: the second finds its manifest there and fails.
+version: the second finds its manifest there and fails. A range that a batch could bring over `most_rows` is cut into several
+by quantiles of its keys, so tasks that merge and sort a range stay of one size as the table grows.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from ..tables import Tables
 from .store import insert_or_ignore, upsert
@@ -27,8 +29,8 @@ _RANGE = "range"
 class RangedTable:
     """Rows with unique keys, of which the first is a number that ranges are cut by."""
 
-    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str]):
-        self.spark, self.path, self.keys = spark, path.rstrip("/"), list(keys)
+    def __init__(self, spark: SparkSession, path: str, keys: Sequence[str], most_rows: int = 1_000_000):
+        self.spark, self.path, self.keys, self.most_rows = spark, path.rstrip("/"), list(keys), most_rows
 
     def _at(self, name: str):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
@@ -59,7 +61,7 @@ class RangedTable:
         return int(found) if found else 0
 
     def manifest(self, version: int | None = None) -> dict:
-        """`bounds`: the first key of every range but the first; `schema`; `ranges`: the folder and rows of each range that has rows."""
+        """`bounds`: the first key of every range but the first; `schema`; `ranges`: folder, rows and digest of each range that has rows."""
         n = self.version if version is None else version
         return json.loads(self._read_text(f"manifests/v{n}.json")) if n else {"bounds": [], "schema": None, "ranges": {}}
 
@@ -67,10 +69,8 @@ class RangedTable:
         """The rows of a version, by default the current one."""
         return self._rows(self.manifest(version))
 
-    def _rows(self, manifest: dict, only: Sequence[int] | None = None) -> DataFrame:
-        from pyspark.sql.types import StructType
-
-        schema = StructType.fromJson(manifest["schema"]) if manifest["schema"] else StructType([])
+    def _rows(self, manifest: dict, only: Sequence[int] | None = None, own: Sequence[StructField] = ()) -> DataFrame:
+        schema = StructType([*(StructType.fromJson(manifest["schema"]).fields if manifest["schema"] else []), *own])
         folders = [f"{self.path}/{r['folder']}" for k, r in manifest["ranges"].items() if only is None or int(k) in only]
         return self.spark.read.schema(schema).parquet(*folders) if folders else self.spark.createDataFrame([], schema)
 
@@ -81,10 +81,13 @@ class RangedTable:
         return self._rows(found, only).filter(F.col(self.keys[0]).between(low, high))
 
     def create(self, rows: DataFrame, ranges: int = 16) -> None:
-        """The first version, or a new one with other ranges, of about as many rows each."""
+        """The first version, or a new one with other ranges, of about as many rows each; more than `ranges` where these would hold over `most_rows`."""
+        ranges = max(ranges, -(-rows.count() // self.most_rows))
+        self._publish(rows, self._cuts(rows, ranges), {}, rows)
+
+    def _cuts(self, rows: DataFrame, ranges: int) -> list[int]:
         share = [k / ranges for k in range(1, ranges)]
-        bounds = sorted(set(rows.approxQuantile(self.keys[0], share, 0.001 / ranges))) if ranges > 1 else []
-        self._publish(rows, [int(b) for b in bounds], {}, rows)
+        return sorted({int(b) for b in rows.approxQuantile(self.keys[0], share, 0.01 / ranges)}) if share else []
 
     def upsert(self, new: DataFrame, order: str) -> list[int]:
         """Last write wins; in a batch the last by `order`, which isn't stored. The ranges that were rewritten."""
@@ -103,25 +106,67 @@ class RangedTable:
         if manifest["schema"] is None:
             raise ValueError(f"no table at {self.path}")
         fresh = tables.stored(new, "batch")  # read for its ranges and for its rows
-        touched = sorted(r[_RANGE] for r in fresh.select(self._range_of(manifest["bounds"]).alias(_RANGE)).distinct().collect())
-        if touched:
-            old = self._rows(manifest, touched)
-            kept = {k: r for k, r in manifest["ranges"].items() if int(k) not in touched}
-            self._publish(merged(old, fresh).select(*old.columns), manifest["bounds"], kept, old)
+        come = {r[_RANGE]: r["count"] for r in fresh.groupBy(self._range_of(manifest["bounds"]).alias(_RANGE)).count().collect()}
+        if come:
+            old = self._rows(manifest, sorted(come))
+            sizes = {k: n + manifest["ranges"].get(str(k), {"rows": 0})["rows"] for k, n in come.items()}
+            keys = old.select(self.keys[0]).unionByName(fresh.select(self.keys[0]))
+            self._replace(manifest, sizes, keys, merged(old, fresh).select(*old.columns), old)
         tables.drop(fresh)
-        return touched
+        return sorted(come)
+
+    def _replace(self, manifest: dict, sizes: dict[int, int], keys: DataFrame, rows: DataFrame, like: DataFrame) -> None:
+        """`rows` in place of those of the ranges in `sizes`, which may come to hold so many; those that may be too large are cut."""
+        bounds = manifest["bounds"]
+        full = {k: n for k, n in sizes.items() if n > self.most_rows}
+        cut = bounds
+        if full:
+            inside = keys.filter(self._range_of(bounds).isin(*full))
+            cut = sorted({*bounds, *self._cuts(inside, -(-sum(full.values()) // self.most_rows))})
+        # A range that stays begins where it did, so its place among all bounds is known.
+        kept = {str(bisect_right(cut, bounds[int(k) - 1]) if int(k) else 0): r for k, r in manifest["ranges"].items() if int(k) not in sizes}
+        self._publish(rows, cut, kept, like)
+
+    def _laid(self, rows: DataFrame, bounds: Sequence[int]) -> DataFrame:
+        """The rows as they are stored."""
+        return rows.repartition(_RANGE)
+
+    @staticmethod
+    def _digest(columns: Sequence[str]) -> list[Column]:
+        """The number of rows and two sums of hashes, in any order of rows and columns."""
+        hashes = [F.xxhash64(F.lit(seed), *[F.col(c) for c in sorted(columns)]).cast("decimal(38,0)") for seed in (1, 2)]
+        return [F.count("*").alias("rows"), F.concat_ws(":", *[F.sum(h).cast("string") for h in hashes]).alias("digest")]
 
     def _publish(self, rows: DataFrame, bounds: list[int], kept: dict, like: DataFrame) -> None:
         version = self.version + 1
         folder = f"data/v{version}"
-        rows.withColumn(_RANGE, self._range_of(bounds)).repartition(_RANGE).write.mode("overwrite").partitionBy(_RANGE).parquet(f"{self.path}/{folder}")
+        self._laid(rows.withColumn(_RANGE, self._range_of(bounds)), bounds).write.mode("overwrite").partitionBy(_RANGE).parquet(f"{self.path}/{folder}")
         back = self.spark.read.parquet(f"{self.path}/{folder}") if self._has_ranges(folder) else None
-        counts = {r[_RANGE]: r["count"] for r in back.groupBy(_RANGE).count().collect()} if back is not None else {}
-        ranges = kept | {str(k): {"folder": f"{folder}/{_RANGE}={k}", "rows": n} for k, n in counts.items()}
+        told = back.groupBy(_RANGE).agg(*self._digest(like.columns)).collect() if back is not None else []
+        ranges = kept | {str(r[_RANGE]): {"folder": f"{folder}/{_RANGE}={r[_RANGE]}", "rows": r["rows"], "digest": r["digest"]} for r in told}
         found = {"bounds": bounds, "schema": like.schema.jsonValue(), "ranges": dict(sorted(ranges.items(), key=lambda x: int(x[0])))}
         self._write_text(f"manifests/v{version}.json", json.dumps(found), replace=False)
         self._switch(version)
 
+    def sync(self, rows: DataFrame) -> list[int]:
+        """Make the table hold exactly these rows, and tell which ranges were rewritten: those whose digest differs from the stored one.
+
+        Where nothing has changed the rows are read once and nothing is written. Columns other than the stored ones make a new table.
+        """
+        manifest = self.manifest()
+        stored = StructType.fromJson(manifest["schema"]) if manifest["schema"] else StructType([])
+        if {(f.name, f.dataType) for f in stored} != {(f.name, f.dataType) for f in rows.schema}:
+            self.create(rows)
+            return [int(k) for k in self.manifest()["ranges"]]
+        place = self._range_of(manifest["bounds"])
+        found = {r[_RANGE]: (r["rows"], r["digest"]) for r in rows.groupBy(place.alias(_RANGE)).agg(*self._digest(rows.columns)).collect()}
+        held = {int(k): (r["rows"], r.get("digest")) for k, r in manifest["ranges"].items()}
+        touched = sorted(k for k in {*found, *held} if found.get(k) != held.get(k))
+        if touched:
+            fresh = rows.filter(place.isin(*touched)).select(*stored.names)
+            self._replace(manifest, {k: found.get(k, (0,))[0] for k in touched}, fresh.select(self.keys[0]), fresh, fresh)
+        return touched
+
     def _has_ranges(self, folder: str) -> bool:
         return any(s.isDirectory() for s in self._files().listStatus(self._at(folder)))
 

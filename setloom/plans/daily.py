@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..model import fusion_config, load_settings, search_config
 from ..operators import cache, descriptive, evaluate, picks, publish, scoring, store
-from ..operators.frames import positioned
+from ..operators.positions import PositionIndex
 from ..registries import STRATEGY_PICKS, strategy
 
 
@@ -27,7 +27,9 @@ class Run:
 
 
 def _analyse(run: Run) -> DataFrame:
-    run.made["draws"] = positioned(run.made["read"])
+    index = PositionIndex(run.spark, f"{run.out_dir}/positions")
+    index.sync(run.made["read"])
+    run.made["draws"] = index.placed()
     matrix = cache.metric_matrix(run.made["draws"])
     store.write_if_changed(matrix, f"{run.out_dir}/analysis")
     store.write_if_changed(cache.score_matrix(run.made["draws"]), f"{run.out_dir}/scores")

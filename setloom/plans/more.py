@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import next_issue, strategy_group, two_digits
 from ..model import GRID, NUMBER_WEIGHTS, RULES, SearchConfig
 from ..operators import descriptive, evaluate, lenses, picks, scoring, store, walkforward
-from ..operators.frames import positioned, universe
+from ..operators.frames import universe
+from ..operators.positions import kept_positions
 from ..operators.spans import gaps
 from ..sources import draws as source
 
@@ -19,7 +20,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def _draws(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return positioned(source.draws(spark, sf_dir))
+    return kept_positions(source.draws(spark, sf_dir), sf_dir)
 
 
 def _hits(f: Callable[[DataFrame], DataFrame]) -> Query:

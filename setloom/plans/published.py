@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import two_digits
 from ..operators import cache, descriptive, evaluate, publish, userstore
 from ..operators.frames import positioned
+from ..operators.positions import PositionIndex
 from ..operators.ranged import RangedTable
 from ..operators.store import latest_group
 from ..sources import documents, pages
@@ -172,6 +173,24 @@ def _ranged_upsert(draws: DataFrame) -> DataFrame:
     return held.read()
 
 
+def _position_index(draws: DataFrame) -> DataFrame:
+    """An index of two thirds of the draws, to which the newest fifth is added, and which is then brought up to all draws."""
+    spark, rows = draws.sparkSession, positioned(draws)
+    held = PositionIndex(spark, new_path(spark, "positions"), most_rows=20_000)
+    held.create(rows.filter("pos % 3 <> 0").select("issue_num", "front"), 4)
+    held.insert_or_ignore(rows.filter("pos >= total - total div 5").select("issue_num", "front", "pos"), "pos")
+    held.sync(draws.select("issue_num", "front"))
+    return held.placed().select("issue_num", two_digits(F.col("front")).alias("front"), "pos", "total")
+
+
+def _latest_positions(draws: DataFrame) -> DataFrame:
+    """The last hundred draws by an index that lacked every fiftieth when it was made; only its last ranges are read."""
+    held = PositionIndex(draws.sparkSession, new_path(draws.sparkSession, "positions"))
+    held.create(draws.filter("issue_num % 50 <> 0").select("issue_num", "front"))
+    held.sync(draws.select("issue_num", "front"))
+    return held.latest(100).select("issue_num", two_digits(F.col("front")).alias("front"), "pos", "total")
+
+
 def _sql_files(draws: DataFrame) -> DataFrame:
     """All draws as files of SQL batches, read back."""
     spark, path = draws.sparkSession, new_path(draws.sparkSession, "sql")
@@ -213,6 +232,8 @@ PUBLISHED: dict[str, Query] = {
     "incremental_fetch": _on_draws(_incremental),
     "nested_tables": _on_draws(_nested),
     "ranged_upsert": _on_draws(_ranged_upsert),
+    "position_index": _on_draws(_position_index),
+    "latest_positions": _on_draws(_latest_positions),
     "sql_files": _on_draws(_sql_files),
     "recommendation_files": _on_both(_recommendation_files),
     "metric_matrix": _on_draws(cache.metric_matrix),

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import descriptive as d
-from ..operators.frames import positioned
+from ..operators.positions import kept_positions
 from ..sources import draws as source
 from . import twins, twins_more, twins_picks, twins_published
 from .more import MORE
@@ -23,7 +23,7 @@ def _on_draws(f: Callable[[DataFrame], DataFrame]) -> Query:
 
 def _on_placed(f: Callable[[DataFrame], DataFrame]) -> Query:
     """For statistics of neighbouring draws."""
-    return lambda spark, sf_dir: f(positioned(source.draws(spark, sf_dir)))
+    return lambda spark, sf_dir: f(kept_positions(source.draws(spark, sf_dir), sf_dir))
 
 
 def _score_top(draws: DataFrame) -> DataFrame:

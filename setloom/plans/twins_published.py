@@ -71,6 +71,8 @@ PUBLISHED = {
     "incremental_fetch": f"{_PAGES}, m AS (SELECT coalesce(max(issue::BIGINT), 0) AS m FROM pages WHERE issue::BIGINT <= 11000) SELECT pages.* FROM pages, m WHERE issue::BIGINT > m AND issue::BIGINT <= (m // 1000 + 1) * 1000 + 365",
     "nested_tables": f"{_PAGES} SELECT 'tablelist' AS name, 1::BIGINT AS depth, 15::BIGINT AS n_cells, issue AS first FROM pages UNION ALL SELECT '', 0, 1, '' FROM (SELECT DISTINCT issue::BIGINT // 500 FROM pages)",
     "ranged_upsert": f"WITH {DRAWS} SELECT issue_num, {_TEXT.format('front')} AS front, CASE WHEN pos >= total - total // 5 THEN 'new' WHEN pos % 3 <> 0 THEN 'stored' ELSE 'late' END AS source FROM draws",
+    "position_index": f"WITH {DRAWS} SELECT issue_num, {_TEXT.format('front')} AS front, pos, total FROM draws",
+    "latest_positions": f"WITH {DRAWS} SELECT issue_num, {_TEXT.format('front')} AS front, pos, total FROM draws WHERE pos >= total - 100",
     "sql_files": f"""WITH {DRAWS} SELECT 'batch_' || (pos // 500 + 1) || '.sql' AS name, '-- batch ' || (pos // 500 + 1) || ': ' || count(*) || ' rows' || chr(10) || string_agg('INSERT OR IGNORE INTO draws (issue, issue_num, date, front1, front2, front3, front4, front5) VALUES (''' || issue_num || ''', ' || issue_num || ', ''' || draw_date || ''', '
         || array_to_string(front, ', ') || ');' || chr(10), '' ORDER BY pos) AS document FROM draws GROUP BY pos // 500""",
     "recommendation_files": f"""WITH {DRAWS}, {_DOCUMENTS} SELECT 'recommendation_new.json' AS name, '{{"issue":"next","version":"1.0","mode":"assistant","main":' || main || ',"backup":' || backup || ',"stats":{{' || n || '"avg_quality_score":' || mean || ',"max_quality_score":' || most || rules || '}}}}' AS document FROM parts
