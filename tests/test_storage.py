@@ -178,3 +178,37 @@ def test_a_crash_before_the_switch_leaves_the_old_version(spark, tmp_path, monke
     held.vacuum()
     held.upsert(new, "at")
     assert {r["v"] for r in held.lookup(5, 5).collect()} == {"new"}
+
+
+def test_a_span_of_the_stream_is_one_value_of_state(spark):
+    """Draws of a span come and go as one value, not as a call to the store for each; their profiles are those counted one by one."""
+    class Value:
+        calls, held = 0, None
+
+        def exists(self):
+            return self.held is not None
+
+        def get(self):
+            return self.held
+
+        def update(self, value):
+            self.calls, self.held = self.calls + 1, value
+
+    class Handle:
+        def getValueState(self, *_):
+            return value
+
+    import numpy as np
+    import pandas as pd
+
+    value, processor = Value(), state.SpanProfiles()
+    processor.init(Handle())
+    rng = np.random.default_rng(3)
+    sets = [(set(rng.choice(np.arange(1, 36), 5, False).tolist()), set(rng.choice(np.arange(1, 13), 2, False).tolist())) for _ in range(600)]
+    rows = pd.DataFrame({"issue_num": np.arange(600), "front": [sum(1 << x for x in s[0]) for s in sets], "back": [sum(1 << x for x in s[1]) for s in sets]})
+    list(processor.handleInputRows((0,), iter([rows[300:], rows[100:400]]), None))
+    got = next(processor.handleInputRows((0,), iter([rows[:200]]), None))
+    assert list(processor.handleInputRows((0,), iter([rows]), None)) == [] and value.calls == 2
+    for place, kind, num in ((0, "front", 1), (0, "front", 35), (1, "back", 12), (1, "back", 6)):
+        row = got[(got["kind"] == kind) & (got["num"] == num)].iloc[0]
+        assert tuple(row[list(state._COUNTS)]) == state.profile(list(range(600)), [s[place] for s in sets], num)
