@@ -13,8 +13,10 @@ anew wherever a plan is evaluated, so nothing here joins two frames made of them
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -146,19 +148,44 @@ def merged_all(ordered: Column) -> Column:
     return F.aggregate(ordered, nothing, lambda a, x: merged(a, x["p"]))
 
 
+_PASSED = "seg long, span long, code long, count long, near long, first long, last long, longest long, runs long, last_issue long"
+
+
+def _passed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Profiles of the appearances of each segment and code in ranges that come in order; what is held is a few numbers for each."""
+    held: dict[tuple[int, int, int], list[int]] = {}
+    for batch in batches:
+        seg, span, at, issue, code, near = (batch.column(c).cast(pa.int64()).fill_null(_FIRST).to_numpy() for c in ("seg", "span", "at", "issue_num", "code", "near"))
+        if not len(at):
+            continue
+        order = np.lexsort((code, seg, span))  # stable: inside a group as they come
+        seg, span, at, issue, code, near = (x[order] for x in (seg, span, at, issue, code, near))
+        new = np.concatenate([[True], (np.diff(code) != 0) | (np.diff(seg) != 0) | (np.diff(span) != 0)])
+        begin = np.flatnonzero(new)
+        end = np.concatenate([begin[1:], [len(at)]])
+        run = np.where(new, 0, np.diff(at, prepend=0) - 1)
+        parts = (end - begin, np.add.reduceat(near, begin), at[begin], at[end - 1], np.maximum.reduceat(run, begin), np.add.reduceat((run > 0).astype(np.int64), begin), issue[end - 1])
+        for key, (n, beside, first, last, longest, runs, newest) in zip(zip(span[begin].tolist(), seg[begin].tolist(), code[begin].tolist()), zip(*(x.tolist() for x in parts))):
+            known = held.get(key)
+            if known is None:
+                held[key] = [n, beside, first, last, max(longest, 0), runs, newest]
+                continue
+            across = first - known[3] - 1
+            known[:] = [known[0] + n, known[1] + beside, known[2], last, max(known[4], longest, across), known[5] + runs + (across > 0), newest]
+    names = [c.split()[0] for c in _PASSED.split(", ")]
+    told = [(seg, span, code, *v[:-1], None if v[-1] == _FIRST else v[-1]) for (span, seg, code), v in held.items()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in (zip(*told) if told else [[]] * len(names))], names=names)
+
+
 def profiles(draws: DataFrame, values: Sequence[int] = (0,)) -> DataFrame:
     """Rows (seg, span, kind, num, p): a profile of each number in each range of issues, cut where windows begin."""
     rows = _segmented(draws.select("issue_num", *[r.kind for r in RULES]), values)
     rows = rows.repartitionByRange("issue_num").sortWithinPartitions("issue_num").withColumn("__id", F.monotonically_increasing_id())
     span, at = F.shiftright("__id", 33), F.col("__id").bitwiseAND((1 << 33) - 1)
     cells = rows.select(span.alias("span"), "seg", at.alias("at"), "issue_num", F.explode(_cells(True)).alias("cell"))
-    cells = cells.withColumns({"code": F.col("cell") % _NEAR, "near": F.col("cell") >= _NEAR})
-    keys = ["seg", "span", "code"]
-    run = F.col("at") - F.lag("at").over(Window.partitionBy(*keys).orderBy("at")) - 1
-    seen = cells.withColumn("run", run).groupBy(*keys).agg(
-        F.count("*").alias("count"), F.count_if("near").alias("near"), F.min("at").alias("first"), F.max("at").alias("last"),
-        F.coalesce(F.max("run"), F.lit(0)).alias("longest"), F.count_if(F.col("run") > 0).alias("runs"), F.max("issue_num").alias("last_issue"),
-    )
+    cells = cells.filter("cell IS NOT NULL").select("seg", "span", "at", "issue_num", (F.col("cell") % _NEAR).alias("code"), (F.col("cell") >= _NEAR).alias("near"))
+    # A range comes in order, so its appearances are counted as they pass: none is shuffled or sorted.
+    seen = cells.mapInArrow(_passed, _PASSED)
     # From here on there is a row for each range and number.
     seen, keys = seen.select("*", *_decoded()), ["seg", "span", "kind", "num"]
     every = _dense(seen, ["seg", "span"], F.struct("count", "near", "first", "last", "longest", "runs", "last_issue"))

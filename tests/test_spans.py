@@ -111,3 +111,12 @@ def test_sets_need_all_their_numbers(spark):
     rows = [(0, "26001", "2026-01-03", [1, 2, 3, 4, 5], [1, 2]), (1, "26002", "2026-01-03", [1, 2, 3, 4], [1, 2]), (2, "26003", "2026-01-03", [1, 2, 3, 4, 4], [1, 2]), (3, "26004", "2026-01-03", [1, 2, 3, 4, 5], [1]), (4, "26005\n", "2026-01-03", None, [1, 13])]
     got = store.draw_errors(spark.createDataFrame(rows, "pos long, issue string, date string, front array<int>, back array<int>"))
     assert {r["pos"]: r["errors"] for r in got.collect()} == {0: "", 1: "front,repeat", 2: "repeat", 3: "back,repeat", 4: "issue,front,back,repeat"}
+
+
+def test_appearances_are_not_sorted(spark):
+    """Ranges come in order: a sort of all appearances, eight for each draw, would fill a task's memory."""
+    plan = spans.number_profiles(source.draws(spark, SF), [0])._jdf.queryExecution().optimizedPlan().toString()
+    assert "Window" not in plan and plan.count("Sort ") == 1
+    rows = spark.createDataFrame([(None, [1, 2, 3, 4, 5], [1, 2]), (7, [1, 2, 3, 4, 6], [1, 2]), (8, None, [3, None])], "issue_num long, front array<long>, back array<long>")
+    got = {(r["kind"], r["num"]): (r["n"], r["count"], r["current"], r["last_issue"]) for r in spans.number_profiles(rows, [0]).collect()}
+    assert (got["front", 5], got["front", 6], got["back", 3]) == ((3, 1, 2, None), (3, 1, 1, 7), (3, 1, 0, 8))
