@@ -170,10 +170,13 @@ def random_for(attempts: DataFrame, seed: int) -> DataFrame:
         def cell(x: Column) -> Column:
             return F.struct(uniform(seed, F.col("attempt"), F.lit(0), F.lit(rule.kind), x).alias("u"), x.alias("num"))
 
-        ordered = F.array_sort(F.transform(F.sequence(F.lit(rule.low).cast("long"), F.lit(rule.high).cast("long")), cell))
-        return F.array_sort(F.transform(F.slice(ordered, 1, rule.picks), lambda x: x["num"])).alias(rule.kind)
+        ordered = F.sort_array(F.transform(F.sequence(F.lit(rule.low).cast("long"), F.lit(rule.high).cast("long")), cell))
+        return F.sort_array(F.transform(F.slice(ordered, 1, rule.picks), lambda x: x["num"])).alias(rule.kind)
 
-    return attempts.select("attempt", *[chosen(r) for r in RULES])
+    # A few bytes of input for each row make few partitions, while a row takes 47 hashes.
+    spark = attempts.sparkSession
+    tasks = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    return attempts.repartition(tasks).select("attempt", *[chosen(r) for r in RULES])
 
 
 def _by_weight() -> Column:

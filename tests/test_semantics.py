@@ -189,3 +189,13 @@ def test_streaming(spark, tmp_path):
         q = ingest.ingest(ingest.distinct_draws(stream), str(tmp_path / "out"), str(tmp_path / "cp"))
         q.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == 100
+
+
+def test_random_picks_of_a_small_file_run_on_all_cores(spark):
+    """A row takes 47 hashes: rows of one input partition are dealt to many tasks, with the same picks."""
+    from setloom.operators import picks
+
+    ids = spark.range(200).toDF("attempt").coalesce(1)
+    got = picks.random_for(ids, 7)
+    assert got.rdd.getNumPartitions() >= 4
+    assert got.select("attempt").distinct().count() == 200 and got.filter("size(front) = 5 AND size(back) = 2").count() == 200
