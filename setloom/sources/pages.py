@@ -94,9 +94,35 @@ class TableParser(HTMLParser):
             cell[0] = None
 
 
+#: Tags without attributes but quoted ones, and text without references: where a page is nothing else, tokens need no parser.
+_TOKEN = re.compile(r'<(/?)(html|body|table|thead|tbody|tr|td|th|b)((?: [a-z]+="[^"<>&]*")*)>|([^<>&]+)')
+_ATTRIBUTE = re.compile(r' ([a-z]+)="([^"]*)"')
+
+
+def _plain(parser: TableParser, html: str) -> bool:
+    """Feeds a page of plain markup; false, with nothing kept, at the first part that isn't."""
+    at = 0
+    for m in _TOKEN.finditer(html):
+        if m.start() != at:
+            return False
+        at = m.end()
+        close, tag, attributes, text = m.groups()
+        if text is not None:
+            parser.handle_data(text)
+        elif close:
+            if attributes:
+                return False
+            parser.handle_endtag(tag)
+        else:
+            parser.handle_starttag(tag, _ATTRIBUTE.findall(attributes) if attributes else [])
+    return at == len(html)
+
+
 def tables_of(html: str) -> list[Table]:
     parser = TableParser()
-    parser.feed(html or "")
+    if not _plain(parser, html or ""):
+        parser = TableParser()
+        parser.feed(html or "")
     parser.close()
     return parser.tables
 
@@ -125,9 +151,9 @@ class Files(InputPartition):
 
 
 class PageReader(DataSourceReader):
-    """Reads the pages whose range meets start to end, some dozen files a partition."""
+    """Reads the pages whose range meets start to end: some dozen files or some megabytes a partition, a larger file alone."""
 
-    FILES = 32
+    FILES, BYTES = 32, 4 << 20
 
     def __init__(self, path: str, start: int, end: int):
         self.path, self.start, self.end = path, start, end
@@ -144,8 +170,13 @@ class PageReader(DataSourceReader):
                 self.end = min(self.end, f.value - isinstance(f, LessThan))
 
     def partitions(self) -> Sequence[Files]:
-        paths = sorted(p for p in _listed(self.path) if self._meets(p))
-        return [Files(tuple(paths[k : k + self.FILES])) for k in range(0, len(paths), self.FILES)] or [Files(())]
+        dealt, size = [], 0
+        for path, n in sorted(x for x in _listed(self.path) if self._meets(x[0])):
+            if not dealt or len(dealt[-1]) == self.FILES or size + n > self.BYTES:
+                dealt, size = [*dealt, []], 0
+            dealt[-1].append(path)
+            size += n
+        return [Files(tuple(paths)) for paths in dealt] or [Files(())]
 
     def _meets(self, path: str) -> bool:
         own = _RANGE.search(path)
@@ -165,12 +196,13 @@ def _file_system(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _listed(path: str) -> list[str]:
+def _listed(path: str) -> list[tuple[str, int]]:
+    """Files and their sizes."""
     from pyarrow import fs
 
     files, at = _file_system(path)
     found = files.get_file_info(fs.FileSelector(at, recursive=True, allow_not_found=True))
-    return [f.path for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))]
+    return [(f.path, f.size or 0) for f in found if f.type == fs.FileType.File and not f.base_name.startswith(("_", "."))]
 
 
 class DrawPages(DataSource):

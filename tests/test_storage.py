@@ -212,3 +212,21 @@ def test_a_span_of_the_stream_is_one_value_of_state(spark):
     for place, kind, num in ((0, "front", 1), (0, "front", 35), (1, "back", 12), (1, "back", 6)):
         row = got[(got["kind"] == kind) & (got["num"] == num)].iloc[0]
         assert tuple(row[list(state._COUNTS)]) == state.profile(list(range(600)), [s[place] for s in sets], num)
+
+
+def test_large_pages_are_partitions_of_their_own(tmp_path):
+    for k in range(40):
+        (tmp_path / f"p{k:02}").write_text("x" * (5 << 20 if k < 3 else 10))
+    dealt = [len(p.paths) for p in pages.PageReader(f"file://{tmp_path}", 0, 99_999).partitions()]
+    assert dealt == [1, 1, 1, 32, 5]
+
+
+def test_plain_pages_need_no_parser_and_give_the_same():
+    plain = '<html><table class="menu"><tr><td><table id="tablelist"><tr><th>期号</th></tr><tr><td> 1 </td><td><b>2</b>x</td></tr></table></td></tr></table> </html>'
+    odd = [plain.replace(*x) for x in (("<b>", "<b/>"), (" 1 ", "&lt;1"), ("<tr><th>", "<!-- <tr> --><tr><th>"), ('"menu"', "menu"), ("<td> ", "<TD>"), ("</html>", "<td"), ("<b>", "<script>"), ("</b>", "< /b>"), ("2", ">"))]
+    assert pages._plain(pages.TableParser(), plain) and not any(pages._plain(pages.TableParser(), x) for x in odd)
+    for html in (plain, "<table><td>a<tr><td>b", *odd):
+        parser = pages.TableParser()
+        parser.feed(html)
+        parser.close()
+        assert pages.tables_of(html) == parser.tables
