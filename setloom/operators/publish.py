@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import half_up, strategy_group, two_digits
 from ..model import FusionConfig
 from . import descriptive, evaluate, picks, store
+from .frames import positioned
 from .spans import number_profiles
 
 #: Rules that a response names. (fixed values)
@@ -143,7 +144,7 @@ def _lines(section: int, rows: DataFrame, text: Column, *order: Column) -> DataF
 def daily_report(draws: DataFrame, recommended: DataFrame, summary: DataFrame) -> DataFrame:
     """Rows (section, line, text) of the daily report: extent, frequencies, hot and cold, gaps, parity, size, neighbours, zones, picks, validation.
 
-    `recommended` has strategy, front and back; `summary` is evaluate.validation_summary. Each section is a few dozen rows at most.
+    `recommended` has strategy, front and back, a line for each; `summary` is evaluate.validation_summary. Other sections are a few dozen rows at most.
     """
     f = F.format_string
     counted = descriptive.frequency(draws).groupBy("kind").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("num", "count"))), lambda x: F.concat_ws(":", x["num"], x["count"])), " ").alias("all"))
@@ -152,6 +153,7 @@ def daily_report(draws: DataFrame, recommended: DataFrame, summary: DataFrame) -
         for rows in (descriptive.hot(draws), descriptive.cold_ties(draws))
     )
     by_kind = F.desc("kind")
+    picked = positioned(recommended.select("strategy", "front", "back"), "strategy", "front", "back")  # numbered by ranges; rows that tie are equal
     sections = [
         _lines(0, draws.agg(F.count("*").alias("n"), F.min("issue_num").alias("a"), F.max("issue_num").alias("b")), f("%d draws, %d to %d", F.col("n"), F.col("a"), F.col("b"))),
         _lines(1, counted, F.concat_ws(": ", "kind", "all"), by_kind),
@@ -161,7 +163,7 @@ def daily_report(draws: DataFrame, recommended: DataFrame, summary: DataFrame) -
         _lines(5, descriptive.big_small_histogram(draws), f("| %s | %d | %.1f%% |", F.col("label"), F.col("count"), F.col("pct")), F.col("rank")),
         _lines(6, descriptive.consecutive_summary(draws), f("share %.4f, pairs %.4f", F.col("prob"), F.col("avg_pairs"))),
         _lines(7, descriptive.zones(draws), f("%s %s: %d (%.4f)", F.col("kind"), F.col("label"), F.col("count"), F.col("pct")), by_kind, F.col("zone")),
-        _lines(8, recommended, F.concat(F.col("strategy"), F.lit(": "), two_digits(F.col("front")), F.lit(" + "), two_digits(F.col("back"))), F.col("strategy"), F.col("front")),
+        picked.select(F.lit(8).cast("long").alias("section"), (F.col("pos") + 1).alias("line"), F.concat(F.col("strategy"), F.lit(": "), two_digits(F.col("front")), F.lit(" + "), two_digits(F.col("back"))).alias("text")),
         _lines(9, summary, f("recommended %d, validated %d, mean hits %.2f", F.col("recommended"), F.col("validated"), F.col("avg_hit"))),
     ]
     return reduce(DataFrame.unionByName, sections)

@@ -13,7 +13,6 @@ from ..operators import cache, descriptive, evaluate, publish, userstore
 from ..operators.frames import positioned
 from ..operators.positions import PositionIndex
 from ..operators.ranged import RangedTable
-from ..operators.store import latest_group
 from ..sources import documents, pages
 from ..sources import draws as source
 from ..streaming import ingest
@@ -108,7 +107,7 @@ def _response(recs: DataFrame, draws: DataFrame) -> DataFrame:
 
 def _daily_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     recs, draws = source.recommendations(spark, sf_dir), source.draws(spark, sf_dir)
-    return publish.daily_report(draws, latest_group(recs), evaluate.validation_summary(recs, draws))
+    return publish.daily_report(draws, recs, evaluate.validation_summary(recs, draws))
 
 
 def _published(recs: DataFrame, draws: DataFrame) -> DataFrame:

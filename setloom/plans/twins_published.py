@@ -119,7 +119,7 @@ PUBLISHED = {
         UNION ALL SELECT 5, row_number() OVER (ORDER BY c DESC, label), format('| {{}} | {{:d}} | {{:.1f}}% |', label, c, {_r('c::DOUBLE / n * 100', 1)}) FROM bs, n
         UNION ALL SELECT 6, 1, format('share {{:.4f}}, pairs {{:.4f}}', {_r('count(*) FILTER (pairs > 0)::DOUBLE / count(*)', 4)}, {_r('sum(pairs)::DOUBLE / count(*)', 4)}) FROM f
         UNION ALL SELECT 7, row_number() OVER (ORDER BY kind DESC, z), format('{{}} {{:d}}-{{:d}}: {{:d}} ({{:.4f}})', kind, z * w + 1, (z + 1) * w, c::BIGINT, {_r('c::DOUBLE / sum(c) OVER (PARTITION BY kind)', 4)}) FROM z
-        UNION ALL SELECT 8, row_number() OVER (ORDER BY strategy, front), strategy || ': ' || {_TEXT.format('front')} || ' + ' || {_TEXT.format('back')} FROM recs WHERE target_issue = (SELECT max(target_issue) FROM recs)
+        UNION ALL SELECT 8, row_number() OVER (ORDER BY strategy, front, back), strategy || ': ' || {_TEXT.format('front')} || ' + ' || {_TEXT.format('back')} FROM recs
         UNION ALL SELECT 9, 1, {_SUMMARY_LINE} FROM {_SUMMARY}""",
     "validation_report": f"""WITH {HITS} SELECT 0::BIGINT AS section, 1::BIGINT AS line, {_SUMMARY_LINE} AS text FROM {_SUMMARY}
         UNION ALL SELECT 1, row_number() OVER (ORDER BY grp), format('| {{}} | {{:d}} | {{:.3f}} | {{:d}} |', grp, count, avg_total_hit, max_total_hit) FROM st""",

@@ -102,3 +102,12 @@ def test_daily_run_goes_on_after_a_failure(spark, tmp_path):
 
 def test_every_twin_has_its_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
+
+
+def test_the_daily_report_lists_every_recommendation(spark):
+    from setloom.plans import registry
+    from setloom.sources import draws as source
+
+    sf = "/root/testdata/sf0.001"
+    lines = [r["line"] for r in registry.queries()["daily_report"](spark, sf).filter("section = 8").collect()]
+    assert sorted(lines) == list(range(1, source.recommendations(spark, sf).count() + 1)) and len(lines) > 5
