@@ -33,6 +33,12 @@ def positioned(rows: DataFrame, *order: str) -> DataFrame:
     return placed.select(*rows.columns, F.lit(total).cast("long").alias("total"), (offset + inner).alias("pos"))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """`rows` dealt to all cores: for much work on each row where few files or bytes make few partitions."""
+    spark = rows.sparkSession
+    return rows.repartition(4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism))
+
+
 def appearances(draws: DataFrame, near: bool = False) -> DataFrame:
     """Rows (pos, total, issue_num, kind, num) of positioned draws; with `near` also whether the draw holds a neighbour."""
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import adjacent_pairs, big_count, odd_count, shared, span, total
 from ..model import BACK, FRONT, RULES, GroupRule
+from .frames import dealt
 
 #: Ranges in which a front set counts as usual (fixed values).
 SUM_RANGE, SPAN_RANGE, THIRDS = (60, 140), (10, 40), (12, 24, 35)
@@ -173,10 +174,8 @@ def random_for(attempts: DataFrame, seed: int) -> DataFrame:
         ordered = F.sort_array(F.transform(F.sequence(F.lit(rule.low).cast("long"), F.lit(rule.high).cast("long")), cell))
         return F.sort_array(F.transform(F.slice(ordered, 1, rule.picks), lambda x: x["num"])).alias(rule.kind)
 
-    # A few bytes of input for each row make few partitions, while a row takes 47 hashes.
-    spark = attempts.sparkSession
-    tasks = 4 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    return attempts.repartition(tasks).select("attempt", *[chosen(r) for r in RULES])
+    # A row takes 47 hashes.
+    return dealt(attempts).select("attempt", *[chosen(r) for r in RULES])
 
 
 def _by_weight() -> Column:

@@ -199,3 +199,9 @@ def test_random_picks_of_a_small_file_run_on_all_cores(spark):
     got = picks.random_for(ids, 7)
     assert got.rdd.getNumPartitions() >= 4
     assert got.select("attempt").distinct().count() == 200 and got.filter("size(front) = 5 AND size(back) = 2").count() == 200
+
+
+def test_a_page_is_searched_for_tables_once(spark):
+    """The expression that finds the tables stands once in the plan, however many ways there are to choose one."""
+    plan = spark.createDataFrame([("<table><tr><td>1</td></tr></table>",)], "html string").select(source.chosen_table(F.col("html")))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
