@@ -13,9 +13,10 @@ A suffix begins at each word. What repeats a window is a node of the suffixes' t
    round, and branches with one position are cut, until what is left are the inner nodes at the depth
    of a window. A node whose least document isn't a position's own is a repeat there; neighbouring ones
    make one maximal repeat.
-4. Longer groups (a passage of very many documents) don't fit: their prefixes grow to the whole window, by 128
-   bits over its words. All that such a node needs is its smallest document, which is aggregated before
-   it is shuffled, so no task holds the group.
+4. Longer groups (a passage of very many documents) don't fit. Of their fragments with equal words, by 128 bits, those of
+   the smallest document go on, and all windows of the others repeat. Groups that fit then are subtrees as above; in the
+   rest prefixes grow to the whole window, by 128 bits over its words. All that such a node needs is its smallest
+   document, which is aggregated before it is shuffled, so no task holds the group.
 
 Defined results: null text has no words; a null identifier comes before all others, and rows
 that repeat an identifier don't remove words of each other; texts of fewer words than
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import Tables, text_of, whole_groups
-from .wordhash import Words, runs, slices
+from .wordhash import Words, ranges, runs, slices, spanned
 
 _LEAST = -(2**63)
 #: Words of a group that one task holds as a subtree; longer words count once for each so many bytes, so a group is bounded in bytes too.
@@ -119,7 +120,7 @@ def _scanned(docs: DataFrame, id_col: str, text_col: str, window: int, prefix: i
 
 
 def _suffixes(texts: DataFrame, window: int, prefix: int) -> DataFrame:
-    """Rows (mark, id, key, at, text, w1, w2) of (id, key, text, marks): fragments of text under the given marks, or the single windows of wide ones."""
+    """Rows (mark, id, key, at, words, text, w1, w2) of (id, key, text, marks): fragments of text under the given marks; of those of wide ones also 128 bits over their words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -138,31 +139,43 @@ def _suffixes(texts: DataFrame, window: int, prefix: int) -> DataFrame:
                 mine = np.zeros(len(first), wanted.dtype)
                 mine["of"], mine["mark"] = of[first], mark[first]
                 place = np.minimum(np.searchsorted(wanted, mine), max(0, len(wanted) - 1))
-                hit = wanted[place] == mine if len(wanted) else np.zeros(len(mine), bool)
-                is_wide = hit & wide[place] if len(wanted) else hit
-                yield _rows(batch, words, mark, at, of, *_texts_of(words, at[first], span, hit & ~is_wide), first[hit & ~is_wide])
-                every = np.repeat(is_wide, span + 1 - window)
-                if every.any():
-                    w1, w2 = runs(h, window)[at[every]], runs(words.hashes(1), window, 1)[at[every]]
-                    yield _rows(batch, words, mark, at, of, None, (w1, w2), np.flatnonzero(every))
+                hit = np.flatnonzero(wanted[place] == mine) if len(wanted) else place[:0]
+                is_wide = wide[place[hit]] if len(wanted) else np.zeros(0, bool)
+                start, span, own = at[first[hit]], span[hit], of[first[hit]]
+                pair = []
+                for which, each in enumerate((h, words.hashes(1)) if is_wide.any() else ()):
+                    values = np.zeros(len(hit), np.uint64)
+                    values[is_wide] = spanned(each, start[is_wide], span[is_wide], which)
+                    pair.append(pa.array(values.view(np.int64), mask=~is_wide))
+                ids = [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[own], pa.int64()) for c in (0, 1)]
+                columns = [pa.array(mark[first[hit]]), *ids, pa.array((start - words.offset[own]).astype(np.int32)), pa.array(span.astype(np.int32)), _texts_of(words, start, span)]
+                yield pa.RecordBatch.from_arrays([*columns, *(pair or [pa.nulls(len(hit), pa.int64())] * 2)], names=["mark", "id", "key", "at", "words", "text", "w1", "w2"])
 
-    return texts.mapInArrow(run, "mark long, id long, key long, at int, text string, w1 long, w2 long")
+    return texts.mapInArrow(run, "mark long, id long, key long, at int, words int, text string, w1 long, w2 long")
 
 
-def _texts_of(words: Words, start: np.ndarray, span: np.ndarray, chosen: np.ndarray) -> tuple[pa.Array, None]:
-    """The text of each chosen fragment, its words as they stand."""
-    a, b = words.start[start[chosen]], words.end[start[chosen] + span[chosen] - 1]
-    raw = words.raw.tobytes()
-    return pa.array([raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist())], pa.string()), None
+def _single_windows(fragments: DataFrame, window: int) -> DataFrame:
+    """Rows (id, key, at, w1, w2) of (id, key, at, text): each window with 128 bits over its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, 3):
+                words = Words(batch.column(3))
+                count = np.diff(words.offset) + 1 - window
+                own, at = np.repeat(np.arange(len(batch)), count), ranges(words.offset[:-1], count)
+                ids = [pa.array(batch.column(c).to_numpy()[own]) for c in (0, 1)]
+                start = batch.column(2).to_numpy()[own] + (at - words.offset[own])
+                pair = [pa.array(runs(words.hashes(which), window, which)[at].view(np.int64)) for which in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*ids, pa.array(start.astype(np.int32)), *pair], names=["id", "key", "at", "w1", "w2"])
+
+    return fragments.mapInArrow(run, "id long, key long, at int, w1 long, w2 long")
 
 
-def _rows(batch: pa.RecordBatch, words: Words, mark: np.ndarray, at: np.ndarray, of: np.ndarray, texts: pa.Array | None, hashes: tuple[np.ndarray, np.ndarray] | None, place: np.ndarray) -> pa.RecordBatch:
-    own = of[place]
-    ids = [pa.array(batch.column(c).to_numpy(zero_copy_only=False)[own], pa.int64()) for c in (0, 1)]
-    start = pa.array((at[place] - words.offset[own]).astype(np.int32))
-    text = pa.nulls(len(place), pa.string()) if texts is None else texts
-    pair = [pa.nulls(len(place), pa.int64())] * 2 if hashes is None else [pa.array(x.view(np.int64)) for x in hashes]
-    return pa.RecordBatch.from_arrays([pa.array(mark[place]), *ids, start, text, *pair], names=["mark", "id", "key", "at", "text", "w1", "w2"])
+def _texts_of(words: Words, start: np.ndarray, span: np.ndarray) -> pa.Array:
+    """The text of each fragment, its words as they stand."""
+    a, b = words.start[start], words.end[start + span - 1]
+    raw = words.raw.tobytes()
+    return pa.array([raw[x:y].decode() for x, y in zip(a.tolist(), b.tolist())], pa.string())
 
 
 def _named(high: np.ndarray, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,13 +262,24 @@ def repeated_windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     texts = rows.join(opened, ["id", "key"]).select("id", "key", "text", "marks")
     suffixes = tables.stored(_suffixes(texts, window, prefix), "suffixes")
     tables.drop(shared)
-    fragments = suffixes.filter(F.col("text").isNotNull()).select("mark", "id", "key", "at", "text")
-    windows = suffixes.filter(F.col("text").isNull()).select("id", "key", "at", "w1", "w2")
+    narrow = suffixes.filter(F.col("w1").isNull()).select("mark", "id", "key", "at", "text")
+    # Of equal fragments of wide marks those of the smallest document go on; all windows of the others repeat.
+    wide = suffixes.filter(F.col("w1").isNotNull())
+    equal = tables.stored(wide.groupBy("w1", "w2").agg(F.min("id").alias("lo")), "equal-fragments")
+    ranked = tables.stored(wide.join(equal, ["w1", "w2"]).select("mark", "id", "key", "at", "words", F.when(F.col("id") == F.col("lo"), F.col("text")).alias("text")), "wide-fragments")
+    tables.drop(equal)
+    later = ranked.filter(F.col("text").isNull()).select("id", "key", "at", (F.col("words") + 1 - window).alias("n"))
+    least = ranked.filter(F.col("text").isNotNull())
+    size = F.greatest(F.col("words").cast("long"), F.floor(F.octet_length("text") / WORD_BYTES))
+    still = tables.stored(least.groupBy("mark").agg((F.sum(size) > most_words).alias("still")), "wide-marks")
+    least = least.join(still, "mark")
+    fragments = narrow.unionByName(least.filter("NOT still").select(narrow.columns))
+    windows = tables.stored(_single_windows(least.filter("still").select("id", "key", "at", "text"), window), "windows")
     # Written, so that the join back is one of two plain shuffles, whose hot keys Spark can split.
     nodes = tables.stored(windows.groupBy("w1", "w2").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).filter("lo < hi").select("w1", "w2", "lo"), "nodes")
     of_nodes = windows.join(nodes, ["w1", "w2"]).filter("id > lo").select("id", "key", "at", F.lit(1).alias("n"))
-    found = tables.stored(_subtrees(fragments, window).unionByName(of_nodes), "repeats")
-    tables.drop(suffixes, nodes)
+    found = tables.stored(_subtrees(fragments, window).unionByName(of_nodes).unionByName(later), "repeats")
+    tables.drop(suffixes, ranked, still, windows, nodes)
     repeats = tables.stored(found.groupBy("id", "key").agg(F.collect_set(F.struct("at", "n")).alias("repeats")), "repeats-once")
     tables.drop(found)
     # Rows of one identifier whose texts differ only in white space have the same repeats.

@@ -101,6 +101,16 @@ class Words:
         return self.spans.hashes(which)
 
 
+def spanned(h: np.ndarray, start: np.ndarray, count: np.ndarray, which: int = 0) -> np.ndarray:
+    """The hash of `count` (at least one) consecutive words from each `start` on."""
+    if not len(start):
+        return np.zeros(0, np.uint64)
+    first = np.cumsum(count) - count
+    place = np.arange(int(count.sum())) - np.repeat(first, count)
+    placed = mix(h[np.repeat(start, count) + place] ^ ((place.astype(np.uint64) + np.uint64(1)) * _BASE[which]), which)
+    return mix(np.add.reduceat(placed, first) + count.astype(np.uint64) * _BASE[1 - which], which)
+
+
 def runs(h: np.ndarray, n: int, which: int = 0) -> np.ndarray:
     """The hash of each n consecutive words; len(h) - n + 1 of them, also across texts."""
     if len(h) < n:

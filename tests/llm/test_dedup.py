@@ -81,6 +81,23 @@ def test_passages_in_groups_beyond_memory(spark, most_words):
     assert listed(got, "doc_id", "n_words", "n_removed", "kept_text") == passages(texts(), 50)
 
 
+def test_a_passage_of_many_documents_is_not_dealt_by_windows(spark, monkeypatch):
+    """Fragments of a group beyond memory are rows; of equal ones only those of the smallest document are cut into windows."""
+    shared = " ".join(f"s{k}" for k in range(300))
+    rows = [(i, f"a{i} b{i} {shared} c{i}" if i < 3 else shared + (f" e{i}" if i % 2 else "")) for i in range(60)]
+    held, stored = {}, substring_dedup.Tables.stored
+
+    def counted(tables, df, name):
+        held[name] = stored(tables, df, name)
+        held[name + " rows"] = held[name].count()
+        return held[name]
+
+    monkeypatch.setattr(substring_dedup.Tables, "stored", counted)
+    got = substring_dedup.drop_repeated_passages(spark.createDataFrame(rows, "doc_id long, text string"), window=50, most_words=400)
+    assert listed(got, "doc_id", "n_words", "n_removed", "kept_text") == passages(rows, 50)
+    assert held["suffixes rows"] < 60 * 40 and held["windows rows"] < 10 * 251
+
+
 def test_subtrees_by_hand():
     import numpy as np
     import pyarrow as pa
