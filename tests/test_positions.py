@@ -2,6 +2,8 @@
 
 import glob
 import os
+import re
+from collections import defaultdict
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -11,7 +13,7 @@ from pyspark.sql import functions as F
 from setloom.operators import descriptive
 from setloom.operators.frames import positioned
 from setloom.operators.positions import PositionIndex, kept_positions
-from setloom.operators.ranged import RangedTable
+from setloom.operators.ranged import TASK_ROWS, RangedTable
 from setloom.sources import draws as source
 
 SF = "/root/testdata/sf0.001"
@@ -110,3 +112,22 @@ def test_the_session_keeps_one_index_for_each_name(spark):
     first = kept_positions(draws, "one").inputFiles()
     assert kept_positions(draws, "one").inputFiles() == first and kept_positions(draws, "two").inputFiles() != first
     assert kept_positions(draws.filter("issue_num > 10"), "one").count() == draws.filter("issue_num > 10").count()
+
+
+def test_a_task_writes_one_range_or_few_small_ones(spark, tmp_path):
+    """A hash laid several ranges on one task; the number of a file is that of its task."""
+
+    def tasks(path):
+        found = defaultdict(set)
+        for f in glob.glob(f"{path}/data/*/range=*/part-*"):
+            found[re.search(r"data/(v\d+)/", f)[1], re.search(r"part-(\d+)", f)[1]].add(re.search(r"range=(\d+)", f)[1])
+        return found
+
+    held = PositionIndex(spark, f"file://{tmp_path}/large")
+    held.create(spark.range(2000).selectExpr("id AS issue_num"), 16)
+    assert len(tasks(f"{tmp_path}/large")) == 16 and all(len(r) == 1 for r in tasks(f"{tmp_path}/large").values())
+    held.sync(spark.range(2000).selectExpr("id AS issue_num").filter("issue_num NOT IN (3, 1990, 1991)"))
+    assert all(len(r) == 1 for r in tasks(f"{tmp_path}/large").values()) and told(held.placed())[1999] == (1996, 1997)
+    small = PositionIndex(spark, f"file://{tmp_path}/small", most_rows=TASK_ROWS // 3)
+    small.create(spark.range(2000).selectExpr("id AS issue_num"), 16)
+    assert sorted(len(r) for r in tasks(f"{tmp_path}/small").values()) == [1, 3, 3, 3, 3, 3]
