@@ -3,6 +3,7 @@
 import glob
 import os
 import re
+from bisect import bisect_right
 from collections import defaultdict
 
 import pytest
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from setloom.operators import descriptive
 from setloom.operators.frames import positioned
 from setloom.operators.positions import PositionIndex, kept_positions
-from setloom.operators.ranged import TASK_ROWS, RangedTable
+from setloom.operators.ranged import TASK_ROWS, RangedTable, at_or_below
 from setloom.sources import draws as source
 
 SF = "/root/testdata/sf0.001"
@@ -131,3 +132,15 @@ def test_a_task_writes_one_range_or_few_small_ones(spark, tmp_path):
     small = PositionIndex(spark, f"file://{tmp_path}/small", most_rows=TASK_ROWS // 3)
     small.create(spark.range(2000).selectExpr("id AS issue_num"), 16)
     assert sorted(len(r) for r in tasks(f"{tmp_path}/small").values()) == [1, 3, 3, 3, 3, 3]
+
+
+@pytest.mark.parametrize("n", [0, 1, 2, 3, 7, 8, 9, 1000])
+def test_ranges_are_found_by_halving(spark, tmp_path, n):
+    """Each row was compared with every bound, so the work grew with the rows times the ranges."""
+    bounds = [k * k - 50 for k in range(n)]
+    keys = [None, -(1 << 62), 1 << 62, *range(-60, 60), *[b + d for b in bounds[-20:] for d in (-1, 0, 1)]]
+    place = RangedTable(spark, f"file://{tmp_path}", ["k"])._range_of(bounds)
+    assert "filter(" not in str(place)
+    rows = spark.createDataFrame([(k,) for k in keys], "k long")
+    for column in (place, at_or_below(bounds, F.col("k"))):
+        assert {(r["k"], r["at"]) for r in rows.select("k", column.alias("at")).collect()} == {(k, 0 if k is None else bisect_right(bounds, k)) for k in keys}
