@@ -81,6 +81,16 @@ class TableParser(HTMLParser):
         if cell[0] is not None:
             cell[0].append(data)
 
+    def plain_row(self, inner: str) -> None:
+        """A row with nothing but plain cells, from behind its first tag to before its last one: as its tags and texts would be handled."""
+        if not self._open:
+            return
+        self._close_cell()
+        table = self._open[-1][0]
+        cells = inner.split("</td><td>")
+        table.rows.append(cells if inner.split(None, 1) == [inner] else [" ".join(x.split()) for x in cells])
+        table.headed |= HEADER in inner
+
     def close(self) -> None:
         super().close()
         while self._open:
@@ -94,8 +104,8 @@ class TableParser(HTMLParser):
             cell[0] = None
 
 
-#: Tags without attributes but quoted ones, and text without references: where a page is nothing else, tokens need no parser.
-_TOKEN = re.compile(r'<(/?)(html|body|table|thead|tbody|tr|td|th|b)((?: [a-z]+="[^"<>&]*")*)>|([^<>&]+)')
+#: Tags without attributes but quoted ones, and text without references: where a page is nothing else, tokens need no parser. A row of plain cells is one token.
+_TOKEN = re.compile(r'<tr><td>([^<>&]*+(?:</td><td>[^<>&]*+)*+)</td></tr>|<(/?)(html|body|table|thead|tbody|tr|td|th|b)((?: [a-z]+="[^"<>&]*")*)>|([^<>&]+)')
 _ATTRIBUTE = re.compile(r' ([a-z]+)="([^"]*)"')
 
 
@@ -106,8 +116,10 @@ def _plain(parser: TableParser, html: str) -> bool:
         if m.start() != at:
             return False
         at = m.end()
-        close, tag, attributes, text = m.groups()
-        if text is not None:
+        row, close, tag, attributes, text = m.groups()
+        if row is not None:
+            parser.plain_row(row)
+        elif text is not None:
             parser.handle_data(text)
         elif close:
             if attributes:
@@ -256,7 +268,7 @@ def save_pages(draws: DataFrame, path: str, width: int = 500) -> None:
     """Pages of draws (issue, date, front, back) in folders that name their ranges of issues, `width` issues a page."""
     low = F.floor(F.col("issue").cast("long") / width) * width
     cells = F.concat(F.array("issue"), F.col("front").cast("array<string>"), F.col("back").cast("array<string>"), F.array_repeat(F.lit("-"), 6), F.array("date"))
-    row = F.concat(F.lit("<tr>"), F.array_join(F.transform(cells, lambda c: F.concat(F.lit("<td>"), c, F.lit("</td>"))), ""), F.lit("</tr>"))
+    row = F.concat(F.lit("<tr><td>"), F.array_join(cells, "</td><td>"), F.lit("</td></tr>"))
     rows = draws.select(low.alias("low"), F.col("issue"), row.alias("row"))
     pages = rows.groupBy("low").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("issue", "row"))), lambda x: x["row"]), "").alias("rows"))
     html = F.concat(F.lit(f'<html><table class="menu"><tr><td><table id="{TABLE_ID}"><tr><th>{HEADER}</th></tr>'), "rows", F.lit("</table></td></tr></table></html>"))

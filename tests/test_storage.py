@@ -2,6 +2,7 @@
 
 import glob
 import os
+import random
 
 import duckdb
 import pytest
@@ -230,3 +231,26 @@ def test_plain_pages_need_no_parser_and_give_the_same():
         parser.feed(html)
         parser.close()
         assert pages.tables_of(html) == parser.tables
+
+
+def test_a_row_of_plain_cells_is_one_token(monkeypatch):
+    """A page of a million rows was read by fifty tokens for each."""
+    calls = []
+    monkeypatch.setattr(pages.TableParser, "handle_starttag", lambda self, tag, attrs, f=pages.TableParser.handle_starttag: (calls.append(tag), f(self, tag, attrs))[1])
+    row = "<tr><td>12345</td><td> a  b\n</td><td></td><td>期号</td></tr>"
+    tables = pages.tables_of(f'{row}<table><tr><td><table id="tablelist">{row * 1000}<tr><td> 7</td></tr><tr><td>8 </td></tr></table></td></tr></table>')
+    assert [(t.name, t.depth, t.headed) for t in tables] == [("", 0, False), ("tablelist", 1, True)]
+    assert tables[1].rows == [["12345", "a b", "", "期号"]] * 1000 + [["7"], ["8"]] and len(calls) == 4
+
+
+def test_rows_of_plain_cells_as_the_parser_reads_them():
+    bits = ["<tr>", "</tr>", "<td>", "</td>", "<th>", "<table>", "</table>", "a", " ", "b  c", "期号", "<b>", "<tr><td>x</td></tr>", "<tr><td></td><td> y \n z</td></tr>", "<tr><td>1 </td><td>2</td></tr>"]
+    chosen = random.Random(7)
+    for _ in range(3000):
+        html = "".join(chosen.choices(bits, k=20))
+        plain, parser = pages.TableParser(), pages.TableParser()
+        assert pages._plain(plain, html)
+        parser.feed(html)
+        plain.close()
+        parser.close()
+        assert plain.tables == parser.tables
